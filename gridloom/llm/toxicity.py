@@ -37,9 +37,11 @@ INTENTS = set("will shall gonna going must should want vais va veux werde werden
 
 PREFIXES = range(4, 7)
 #: Least evidence (twice the log-likelihood ratio) and least share of toxic contexts for a learned word or stem.
-EVIDENCE, PURITY = 14.0, 0.9
+EVIDENCE, PURITY = 18.0, 0.9
 THREAT_WEIGHT = 2.0
-NEGATED, REPORTED, TARGETED = 0.4, 0.5, 1.25
+NEGATED, REPORTED, TARGETED = 0.4, 0.45, 1.25
+#: Pull of the fitted curve towards one insult's weight being enough.
+CURVE_PULL = 20.0
 #: Words over which a negation or a report reaches.
 REACH = 3
 
@@ -106,37 +108,33 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.base + self.slope * min(10.0, self.weight(text))))))
 
 
+def _keys(word: str) -> list[str]:
+    return [word, *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
+
+
 def learn(sample: list[tuple[str, int]]) -> Grammar:
     """Fit lexicon and curve on labelled texts.
 
-    A word's evidence counts its distinct contexts (word before, word after) in toxic and in clean texts, so
-    copies of one text count once. A context that clean texts have is clean.
+    The evidence for a word or stem is the weaker of two: over the texts that have it, and over its distinct
+    contexts (word before, word after), so that copies of one text count once. A context of a clean text is clean.
     """
     toxic_texts, clean_texts = Counter(), Counter()
     for text, y in sample:
-        for word in set(WORD.findall(text.lower())):
-            (toxic_texts if y else clean_texts)[word] += 1
+        (toxic_texts if y else clean_texts).update({key for word in set(WORD.findall(text.lower())) for key in _keys(word)})
     if not toxic_texts or not clean_texts:
         return Grammar()
-    stem_toxic, stem_clean = Counter(), Counter()
-    for counts, stems in ((toxic_texts, stem_toxic), (clean_texts, stem_clean)):
-        for word, n in counts.items():
-            for k in PREFIXES:
-                if len(word) > k:
-                    stems[word[:k]] += n
-    likely = {w for w, n in toxic_texts.items() if n > 1 and n >= 0.5 * (n + clean_texts[w])}
-    likely_stems = {s for s, n in stem_toxic.items() if n > 1 and n >= 0.5 * (n + stem_clean[s])}
+    part = sum(y for _, y in sample) / len(sample)
+    likely = {key for key, n in toxic_texts.items() if n >= PURITY * (n + clean_texts[key]) and evidence(n, clean_texts[key], part) >= EVIDENCE}
     contexts: dict[str, dict[tuple, int]] = defaultdict(dict)
     tokens = [0, 0]
     for text, y in sample:
         words = ["", *WORD.findall(text.lower()), ""]
         tokens[y] += len(words)
-        for a, word, b in zip(words, words[1:], words[2:], strict=False):
-            keys = [word] if word in likely else []
-            keys += [f"{word[:k]}*" for k in PREFIXES if len(word) > k and word[:k] in likely_stems]
-            for key in keys:
-                contexts[key][(a, b)] = min(y, contexts[key].get((a, b), 1))
-    share = max(tokens[1] / sum(tokens), sum(y for _, y in sample) / len(sample))
+        for at in range(1, len(words) - 1):
+            for key in likely.intersection(_keys(words[at])):
+                around = (words[at - 1], words[at + 1])
+                contexts[key][around] = min(y, contexts[key].get(around, 1))
+    share = max(tokens[1] / sum(tokens), part)
     grammar = Grammar()
     for key, seen in contexts.items():
         toxic = sum(seen.values())
@@ -152,13 +150,13 @@ def learn(sample: list[tuple[str, int]]) -> Grammar:
 
 
 def _fit_curve(grammar: Grammar, points: np.ndarray) -> None:
-    """Logistic regression of the label on a text's weight, by Newton steps with a small penalty."""
+    """Logistic regression of the label on a text's weight, by Newton steps, drawn towards the curve of Grammar()."""
     x, y = points[:, 0], points[:, 1]
     beta = np.array([grammar.base, grammar.slope])
     design = np.stack([np.ones_like(x), x], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        penalty = np.diag([0.01, 0.01])
+        penalty = np.diag([CURVE_PULL, CURVE_PULL])
         step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + penalty, design.T @ (y - p) - penalty @ (beta - [grammar.base, grammar.slope]))
         beta = beta + np.clip(step, -2, 2)
         if abs(step).max() < 1e-6:
