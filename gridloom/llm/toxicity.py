@@ -145,6 +145,11 @@ def learn(sample: list[tuple[str, int]]) -> Grammar:
                 grammar.stems[key[:-1]] = weight
             else:
                 grammar.words[key] = weight
+    # A stem that nearly only stands for one longer stem or word says nothing more.
+    grown = {**{f"{k}*": None for k in grammar.stems}, **dict.fromkeys(grammar.words)}
+    for stem in sorted(grammar.stems, key=len):
+        if any(key != f"{stem}*" and key.startswith(stem) and toxic_texts[key] >= 0.9 * toxic_texts[f"{stem}*"] for key in grown):
+            del grammar.stems[stem]
     _fit_curve(grammar, np.array([[min(10.0, grammar.weight(t)), y] for t, y in sample]))
     return grammar
 
