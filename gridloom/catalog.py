@@ -518,14 +518,14 @@ _Y = [f"0.01e0 * (p_retailprice - {k})" for k in (900, 950, 1100)]
 @query(
     f"WITH t AS (SELECT p_partkey, {_Y[0]} * {_Y[0]} AS y1, {_Y[1]} AS y2, {_Y[2]} * {_Y[2]} + 3 AS y3 FROM part), "
     "q AS (SELECT p_partkey, y1 / 3e0 - y2 / 2e0 + y3 / 6e0 AS a, y2 * 2.5e0 - y1 * 2e0 - y3 / 2e0 AS b FROM t) "
-    "SELECT p_partkey, round(a, 6) + 0e0 AS a, round(b, 6) + 0e0 AS b, round(-b / (2e0 * a), 6) + 0e0 AS top FROM q"
+    "SELECT p_partkey, round(a + 1.3e-8, 6) + 0e0 AS a, round(b + 1.3e-8, 6) + 0e0 AS b, round(-b / (2e0 * a) + 1.3e-8, 6) + 0e0 AS top FROM q"
 )
 def quadratic_vertex(spark, sf_dir):
     p = F.col("p_retailprice")
     y = [F.lit(0.01) * (p - k) for k in (900, 950, 1100)]
     a, b, _ = G.parabola(F.lit(1.0), y[0] * y[0], F.lit(2.0), y[1], F.lit(4.0), y[2] * y[2] + 3)
     # Points 1, 2, 4: weights 1/3, -1/2, 1/6.
-    return table(spark, sf_dir, "part").select("p_partkey", r6(a).alias("a"), r6(b).alias("b"), r6(G.vertex(a, b)).alias("top"))
+    return table(spark, sf_dir, "part").select("p_partkey", *(r6(c + NUDGE).alias(n) for c, n in ((a, "a"), (b, "b"), (G.vertex(a, b), "top"))))
 
 
 # Landmarks
