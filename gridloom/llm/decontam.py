@@ -27,7 +27,8 @@ from .common import BATCH_ROWS
 
 #: Bytes of benchmark text for one automaton.
 MAX_PATTERN_BYTES = 32 << 20
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of a text that has not been lower-cased.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: On UTF-8 bytes: A-Z to a-z; other ASCII that is no digit or letter to a space; bytes from 0x80 on stay.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 

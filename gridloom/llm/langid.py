@@ -23,11 +23,11 @@ from .common import crc_mod, hashed_share, map_text
 #: Bound of the fitted sample: rows of each language (about), and characters of one text.
 SAMPLE_ROWS, SAMPLE_CHARS = 60, 100_000
 #: Words of each language in its automaton, most frequent first.
-MAX_WORDS = 12_000
+MAX_WORDS = 5_000
 SHARP = 30.0
 LETTERS = re.compile(r"[^\W\d_]+")
 BORDER = "\n"
-MEMO = 300_000
+MEMO = 150_000
 
 
 class SuffixAutomaton:

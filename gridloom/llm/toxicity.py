@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -71,28 +71,34 @@ class Grammar:
             w = self.words.get(word, 0.0)
             for k in reversed(PREFIXES):
                 w = w or (self.stems.get(word[:k], 0.0) if len(word) > k else 0.0)
-            if len(self.memo) > 300_000:
+            if len(self.memo) > 150_000:
                 self.memo.clear()
             self.memo[word] = w
         return w
 
     def clause(self, words: list[str]) -> float:
-        """Clause transducer: states are (target, words left under negation, words left in a report, intent)."""
-        total, target, negated, reported, intent = 0.0, False, 0, 0, False
+        """Clause transducer: states are (target, words left under negation, words left in a report, intent, open threat).
+
+        A threat needs an intent before it and a target on either side; one without a target stays open until one comes.
+        """
+        total, target, negated, reported, intent, threat = 0.0, False, 0, 0, False, 0.0
         for w in words:
             weight = self.insult(w)
+            scale = (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
             if w in TARGETS:
-                target = True
+                target, total, threat = True, total + threat, 0.0
             elif w in INTENTS:
                 intent = True
+            elif w in THREATS and intent:
+                if target:
+                    weight = max(weight, THREAT_WEIGHT)
+                else:
+                    threat = max(threat, THREAT_WEIGHT * scale)
             elif not weight and w in NEGATIONS:
                 negated = REACH + 1
             elif not weight and w in REPORTS:
                 reported = REACH + 1
-            elif w in THREATS and intent and target:
-                weight = max(weight, THREAT_WEIGHT)
-            if weight:
-                total += weight * (TARGETED if target else 1.0) * (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
+            total += weight * (TARGETED if target else 1.0) * scale
             negated, reported = max(0, negated - 1), max(0, reported - 1)
         return total
 
@@ -148,7 +154,7 @@ def learn(sample: list[tuple[str, int]]) -> Grammar:
     # A stem that nearly only stands for one longer stem or word says nothing more.
     grown = {**{f"{k}*": None for k in grammar.stems}, **dict.fromkeys(grammar.words)}
     for stem in sorted(grammar.stems, key=len):
-        if any(key != f"{stem}*" and key.startswith(stem) and toxic_texts[key] >= 0.9 * toxic_texts[f"{stem}*"] for key in grown):
+        if any(key != f"{stem}*" and key.startswith(stem) and len(contexts[key]) >= 0.9 * len(contexts[f"{stem}*"]) for key in grown):
             del grammar.stems[stem]
     _fit_curve(grammar, np.array([[min(10.0, grammar.weight(t)), y] for t, y in sample]))
     return grammar
@@ -175,7 +181,7 @@ def toxicity(df: DataFrame, grammar: Grammar, text: str = "text", keep: tuple[st
     shared = df.sparkSession.sparkContext.broadcast(grammar)
 
     def make():
-        own = shared.value
+        own = replace(shared.value, memo={})  # a memo of the task's own, gone with it
 
         def apply(texts):
             scores = [own.score(t) for t in texts]
