@@ -94,7 +94,8 @@ def power_iteration(matrix: DataFrame, steps: int, by: tuple[str, ...] = ()) ->
     for _ in range(steps):
         y = matvec(matrix, x, by)
         top = y.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_n"))
-        x = y.join(top, keys).select(*keys, "r", (F.col("v") / F.col("_n")).alias("v"))
+        # Each step reads the one before twice: without a checkpoint the plan would double with every step.
+        x = checkpoint(y.join(top, keys).select(*keys, "r", (F.col("v") / F.col("_n")).alias("v")))
     y = matvec(matrix, x, by).withColumnRenamed("v", "_y")
     return x.join(y, [*keys, "r"]).groupBy(*keys).agg((F.sum(F.col("v") * F.col("_y")) / F.sum(F.col("v") * F.col("v"))).alias("eigenvalue"))
 

@@ -65,7 +65,7 @@ def write_png(image: DataFrame, shape: Shape, path: str, group: str) -> None:
         values[plane["y"], plane["x"]] = plane["v"]
         return pd.DataFrame({"png": [png.encode(values)]})
 
-    data = image.filter("z = 0").groupBy(F.lit(0)).applyInPandas(one, "png binary").first()
+    data = image.filter("z = 0").groupBy("z").applyInPandas(one, "png binary").first()
     with open(path, "wb") as f:
         f.write(bytes(data["png"]))
 

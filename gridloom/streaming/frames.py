@@ -11,8 +11,9 @@ def event_frames(events: DataFrame, width: str = "1 day", late: str = "1 hour",
 
     State is one row per open window and cell; windows close when the watermark passes them.
     """
-    cells = events.filter("user_id is not null").withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), F.pmod("user_id", F.lit(bins)).cast("int").alias("x"), F.hour("ts").alias("y"))
-    return cells.agg(F.sum("value").alias("v")).select(F.col("w.start").alias("frame_start"), "x", "y", "v")
+    # Watermarks take timestamps with a zone only; the frame's start goes back to local time.
+    cells = events.filter("user_id is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), F.pmod("user_id", F.lit(bins)).cast("int").alias("x"), F.hour("ts").alias("y"))
+    return cells.agg(F.sum("value").alias("v")).select(F.col("w.start").cast("timestamp_ntz").alias("frame_start"), "x", "y", "v")
 
 
 def write_frames(stream: DataFrame, name: str, checkpoint: str | None = None):
