@@ -432,10 +432,10 @@ def delta_stats(spark, sf_dir):
 NODES = nodes_of()
 
 
-@query(f"WITH {normal_sql(R3)} SELECT dof, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(v, 6) + 0e0 AS v FROM mat")
+@query(f"WITH {normal_sql(R3)} SELECT dof, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(v + {NUDGE}, 6) + 0e0 AS v FROM mat")
 def tmat2(spark, sf_dir):
     matrix, _ = N.normal_equations(I.registration_gradients(scaled(spark, sf_dir, R3), R3), R3, SPACING, compat=True)
-    return matrix.select("dof", "r", "c", r6("v").alias("v"))
+    return matrix.select("dof", "r", "c", r6(F.col("v") + NUDGE).alias("v"))
 
 
 @query(f"WITH {normal_sql(R3)} SELECT dof, CAST(r AS INT) AS r, round(sum(u) + {NUDGE}, 6) + 0e0 AS v FROM mat GROUP BY 1, 2")
@@ -448,9 +448,9 @@ def _matrix(spark, sf_dir) -> DataFrame:
     return N.normal_equations(I.registration_gradients(scaled(spark, sf_dir), R2), R2, SPACING)[0]
 
 
-@query(f"WITH {normal_sql()}, f AS (SELECT avg(v) FILTER (WHERE dof > 0) / avg(v) FILTER (WHERE dof = 0) AS k FROM mat WHERE r = c) SELECT dof, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(CASE WHEN dof = 0 THEN v * k ELSE v END, 6) + 0e0 AS v FROM mat, f")
+@query(f"WITH {normal_sql()}, f AS (SELECT avg(v) FILTER (WHERE dof > 0) / avg(v) FILTER (WHERE dof = 0) AS k FROM mat WHERE r = c) SELECT dof, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(CASE WHEN dof = 0 THEN v * k ELSE v END + {NUDGE}, 6) + 0e0 AS v FROM mat, f")
 def precondition(spark, sf_dir):
-    return N.precondition(_matrix(spark, sf_dir)).select("dof", "r", "c", r6("v").alias("v"))
+    return N.precondition(_matrix(spark, sf_dir)).select("dof", "r", "c", r6(F.col("v") + NUDGE).alias("v"))
 
 
 @query(f"WITH {normal_sql()} SELECT round(sum(v), 6) AS trace FROM mat WHERE r = c")
@@ -487,15 +487,15 @@ def lapl_premult(spark, sf_dir):
     return N.diagonal_sum(_matrix(spark, sf_dir)).crossJoin(F.broadcast(smoother)).select(r6(F.col("trace") / F.col("t")).alias("chi"))
 
 
-@query(f"WITH {normal_sql()}, {lap_sql()} SELECT dof, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(sum(v), 6) + 0e0 AS v FROM (SELECT dof, r, c, v FROM mat UNION ALL SELECT d.range, r, c, 0.25e0 * v FROM lap2, range(3) d) GROUP BY 1, 2, 3")
+@query(f"WITH {normal_sql()}, {lap_sql()} SELECT dof, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(sum(v) + {NUDGE}, 6) + 0e0 AS v FROM (SELECT dof, r, c, v FROM mat UNION ALL SELECT d.range, r, c, 0.25e0 * v FROM lap2, range(3) d) GROUP BY 1, 2, 3")
 def sparse_axpy(spark, sf_dir):
     lap = N.laplacian_squared(spark, NODES).select(F.explode(F.array(*map(F.lit, range(3)))).alias("dof"), "r", "c", "v")
-    return N.add_scaled(_matrix(spark, sf_dir), lap, 0.25).select("dof", "r", "c", r6("v").alias("v"))
+    return N.add_scaled(_matrix(spark, sf_dir), lap, 0.25).select("dof", "r", "c", r6(F.col("v") + NUDGE).alias("v"))
 
 
-@query(f"WITH {normal_sql()}, {formula_sql()} SELECT mat.dof, CAST(r AS INT) AS r, round(sum(v * value), 6) + 0e0 AS v FROM mat JOIN map ON map.dof = mat.dof AND map.node = mat.c GROUP BY 1, 2")
+@query(f"WITH {normal_sql()}, {formula_sql()} SELECT mat.dof, CAST(r AS INT) AS r, round(sum(v * value) + {NUDGE}, 6) + 0e0 AS v FROM mat JOIN map ON map.dof = mat.dof AND map.node = mat.c GROUP BY 1, 2")
 def matvec(spark, sf_dir):
-    return N.matvec(_matrix(spark, sf_dir), formula_map(spark).select("dof", F.col("node").alias("r"), F.col("value").alias("v"))).select("dof", "r", r6("v").alias("v"))
+    return N.matvec(_matrix(spark, sf_dir), formula_map(spark).select("dof", F.col("node").alias("r"), F.col("value").alias("v"))).select("dof", "r", r6(F.col("v") + NUDGE).alias("v"))
 
 
 def power_sql(steps: int) -> str:
