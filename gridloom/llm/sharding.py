@@ -107,7 +107,7 @@ def shard(df: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_i
         F.pmod(hashed, F.lit(UNITS)).cast("int").alias("unit"),
         hashed.alias("hash"),
     )
-    # Units are salted by row before the final sum only through Spark's partial sums: one row a unit and task.
+    # Partial sums leave at most one row a unit and task before the shuffle, however large a group is.
     sums = rows.groupBy("unit").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     alone, begin, first = plan(sorted((r.unit, r.bytes) for r in sums), shards)
     cells = cells_for(sum(r.n for r in sums))

@@ -496,7 +496,7 @@ def test_groups_are_seen_by_brute_force_on_a_table(spark):
     assert found == {i: (f"{f:016x}", group[i]) for i, f in fps}
 
 
-def test_defaultdict_of_groups_is_whole(spark):
+def test_components_are_named_by_their_least_member(spark):
     groups = defaultdict(set)
     for r in queries.op7_simhash(spark, "/root/testdata/sf0.001").collect():
         groups[r.component_id].add(r.doc_id)
