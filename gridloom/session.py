@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,20 @@ SETTINGS = {
 
 def session(name: str = "gridloom", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()})
-    return (builder.master(master) if master else builder).getOrCreate()
+    return share_package((builder.master(master) if master else builder).getOrCreate())
+
+
+def share_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from its place on the driver, for local mode and shared folders.
+
+    A cluster without them gets the package by ``--py-files`` or installed; an entry that is not there does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
