@@ -19,16 +19,30 @@ class Settings:
     moved: str = ""
     nodespacing: int = 0
     mask: str = ""
-    registered: str = "registered.parquet"
-    map: str = "map"
+    registered: str = "registered.xdmf"
+    map: str = "map.xdmf"
+    registered_h5_path: str = "/registered"
+    map_h5_path: str = "/map"
     with_lambda: str = "auto"
     lambda_mult: float = 1.0
     with_memory: bool = True
-    max_iterations: int = 50
+    max_iterations: int = 100
     save_intermediate_frames: bool = False
     intermediate_template: str = "%name%-intermediate-%s%-%i%%ext%"
+    intermediate_map_template: str = "%name%-intermediate-map-%s%-%i%%ext%"
     intermediate_directory: str = "intermediates"
     verbose: bool = False
+    memory_report: bool = True
+
+    @property
+    def factor(self) -> float | None:
+        """The smoothing factor, or None where it is to be searched for."""
+        if self.with_lambda.lower() == "auto":
+            return None
+        try:
+            return float(self.with_lambda)
+        except ValueError as e:
+            raise ConfigError(f"lambda can't be {self.with_lambda!r}") from e
 
 
 #: Keys whose names are words of the language here.

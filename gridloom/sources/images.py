@@ -6,12 +6,14 @@ import os
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.grid import AXES
 from ..operators.image import normalise, same_shape
-from . import dicom, png
+from . import dicom, hdf5, png, tiff
 from .errors import LoaderError
 from .volume import SCHEMA, read_volume
 
@@ -67,6 +69,28 @@ def load_png(spark: SparkSession, path: str) -> DataFrame:
     return pixels_of(spark, path, png.decode)
 
 
+@register_loader("tiff")
+def load_tiff(spark: SparkSession, path: str) -> DataFrame:
+    if _head(path, 4) not in tiff.HEADS:
+        raise LoaderError(f"{path} is no TIFF file")
+    return pixels_of(spark, path, tiff.decode)
+
+
+def hdf5_place(spec: str) -> tuple[str, str]:
+    """File and path of a dataset; the values of ``.xdmf`` are in the file beside it."""
+    path, _, group = spec.partition(":")
+    return (f"{path}.h5" if path.endswith(".xdmf") else path), group
+
+
+@register_loader("hdf5")
+def load_hdf5(spark: SparkSession, path: str) -> DataFrame:
+    """``file:/dataset`` of two or three axes, slowest first; without a dataset, /registered."""
+    file, group = hdf5_place(path)
+    if _head(file, 8) != hdf5.SIGNATURE:
+        raise LoaderError(f"{file} is no HDF5 file")
+    return pixels_of(spark, file, lambda data: hdf5.File(data).read(group or "/registered"))
+
+
 @register_loader("raster")
 def load_raster(spark: SparkSession, path: str) -> DataFrame:
     """What Spark's own image source decodes with 8 bits (JPEG, BMP, GIF): red, the last byte of blue, green, red."""
@@ -106,12 +130,12 @@ def load_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def find_loader(spark: SparkSession, path: str) -> DataFrame:
     """The first loader by name that takes the file."""
-    if not os.path.exists(path):
+    if not os.path.exists(path) and not os.path.exists(hdf5_place(path)[0]):
         raise FileNotFoundError(path)
     for name in sorted(LOADERS):
         try:
             return LOADERS[name](spark, path)
-        except (LoaderError, IsADirectoryError):
+        except (LoaderError, IsADirectoryError, FileNotFoundError):
             continue
     raise LoaderError(f"no loader takes {path}")
 
@@ -125,8 +149,22 @@ def load_image(spark: SparkSession, path: str, like: DataFrame | None = None) ->
 
 
 def load_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(values, axes) as written by ``sinks.write_map``."""
-    return spark.read.parquet(f"{path}/values"), spark.read.parquet(f"{path}/axes")
+    """(values, axes) as written by ``sinks.write_map``; from HDF5 the displacement alone, without intensity."""
+    file, group = hdf5_place(path)
+    if not file.endswith(".h5"):
+        return spark.read.parquet(f"{path}/values"), spark.read.parquet(f"{path}/axes")
+    with open(file, "rb") as f:
+        found = hdf5.File(f.read())
+    group = "/" + (group or "/map").strip("/")
+    there = [(k, a) for k, a in enumerate(AXES, 1) if f"{group}/{a}" in found.names()]
+    if not there:
+        raise LoaderError(f"{file} has no map {group}")
+    parts, axes = [], []
+    for k, a in there:
+        flat = found.read(f"{group}/{a}").ravel()
+        parts.append(pd.DataFrame({"node": np.arange(len(flat), dtype=np.int32), "dof": np.int32(k), "value": flat, "component": a}))
+        axes += [(k - 1, i, float(x)) for i, x in enumerate(found.read(f"{group}/nodes_{a}"))]
+    return spark.createDataFrame(pd.concat(parts), "node int, dof int, value double, component string"), spark.createDataFrame(axes, "dim int, idx int, loc double")
 
 
 def node_places(axes: DataFrame) -> DataFrame:

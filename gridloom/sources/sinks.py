@@ -1,4 +1,4 @@
-"""Writers: Parquet images and maps, PNG rasters, XDMF metadata, frames of a registration, reports."""
+"""Writers: Parquet, HDF5 and XDMF images and maps, PNG, TIFF and JPEG rasters, frames of a registration, reports."""
 
 from __future__ import annotations
 
@@ -8,16 +8,15 @@ import xml.etree.ElementTree as ET
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import Shape
 from ..operators.mapgrid import map_axis, map_shape, node_locations
-from . import png
+from . import hdf5, png, tiff
 from .errors import WriterError
 
-#: Pixels that one raster may have, since a raster is made in one task and written by the driver.
+#: Pixels that one raster may have, and values that one file of the driver may have.
 MAX_RASTER = 1 << 26
 Writer = Callable[[DataFrame, Shape, str, str], None]
 WRITERS: dict[str, Writer] = {}
@@ -54,20 +53,76 @@ def write_parquet(image: DataFrame, shape: Shape, path: str, group: str) -> None
     image.withColumn("dataset", F.lit(group.strip("/"))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(path)
 
 
+def plane(image: DataFrame, shape: Shape) -> np.ndarray:
+    """The first plane as values[y, x], on the driver."""
+    return dense(image.filter("z = 0"), ["y", "x"], "v", (shape.ny, shape.nx))
+
+
 @register_writer(".png")
 def write_png(image: DataFrame, shape: Shape, path: str, group: str) -> None:
     """The first plane, 16 bits."""
-    if shape.nx * shape.ny > MAX_RASTER:
-        raise WriterError(f"{shape.nx} x {shape.ny} pixels are too many for one raster")
+    _put(path, png.encode(plane(image, shape)))
+
+
+@register_writer(".tiff", ".tif")
+def write_tiff(image: DataFrame, shape: Shape, path: str, group: str) -> None:
+    """The first plane, 16 bits."""
+    _put(path, tiff.encode(plane(image, shape)))
+
 
-    def one(plane: pd.DataFrame) -> pd.DataFrame:
-        values = np.zeros((shape.ny, shape.nx))
-        values[plane["y"], plane["x"]] = plane["v"]
-        return pd.DataFrame({"png": [png.encode(values)]})
+@register_writer(".jpg", ".jpeg")
+def write_jpeg(image: DataFrame, shape: Shape, path: str, group: str) -> None:
+    """The first plane, 8 bits, by the encoder of the driver's Java."""
+    java = image.sparkSession.sparkContext._jvm
+    values = np.floor(np.clip(plane(image, shape), 0, 1) * 255 + 0.5).astype(np.uint8)
+    made = java.java.awt.image.BufferedImage(shape.nx, shape.ny, java.java.awt.image.BufferedImage.TYPE_BYTE_GRAY)
+    made.getRaster().setDataElements(0, 0, shape.nx, shape.ny, bytearray(values.tobytes()))
+    out = java.java.io.ByteArrayOutputStream()
+    if not java.javax.imageio.ImageIO.write(made, "jpg", out):
+        raise WriterError("this Java writes no JPEG")
+    _put(path, bytes(out.toByteArray()))
 
-    data = image.filter("z = 0").groupBy("z").applyInPandas(one, "png binary").first()
+
+def _put(path: str, data: bytes) -> None:
     with open(path, "wb") as f:
-        f.write(bytes(data["png"]))
+        f.write(data)
+
+
+def dense(df: DataFrame, order: list[str], value: str, extents: tuple[int, ...]) -> np.ndarray:
+    """One image or one component of a map on the driver, slowest axis first; refused above ``MAX_RASTER`` values."""
+    n = int(np.prod(extents, dtype=np.int64))
+    if n > MAX_RASTER:
+        raise WriterError(f"{n} values are too many for one file")
+    values = df.orderBy(*order).select(value).toPandas()[value].to_numpy(np.float64)
+    if len(values) != n:
+        raise WriterError(f"{len(values)} values do not fill {extents}")
+    return values.reshape(extents)
+
+
+#: Files that this process has begun: the first dataset makes a file anew, later ones are added to it.
+BEGUN: set[str] = set()
+
+
+def add_datasets(path: str, datasets: dict[str, np.ndarray]) -> None:
+    whole = os.path.abspath(path)
+    hdf5.add(path, datasets, fresh=whole not in BEGUN or not os.path.exists(path))
+    BEGUN.add(whole)
+
+
+@register_writer(".h5")
+def write_hdf5(image: DataFrame, shape: Shape, path: str, group: str) -> None:
+    """One dataset of doubles, slowest axis first."""
+    add_datasets(path, {group: dense(image, ["z", "y", "x"], "v", tuple(reversed(shape.extents)))})
+
+
+def map_datasets(values: DataFrame, shape: Shape, spacing: int, group: str, cover: bool) -> dict[str, np.ndarray]:
+    """Components x, y (, z) and places of nodes below one group."""
+    nodes = map_shape(shape, spacing, cover)
+    out = {}
+    for k, a in enumerate(("x", "y", "z")[: shape.ndim], 1):
+        out[f"{group}/{a}"] = dense(values.filter(F.col("dof") == k), ["node"], "value", tuple(reversed(nodes.extents)))
+        out[f"{group}/nodes_{a}"] = np.array(node_locations(shape.extents[k - 1], spacing, cover))
+    return out
 
 
 def xdmf(shape: Shape, data: str, name: str) -> bytes:
@@ -80,7 +135,7 @@ def xdmf(shape: Shape, data: str, name: str) -> bytes:
     ET.SubElement(geometry, "DataItem", Dimensions="3", Format="XML").text = "0 0 0"
     ET.SubElement(geometry, "DataItem", Dimensions="3", Format="XML").text = "1 1 1"
     attribute = ET.SubElement(grid, "Attribute", Name=name, AttributeType="Scalar", Center="Cell")
-    ET.SubElement(attribute, "DataItem", Dimensions=reversed_(shape.extents), NumberType="Float", Precision="8", Format="Binary").text = data
+    ET.SubElement(attribute, "DataItem", Dimensions=reversed_(shape.extents), NumberType="Float", Precision="8", Format="HDF").text = data
     return ET.tostring(root, xml_declaration=True, encoding="utf-8")
 
 
@@ -99,38 +154,30 @@ def xdmf_map(shape: Shape, spacing: int, data: dict[str, str], name: str = "map"
     axes = [a for a in ("x", "y", "z") if a in data]
     join = ET.SubElement(attribute, "DataItem", ItemType="Function", Function=f"join({', '.join(f'${i}' for i in range(len(axes)))})", Dimensions=f"{size} {len(axes)}")
     for a in axes:
-        ET.SubElement(join, "DataItem", Dimensions=size, NumberType="Float", Precision="8", Format="Binary").text = data[a]
+        ET.SubElement(join, "DataItem", Dimensions=size, NumberType="Float", Precision="8", Format="HDF").text = data[a]
     return ET.tostring(root, xml_declaration=True, encoding="utf-8")
 
 
-def _flat(df: DataFrame, order: list[str], value: str, path: str, most: int) -> None:
-    if most > MAX_RASTER:
-        raise WriterError(f"{most} values are too many for one file")
-    df.orderBy(*order).select(value).toPandas()[value].to_numpy(np.float64).tofile(path)
-
-
 @register_writer(".xdmf")
 def write_xdmf(image: DataFrame, shape: Shape, path: str, group: str) -> None:
-    """Metadata beside a flat file of doubles, x fastest."""
-    _flat(image, ["z", "y", "x"], "v", f"{path}.bin", shape.size)
-    with open(path, "wb") as f:
-        f.write(xdmf(shape, os.path.basename(f"{path}.bin"), group.strip("/")))
+    """Metadata beside an HDF5 file of the values."""
+    write_hdf5(image, shape, f"{path}.h5", group)
+    _put(path, xdmf(shape, f"{os.path.basename(path)}.h5:/{group.strip('/')}", group.strip("/")))
 
 
-def write_map(values: DataFrame, shape: Shape, spacing: int, path: str, cover: bool = False) -> None:
-    """Parquet of values (component x, y, z beside dof) and of axes; ``.xdmf`` also gets metadata and flat files."""
-    if os.path.splitext(path)[1].lower() in (".png", ".jpg", ".jpeg", ".tiff"):
+def write_map(values: DataFrame, shape: Shape, spacing: int, spec: str, cover: bool = False, group: str = "/map") -> None:
+    """``.h5`` and ``.xdmf``: components and places of nodes below the group; else Parquet of values (component beside dof) and of axes."""
+    path, own = split_spec(spec)
+    extension, group = os.path.splitext(path)[1].lower(), own or group
+    if extension in (".png", ".jpg", ".jpeg", ".tiff", ".tif"):
         raise WriterError("maps can't be written as rasters")
-    names = F.element_at(F.create_map(*(x for k, a in enumerate("ixyz") for x in (F.lit(k), F.lit("intensity" if a == "i" else a)))), F.col("dof"))
-    if path.endswith(".xdmf"):
-        nodes = map_shape(shape, spacing, cover)
-        files = {}
-        for k, a in enumerate(("x", "y", "z")[: shape.ndim], 1):
-            files[a] = os.path.basename(f"{path}.{a}.bin")
-            _flat(values.filter(F.col("dof") == k), ["node"], "value", f"{path}.{a}.bin", nodes.size)
-        with open(path, "wb") as f:
-            f.write(xdmf_map(shape, spacing, files, cover=cover))
+    if extension in (".h5", ".xdmf"):
+        datasets = map_datasets(values, shape, spacing, group, cover)
+        add_datasets(path if extension == ".h5" else f"{path}.h5", datasets)
+        if extension == ".xdmf":
+            _put(path, xdmf_map(shape, spacing, {a: f"{os.path.basename(path)}.h5:/{group.strip('/')}/{a}" for a in "xyz"[: shape.ndim]}, group.strip("/"), cover))
         return
+    names = F.element_at(F.create_map(*(x for k, a in enumerate("ixyz") for x in (F.lit(k), F.lit("intensity" if a == "i" else a)))), F.col("dof"))
     values.withColumn("component", names).write.mode("overwrite").parquet(f"{path}/values")
     map_axis(values.sparkSession, shape, spacing, cover).write.mode("overwrite").parquet(f"{path}/axes")
 

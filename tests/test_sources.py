@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.grid import GridError, Shape
 from gridloom.operators import mapgrid as M
-from gridloom.sources import config, dicom, images, png, sinks, volume
+from gridloom.sources import config, dicom, hdf5, images, png, sinks, volume
 from gridloom.sources.errors import ConfigError, LoaderError, WriterError
 from gridloom.streaming import frames
 
@@ -87,7 +87,7 @@ def test_sinks(spark, tmp_path):
     assert {r.dataset for r in spark.read.parquet(f"{tmp_path}/a.parquet").select("dataset").distinct().collect()} == {"one", "two"}
     sinks.write_image(df, shape, f"{tmp_path}/a.xdmf")
     root = ET.parse(f"{tmp_path}/a.xdmf").getroot()
-    assert root.find(".//Topology").get("Dimensions") == "2 5 7" and np.fromfile(f"{tmp_path}/a.xdmf.bin")[1] == 1 / 8
+    assert root.find(".//Topology").get("Dimensions") == "2 5 7" and hdf5.File((tmp_path / "a.xdmf.h5").read_bytes()).read("/registered").ravel()[1] == 1 / 8
     with pytest.raises(WriterError):
         sinks.write_image(df, shape, f"{tmp_path}/a.doc")
     assert sinks.split_spec("a:b:c") == ("a", "b:c") and sinks.split_spec("a") == ("a", "")
@@ -102,7 +102,7 @@ def test_map_components(spark, tmp_path):
     assert {(r.component, r.value) for r in found.select("component", "value").distinct().collect()} == {("intensity", 0.0), ("x", 1.0), ("y", 2.0), ("z", 3.0)}
     assert images.node_places(axes).count() == 13
     sinks.write_map(values, shape, 30, f"{tmp_path}/map.xdmf")
-    assert set(np.fromfile(f"{tmp_path}/map.xdmf.y.bin")) == {2.0} and "join($0, $1, $2)" in (tmp_path / "map.xdmf").read_text()
+    assert set(hdf5.File((tmp_path / "map.xdmf.h5").read_bytes()).read("/map/y").ravel()) == {2.0} and "join($0, $1, $2)" in (tmp_path / "map.xdmf").read_text()
     with pytest.raises(WriterError):
         sinks.write_map(values, shape, 30, f"{tmp_path}/map.png")
 
