@@ -10,6 +10,7 @@ sign is the opposite one.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -96,8 +97,11 @@ def step(fixed: DataFrame, registered: DataFrame, values: DataFrame, shape: Shap
     return solve(whole, right, nodes.size, PAIR), lam
 
 
-def register(fixed: DataFrame, moved: DataFrame, shape: Shape, spacing: int, options: Options = Options(), mask: DataFrame | None = None, start: tuple[DataFrame, int] | None = None) -> Result:
-    """Register images (pair_id, x, y, z, v); mask (x, y, z, v), alike for all pairs or by pair_id; start: (map, its spacing)."""
+def register(fixed: DataFrame, moved: DataFrame, shape: Shape, spacing: int, options: Options = Options(), mask: DataFrame | None = None, start: tuple[DataFrame, int] | None = None, watch: Callable[[int, int, Result], None] | None = None) -> Result:
+    """Register images (pair_id, x, y, z, v); mask (x, y, z, v), alike for all pairs or by pair_id; start: (map, its spacing).
+
+    ``watch`` is called with level, iteration and the state so far: as iteration 0 before each level, and after each round.
+    """
     spark = fixed.sparkSession
     cover = not options.compat
     fixed = checkpoint(normalise(fixed.select(*PAIR, *AXES, "v"), "v", by=PAIR))
@@ -118,6 +122,9 @@ def register(fixed: DataFrame, moved: DataFrame, shape: Shape, spacing: int, opt
             values, at = checkpoint(refine(values, shape, at, s, PAIR, cover)), s
         active = {r["pair_id"] for r in pairs.collect()}
         lam: dict[str, float] | None = None
+        result.registered, result.values, result.spacing = registered, values, at
+        if watch is not None:
+            watch(level, 0, result)
         for iteration in range(1, options.max_iterations + 1):
             on = F.col("pair_id").isin(sorted(active))
             delta, lam = step(fixed.filter(on), registered.filter(on), values.filter(on), shape, s, lam, options, mask)
@@ -133,9 +140,11 @@ def register(fixed: DataFrame, moved: DataFrame, shape: Shape, spacing: int, opt
                 result.metrics.append({"pair_id": pair, "level": level, "iteration": iteration, "spacing": s, "mi": r["mi"], "avg_delta": own["avg_delta"], "max_delta": own["max_delta"], "lam": lam[pair]})
                 if own["avg_delta"] < options.least_delta or (len(seen) >= options.trend_over and slope(seen[-options.trend_over :]) < 0):
                     active.discard(pair)
+            result.registered, result.values = registered, values
+            if watch is not None:
+                watch(level, iteration, result)
             if not active:
                 break
-    result.registered, result.values, result.spacing = registered, values, at
     return result
 
 
