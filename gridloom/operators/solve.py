@@ -6,7 +6,7 @@ One block is one (by, dof): its size is the number of map nodes, not of pixels.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,10 +100,11 @@ def power_iteration(matrix: DataFrame, steps: int, by: tuple[str, ...] = ()) ->
     return x.join(y, [*keys, "r"]).groupBy(*keys).agg((F.sum(F.col("v") * F.col("_y")) / F.sum(F.col("v") * F.col("v"))).alias("eigenvalue"))
 
 
-def condition_numbers(matrix: DataFrame, smoother: DataFrame, factors: list[float], nodes: int, by: tuple[str, ...] = ()) -> DataFrame:
+def condition_numbers(matrix: DataFrame, smoother: DataFrame, factors: list[float] | dict[tuple, list[float]], nodes: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, factor, condition) of matrix + factor * smoother over all blocks: largest over smallest eigenvalue, by Lanczos steps.
 
-    matrix (by, dof, r, c, v), smoother (r, c, v). One task handles one block.
+    matrix (by, dof, r, c, v), smoother (r, c, v); factors are alike for all of ``by``, or listed by its values. One task
+    handles one block.
     """
     # One copy of the smoother for each block; both are bounded by the map's nodes.
     lap = matrix.select(*by, "dof").distinct().crossJoin(F.broadcast(smoother) if nodes <= 20_000 else smoother).select(*by, "dof", "r", "c", F.lit(0.0).alias("v"), F.col("v").alias("s"))
@@ -112,7 +113,8 @@ def condition_numbers(matrix: DataFrame, smoother: DataFrame, factors: list[floa
 
     def one(block: pd.DataFrame) -> pd.DataFrame:
         r, c, v, s = (block[k].to_numpy() for k in ("r", "c", "v", "s"))
-        out = [(f, *extreme_eigenvalues(lambda x, w=v + f * s: np.bincount(r, w * x[c], nodes), nodes)) for f in factors]
+        own = factors[tuple(block[k].iloc[0] for k in by)] if isinstance(factors, dict) else factors
+        out = [(f, *extreme_eigenvalues(lambda x, w=v + f * s: np.bincount(r, w * x[c], nodes), nodes)) for f in own]
         frame = pd.DataFrame(out, columns=["factor", "low", "high"])
         return frame.assign(**{k: block[k].iloc[0] for k in by}, dof=int(block["dof"].iloc[0]))[[*by, "dof", "factor", "low", "high"]]
 
@@ -153,18 +155,19 @@ class SmoothingSearch:
     least: float = 1.0
 
 
-def search_smoothing(condition: Callable[[list[float]], list[float]], guess: float | None = None, search: SmoothingSearch = SmoothingSearch()) -> float:
+def smoothing_search(guess: float | None = None, search: SmoothingSearch = SmoothingSearch()) -> Generator[list[float], list[float], float]:
     """Factor of least condition number: three points are moved until the middle one is lowest, then the parabola's vertex.
 
-    While the values fall, the upper two points are doubled; while they rise, all are halved down to the least factor.
-    A parabola that opens downwards, or whose vertex is below the least factor, gives the least factor.
+    Gives three factors, takes their condition numbers, and so on; at last it returns the factor found. While the values
+    fall, the upper two points are doubled; while they rise, all are halved down to the least factor. A parabola that
+    opens downwards, or whose vertex is below the least factor, gives the least factor.
     """
     guess = search.start if guess is None else guess
     low = max(search.least, guess - search.width)
     middle = guess if guess > low else low + search.width / 2
     high = guess + search.width if guess + search.width > middle else middle + search.width
     for last in range(search.rounds):
-        at_low, at_middle, at_high = condition([low, middle, high])
+        at_low, at_middle, at_high = yield [low, middle, high]
         if last == search.rounds - 1 or at_low >= at_middle <= at_high:
             break
         if at_low >= at_middle:
@@ -177,3 +180,25 @@ def search_smoothing(condition: Callable[[list[float]], list[float]], guess: flo
             high = high / 2 if high / 2 > middle else middle + 1
     a, b, _ = np.polyfit([low, middle, high], [at_low, at_middle, at_high], 2)
     return search.least if a <= 0 else max(search.least, float(-b / (2 * a)))
+
+
+def search_smoothings(conditions: Callable[[dict], dict], guesses: dict, search: SmoothingSearch = SmoothingSearch()) -> dict:
+    """The searches of many keys side by side: ``conditions`` is called once a round, from {key: factors} to {key: condition numbers}.
+
+    So the number of calls is bounded by the rounds, not by the keys.
+    """
+    searches = {key: smoothing_search(guess, search) for key, guess in guesses.items()}
+    asked, found = {key: next(one) for key, one in searches.items()}, {}
+    while asked:
+        told, asked = conditions(asked), {}
+        for key, values in told.items():
+            try:
+                asked[key] = searches[key].send(values)
+            except StopIteration as end:
+                found[key] = end.value
+    return found
+
+
+def search_smoothing(condition: Callable[[list[float]], list[float]], guess: float | None = None, search: SmoothingSearch = SmoothingSearch()) -> float:
+    """The search of one key."""
+    return search_smoothings(lambda asked: {k: condition(fs) for k, fs in asked.items()}, {0: guess}, search)[0]

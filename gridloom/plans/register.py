@@ -13,15 +13,15 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, Shape
 from ..operators.image import apply_mask, normalise, pair_up, registration_gradients
-from ..operators.mapgrid import levels, map_shape, refine, update, warp, zero_map
+from ..operators.mapgrid import levels, map_shape, refine, small, update, warp, zero_map
 from ..operators.metrics import delta_stats, joint_histogram, mutual_information
 from ..operators.normal import diagonal_sum, laplacian_squared, matvec, normal_equations, precondition
-from ..operators.solve import condition_numbers, search_smoothing, solve
+from ..operators.solve import condition_numbers, search_smoothings, solve
 from ..session import checkpoint
 
 
@@ -66,8 +66,18 @@ def mi_of(pair: DataFrame) -> DataFrame:
     return mutual_information(joint_histogram(pair, PAIR), PAIR)
 
 
-def step(fixed: DataFrame, registered: DataFrame, values: DataFrame, shape: Shape, spacing: int, lam: dict[str, float] | None, options: Options, mask: DataFrame | None = None) -> tuple[DataFrame, dict[str, float]]:
-    """Changes of the maps (pair_id, node, dof, value) of one round, and the smoothing factor of each pair."""
+def smoothing_of(spark: SparkSession, shape: Shape, nodes: Shape, options: Options) -> tuple[DataFrame, float]:
+    """The squared Laplacian of a map's nodes, checkpointed, and its trace over all dofs."""
+    smoother = checkpoint(laplacian_squared(spark, nodes, options.compat))
+    return smoother, (smoother.filter("r = c").agg(F.sum("v")).first()[0] or 1.0) * (shape.ndim + 1)
+
+
+def step(fixed: DataFrame, registered: DataFrame, values: DataFrame, shape: Shape, spacing: int, lam: dict[str, float] | None, options: Options, mask: DataFrame | None = None, smoothing: tuple[DataFrame, float] | None = None, guesses: dict[str, float] | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """Changes of the maps (pair_id, node, dof, value) of one round, and the smoothing factor of each pair.
+
+    ``smoothing``: what ``smoothing_of`` gives, which is the same in all rounds of a level. Where ``lam`` is None and the
+    factors are to be searched for, ``guesses`` are where the searches begin; all pairs are searched for side by side.
+    """
     spark = fixed.sparkSession
     nodes = map_shape(shape, spacing, not options.compat)
     gradients = registration_gradients(pair_up(fixed, registered, PAIR), shape, PAIR, "zero" if options.compat else "edge")
@@ -75,20 +85,21 @@ def step(fixed: DataFrame, registered: DataFrame, values: DataFrame, shape: Shap
         gradients = apply_mask(gradients, mask, "d", *(f"g{k}" for k in range(shape.ndim + 1)), by=PAIR)
     matrix, right = normal_equations(checkpoint(gradients), shape, spacing, PAIR, options.compat, not options.compat)
     matrix, right = checkpoint(precondition(matrix, PAIR)), checkpoint(right)
-    smoother = checkpoint(laplacian_squared(spark, nodes, options.compat))
-    trace = (smoother.filter("r = c").agg(F.sum("v")).first()[0] or 1.0) * (shape.ndim + 1)
+    smoother, trace = smoothing or smoothing_of(spark, shape, nodes, options)
     chi = {r["pair_id"]: r["trace"] / trace for r in diagonal_sum(matrix, PAIR).collect()}
-    if lam is None:
-        lam = {}
-        for pair, c in chi.items():
-            if options.lam is not None:
-                lam[pair] = options.lam
-            else:
-                own = matrix.filter(F.col("pair_id") == pair).drop("pair_id")
-                scaled = smoother.select("r", "c", (F.col("v") * c).alias("v"))
-                lam[pair] = search_smoothing(lambda fs, a=own, s=scaled: [x.condition for x in sorted(condition_numbers(a, s, fs, nodes.size).collect(), key=lambda x: fs.index(x.factor))])
+    if lam is None and options.lam is not None:
+        lam = dict.fromkeys(chi, options.lam)
+    elif lam is None:
+
+        def conditions(asked: dict[str, list[float]]) -> dict[str, list[float]]:
+            own = {(p,): [f * chi[p] for f in fs] for p, fs in asked.items()}
+            rows = condition_numbers(matrix.filter(F.col("pair_id").isin(list(asked))), smoother, own, nodes.size, PAIR).collect()
+            told = {(r["pair_id"], r["factor"]): r["condition"] for r in rows}
+            return {p: [told[p, f] for f in own[p,]] for p in asked}
+
+        lam = search_smoothings(conditions, {p: (guesses or {}).get(p) for p in chi})
     weights = spark.createDataFrame([(p, float(lam[p] * options.lam_mult * chi[p])) for p in chi], "pair_id string, weight double")
-    smooth = matrix.select("pair_id", "dof").distinct().join(F.broadcast(weights), "pair_id").crossJoin(F.broadcast(smoother) if nodes.size <= 20_000 else smoother)
+    smooth = matrix.select("pair_id", "dof").distinct().join(small(weights, len(chi)), "pair_id").crossJoin(F.broadcast(smoother) if nodes.size <= 20_000 else smoother)
     smooth = smooth.select("pair_id", "dof", "r", "c", (F.col("v") * F.col("weight")).alias("v"))
     whole = matrix.unionByName(smooth).groupBy("pair_id", "dof", "r", "c").agg(F.sum("v").alias("v"))
     if options.with_memory and not options.compat:
@@ -109,7 +120,7 @@ def register(fixed: DataFrame, moved: DataFrame, shape: Shape, spacing: int, opt
     pairs = fixed.select(*PAIR).distinct()
     schedule = levels(shape, spacing)
     if start is None:
-        values, at = pairs.crossJoin(F.broadcast(zero_map(spark, shape, schedule[0], cover))), schedule[0]
+        values, at = pairs.crossJoin(small(zero_map(spark, shape, schedule[0], cover), map_shape(shape, schedule[0], cover).size * (shape.ndim + 1))), schedule[0]
     else:
         values, at = start
         schedule = [s for s in schedule if s <= at] or [spacing]
@@ -117,9 +128,11 @@ def register(fixed: DataFrame, moved: DataFrame, shape: Shape, spacing: int, opt
     registered = checkpoint(normalise(warp(moved, values, shape, at, PAIR, cover), "v", by=PAIR))
     result = Result(registered, values, at, shape)
     history: dict[str, list[float]] = {}
+    guesses: dict[str, float] = {}
     for level, s in enumerate(schedule):
         if s != at:
             values, at = checkpoint(refine(values, shape, at, s, PAIR, cover)), s
+        smoothing = smoothing_of(spark, shape, map_shape(shape, s, cover), options)
         active = {r["pair_id"] for r in pairs.collect()}
         lam: dict[str, float] | None = None
         result.registered, result.values, result.spacing = registered, values, at
@@ -127,7 +140,8 @@ def register(fixed: DataFrame, moved: DataFrame, shape: Shape, spacing: int, opt
             watch(level, 0, result)
         for iteration in range(1, options.max_iterations + 1):
             on = F.col("pair_id").isin(sorted(active))
-            delta, lam = step(fixed.filter(on), registered.filter(on), values.filter(on), shape, s, lam, options, mask)
+            delta, lam = step(fixed.filter(on), registered.filter(on), values.filter(on), shape, s, lam, options, mask, smoothing, guesses)
+            guesses |= lam
             delta = checkpoint(delta)
             values = checkpoint(update(values, delta, PAIR))
             fresh = normalise(warp(moved.filter(on), values.filter(on), shape, s, PAIR, cover), "v", by=PAIR)

@@ -1,6 +1,7 @@
 """Analytic cases of grids, stencils, maps, warps, matrices and metrics."""
 
 import math
+from itertools import pairwise
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridloom import catalog
 from gridloom.functions import grid as G
 from gridloom.functions.grid import AXES, GridError, Shape
 from gridloom.operators import image as I
@@ -240,3 +242,29 @@ def test_compat_and_mask_run(spark):
 
 def test_slope():
     assert R.slope([1, 2, 3, 4, 5]) == 1 and R.slope([1.0, 9, 1, 9, 0.5]) == pytest.approx((0.5 - 1) / 5)
+
+
+def test_smoothing_of_many_pairs_side_by_side(spark):
+    goals, calls = {"a": 14.0, "b": 60.0, "c": -5.0}, []
+
+    def conditions(asked):
+        calls.append(sorted(asked))
+        return {k: [(f - goals[k]) ** 2 for f in fs] for k, fs in asked.items()}
+
+    found = V.search_smoothings(conditions, dict.fromkeys(goals))
+    assert found == {k: V.search_smoothing(lambda fs, g=g: [(f - g) ** 2 for f in fs]) for k, g in goals.items()}
+    assert len(calls) <= 5 and calls[0] == ["a", "b", "c"] and all(set(b) <= set(a) for a, b in pairwise(calls))
+
+    shape = Shape(16, 16)
+    fixed, moved = catalog.blobs(spark, shape, {"p": (0.0, 2.0), "q": (1.0, 0.0)})
+    zero = M.zero_map(spark, shape, 8, True)
+    maps = lambda *ids: spark.createDataFrame([(i,) for i in ids], "pair_id string").crossJoin(zero)
+    both, lam = R.step(fixed, moved, maps("p", "q"), shape, 8, None, R.Options())
+    assert set(lam) == {"p", "q"} and min(lam.values()) >= 1
+    for one in ("p", "q"):
+        own = F.col("pair_id") == one
+        delta, alone = R.step(fixed.filter(own), moved.filter(own), maps(one), shape, 8, None, R.Options())
+        assert alone[one] == pytest.approx(lam[one], rel=1e-6)
+        side = lambda df: {(r.node, r.dof): r.value for r in df.collect()}
+        expected, got = side(both.filter(own)), side(delta)
+        assert expected.keys() == got.keys() and all(abs(expected[k] - got[k]) < 1e-6 for k in got)
