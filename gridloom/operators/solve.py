@@ -100,11 +100,12 @@ def power_iteration(matrix: DataFrame, steps: int, by: tuple[str, ...] = ()) ->
     return x.join(y, [*keys, "r"]).groupBy(*keys).agg((F.sum(F.col("v") * F.col("_y")) / F.sum(F.col("v") * F.col("v"))).alias("eigenvalue"))
 
 
-def condition_numbers(matrix: DataFrame, smoother: DataFrame, factors: list[float] | dict[tuple, list[float]], nodes: int, by: tuple[str, ...] = ()) -> DataFrame:
+def condition_numbers(matrix: DataFrame, smoother: DataFrame, factors: list[float] | dict[tuple, list[float]], nodes: int, by: tuple[str, ...] = (), compat: bool = False) -> DataFrame:
     """(by, factor, condition) of matrix + factor * smoother over all blocks: largest over smallest eigenvalue, by Lanczos steps.
 
     matrix (by, dof, r, c, v), smoother (r, c, v); factors are alike for all of ``by``, or listed by its values. One task
-    handles one block.
+    handles one block. ``compat`` gives the older program's number in place of the ratio: with t = |largest² - 1|, the
+    larger of t and 1 / t.
     """
     # One copy of the smoother for each block; both are bounded by the map's nodes.
     lap = matrix.select(*by, "dof").distinct().crossJoin(F.broadcast(smoother) if nodes <= 20_000 else smoother).select(*by, "dof", "r", "c", F.lit(0.0).alias("v"), F.col("v").alias("s"))
@@ -119,7 +120,11 @@ def condition_numbers(matrix: DataFrame, smoother: DataFrame, factors: list[floa
         return frame.assign(**{k: block[k].iloc[0] for k in by}, dof=int(block["dof"].iloc[0]))[[*by, "dof", "factor", "low", "high"]]
 
     ends = both.groupBy(*by, "dof").applyInPandas(one, schema)
-    return ends.groupBy(*by, "factor").agg((F.max("high") / F.greatest(F.min("low"), F.lit(1e-12))).alias("condition"))
+    ratio = F.max("high") / F.greatest(F.min("low"), F.lit(1e-12))
+    if compat:
+        t = F.greatest(F.abs(F.max("high") * F.max("high") - 1), F.lit(1e-12))
+        ratio = F.greatest(t, F.lit(1.0) / t)
+    return ends.groupBy(*by, "factor").agg(ratio.alias("condition"))
 
 
 def extreme_eigenvalues(multiply: Callable[[np.ndarray], np.ndarray], n: int, steps: int = 120) -> tuple[float, float]:

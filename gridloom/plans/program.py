@@ -42,13 +42,17 @@ def resolved(settings: Settings, folder: str = ".") -> Settings:
 
 
 def run(spark: SparkSession, settings: Settings, say: Callable[[str], None] = print, compat: bool = False, folder: str = ".") -> Result:
-    """Load, register and save; relative paths are those of a folder."""
+    """Load, register and save; relative paths are those of a folder.
+
+    With ``compat`` the settings that the older program takes but does not follow have no effect: lambda, lambda_mult,
+    with_memory, max_iterations (50 rounds a level) and mask.
+    """
     began, settings = time.time(), resolved(settings, folder)
     fixed = checkpoint(load_image(spark, settings.fixed))
     moved = checkpoint(load_image(spark, settings.moved, like=fixed))
     mask = checkpoint(find_loader(spark, settings.mask)) if settings.mask and not compat else None
     shape = shape_of(fixed)
-    options = Options(settings.factor, settings.lambda_mult, settings.with_memory, settings.max_iterations, compat)
+    options = Options(compat=True) if compat else Options(settings.factor, settings.lambda_mult, settings.with_memory, settings.max_iterations)
     stem, extension = os.path.splitext(os.path.basename(sinks.split_spec(settings.registered)[0]))
     map_extension = os.path.splitext(sinks.split_spec(settings.map)[0])[1]
     folder = sinks.frame_folder(settings.intermediate_directory, sinks.split_spec(settings.registered)[0]) if settings.save_intermediate_frames else ""

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ class Options:
 
     lam: smoothing factor, or None to search for it on the first round of each level. lam_mult multiplies it.
     with_memory: smooth the whole map, not only its change. max_iterations: rounds a level.
-    compat: border gradients, right side, Laplacian, map extent and memory as the older program has them.
+    compat: border gradients, right side, Laplacian, map extent, memory, probes of the smoothing factor and the trend (over
+    the similarity of the unmoved pair and of the registered one in turn) as the older program has them.
     """
 
     lam: float | None = None
@@ -92,8 +94,9 @@ def step(fixed: DataFrame, registered: DataFrame, values: DataFrame, shape: Shap
     elif lam is None:
 
         def conditions(asked: dict[str, list[float]]) -> dict[str, list[float]]:
-            own = {(p,): [f * chi[p] for f in fs] for p, fs in asked.items()}
-            rows = condition_numbers(matrix.filter(F.col("pair_id").isin(list(asked))), smoother, own, nodes.size, PAIR).collect()
+            # The older program adds each probe to what the one before left in the matrix.
+            own = {(p,): [f * chi[p] for f in (accumulate(fs) if options.compat else fs)] for p, fs in asked.items()}
+            rows = condition_numbers(matrix.filter(F.col("pair_id").isin(list(asked))), smoother, own, nodes.size, PAIR, options.compat).collect()
             told = {(r["pair_id"], r["factor"]): r["condition"] for r in rows}
             return {p: [told[p, f] for f in own[p,]] for p in asked}
 
@@ -129,6 +132,7 @@ def register(fixed: DataFrame, moved: DataFrame, shape: Shape, spacing: int, opt
     result = Result(registered, values, at, shape)
     history: dict[str, list[float]] = {}
     guesses: dict[str, float] = {}
+    first = {r["pair_id"]: r["mi"] for r in mi_of(pair_up(moved, fixed, PAIR)).collect()} if options.compat else {}
     for level, s in enumerate(schedule):
         if s != at:
             values, at = checkpoint(refine(values, shape, at, s, PAIR, cover)), s
@@ -150,7 +154,7 @@ def register(fixed: DataFrame, moved: DataFrame, shape: Shape, spacing: int, opt
             for r in mi_of(pair_up(registered.filter(on), fixed.filter(on), PAIR)).collect():
                 pair, own = r["pair_id"], change[r["pair_id"]]
                 seen = history.setdefault(pair, [])
-                seen.append(r["mi"])
+                seen.extend([first[pair], r["mi"]] if options.compat else [r["mi"]])
                 result.metrics.append({"pair_id": pair, "level": level, "iteration": iteration, "spacing": s, "mi": r["mi"], "avg_delta": own["avg_delta"], "max_delta": own["max_delta"], "lam": lam[pair]})
                 if own["avg_delta"] < options.least_delta or (len(seen) >= options.trend_over and slope(seen[-options.trend_over :]) < 0):
                     active.discard(pair)

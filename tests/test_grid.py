@@ -179,6 +179,10 @@ def test_eigenvalues(spark):
     ends = np.concatenate([np.linalg.eigvalsh(x) for x in a])
     assert {r.factor: round(r.condition, 6) for r in found} == {f: round((ends.max() + f) / (ends.min() + f), 6) for f in (0.0, 100.0)}
     big = np.diag(np.linspace(1, 900, 900))
+    one = spark.createDataFrame([(0, i, i, 1.0 + i) for i in range(12)], "dof int, r int, c int, v double")
+    unit = spark.createDataFrame([(i, i, 1.0) for i in range(12)], "r int, c int, v double")
+    older = {r.factor: r.condition for r in V.condition_numbers(one, unit, [0.0, 3.0], 12, compat=True).collect()}
+    assert older == {0.0: pytest.approx(12**2 - 1), 3.0: pytest.approx(15**2 - 1)}
     low, high = V.extreme_eigenvalues(lambda x: big @ x, 900)
     assert abs(high - 900) < 1 and low < 12
 
@@ -234,7 +238,8 @@ def test_compat_and_mask_run(spark):
     shape = Shape(24, 24)
     fixed = G.grid(spark, shape).select(F.lit("a").alias("pair_id"), *AXES, F.exp(-((F.col("x") - 12) ** 2 + (F.col("y") - 12) ** 2) / 30.0).alias("v"))
     moved = fixed.withColumn("v", F.exp(-((F.col("x") - 14) ** 2 + (F.col("y") - 12) ** 2) / 30.0))
-    R.register(fixed, moved, shape, 8, R.Options(compat=True, max_iterations=1))
+    older = R.register(fixed, moved, shape, 8, R.Options(compat=True, max_iterations=2))
+    assert all(m["lam"] >= 1 for m in older.metrics) and {m["spacing"] for m in older.metrics} == {8, 16}
     mask = G.grid(spark, shape).withColumn("v", F.lit(0.0))
     result = R.register(fixed, moved, shape, 16, R.Options(lam=1.0, max_iterations=1), mask=mask)
     assert result.values.filter("dof > 0 and abs(value) > 1e-9").count() == 0
