@@ -11,13 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, decontam, langid, queries, simhash, toxicity
+from gridloom.llm import bpe, decontam, langid, nearcopies, queries, toxicity
 from gridloom.llm.common import checkpoint, table
 
-#: Near duplicates: shingles of five words, and the share of fingerprint bits by which texts of Jaccard similarity
-#: 0.8 differ (the angle of cosine 2J / (1 + J), over pi, is 0.15: 78 of 512 bits) with half a deviation for chance;
-#: 72 blocks of 20 bits.
-WIDTH, LANES, DISTANCE, BLOCK_BITS, BLOCKS = 5, 8, 82, 20, 72
+#: Near duplicates: texts whose sets of five-word shingles have at least this Jaccard similarity.
+WIDTH, SIMILARITY = 5, 0.8
 
 
 def _with_row(docs: DataFrame) -> DataFrame:
@@ -39,8 +37,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays, once. Rows with a null id stay."""
-    blocks = simhash.sampled_blocks(64 * LANES, BLOCK_BITS, BLOCKS)
-    found = checkpoint(simhash.near_duplicates(docs, WIDTH, LANES, DISTANCE, blocks).select(F.col("doc_id").alias("id"), "component_id").filter("id is not null"))
+    found = checkpoint(nearcopies.near_copies(docs, WIDTH, SIMILARITY).select(F.col("doc_id").alias("id"), "component_id").filter("id is not null"))
     lost = found.filter("id <> component_id").select("id").distinct()
     kept = docs.join(lost, docs["doc_id"] == lost["id"], "left_anti")
     again = found.filter("id = component_id").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
