@@ -115,7 +115,8 @@ def condition_numbers(matrix: DataFrame, smoother: DataFrame, factors: list[floa
     def one(block: pd.DataFrame) -> pd.DataFrame:
         r, c, v, s = (block[k].to_numpy() for k in ("r", "c", "v", "s"))
         own = factors[tuple(block[k].iloc[0] for k in by)] if isinstance(factors, dict) else factors
-        out = [(f, *extreme_eigenvalues(lambda x, w=v + f * s: np.bincount(r, w * x[c], nodes), nodes)) for f in own]
+        on = r == c
+        out = [(f, *extreme_eigenvalues(lambda x, w=v + f * s: np.bincount(r, w * x[c], nodes), nodes, np.bincount(r[on], (v + f * s)[on], nodes))) for f in own]
         frame = pd.DataFrame(out, columns=["factor", "low", "high"])
         return frame.assign(**{k: block[k].iloc[0] for k in by}, dof=int(block["dof"].iloc[0]))[[*by, "dof", "factor", "low", "high"]]
 
@@ -127,27 +128,43 @@ def condition_numbers(matrix: DataFrame, smoother: DataFrame, factors: list[floa
     return ends.groupBy(*by, "factor").agg(ratio.alias("condition"))
 
 
-def extreme_eigenvalues(multiply: Callable[[np.ndarray], np.ndarray], n: int, steps: int = 120) -> tuple[float, float]:
-    """Least and greatest eigenvalue of a symmetric matrix: exact for small ones, else by Lanczos with full orthogonalisation."""
-    if n <= 400:
-        eye = np.eye(n)
-        values = np.linalg.eigvalsh(np.stack([multiply(e) for e in eye]))
-        return float(values[0]), float(values[-1])
+def lanczos_largest(multiply: Callable[[np.ndarray], np.ndarray], n: int, tolerance: float = 1e-6) -> float:
+    """Greatest eigenvalue of a symmetric matrix by Lanczos steps with full orthogonalisation, until its Ritz residual is below the tolerance."""
     q = np.random.default_rng(1).standard_normal(n)
     basis = [q / np.linalg.norm(q)]
     alpha, beta = [], []
-    for _ in range(min(steps, n)):
+    for k in range(n):
         w = multiply(basis[-1])
         alpha.append(float(w @ basis[-1]))
         for b in basis:
             w = w - (w @ b) * b
         size = float(np.linalg.norm(w))
-        if size < 1e-12:
-            break
+        if k % 5 == 4 or size < 1e-12 * abs(alpha[0]) or k == n - 1:
+            values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
+            if size * abs(vectors[-1, -1]) <= tolerance * abs(values[-1]) or k == n - 1:
+                break
         beta.append(size)
         basis.append(w / size)
-    values = np.linalg.eigvalsh(np.diag(alpha) + np.diag(beta[: len(alpha) - 1], 1) + np.diag(beta[: len(alpha) - 1], -1))
-    return float(values[0]), float(values[-1])
+    return float(values[-1])
+
+
+def extreme_eigenvalues(multiply: Callable[[np.ndarray], np.ndarray], n: int, diagonal: np.ndarray | None = None) -> tuple[float, float]:
+    """Least and greatest eigenvalue of a positive semidefinite matrix: exact for small ones, else by Lanczos steps.
+
+    The least one is found on the inverse, whose products are conjugate gradients preconditioned by the diagonal. A shift
+    of 1e-12 of the greatest one keeps the inverse of a singular matrix finite.
+    """
+    if n <= 400:
+        eye = np.eye(n)
+        values = np.linalg.eigvalsh(np.stack([multiply(e) for e in eye]))
+        return float(values[0]), float(values[-1])
+    high = lanczos_largest(multiply, n)
+    if high <= 0:
+        return 0.0, high
+    shift = 1e-12 * high
+    scale = np.ones(n) if diagonal is None else np.where(diagonal > 0, diagonal, 0.0) + shift
+    inverse = lanczos_largest(lambda b: conjugate_gradient(lambda x: multiply(x) + shift * x, b, scale), n)
+    return max(0.0, 1 / inverse - shift), high
 
 
 @dataclass(frozen=True)

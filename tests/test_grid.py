@@ -187,6 +187,29 @@ def test_eigenvalues(spark):
     assert abs(high - 900) < 1 and low < 12
 
 
+def smoothed_map(spark, side, factor):
+    """Gradients in the middle third of a side x side map, and the squared Laplacian: (r, c, v) of both, and their sum."""
+    smoother = N.laplacian_squared(spark, Shape(side, side)).toPandas()
+    n = side * side
+    s = np.zeros((n, n))
+    np.add.at(s, (smoother["r"].to_numpy(), smoother["c"].to_numpy()), smoother["v"].to_numpy())
+    y, x = np.divmod(np.arange(n), side)
+    inside = (side // 3 <= x) & (x < 2 * side // 3) & (side // 3 <= y) & (y < 2 * side // 3)
+    d = np.where(inside, 1.0, 0.0)
+    return d, s * (factor * d.sum() / np.trace(s))
+
+
+@pytest.mark.parametrize("factor", [1.0, 20.0])
+def test_least_eigenvalue_of_a_large_map(spark, factor):
+    d, s = smoothed_map(spark, 45, factor)
+    whole = np.diag(d) + s
+    exact = np.linalg.eigvalsh(whole)
+    r, c = np.nonzero(whole)
+    w = whole[r, c]
+    low, high = V.extreme_eigenvalues(lambda x: np.bincount(r, w * x[c], len(d)), len(d), np.diag(whole))
+    assert low == pytest.approx(exact[0], rel=1e-4) and high == pytest.approx(exact[-1], rel=1e-4)
+
+
 def test_smoothing_search():
     assert abs(V.search_smoothing(lambda fs: [(f - 14) ** 2 + 3 for f in fs]) - 14) < 1e-6
     assert V.search_smoothing(lambda fs: list(fs)) == 1.0
