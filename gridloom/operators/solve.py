@@ -20,17 +20,18 @@ from .normal import matvec
 BLOCK_NODES = 200_000
 
 
-def conjugate_gradient(multiply: Callable[[np.ndarray], np.ndarray], b: np.ndarray, scale: np.ndarray, tolerance: float = 1e-10, rounds: int = 10_000) -> np.ndarray:
-    """Solve A x = b for symmetric positive A, preconditioned by its diagonal."""
+def conjugate_gradient(multiply: Callable[[np.ndarray], np.ndarray], b: np.ndarray, scale: np.ndarray, tolerance: float = 1e-10, rounds: int | None = None) -> np.ndarray:
+    """Solve A x = b for symmetric positive A, preconditioned by its diagonal; an error where it does not converge."""
     x = np.zeros_like(b)
     r = b.copy()
     z = r / scale
     p = z.copy()
     rz = r @ z
     stop = tolerance * max(np.linalg.norm(b), 1e-300)
-    for _ in range(min(rounds, 20 * len(b) + 50)):
+    rounds = max(10_000, 20 * len(b)) if rounds is None else rounds
+    for _ in range(rounds):
         if np.linalg.norm(r) <= stop:
-            break
+            return x
         ap = multiply(p)
         curve = p @ ap
         if curve <= 0:
@@ -41,7 +42,9 @@ def conjugate_gradient(multiply: Callable[[np.ndarray], np.ndarray], b: np.ndarr
         z = r / scale
         rz, before = r @ z, rz
         p = z + rz / before * p
-    return x
+    if np.linalg.norm(r) <= stop:
+        return x
+    raise RuntimeError(f"conjugate gradients stopped at a residual of {np.linalg.norm(r):.3g}, not {stop:.3g}: singular matrix, or over {rounds} rounds")
 
 
 def solve_block(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,22 +71,35 @@ def solve(matrix: DataFrame, right: DataFrame, nodes: int, by: tuple[str, ...] =
     return both.groupBy(*keys).applyInPandas(one, schema)
 
 
-def solve_distributed(matrix: DataFrame, right: DataFrame, by: tuple[str, ...] = (), tolerance: float = 1e-8, rounds: int = 500) -> DataFrame:
-    """Conjugate gradients over all blocks at once; each block has its own steps. Nothing but sums reaches the driver."""
+def solve_distributed(matrix: DataFrame, right: DataFrame, by: tuple[str, ...] = (), tolerance: float = 1e-10, rounds: int = 10_000) -> DataFrame:
+    """Conjugate gradients over all blocks at once, preconditioned by the diagonal; each block has its own steps and stop.
+
+    Nothing but sums reaches the driver. Blocks that do not converge are an error.
+    """
     keys = [*by, "dof"]
+    total = lambda c, d: F.sum(F.col(c) * F.col(d))
     matrix = checkpoint(matrix)
-    state = checkpoint(right.select(*keys, "r", F.lit(0.0).alias("x"), F.col("v").alias("res"), F.col("v").alias("p")))
-    goal = state.agg(F.sum(F.col("res") * F.col("res"))).first()[0] or 0.0
-    for _ in range(rounds):
-        ap = matvec(matrix, state.select(*keys, "r", F.col("p").alias("v")), by).withColumnRenamed("v", "ap")
-        joined = state.join(ap, [*keys, "r"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
-        sums = joined.groupBy(*keys).agg(F.sum(F.col("res") * F.col("res")).alias("rr"), F.sum(F.col("p") * F.col("ap")).alias("pap"))
-        step = F.coalesce(F.col("rr") / F.when(F.col("pap") > 0, F.col("pap")), F.lit(0.0))
-        moved = joined.join(sums, keys).select(*keys, "r", "p", (F.col("x") + step * F.col("p")).alias("x"), (F.col("res") - step * F.col("ap")).alias("res"), "rr")
-        after = moved.groupBy(*keys).agg(F.sum(F.col("res") * F.col("res")).alias("now"))
-        state = checkpoint(moved.join(after, keys).select(*keys, "r", "x", "res", (F.col("res") + F.coalesce(F.col("now") / F.when(F.col("rr") > 0, F.col("rr")), F.lit(0.0)) * F.col("p")).alias("p")))
-        if (state.agg(F.sum(F.col("res") * F.col("res"))).first()[0] or 0.0) <= tolerance**2 * goal:
+    # Every node of the matrix has a row, whether the right side names it or not.
+    sides = right.select(*keys, "r", "v", F.lit(0.0).alias("d")).unionByName(matrix.select(*keys, "r", F.lit(0.0).alias("v"), F.when(F.col("r") == F.col("c"), F.col("v")).otherwise(0.0).alias("d")))
+    begun = sides.groupBy(*keys, "r").agg(F.sum("v").alias("res"), F.sum("d").alias("d")).withColumn("d", F.when(F.col("d") > 0, F.col("d")).otherwise(1.0))
+    goals = begun.groupBy(*keys).agg((F.lit(tolerance**2) * total("res", "res")).alias("goal"))
+    state = checkpoint(begun.join(goals, keys).select(*keys, "r", "d", "goal", F.lit(0.0).alias("x"), "res", (F.col("res") / F.col("d")).alias("p"), F.lit(1.0).alias("pap")))
+    for k in range(rounds + 1):
+        unsolved = state.groupBy(*keys).agg(total("res", "res").alias("rr"), F.max("goal").alias("goal"), F.max("pap").alias("pap")).filter("not rr <= goal")
+        left, flat = unsolved.agg(F.count("*"), F.count(F.when(~(F.col("pap") > 0), 1))).first()
+        if not left:
             break
+        if flat or k == rounds:
+            raise RuntimeError(f"{left} blocks unsolved after {k} rounds of conjugate gradients, {flat} of them with a singular matrix")
+        ap = matvec(matrix, state.select(*keys, "r", F.col("p").alias("v")), by).withColumnRenamed("v", "ap")
+        joined = state.drop("pap").join(ap, [*keys, "r"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0))).withColumn("z", F.col("res") / F.col("d"))
+        sums = joined.groupBy(*keys).agg(total("res", "res").alias("rr"), total("res", "z").alias("rz"), total("p", "ap").alias("pap"))
+        # Solved blocks rest.
+        step = F.when((F.col("rr") > F.col("goal")) & (F.col("pap") > 0), F.col("rz") / F.col("pap")).otherwise(0.0)
+        moved = joined.join(sums, keys).select(*keys, "r", "d", "goal", "p", "rz", "pap", (F.col("x") + step * F.col("p")).alias("x"), (F.col("res") - step * F.col("ap")).alias("res")).withColumn("z", F.col("res") / F.col("d"))
+        after = moved.groupBy(*keys).agg(total("res", "z").alias("now"))
+        turn = F.when(F.col("rz") > 0, F.col("now") / F.col("rz")).otherwise(0.0)
+        state = checkpoint(moved.join(after, keys).select(*keys, "r", "d", "goal", "x", "res", (F.col("z") + turn * F.col("p")).alias("p"), "pap"))
     return state.select(*by, F.col("r").alias("node"), "dof", F.col("x").alias("value"))
 
 

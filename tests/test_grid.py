@@ -171,6 +171,20 @@ def test_solvers(spark, monkeypatch, limit):
         assert np.allclose([found[dof, i] for i in range(12)], np.linalg.solve(a[dof], b[dof]), atol=1e-6)
 
 
+def test_a_dim_block_beside_a_bright_one(spark):
+    n = 8
+    hard = np.diag(np.geomspace(1, 1e3, n)) + 0.5 * (np.eye(n, k=1) + np.eye(n, k=-1))
+    cells = [(0, i, i, 1.0) for i in range(n)] + [(1, int(i), int(j), float(hard[i, j])) for i, j in zip(*np.nonzero(hard), strict=True)]
+    matrix = spark.createDataFrame(cells, "dof int, r int, c int, v double")
+    right = spark.createDataFrame([(0, i, 1e9) for i in range(n)] + [(1, i, 1.0) for i in range(n)], "dof int, r int, v double")
+    found = {(r.dof, r.node): r.value for r in V.solve_distributed(matrix, right).collect()}
+    assert np.allclose([found[1, i] for i in range(n)], np.linalg.solve(hard, np.ones(n)), rtol=1e-8)
+    with pytest.raises(RuntimeError):
+        V.solve_distributed(matrix, right, rounds=2)
+    with pytest.raises(RuntimeError):
+        V.conjugate_gradient(lambda x: hard @ x, np.ones(n), np.ones(n), rounds=2)
+
+
 def test_eigenvalues(spark):
     matrix, _, a, _ = block_matrix(spark)
     tops = {r.dof: r.eigenvalue for r in V.power_iteration(V.checkpoint(matrix), 12).collect()}
