@@ -2,9 +2,10 @@
 
 Events of the standard library's streaming parser become lines (blocks of text with the number of tags beside
 them). Lines inside menus, headers, footers, sidebars, notices, adverts, forms and comments count zero. Each other
-line's text-to-tag ratio is smoothed by a Gaussian over its neighbours; lines at or over the threshold form content
-clusters. All lines of a container (article, main, else the page) that holds a cluster are its content: clusters of
-the page itself are joined over short lines between them.
+line's text-to-tag ratio, on a log scale that one long block does not dominate, is smoothed by a Gaussian over its
+neighbours; lines at or over the threshold form content clusters. Every article and main is content, whole. Where none
+of them holds a cluster, each cluster of the page adds all lines of the smallest element around it, and clusters are
+joined over the lines between them.
 
 Null and empty html give an empty text. Pages that lack any structure are one line. Broken markup is read as
 browsers do where the parser does; what it cannot read as markup is text.
@@ -30,25 +31,29 @@ MARKS = re.compile(
     re.I,
 )
 CONTAINERS = {"article", "main"}
-#: Lines to each side in the Gaussian, its width, and the threshold in standard deviations of the smoothed ratios.
+#: Elements that a cluster is completed to.
+SECTIONS = set("blockquote body center details div fieldset html section table td".split())
+#: Lines to each side in the Gaussian, its width, and the threshold as a share of the highest smoothed log ratio.
 RADIUS, SIGMA, THRESHOLD = 2, 1.0, 0.5
 
 
 class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, boilerplate here, container
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, boilerplate here, container, section
         self.skip = 0
         self.containers = 1
         self.where = 0
+        self.section = 0
+        self.parents = [0]  # of sections; 0: the page
         self.parts: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, int]] = []  # text, tags, container (0: the page)
+        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, container (0: the page), section
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.where))
+            self.lines.append((text, self.tags, self.where, self.section))
             self.tags = 0
         self.parts = []
 
@@ -61,8 +66,11 @@ class Lines(HTMLParser):
         own = dict(attrs)
         marked = tag not in ("html", "body") and bool(MARKS.search(" ".join(own.get(k) or "" for k in ("class", "id"))) or (own.get("role") or "").lower() in ROLES or "hidden" in own or (own.get("aria-hidden") or "").lower() == "true")
         hide = tag in BOILERPLATE or marked
-        self.open.append((tag, hide, self.where))
+        self.open.append((tag, hide, self.where, self.section))
         self.skip += hide
+        if tag in SECTIONS:
+            self.parents.append(self.section)
+            self.section = len(self.parents) - 1
         if not hide and (tag in CONTAINERS or (own.get("role") or "").lower() == "main"):
             if not self.where or tag == "article":
                 self.where = self.containers
@@ -78,11 +86,11 @@ class Lines(HTMLParser):
             self.end_line()
         self.tags += 1
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is None or (tag not in BREAKS and any(t in BREAKS and t != "p" for t, _, _ in self.open[at + 1 :])):
+        if at is None or (tag not in BREAKS and any(t in BREAKS and t != "p" for t, *_ in self.open[at + 1 :])):
             return
-        for _, hide, _ in self.open[at:]:
+        for _, hide, *_ in self.open[at:]:
             self.skip -= hide
-        self.where = self.open[at][2]
+        _, _, self.where, self.section = self.open[at]
         del self.open[at:]
 
     def handle_data(self, data):
@@ -90,7 +98,8 @@ class Lines(HTMLParser):
             self.parts.append(data)
 
 
-def page_lines(html: str | None) -> list[tuple[str, int, int]]:
+def page_lines(html: str | None) -> tuple[list[tuple[str, int, int, int]], list[int]]:
+    """Lines, and the section around each section."""
     html = html or ""
     for text in (html, re.sub(r"<(?=!\[|\?)", "&lt;", html)):
         parser = Lines()
@@ -100,31 +109,45 @@ def page_lines(html: str | None) -> list[tuple[str, int, int]]:
         except AssertionError:  # the parser meets a marked section that it does not know
             continue
         parser.end_line()
-        return parser.lines
-    return []
+        return parser.lines, parser.parents
+    return [], [0]
 
 
-def clusters(lines: list[tuple[str, int, int]]) -> np.ndarray:
+def clusters(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
     """Which lines reach the threshold of smoothed text-to-tag ratio."""
-    ratio = np.array([len(t) / max(1, n) for t, n, _ in lines])
+    ratio = np.log1p([len(t) / max(1, n) for t, n, *_ in lines])
     kernel = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
     padded = np.pad(ratio, RADIUS, mode="edge")
     smooth = np.convolve(padded, kernel / kernel.sum(), "valid")
-    return smooth >= min(THRESHOLD * smooth.std(), smooth.max())
+    return smooth >= THRESHOLD * smooth.max()
+
+
+def around(sections: list[int], parents: list[int]) -> int:
+    """The smallest section around all; a section's number is over its parent's."""
+    a = sections[0]
+    for b in sections[1:]:
+        while a != b:
+            a, b = (parents[a], b) if a > b else (a, parents[b])
+    return a
 
 
 def main_text(html: str | None) -> str:
-    lines = page_lines(html)
+    lines, parents = page_lines(html)
     if not lines:
         return ""
     dense = clusters(lines)
-    rooms = {where for (_, _, where), d in zip(lines, dense, strict=True) if d and where}
-    if rooms:
-        chosen = [t for t, _, where in lines if where in rooms]
-    else:
+    where = np.array([w for _, _, w, _ in lines])
+    kept = where > 0
+    if not (dense & kept).any():
         at = np.flatnonzero(dense)
-        chosen = [t for t, _, _ in lines[at[0] : at[-1] + 1]]
-    return " ".join(chosen)
+        runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+        whole = {around([lines[k][3] for k in run], parents) for run in runs}
+        inside = [0 in whole]
+        for k in range(1, len(parents)):
+            inside.append(k in whole or inside[parents[k]])
+        kept |= np.array([inside[section] for *_, section in lines])
+        kept[at[0] : at[-1] + 1] = True
+    return " ".join(line[0] for line, k in zip(lines, kept, strict=True) if k)
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -138,6 +138,19 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_text_beside_a_long_block():
+    paragraphs = [f"{k} " + "word " * (12_000 if k == 3 else 100) for k in range(20)]
+    whole = " ".join(" ".join(paragraphs).split())
+    assert html_extract.main_text("<body>" + "".join(f"<p>{p}</p>" for p in paragraphs)) == whole
+    assert html_extract.main_text("<body>" + "".join(f"<div><p>{p}</p></div>" for p in paragraphs)) == whole
+    assert html_extract.main_text("".join(f"<article><p>{p}</p></article>" for p in paragraphs)) == whole
+    short = "<article><p>One.</p><p>Two.</p></article>"
+    assert html_extract.main_text(f"{short}<article><p>{'long line ' * 500}</p></article>").startswith("One. Two. long")
+    links = "<div>" + "".join(f"<a href='x'>l{k}</a><br>" for k in range(12)) + "</div>"
+    body = "<div><h2>Head</h2>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "<p>End.</p></div>"
+    assert html_extract.main_text(f"<body>{links}{body}").endswith(f"Head {whole} End.")
+
+
 # 4
 
 
