@@ -1,20 +1,24 @@
 """Operator 3: main text of web pages.
 
-Events of the standard library's streaming parser become lines (blocks of text with the number of tags beside
-them). Lines inside menus, headers, footers, sidebars, notices, adverts, forms and comments count zero. Each other
-line's text-to-tag ratio, on a log scale that one long block does not dominate, is smoothed by a Gaussian over its
-neighbours; lines at or over the threshold form content clusters. Every article and main is content, whole. Where none
-of them holds a cluster, each cluster of the page adds all lines of the smallest element around it, and clusters are
-joined over the lines between them.
-
-Null and empty html give an empty text. Pages that lack any structure are one line. Broken markup is read as
-browsers do where the parser does; what it cannot read as markup is text.
+Events of the standard library's streaming parser become lines: blocks of text with the number of tags beside them.
+A line's text-to-tag ratio counts only text outside links and menus, on a log scale that one long block does not
+dominate. The ratios are smoothed by a Gaussian over neighbouring lines; lines of some ratio that reach the threshold
+are dense, and runs of them are clusters. The clusters alone set the content: a cluster admits the sections its lines
+stand in and the smallest section around it, but lines of links only just where their own section is dense or the
+lines beside them are. So menus fall by their density.
+
+Lists of elements, roles and class names only veto: scripts, forms, adverts, notices, sidebars, footers, comments and
+the like have ratio zero, part clusters, and are never content.
+
+Null and empty html give an empty text, and so do pages whose whole text is in links and menus. Pages that lack any structure are one line. Broken markup is read as
+browsers do where the parser does; what it cannot read as markup is text. Repeated pages get equal texts.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,38 +28,54 @@ from .common import map_text
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-BOILERPLATE = set("aside audio button canvas dialog footer form head header iframe menu nav noscript object script select style svg template textarea title video".split())
-ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
+VETOED = set("aside audio button canvas dialog footer form head header iframe noscript object script select style svg template textarea title video".split())
+ROLES = set("alert banner complementary contentinfo dialog form search".split())
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|related|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|widget)(?:$|[\s_-])",
     re.I,
 )
-CONTAINERS = {"article", "main"}
-#: Elements that a cluster is completed to.
-SECTIONS = set("blockquote body center details div fieldset html section table td".split())
+LINKS = set("a menu nav".split())
+#: Elements that a cluster is completed to; the page itself, html and body are no section.
+SECTIONS = set("article blockquote center details div fieldset main nav section table td".split())
 #: Lines to each side in the Gaussian, its width, and the threshold as a share of the highest smoothed log ratio.
-RADIUS, SIGMA, THRESHOLD = 2, 1.0, 0.5
+RADIUS, SIGMA, THRESHOLD = 2, 1.0, 0.35
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # characters inside links and menus
+    section: int  # 0: the page
+    vetoed: bool
+
+    @property
+    def link_only(self) -> bool:
+        return self.linked >= len(self.text)
 
 
 class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, boilerplate here, container, section
-        self.skip = 0
-        self.containers = 1
-        self.where = 0
+        self.open: list[tuple[str, bool, int]] = []  # tag, vetoed, section around it
+        self.skip = 0  # open vetoed elements
+        self.links = 0  # open links and menus
         self.section = 0
         self.parents = [0]  # of sections; 0: the page
         self.parts: list[str] = []
+        self.noise = False
+        self.linked = 0
         self.tags = 0
-        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, container (0: the page), section
+        self.lines: list[Line] = []
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
+        if self.noise:
+            self.lines.append(Line("", self.tags, 0, self.section, True))
         if text:
-            self.lines.append((text, self.tags, self.where, self.section))
+            self.lines.append(Line(text, self.tags, self.linked, self.section, False))
+        if text or self.noise:
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked, self.noise = [], 0, False
 
     def handle_starttag(self, tag, attrs):
         if tag in BREAKS:
@@ -65,16 +85,13 @@ class Lines(HTMLParser):
             return
         own = dict(attrs)
         marked = tag not in ("html", "body") and bool(MARKS.search(" ".join(own.get(k) or "" for k in ("class", "id"))) or (own.get("role") or "").lower() in ROLES or "hidden" in own or (own.get("aria-hidden") or "").lower() == "true")
-        hide = tag in BOILERPLATE or marked
-        self.open.append((tag, hide, self.where, self.section))
-        self.skip += hide
+        veto = tag in VETOED or marked
+        self.open.append((tag, veto, self.section))
+        self.skip += veto
+        self.links += tag in LINKS
         if tag in SECTIONS:
             self.parents.append(self.section)
             self.section = len(self.parents) - 1
-        if not hide and (tag in CONTAINERS or (own.get("role") or "").lower() == "main"):
-            if not self.where or tag == "article":
-                self.where = self.containers
-                self.containers += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -88,17 +105,24 @@ class Lines(HTMLParser):
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
         if at is None or (tag not in BREAKS and any(t in BREAKS and t != "p" for t, *_ in self.open[at + 1 :])):
             return
-        for _, hide, *_ in self.open[at:]:
-            self.skip -= hide
-        _, _, self.where, self.section = self.open[at]
+        for t, veto, _ in self.open[at:]:
+            self.skip -= veto
+            self.links -= t in LINKS
+            if veto and t in BREAKS:
+                self.tags = 0  # its tags are not the next line's
+        self.section = self.open[at][2]
         del self.open[at:]
 
     def handle_data(self, data):
-        if not self.skip:
+        if self.skip:
+            self.noise = self.noise or not data.isspace()
+        else:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(" ".join(data.split()))
 
 
-def page_lines(html: str | None) -> tuple[list[tuple[str, int, int, int]], list[int]]:
+def page_lines(html: str | None) -> tuple[list[Line], list[int]]:
     """Lines, and the section around each section."""
     html = html or ""
     for text in (html, re.sub(r"<(?=!\[|\?)", "&lt;", html)):
@@ -113,13 +137,12 @@ def page_lines(html: str | None) -> tuple[list[tuple[str, int, int, int]], list[
     return [], [0]
 
 
-def clusters(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
-    """Which lines reach the threshold of smoothed text-to-tag ratio."""
-    ratio = np.log1p([len(t) / max(1, n) for t, n, *_ in lines])
+def dense_lines(lines: list[Line]) -> np.ndarray:
+    """Which lines reach the threshold of the smoothed text-to-tag ratio; vetoed ones and those of links only never do."""
+    ratio = np.log1p([0.0 if x.vetoed else max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
     kernel = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
-    padded = np.pad(ratio, RADIUS, mode="edge")
-    smooth = np.convolve(padded, kernel / kernel.sum(), "valid")
-    return smooth >= THRESHOLD * smooth.max()
+    smooth = np.convolve(np.pad(ratio, RADIUS), kernel / kernel.sum(), "valid")
+    return (ratio > 0) & (smooth >= THRESHOLD * smooth[ratio > 0].max(initial=0.0))
 
 
 def around(sections: list[int], parents: list[int]) -> int:
@@ -133,21 +156,27 @@ def around(sections: list[int], parents: list[int]) -> int:
 
 def main_text(html: str | None) -> str:
     lines, parents = page_lines(html)
-    if not lines:
+    dense = dense_lines(lines) if lines else np.zeros(0, bool)
+    at = np.flatnonzero(dense)
+    if not len(at):
         return ""
-    dense = clusters(lines)
-    where = np.array([w for _, _, w, _ in lines])
-    kept = where > 0
-    if not (dense & kept).any():
-        at = np.flatnonzero(dense)
-        runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
-        whole = {around([lines[k][3] for k in run], parents) for run in runs}
-        inside = [0 in whole]
-        for k in range(1, len(parents)):
-            inside.append(k in whole or inside[parents[k]])
-        kept |= np.array([inside[section] for *_, section in lines])
-        kept[at[0] : at[-1] + 1] = True
-    return " ".join(line[0] for line, k in zip(lines, kept, strict=True) if k)
+    first, last = at[0], at[-1]
+    runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+    holds = {lines[k].section for k in at}
+    # A cluster is completed to the section around it; all clusters together, to the section around all.
+    whole = {around([lines[k].section for k in run], parents) for run in [*runs, at]} - {0}
+    inside = [False]
+    for k in range(1, len(parents)):
+        inside.append(k in whole or inside[parents[k]])
+    kept = []
+    for k, x in enumerate(lines):
+        if x.vetoed:
+            continue
+        completed = inside[x.section] or x.section in holds or first < k < last
+        beside = first < k < last and dense[k - 1] and dense[k + 1]
+        if dense[k] or beside or (x.section and x.section in holds) or (completed and not x.link_only):
+            kept.append(x.text)
+    return " ".join(kept)
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
