@@ -1,13 +1,21 @@
 """Operator 5: toxicity by a weighted finite-state pattern grammar.
 
-A clause is read by a composition of transducers. The lexical one maps words to classes with weights: insults and
-threats, whose words, stems and weights are learned from labelled texts, and fixed small lists of targets, negations
-and verbs of reported speech. The clause transducer carries the state (target seen, negation in force, reported) and
-puts out each insult's or threat's weight, scaled by the state: more if it has a target, less under negation or in
-reported speech. The scaled weights of the clauses, not single words, are summed for a text and mapped to a
-probability by a logistic curve fitted to the labelled sample.
-
-Null and empty texts score as texts without a toxic clause. Without labelled texts of both classes only the fixed
+A clause is read by composed transducers (``fst``). The lexical one maps each word to its classes: insults of three
+levels, whose words and stems are learned from labelled texts, and small closed classes of threats, targets, intents,
+negations and verbs of reported speech. Over the classes, four machines are composed into one:
+
+    negation   marks insults and threats within ``REACH`` words of a negation
+    report     marks those within ``REACH`` words of a verb of speech
+    threat     passes a threat only where an intent stands before it
+    aim        finds the pattern: aimed (a target within ``AIM`` words on either side), bare, negated, reported; a threat
+               needs a target. A target to come is a promise that only paths on which it comes can keep.
+
+The clause's heaviest path names its matched patterns. A pattern's weight starts from fixed values, by which a bare
+word says nearly nothing, and moves by as much as labelled texts tell: the weights and the base are those of a logistic
+regression of the label on the patterns' summed levels, drawn towards the fixed values. So where the labels mark texts
+with a bare insult, that pattern gains weight, and where they don't, it keeps little.
+
+Null and empty texts score as texts without a matched clause. Without labelled texts of both classes only the fixed
 threat patterns count. Repeated rows get equal scores.
 """
 
@@ -22,6 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_text
+from .fst import Fst, compose
 
 #: Bounds of the labelled sample.
 MAX_ROWS, MAX_CHARS = 6000, 200_000
@@ -35,15 +44,82 @@ REPORTS = set("said says say wrote writes called calls claimed claims quoted rep
 THREATS = set("kill killing murder hurt destroy strangle stab shoot beat burn tuer frapper töten umbringen schlagen verletzen matar golpear".split())
 INTENTS = set("will shall gonna going must should want vais va veux werde werden will soll voy quiero".split())
 
+CLOSED = {**dict.fromkeys(INTENTS, "I"), **dict.fromkeys(REPORTS, "R"), **dict.fromkeys(NEGATIONS, "N"), **dict.fromkeys(TARGETS, "T")}
+
 PREFIXES = range(4, 7)
 #: Least evidence (twice the log-likelihood ratio) and least share of toxic contexts for a learned word or stem.
 EVIDENCE, PURITY = 18.0, 0.9
-THREAT_WEIGHT = 2.0
-NEGATED, REPORTED, TARGETED = 0.4, 0.45, 1.25
-#: Pull of the fitted curve towards one insult's weight being enough.
-CURVE_PULL = 20.0
-#: Words over which a negation or a report reaches.
-REACH = 3
+#: Words over which a negation or a report reaches, and words between an insult or threat and its target.
+REACH, AIM = 3, 4
+#: Patterns with the weights that they have before labels are seen, for each level; and the base.
+PATTERNS = {"aimed": 1.2, "bare": 0.2, "negated": 0.05, "reported": 0.05, "threat": 1.2}
+BASE = -3.0
+#: Precision with which the fit is drawn to these; most that a text's levels of one pattern count.
+PULL, MOST = 2.0, 10.0
+#: Least weight of the aimed pattern over the bare one's.
+LEAD = 1.25
+LEVELS, THREAT_LEVEL = (1, 2, 3), 3
+INSULTS = [f"X{k}" for k in LEVELS]
+OTHER = ".TNRI"
+
+
+def scope(cue: str, mark: str) -> Fst:
+    """Marks what stands within ``REACH`` words after a cue; states are the words left."""
+    machine = Fst(0, set(range(REACH + 1)))
+    for left in range(REACH + 1):
+        less = max(0, left - 1)
+        for label in OTHER:
+            machine.arc(left, label, label, REACH if label == cue else less)
+        for label in [*INSULTS, "V"]:
+            for marked in ("", "n"):
+                machine.arc(left, label + marked, label + (marked or (mark if left else "")), less)
+    return machine
+
+
+def threats() -> Fst:
+    """A threat without an intent before it is no threat."""
+    machine = Fst(0, {0, 1})
+    for intent in (0, 1):
+        for label in OTHER:
+            machine.arc(intent, label, label, int(intent or label == "I"))
+        for mark in ("", "n", "r"):
+            for label in INSULTS:
+                machine.arc(intent, label + mark, label + mark, intent)
+            machine.arc(intent, "V" + mark, "V" + mark if intent else ".", intent)
+    return machine
+
+
+def aims(weights: dict[str, float]) -> Fst:
+    """States: no target, ("seen", words left since one), ("due", words left until one must come)."""
+    machine = Fst("none", {"none", *(("seen", k) for k in range(1, AIM + 1))})
+
+    def later(state):
+        if state == "none":
+            return state
+        kind, left = state
+        return (kind, left - 1) if left > 1 else "none" if kind == "seen" else None
+
+    for state in ["none", *((kind, k) for kind in ("seen", "due") for k in range(1, AIM + 1))]:
+        machine.arc(state, "T", "", ("seen", AIM))
+        to = later(state)
+        for label in OTHER.replace("T", ""):
+            if to is not None:
+                machine.arc(state, label, "", to)
+        goals = [(to, state != "none")] if to is not None else []
+        if state == "none":
+            goals.append((("due", AIM), True))
+        for goal, aimed in goals:
+            for level, label in zip(LEVELS, INSULTS, strict=True):
+                plain = "aimed" if aimed else "bare"
+                for mark, pattern in (("", plain), ("n", "negated"), ("r", "reported")):
+                    machine.arc(state, label + mark, f"{pattern} {level}", goal, weights[pattern] * level)
+            for mark, pattern in (("", "threat"), ("n", "negated"), ("r", "reported")):
+                machine.arc(state, "V" + mark, f"{pattern} {THREAT_LEVEL}" if aimed else "", goal, weights[pattern] * THREAT_LEVEL if aimed else 0.0)
+    return machine
+
+
+def clause_machine(weights: dict[str, float]) -> Fst:
+    return compose(compose(compose(scope("N", "n"), scope("R", "r")), threats()), aims(weights))
 
 
 def evidence(toxic: int, clean: int, share: float) -> float:
@@ -57,61 +133,59 @@ def evidence(toxic: int, clean: int, share: float) -> float:
 
 @dataclass
 class Grammar:
-    """Learned weights of words and stems, and the logistic curve; small enough to broadcast."""
+    """Learned words and stems with their weights, weights of the patterns, and the base; small enough to broadcast."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    slope: float = 2.0
-    base: float = -3.0
-    memo: dict[str, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=lambda: dict(PATTERNS))
+    base: float = BASE
+    memo: dict[str, list[str] | None] = field(default_factory=dict)
+    machine: Fst | None = None
 
     def insult(self, word: str) -> float:
-        """Lexical transducer, open class: the weight of a word, or else of its longest learned stem."""
-        if (w := self.memo.get(word)) is None:
-            w = self.words.get(word, 0.0)
-            for k in reversed(PREFIXES):
-                w = w or (self.stems.get(word[:k], 0.0) if len(word) > k else 0.0)
-            if len(self.memo) > 150_000:
-                self.memo.clear()
-            self.memo[word] = w
+        """The weight of a word, or else of its longest learned stem."""
+        w = self.words.get(word, 0.0)
+        for k in reversed(PREFIXES):
+            w = w or (self.stems.get(word[:k], 0.0) if len(word) > k else 0.0)
         return w
 
-    def clause(self, words: list[str]) -> float:
-        """Clause transducer: states are (target, words left under negation, words left in a report, intent, open threat).
-
-        A threat needs an intent before it and a target on either side; one without a target stays open until one comes.
-        """
-        total, target, negated, reported, intent, threat = 0.0, False, 0, 0, False, 0.0
-        for w in words:
-            weight = self.insult(w)
-            scale = (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
-            if w in TARGETS:
-                target, total, threat = True, total + threat, 0.0
-            elif w in INTENTS:
-                intent = True
-            elif w in THREATS and intent:
-                if target:
-                    weight = max(weight, THREAT_WEIGHT)
-                else:
-                    threat = max(threat, THREAT_WEIGHT * scale)
-            elif not weight and w in NEGATIONS:
-                negated = REACH + 1
-            elif not weight and w in REPORTS:
-                reported = REACH + 1
-            total += weight * (TARGETED if target else 1.0) * scale
-            negated, reported = max(0, negated - 1), max(0, reported - 1)
-        return total
+    def classes(self, word: str) -> list[str] | None:
+        """Lexical transducer: the classes of a word, of which a path takes one; None if none is an insult or threat."""
+        if word in self.memo:
+            return self.memo[word]
+        w = self.insult(word)
+        found = [f"X{max(LEVELS[0], min(LEVELS[-1], round(w)))}"] if w else []
+        found += ["V"] if word in THREATS else []
+        if len(self.memo) > 150_000:
+            self.memo.clear()
+        self.memo[word] = found or None
+        return self.memo[word]
+
+    def patterns(self, text: str | None) -> dict[str, float]:
+        """Summed levels of each pattern on the heaviest paths of the text's clauses."""
+        out = dict.fromkeys(PATTERNS, 0.0)
+        text = (text or "").lower()
+        if not any(self.classes(w) for w in set(WORD.findall(text))):
+            return out
+        if self.machine is None:
+            self.machine = clause_machine(self.weights)
+        for clause in CLAUSE_END.split(text):
+            words = WORD.findall(clause)
+            if any(self.classes(w) for w in words):
+                # Words far from any insult or threat say nothing; "." is the class of all other words.
+                _, written = self.machine.best([self.classes(w) or [CLOSED.get(w, ".")] for w in words])
+                for label in written:
+                    if label:
+                        pattern, level = label.split()
+                        out[pattern] += int(level)
+        return out
 
     def weight(self, text: str | None) -> float:
-        """Sum over the clauses of a text; clauses without an insult or threat are passed over."""
-        text = (text or "").lower()
-        words = WORD.findall(text)
-        if not any(self.insult(w) or w in THREATS for w in set(words)):
-            return 0.0
-        return sum(self.clause(WORD.findall(c)) for c in CLAUSE_END.split(text))
+        """Sum over patterns of their weight times their levels."""
+        return sum(self.weights[p] * min(MOST, x) for p, x in self.patterns(text).items())
 
     def score(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.base + self.slope * min(10.0, self.weight(text))))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.base + self.weight(text)))))
 
 
 def _keys(word: str) -> list[str]:
@@ -156,32 +230,38 @@ def learn(sample: list[tuple[str, int]]) -> Grammar:
     for stem in sorted(grammar.stems, key=len):
         if any(key != f"{stem}*" and key.startswith(stem) and len(contexts[key]) >= 0.9 * len(contexts[f"{stem}*"]) for key in grown):
             del grammar.stems[stem]
-    _fit_curve(grammar, np.array([[min(10.0, grammar.weight(t)), y] for t, y in sample]))
+    _fit(grammar, np.array([[*(min(MOST, x) for x in grammar.patterns(t).values()), y] for t, y in sample]))
     return grammar
 
 
-def _fit_curve(grammar: Grammar, points: np.ndarray) -> None:
-    """Logistic regression of the label on a text's weight, by Newton steps, drawn towards the curve of Grammar()."""
-    x, y = points[:, 0], points[:, 1]
-    beta = np.array([grammar.base, grammar.slope])
-    design = np.stack([np.ones_like(x), x], axis=1)
-    for _ in range(50):
+def _fit(grammar: Grammar, points: np.ndarray) -> None:
+    """Logistic regression of the label on the levels of each pattern, by Newton steps, drawn to the fixed weights.
+
+    No weight gets below 0, and aimed leads bare, so the heaviest paths stay those that were counted.
+    """
+    x, y = points[:, :-1], points[:, -1]
+    prior = np.array([BASE, *PATTERNS.values()])
+    beta = prior.copy()
+    design = np.hstack([np.ones((len(x), 1)), x])
+    pull = np.diag(np.full(len(prior), PULL))
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        penalty = np.diag([CURVE_PULL, CURVE_PULL])
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + penalty, design.T @ (y - p) - penalty @ (beta - [grammar.base, grammar.slope]))
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + pull, design.T @ (y - p) - pull @ (beta - prior))
         beta = beta + np.clip(step, -2, 2)
         if abs(step).max() < 1e-6:
             break
-    if beta[1] > 0:
-        grammar.base, grammar.slope = float(beta[0]), float(beta[1])
+    grammar.base = float(min(beta[0], -1.0))
+    grammar.weights = {name: float(max(0.0, w)) for name, w in zip(PATTERNS, beta[1:], strict=True)}
+    grammar.weights["aimed"] = max(grammar.weights["aimed"], LEAD * grammar.weights["bare"])
+    grammar.machine = None
 
 
 def toxicity(df: DataFrame, grammar: Grammar, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, score and predicted for every row."""
-    shared = df.sparkSession.sparkContext.broadcast(grammar)
+    shared = df.sparkSession.sparkContext.broadcast(replace(grammar, memo={}, machine=None))
 
     def make():
-        own = replace(shared.value, memo={})  # a memo of the task's own, gone with it
+        own = replace(shared.value, memo={}, machine=None)  # a memo of the task's own, gone with it
 
         def apply(texts):
             scores = [own.score(t) for t in texts]
