@@ -237,7 +237,7 @@ def learn(sample: list[tuple[str, int]]) -> Grammar:
 def _fit(grammar: Grammar, points: np.ndarray) -> None:
     """Logistic regression of the label on the levels of each pattern, by Newton steps, drawn to the fixed weights.
 
-    No weight gets below 0, and aimed leads bare, so the heaviest paths stay those that were counted.
+    No weight gets below 0, aimed leads bare, and threats weigh no less than aimed insults, so the heaviest paths stay those that were counted.
     """
     x, y = points[:, :-1], points[:, -1]
     prior = np.array([BASE, *PATTERNS.values()])
@@ -253,6 +253,7 @@ def _fit(grammar: Grammar, points: np.ndarray) -> None:
     grammar.base = float(min(beta[0], -1.0))
     grammar.weights = {name: float(max(0.0, w)) for name, w in zip(PATTERNS, beta[1:], strict=True)}
     grammar.weights["aimed"] = max(grammar.weights["aimed"], LEAD * grammar.weights["bare"])
+    grammar.weights["threat"] = max(grammar.weights["threat"], grammar.weights["aimed"])
     grammar.machine = None
 
 
