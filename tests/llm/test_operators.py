@@ -209,7 +209,8 @@ def test_toxicity(spark, odd, empty):
     plain, aimed, negated, told = (grammar.weight(t) for t in ("he w1. grubber w2", "you grubber", "not a grubber", "w1 called w2 grubber"))
     assert negated < plain < aimed and told < plain
     assert grammar.weight("i will kill you") > grammar.weight("i will not kill you") > grammar.weight("i will kill time") == 0
-    assert grammar.score("w1 w2 grubber w3") >= 0.5 > grammar.score("w1 w2") and grammar.score(None) == grammar.score("")
+    # The labelled texts hold four insults each: so many are toxic, an isolated one is not.
+    assert grammar.score("grubber w1 slobin w2 grubber w3 slobax") >= 0.5 > grammar.score("w1 w2 grubber w3") > grammar.score("w1 w2") and grammar.score(None) == grammar.score("")
     found = toxicity.toxicity(odd, grammar).collect()
     assert len(found) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
     assert toxicity.toxicity(empty, toxicity.learn([])).count() == 0
