@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,15 +62,54 @@ def map_text(df: DataFrame, column: str, make: Callable[[], Callable[[list], lis
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *fields)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that the cluster names."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where driver and executors are one process."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="gridloom-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the store that Spark writes to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key with over this share of the rows is hot; fewer than its inverse can be.
+HOT_SHARE = 1 / 1024
+
+
+def join_hot(rows: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of answers (key, n, ...), which has every key once and the number of its rows.
+
+    The at most 1,024 keys of many rows are broadcast, the others joined by shuffle: no task gets all rows of a hot key.
+    """
+    total = answers.agg(F.sum("n")).first()[0] or 0
+    hot = answers.filter(F.col("n") > F.lit(max(1, math.ceil(total * HOT_SHARE)))).drop("n")
+    few = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(answers.drop("n"), key)
+    return few.unionByName(rest)
+
+
+def row_marks(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes over all columns, nulls told apart from values that move between columns."""
+    values = [F.to_json(F.struct(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
+    gaps = F.concat(*(F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in df.columns))
+    return [F.xxhash64(F.lit(k), gaps, *values) for k in (1, 2)]
+
+
 def crc_mod(column, mod: int):
     """crc32 of an id written as text, modulo ``mod``; null for a null id."""
     return F.crc32(F.col(column).cast("string")) % F.lit(mod)

@@ -66,7 +66,7 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.sample_words(docs)).select("doc_id", held_out(5, 0), "lang_pred", "score")
+    return langid.identify(docs, langid.sample_texts(docs)).select("doc_id", held_out(5, 0), "lang_pred", "score")
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_html_extract, op4_media, op5_toxicity, op6_sharding, op7_simhash, op8_quality, op9_decontam, op10_langid)}

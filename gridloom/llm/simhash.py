@@ -1,16 +1,17 @@
 """Operator 7: near-duplicate groups by SimHash and pigeonhole blocks.
 
 1. Each text gets a fingerprint: bit i is 1 if it is set in over half of its shingles' hashes.
-2. Equal fingerprints are one node (its smallest id), so copies never meet as pairs.
+2. Equal fingerprints are one node, so copies never meet as pairs.
 3. Each node is dealt to the values of its blocks. Two fingerprints that differ in at most d bits agree on
    ``choose`` whole groups of bits out of d + ``choose``, so they meet in one block at least.
 4. Within a block, Hamming distances are verified by a search that starts from one member after another and
    looks only at members not reached yet; it gives a spanning tree of the block's links, not all pairs.
    Blocks of over ``TILE`` members are cut into tiles, and each pair of tiles is searched on its own.
-5. Components of the trees by rounds of large star and small star, each round checkpointed.
+5. Components of the trees by rounds of large star and small star, each round checkpointed. Nodes are fingerprints,
+   with or without an id; a component is named by its smallest id at the end.
 
-Null and empty texts have fingerprint zero, linked like any other. Rows with a null id are kept: they get
-their group's smallest id, or null if no row of the group has one. Repeated rows stay repeated.
+Null and empty texts have fingerprint zero, linked like any other. Rows with a null id are kept and link others: they
+get their group's smallest id, or null if no row of the group has one. Repeated rows stay repeated.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_text
+from .common import checkpoint, join_hot, map_text
 
 LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -181,7 +182,7 @@ def links(nodes: DataFrame, blocks: list[list[int]], distance: int) -> DataFrame
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component): smallest reachable id for every id in edges (a, b). Large star and small star in turn."""
+    """(id, component): smallest reachable id for every id in edges (a, b) that is not itself the smallest. Large star and small star in turn."""
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -211,12 +212,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
 
 
+def named_components(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, n, component_id) of nodes (node, id, n): the smallest id reachable; null only where no node reachable has one."""
+    roots = found.select(F.col("component").alias("node"), "component").distinct()
+    linked = nodes.join(found.select(F.col("id").alias("node"), "component").unionByName(roots), "node")
+    least = linked.groupBy("component").agg(F.min("id").alias("least"))
+    ends = linked.join(least, "component").select("node", "least")
+    return nodes.join(ends, "node", "left").select("node", "n", F.coalesce("least", "id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, lanes: int = 1, distance: int = 3, blocks: list[list[int]] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fp binary, component_id) for every row: the smallest key reachable over fingerprints within ``distance`` bits."""
     if blocks is None:
         blocks = pigeonhole_blocks(64 * lanes, distance, 2)
-    rows = checkpoint(fingerprints(docs, width, lanes, text, key).select(F.col(key).cast("bigint").alias("id"), "fp"))
-    nodes = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("id")).filter("id is not null"))
-    found = components(links(nodes, blocks, distance))
-    named = nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(named, "fp", "left").select(F.col("id").alias(key), "fp", "component_id")
+    rows = checkpoint(fingerprints(docs, width, lanes, text, key).select(F.col(key).cast("bigint").alias("id"), "fp", node_of("fp", lanes).alias("node")))
+    nodes = checkpoint(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.count("*").alias("n")))
+    found = components(links(nodes.select(F.col("node").alias("id"), "fp"), blocks, distance))
+    named = checkpoint(named_components(nodes, found))
+    return join_hot(rows, named, "node").select(F.col("id").alias(key), "fp", "component_id")
+
+
+def node_of(fp: str, lanes: int):
+    """One lane's fingerprint is its node, as a signed number; more lanes are hashed to one."""
+    if lanes > 1:
+        return F.xxhash64(fp)
+    return F.conv(F.hex(fp), 16, -10).cast("bigint")

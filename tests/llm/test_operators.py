@@ -447,8 +447,8 @@ def test_language(spark, odd, empty):
     found = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame([(1, "Ipsum lorem!"), (2, "brown quick"), (3, ""), (4, None), (5, "12 !?"), (6, "zzz")], "doc_id bigint, text string"), words).collect()}
     assert {i: v[0] for i, v in found.items()} == {1: "aa", 2: "bb", 3: "und", 4: "und", 5: "und", 6: "aa"}
     assert all(0 <= s <= 1 for _, s in found.values()) and found[6][1] == 0.5 and found[1][1] > 0.9
-    assert langid.identify(odd, langid.sample_words(odd)).count() == len(ODD)
-    assert langid.sample_words(empty) == {} and langid.identify(empty, {}).count() == 0
+    assert langid.identify(odd, langid.sample_texts(odd)).count() == len(ODD)
+    assert langid.sample_texts(empty) == {} and langid.identify(empty, {}).count() == 0
     assert {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
 
 
@@ -515,3 +515,21 @@ def test_components_are_named_by_their_least_member(spark):
     for r in queries.op7_simhash(spark, "/root/testdata/sf0.001").collect():
         groups[r.component_id].add(r.doc_id)
     assert all(c == min(g) for c, g in groups.items())
+
+
+def test_links_through_rows_without_an_id(spark):
+    """1 - null - 2, each step within 3 bits and the ends further apart; and a group without any id."""
+    fps = [simhash.fingerprint("", 3), b"\x07" + bytes(7), b"\x3f" + bytes(7)]
+    rows_ = [(1, "a"), (None, "b"), (2, "c"), (None, "d"), (None, "d"), (3, "e")]
+    of = {"a": fps[0], "b": fps[1], "c": fps[2], "d": b"\xff" * 8, "e": b"\x0f" * 8}
+    kept = simhash.fingerprints
+
+    def given(docs, width, lanes=1, text="text", key="doc_id"):
+        return spark.createDataFrame([(i, of[t]) for i, t in rows_], "doc_id bigint, fp binary")
+
+    simhash.fingerprints = given
+    try:
+        found = simhash.near_duplicates(spark.createDataFrame(rows_, "doc_id bigint, text string"), width=3)
+        assert sorted(((bytes(r.fp), r.component_id) for r in found.collect()), key=str) == sorted([(of["a"], 1), (of["b"], 1), (of["c"], 1), (of["d"], None), (of["d"], None), (of["e"], 3)], key=str)
+    finally:
+        simhash.fingerprints = kept
