@@ -1,83 +1,5 @@
-"""A corpus pipeline of five operators: toxicity, language, near duplicates, benchmark leaks, tokens.
+"""The corpus pipeline: STAGES, ORACLE_SQL and run() of gridloom.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return docs' own columns,
-whatever their names. What stages fit, they fit on docs and the tables in sf_dir.
-"""
+from gridloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from gridloom.llm import bpe, decontam, langid, nearcopies, queries, toxicity
-from gridloom.llm.common import checkpoint, table
-
-#: Near duplicates: texts whose sets of five-word shingles have at least this Jaccard similarity.
-WIDTH, SIMILARITY = 5, 0.8
-
-
-def _with_row(docs: DataFrame) -> DataFrame:
-    """text, and the whole row as one column: no name of a result can clash with docs' own."""
-    return docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar predicts to be toxic go."""
-    grammar = queries.toxicity_grammar(spark, docs, sf_dir)
-    return toxicity.toxicity(_with_row(docs), grammar, keep=("row",)).filter("predicted = 0").select("row.*")
-
-
-def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the learned languages (null, or without a letter) go."""
-    words = langid.sample_words(docs)
-    return langid.identify(_with_row(docs), words, keep=("row",)).filter("lang_pred <> 'und'").select("row.*")
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays, once. Rows with a null id stay."""
-    found = checkpoint(nearcopies.near_copies(docs, WIDTH, SIMILARITY).select(F.col("doc_id").alias("id"), "component_id").filter("id is not null"))
-    lost = found.filter("id <> component_id").select("id").distinct()
-    kept = docs.join(lost, docs["doc_id"] == lost["id"], "left_anti")
-    again = found.filter("id = component_id").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
-    if not again.isEmpty():
-        once = kept.join(again, kept["doc_id"] == again["id"], "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, kept["doc_id"] == again["id"], "left_anti").unionByName(once)
-    return kept
-
-
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of ten words of a benchmark item go."""
-    found = decontam.contamination(_with_row(docs), table(spark, sf_dir, "benchmark"), keep=("row",))
-    return found.filter("not contaminated").select("row.*")
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: number of tokens and digests of ids and decoded text."""
-    return bpe.bpe_digest(docs, queries.tokenizer_path())
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("language", drop_unknown_language),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_leaks),
-    ("tokens", tokens),
-]
-
-#: Learned scores, suffix automata, fingerprints and merges cannot be expressed in SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; between stages the rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    checkpoint(spark.range(1))  # sets a checkpoint folder where none is set
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{name}")
-            docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
