@@ -4,9 +4,10 @@ Benchmark items become windows of consecutive words; all windows of all items ar
 Each text is scanned once in normalised form; where a window ends, its words are marked, and word numbers lead
 back to offsets in the original text.
 
-The windows are broadcast; that is safe up to ``MAX_PATTERN_BYTES``, which is checked first. Larger benchmarks
-are scanned in several passes, each with an automaton for a hashed part of the items, and the marks are joined
-row by row, so the text is never shuffled.
+The windows are broadcast; that is safe up to ``MAX_PATTERN_BYTES``, which is checked first. Larger benchmarks are cut
+into pieces, a giant item too, and scanned in several passes, one job after another: each pass has the automaton of
+a hashed part of the pieces, writes the marks of the texts that it hits, and gives its automaton up before the next one.
+The marks are joined to the rows by a digest of the text.
 
 Null and empty texts have no words and no hits. Items without words, and null items, match nothing. Items with a
 null id can mark words but are not named. Repeated items and rows count like any others.
@@ -15,18 +16,22 @@ null id can mark words but are not named. Repeated items and rows count like any
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS
+from .common import BATCH_ROWS, checkpoint
 
-#: Bytes of benchmark text for one automaton.
-MAX_PATTERN_BYTES = 32 << 20
+#: Bytes of windows in one automaton, which takes some 90 bytes of memory for each; words of one piece of an item.
+MAX_PATTERN_BYTES, PIECE = 2 << 20, 4096
+#: Bytes of marks up to which they are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
 #: Words of a text that has not been lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: On UTF-8 bytes: A-Z to a-z; other ASCII that is no digit or letter to a space; bytes from 0x80 on stay.
@@ -58,8 +63,8 @@ class Scanner:
             self.find.make_automaton()
         self.any = bool(owners)
 
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
-        """Number of words, marked ranges of words [from, to), items."""
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, int, int]], set[int]]:
+        """Number of words, marks, items."""
         words = normal_words(text)
         if not words or not self.any:
             return len(words), [], set()
@@ -77,16 +82,17 @@ class Scanner:
             while ranges and ranges[-1][1] >= start:
                 start = min(start, ranges.pop()[0])
             ranges.append((start, stop))
-        return len(words), ranges, items
+        return len(words), [(*r, *s) for r, s in zip(ranges, spans_of(text, ranges), strict=True)], items
 
 
-def _join(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for start, stop in sorted([*a, *b]):
-        if out and out[-1][1] >= start:
-            out[-1] = (out[-1][0], max(stop, out[-1][1]))
+def merged(marks: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Marks (from word, to word, from character, to character) of which none touches another."""
+    out: list[tuple[int, int, int, int]] = []
+    for w0, w1, c0, c1 in sorted(marks):
+        if out and out[-1][1] >= w0:
+            out[-1] = (out[-1][0], max(w1, out[-1][1]), out[-1][2], max(c1, out[-1][3]))
         else:
-            out.append((start, stop))
+            out.append((w0, w1, c0, c1))
     return out
 
 
@@ -96,54 +102,116 @@ def spans_of(text: str | None, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(words[a][0], words[b - 1][1]) for a, b in ranges]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_spans: bool = False) -> DataFrame:
-    """Columns ``keep``, n_words, n_hit, n_items, items_sha256, contaminated; with spans also [from, to, from, ...] offsets."""
+def pieces(benchmark: DataFrame, size: int, item: str = "item_id", text: str = "text") -> DataFrame:
+    """(item_id, text): normal words of the items, in pieces that together have the items' windows."""
+
+    def cut(batches):
+        for batch in batches:
+            ids, out = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = normal_words(t)
+                for at in range(0, max(1, len(words) - size + 1) if words else 0, PIECE):
+                    ids.append(i)
+                    out.append(b" ".join(words[at : at + PIECE + size - 1]).decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["item_id", "text"])
+
+    return benchmark.select(F.col(item).cast("bigint").alias("item_id"), F.col(text).alias("text")).mapInArrow(cut, "item_id bigint, text string")
+
+
+FIELDS = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean", "spans": "string"}
+ARROW = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
+
+
+def summary(n_words: int, marks: list[tuple[int, int, int, int]], items: set[int]) -> tuple:
+    """The values of ``FIELDS``; spans are character offsets in the original text, like ``10-75,90-120``."""
+    hit = sum(w1 - w0 for w0, w1, _, _ in marks)
+    return n_words, hit, len(items), sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), hit > 0, ",".join(f"{c0}-{c1}" for _, _, c0, c1 in marks)
+
+
+def map_rows(frame: DataFrame, n: int, make, fields: dict[str, str]) -> DataFrame:
+    """The first n columns (k0, ...) and what a function, made once a task, makes of the others row by row; None leaves a row out."""
+    kept = frame.schema[:n]
+
+    def run(batches):
+        f = make()
+        for batch in batches:
+            made = [f(*row) for row in zip(*(c.to_pylist() for c in batch.columns[n:]), strict=True)]
+            some = pa.array([m is not None for m in made])
+            values = list(zip(*(m for m in made if m is not None), strict=True)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([*(c.filter(some) for c in batch.columns[:n]), *(pa.array(v, ARROW[t]) for v, t in zip(values, fields.values(), strict=True))], names=[*(f.name for f in kept), *fields])
+
+    return frame.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), *(f"{k} {t}" for k, t in fields.items())]))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
     spark = docs.sparkSession
-    part = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null")
-    total = part.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = pieces(benchmark, size)
+    total = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total * size // MAX_PATTERN_BYTES))
     n = len(keep)
-    # Marks of earlier passes travel as binary columns beside the text.
-    frame = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("value"), F.lit(None).cast("binary").alias("ranges"), F.lit(None).cast("binary").alias("items"))
+    frame = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("value"))
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    for k in range(passes):
-        rows = part.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).distinct().collect()
-        frame = frame.mapInArrow(_pass(spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows]), size, n), frame.schema)
-    fields = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
-    if with_spans:
-        fields.append(("spans", pa.list_(pa.int64())))
-
-    def digest(batches):
-        for batch in batches:
-            out = [[] for _ in fields]
-            for value, raw, who in zip(*(batch.column(n + i).to_pylist() for i in range(3)), strict=True):
-                ranges = np.frombuffer(raw or b"", np.int64).reshape(-1, 2)
-                items = np.frombuffer(who or b"", np.int64).tolist()
-                hit = int((ranges[:, 1] - ranges[:, 0]).sum())
-                made = (len(normal_words(value)), hit, len(items), sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), hit > 0)
-                if with_spans:
-                    made += ([x for s in spans_of(value, ranges.tolist()) for x in s],)
-                for column, x in zip(out, made, strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(v, t) for v, (_, t) in zip(out, fields, strict=True))], names=[*(f"k{i}" for i in range(n)), *(f for f, _ in fields)])
-
-    kinds = {pa.int64(): "bigint", pa.string(): "string", pa.bool_(): "boolean"}
-    schema = ", ".join([*(f"k{i} {frame.schema[f'k{i}'].dataType.simpleString()}" for i in range(n)), *(f"{f} {kinds.get(t, 'array<bigint>')}" for f, t in fields)])
-    out = frame.mapInArrow(digest, schema)
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(f for f, _ in fields))
-
-
-def _pass(items, size: int, n: int):
-    def run(batches):
-        scanner = Scanner(items.value, size)
-        for batch in batches:
-            marks, who = [], []
-            for value, raw, before in zip(*(batch.column(n + i).to_pylist() for i in range(3)), strict=True):
-                _, ranges, found = scanner.scan(value)
-                old = [tuple(x) for x in np.frombuffer(raw or b"", np.int64).reshape(-1, 2).tolist()]
-                marks.append(np.array(_join(old, ranges), np.int64).tobytes())
-                who.append(np.array(sorted({*np.frombuffer(before or b"", np.int64).tolist(), *found}), np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(marks, pa.binary()), pa.array(who, pa.binary())], names=batch.schema.names)
-
-    return run
+
+    def scanner(k: int):
+        """A broadcast of the pieces of pass k, and what makes their scanner."""
+        rows = parts.filter(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).distinct().collect()
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.item_id, r.text) for r in rows]))
+        return shared, lambda: scanner_of(*shared.value, size)
+
+    if passes == 1:
+        _, make = scanner(0)
+
+        def whole():
+            scan = make().scan
+            return lambda value: summary(*scan(value))
+
+        out = map_rows(frame, n, whole, FIELDS)
+    else:
+        found = None
+        for k in range(passes):
+            shared, make = scanner(k)
+
+            def hits(make=make):
+                scan = make().scan
+
+                def one(value):
+                    _, marks, items = scan(value)
+                    return (digest(value), np.array(marks, np.int64).tobytes(), np.array(sorted(items), np.int64).tobytes()) if marks else None
+
+                return one
+
+            marked = checkpoint(map_rows(frame.select("value"), 0, hits, {"key": "binary", "marks": "binary", "items": "binary"}).dropDuplicates(["key"]))
+            shared.destroy()
+            found = marked if found is None else found.unionByName(marked)
+        found = found.groupBy("key").agg(F.collect_list("marks").alias("marks"), F.collect_list("items").alias("items"))
+        found = checkpoint(found)
+        weight = found.agg(F.sum(F.lit(64) + F.octet_length(F.concat_ws("", F.transform("marks", F.hex), F.transform("items", F.hex))))).first()[0] or 0
+        words = map_rows(frame.select(*frame.columns[:n], "value"), n, lambda: lambda value: (digest(value), len(normal_words(value))), {"key": "binary", "words": "bigint"})
+        joined = words.join(F.broadcast(found) if weight <= BROADCAST_BYTES else found, "key", "left")
+
+        def join():
+            def one(words, marks, items):
+                quads = [tuple(m) for raw in marks or [] for m in np.frombuffer(raw, np.int64).reshape(-1, 4).tolist()]
+                return summary(words, merged(quads), {i for raw in items or [] for i in np.frombuffer(raw, np.int64).tolist()})
+
+            return one
+
+        out = map_rows(joined.select(*frame.columns[:n], "words", "marks", "items"), n, join, FIELDS)
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *FIELDS)
+
+
+def digest(text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+
+
+#: The scanner of this process and its name: tasks that run in one process after another share it.
+SCANNERS: dict[str, Scanner] = {}
+
+
+def scanner_of(name: str, items: list, size: int) -> Scanner:
+    if name not in SCANNERS:
+        SCANNERS.clear()
+        SCANNERS[name] = Scanner(items, size)
+    return SCANNERS[name]

@@ -100,7 +100,7 @@ FROM q
 """,
     "op9_decontam": rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS k, doc_id,
+  SELECT row_number() OVER () AS k, doc_id, string_split_regex(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS gaps,
          regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 b AS (
@@ -116,12 +116,21 @@ dw AS (
   FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i
         FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
 m AS (SELECT k, i, n, item_id FROM dw JOIN bw USING (n, s)),
-h AS (SELECT k, count(DISTINCT pos) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS pos FROM m) GROUP BY k),
+u AS (SELECT DISTINCT k, pos FROM (SELECT k, unnest(range(i, i + n)) AS pos FROM m)),
+h AS (SELECT k, count(*) AS n_hit FROM u GROUP BY k),
+g AS (SELECT k, min(pos) AS a, max(pos) AS b FROM (SELECT k, pos, pos - row_number() OVER (PARTITION BY k ORDER BY pos) AS run FROM u) GROUP BY k, run),
+c AS (
+  SELECT k, string_agg(f || '-' || t, ',' ORDER BY f) AS spans
+  FROM (SELECT k, CAST(list_sum(list_transform(gaps[1:a], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:a - 1], lambda x: length(x))), 0) AS BIGINT) AS f,
+               CAST(list_sum(list_transform(gaps[1:b], lambda x: length(x))) + list_sum(list_transform(w[1:b], lambda x: length(x))) AS BIGINT) AS t
+        FROM g JOIN d USING (k))
+  GROUP BY k),
 t AS (
   SELECT k, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS items_sha256
   FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS s FROM m WHERE item_id IS NOT NULL) GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k)
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(spans, '') AS spans
+FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k) LEFT JOIN c USING (k)
 """,
 }
