@@ -2,12 +2,15 @@
 
 Equal texts are one group and stay in one shard. Groups are ordered by a hash of their text; the bounded number of
 ``UNITS`` hash ranges are the atomic sizes: up to about that many groups a range is one group, beyond it a range of
-groups is about 1/UNITS of all bytes. A group larger than an even share gets a shard of its own; the others are cut in order. The
-smallest capacity for which a greedy pass needs no more than the shards left is found by binary search, and the cuts
-are placed there: each as near to an even share as the capacity and the cuts after it allow.
+groups is about 1/UNITS of all bytes. The order is cut into shards that are either of one atom or within a capacity;
+the smallest capacity for which a greedy pass needs no more than the shards is found by binary search. So an atom over
+an even share takes a shard to itself where it stands, and the stretches between such atoms get the shards that the
+greedy pass gave them. Within a stretch the cuts are placed at its own smallest capacity, each as near to an even share
+as that capacity allows.
 
-Only the sums of the ranges reach the driver. Slots are numbered within cells of hashed rows, whose counts are summed
-before them, so no task gets a shard or a group as a whole.
+Sizes are computed in one pass over the texts and checkpointed; only the sums of the ranges reach the driver. Slots are
+numbered within partitions of the checkpoint, whose counts by shard are summed before them, so no task gets a shard, a
+group or the copies of one row as a whole.
 
 Null texts have no bytes: they have size 1, text_crc32 0 and are one group with empty texts. Repeated rows and null ids
 are kept, each in a slot of its own. Empty tables give no rows.
@@ -15,17 +18,12 @@ are kept, each in a slot of its own. Empty tables give no rows.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-UNITS = 1 << 15
-
+from .common import checkpoint
 
-def cells_for(rows: int) -> int:
-    """Cells in which slots are numbered: about 2,000 rows each, growing for very large tables, so that neither cells nor their list gets long."""
-    return max(1, math.ceil(min(rows / 2_000, 20_000 + rows / 100_000)))
+UNITS = 1 << 15
 
 
 def cuts_needed(sizes: list[int], capacity: int) -> int:
@@ -74,49 +72,55 @@ def contiguous_cuts(sizes: list[int], shards: int) -> list[int]:
     return cuts
 
 
-def plan(units: list[tuple[int, int]], shards: int) -> tuple[dict[int, int], list[int], int]:
-    """From (unit, bytes) in order: units with a shard of their own, the units at which further shards begin, the first shard of those."""
-    rest, alone = dict(units), []
-    while rest and len(alone) < shards - 1:
-        unit = max(rest, key=lambda u: (rest[u], -u))
-        if rest[unit] * (shards - len(alone)) <= sum(rest.values()):
-            break
-        alone.append(unit)
-        del rest[unit]
-    order = sorted(rest)
-    cuts = contiguous_cuts([rest[u] for u in order], shards - len(alone))
-    begin = [order[c] if c < len(order) else UNITS for c in cuts]
-    return {u: i for i, u in enumerate(alone)}, begin, len(alone)
+def stretches(sizes: list[int], capacity: int) -> list[tuple[int, int, int]]:
+    """(from, to, shards) of a greedy pass: atoms over the capacity on their own, what stands between them by as many shards as it needs."""
+    out, at = [], 0
+    for k, s in enumerate([*sizes, None]):
+        if s is None or s > capacity:
+            if at < k:
+                out.append((at, k, cuts_needed(sizes[at:k], capacity)))
+            if s is not None:
+                out.append((k, k + 1, 1))
+            at = k + 1
+    return out
 
 
-def shard_of(unit: Column, alone: dict[int, int], begin: list[int], first: int) -> Column:
-    passed = sum((F.when(unit >= F.lit(b), 1).otherwise(0) for b in begin), F.lit(first))
-    for u, s in alone.items():
-        passed = F.when(unit == F.lit(u), s).otherwise(passed)
-    return passed.cast("int")
+def plan(sizes: list[int], shards: int) -> list[int]:
+    """Positions at which shards 1, 2, ... begin; shards left over are empty at the end."""
+    low, high = 0, sum(sizes)
+    while low < high:
+        middle = (low + high) // 2
+        if sum(n for *_, n in stretches(sizes, middle)) <= shards:
+            high = middle
+        else:
+            low = middle + 1
+    cuts = []
+    for a, b, n in stretches(sizes, low):
+        cuts += [a, *(a + c for c in contiguous_cuts(sizes[a:b], n))]
+    return [*cuts[1:], *[len(sizes)] * (shards - max(1, len(cuts)))]
 
 
 def shard(df: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard) for every row; the law is ``bytes``."""
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    hashed = F.xxhash64(whole)
-    rows = df.select(
-        F.col(f"`{key}`").alias("id"),
-        (F.octet_length(whole) + 1).cast("bigint").alias("size"),
-        F.crc32(whole).alias("crc"),
-        F.pmod(hashed, F.lit(UNITS)).cast("int").alias("unit"),
-        hashed.alias("hash"),
+    rows = checkpoint(
+        df.select(
+            F.col(f"`{key}`").alias("id"),
+            (F.octet_length(whole) + 1).cast("bigint").alias("size"),
+            F.crc32(whole).alias("crc"),
+            F.pmod(F.xxhash64(whole), F.lit(UNITS)).cast("int").alias("unit"),
+        )
     )
     # Partial sums leave at most one row a unit and task before the shuffle, however large a group is.
-    sums = rows.groupBy("unit").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    alone, begin, first = plan(sorted((r.unit, r.bytes) for r in sums), shards)
-    cells = cells_for(sum(r.n for r in sums))
-    dealt = rows.select("id", "size", "crc", "hash", shard_of(F.col("unit"), alone, begin, first).alias("shard"), F.pmod(F.xxhash64("id", "hash", "size"), F.lit(cells)).alias("cell"))
-    counted = dealt.groupBy("shard", "cell").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select("shard", "cell", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("shard", "cell").orderBy("hash", "id")
-    slotted = dealt.withColumn("at", F.row_number().over(within)).join(offsets, ["shard", "cell"])
+    sums = sorted((r.unit, r.bytes) for r in rows.groupBy("unit").agg(F.sum("size").alias("bytes")).collect())
+    begin = [sums[c][0] if c < len(sums) else UNITS for c in plan([b for _, b in sums], shards)]
+    passed = sum((F.when(F.col("unit") >= F.lit(b), 1).otherwise(0) for b in begin), F.lit(0)).cast("int")
+    dealt = rows.select("id", "size", "crc", "unit", passed.alias("shard"), F.spark_partition_id().alias("part"))
+    counted = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select("shard", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("shard", "part").orderBy("unit", "id", "size", "crc")
+    slotted = dealt.withColumn("at", F.row_number().over(within)).join(offsets, ["shard", "part"])
     return slotted.select(
         F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("ahead") + F.col("at") - 1).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
