@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from gridloom import catalog
+from gridloom import catalog, catalog_files
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = "/root/testdata/sf0.001"
@@ -18,14 +18,18 @@ def con():
     return made
 
 
+SQL = {**catalog.ORACLE_SQL, **catalog_files.ORACLE_SQL}
+QUERIES = {**catalog.QUERIES, **catalog_files.QUERIES}
+
+
 def plain(d):
     return sorted(map(repr, d.astype(object).where(d.notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", catalog.ORACLE_SQL)
+@pytest.mark.parametrize("name", SQL)
 def test_sql(spark, con, name):
-    expected = con.execute(catalog.ORACLE_SQL[name]).df()
-    found = catalog.QUERIES[name](spark, FOLDER).toPandas()
+    expected = con.execute(SQL[name]).df()
+    found = QUERIES[name](spark, FOLDER).toPandas()
     assert sorted(found.columns) == sorted(expected.columns)
     assert plain(found[list(expected.columns)]) == plain(expected)
 
