@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import Shape
-from .mapgrid import interpolate_map, map_nodes, update
+from .mapgrid import interpolate_map, map_nodes
 
 
 def rescale(points: DataFrame, full: tuple[int, int], target: tuple[int, int]) -> DataFrame:
@@ -36,8 +36,3 @@ def inverse_map(values: DataFrame, shape: Shape, spacing: int, rounds: int = 8,
         parts = F.array(*(F.struct(F.lit(k).alias("dof"), (-F.col(f"d{k}") if k else F.lit(0.0)).alias("value")) for k in range(shape.ndim + 1)))
         inverse = at.select(F.col("point").cast("int").alias("node"), F.inline(parts))
     return inverse
-
-
-def compose(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Sum of two maps on the same nodes: their composition to first order."""
-    return update(first, second)

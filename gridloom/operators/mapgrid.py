@@ -113,11 +113,18 @@ def interpolate_map(points: DataFrame, values: DataFrame, shape: Shape, spacing:
         corners.append([F.struct((base + k).alias("i"), (F.lit(1.0) - F.abs(F.col(place[d]) - (F.lit(lo) + (base + k) * F.lit(float(spacing)))) / F.lit(float(spacing))).alias("w")) for k in (0, 1)])
     if shape.ndim == 2:
         corners.append([F.struct(F.lit(0).alias("i"), F.lit(1.0).alias("w"))])
-    every = F.array(*(F.struct(ravel(x["i"], y["i"], z["i"], nodes).alias("node"), (x["w"] * y["w"] * z["w"]).alias("phi")) for z in corners[2] for y in corners[1] for x in corners[0]))
+    each = [(ravel(x["i"], y["i"], z["i"], nodes), x["w"] * y["w"] * z["w"]) for z in corners[2] for y in corners[1] for x in corners[0]]
+    wide, dofs = map_pivot(values, shape, by), range(shape.ndim + 1)
+    if not by and nodes.size <= BROADCAST_ROWS:
+        # The whole map is one row of arrays beside each point: nothing is shuffled.
+        whole = wide.agg(F.sort_array(F.collect_list(F.struct("node", *(f"d{k}" for k in dofs)))).alias("_m"))
+        whole = whole.select(*(F.col("_m")[f"d{k}"].alias(f"_d{k}") for k in dofs))
+        beside = points.crossJoin(F.broadcast(whole)).select(*key, *(n.alias(f"_n{i}") for i, (n, _) in enumerate(each)), *(w.alias(f"_w{i}") for i, (_, w) in enumerate(each)), *(f"_d{k}" for k in dofs))
+        return beside.select(*key, *(sum((F.col(f"_w{i}") * F.get(f"_d{k}", F.col(f"_n{i}")) for i in range(len(each))), F.lit(0.0)).alias(f"d{k}") for k in dofs))
+    every = F.array(*(F.struct(n.alias("node"), w.alias("phi")) for n, w in each))
     ends = points.select(*by, *key, F.inline(every))
-    wide = map_pivot(values, shape, by)
     joined = ends.join(wide if by else small(wide, nodes.size), [*by, "node"])
-    return joined.groupBy(*by, *key).agg(*(F.sum(F.col("phi") * F.col(f"d{k}")).alias(f"d{k}") for k in range(shape.ndim + 1)))
+    return joined.groupBy(*by, *key).agg(*(F.sum(F.col("phi") * F.col(f"d{k}")).alias(f"d{k}") for k in dofs))
 
 
 def map_coordinates(pixels: DataFrame, values: DataFrame, shape: Shape, spacing: int, by: tuple[str, ...] = (), cover: bool = False) -> DataFrame:
@@ -143,14 +150,30 @@ def warp(image: DataFrame, values: DataFrame, shape: Shape, spacing: int, by: tu
 
 def map_nodes(spark: SparkSession, shape: Shape, spacing: int, cover: bool = False) -> DataFrame:
     """(node, ix, iy, iz, lx, ly, lz) of all nodes of a map."""
+    return node_table(spark.range(map_shape(shape, spacing, cover).size), shape, spacing, cover)
+
+
+def node_table(ids: DataFrame, shape: Shape, spacing: int, cover: bool = False) -> DataFrame:
+    """ids (.., id) with the index and place of each node."""
     nodes = map_shape(shape, spacing, cover)
-    out = spark.range(nodes.size).select(F.col("id").cast("int").alias("node"), *(c.alias(f"i{a}") for a, c in zip(AXES, _unravel(nodes), strict=True)))
+    out = ids.select(*(c for c in ids.columns if c != "id"), F.col("id").cast("int").alias("node"), *(c.alias(f"i{a}") for a, c in zip(AXES, _unravel(nodes), strict=True)))
     for a, e in zip(AXES, shape.extents, strict=True):
         lo = node_locations(e, spacing, cover)[0]
         out = out.withColumn(f"l{a}", F.lit(lo) + F.col(f"i{a}") * F.lit(float(spacing) if e > 1 else 0.0))
     return out
 
 
+#: Nodes of one inner list of every_node.
+CHUNK = 1 << 16
+
+
+def every_node(blocks: DataFrame, nodes: int, name: str) -> DataFrame:
+    """blocks with each node 0, 1, ...: lists in two steps, no product of tables."""
+    parts = blocks.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit((nodes - 1) // CHUNK))))
+    low = F.col("_part") * CHUNK
+    return parts.withColumn(name, F.explode(F.sequence(low, F.least(low + (CHUNK - 1), F.lit(nodes - 1))))).drop("_part")
+
+
 def _unravel(nodes: Shape) -> list[Column]:
     i = F.col("id")
     return [(i % nodes.nx).cast("int"), (F.floor(i / nodes.nx) % nodes.ny).cast("int"), F.floor(i / (nodes.nx * nodes.ny)).cast("int")]
@@ -165,10 +188,12 @@ def refine(values: DataFrame, shape: Shape, spacing: int, finer: int, by: tuple[
     """The map on nodes of a finer spacing, all dofs."""
     if finer > spacing:
         raise GridError(f"a map can't be made coarser: {spacing} to {finer}")
-    nodes = map_nodes(values.sparkSession, shape, finer, cover).withColumnsRenamed({"lx": "px", "ly": "py", "lz": "pz"})
+    n = map_shape(shape, finer, cover).size
     if by:
-        nodes = nodes.crossJoin(F.broadcast(values.select(*by).distinct())) if nodes.count() <= BROADCAST_ROWS else nodes.join(values.select(*by).distinct())
-    points = nodes.withColumnRenamed("node", "point")
+        points = node_table(every_node(values.select(*by).distinct(), n, "id"), shape, finer, cover)
+    else:
+        points = map_nodes(values.sparkSession, shape, finer, cover)
+    points = points.withColumnsRenamed({"lx": "px", "ly": "py", "lz": "pz", "node": "point"})
     wide = interpolate_map(points, values, shape, spacing, by, cover, key=("point",), place=("px", "py", "pz"))
     dofs = F.array(*(F.struct(F.lit(k).alias("dof"), F.col(f"d{k}").alias("value")) for k in range(shape.ndim + 1)))
     return wide.select(*by, F.col("point").cast("int").alias("node"), F.inline(dofs))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.grid import Shape, moore, von_neumann
-from .mapgrid import map_shape, with_nodes
+from ..functions.grid import Shape, von_neumann
+from .mapgrid import BROADCAST_ROWS, every_node, with_nodes
 
 
 def incidence(pixels: DataFrame, shape: Shape, spacing: int, cover: bool = False) -> DataFrame:
@@ -18,17 +18,33 @@ def incidence(pixels: DataFrame, shape: Shape, spacing: int, cover: bool = False
 def normal_equations(gradients: DataFrame, shape: Shape, spacing: int, by: tuple[str, ...] = (), compat: bool = False, cover: bool = False) -> tuple[DataFrame, DataFrame]:
     """Matrix (by, dof, r, c, v) and right side (by, dof, r, v) from g0.. and d, never making the tall matrix.
 
-    Node pairs come from each pixel's own short array, so pixels are not shuffled: only sums by (r, c) are, after
-    partial sums. compat: the right side counts each pixel half for every node that reaches it.
+    Pixels of one cell are reached by the same nodes, at most 2^d. So products are summed by (cell, dof) first, one column
+    for each pair of nodes and half of them by symmetry: no row is made for a pair of nodes and a pixel, and what is
+    shuffled is some rows a cell and task. compat: the right side counts each pixel half for every node that reaches it.
     """
+    sums = _cell_sums(gradients, shape, spacing, by, compat, cover)
+    most = 2**shape.ndim
+    ends = [(i, j, f"m{min(i, j)}_{max(i, j)}") for i in range(most) for j in range(most)]
+    entries = F.array(*(F.struct(F.col(f"n{i}").alias("r"), F.col(f"n{j}").alias("c"), F.col(m).alias("v")) for i, j, m in ends))
+    matrix = sums.select(*by, "dof", F.inline(entries)).filter("r is not null and c is not null").groupBy(*by, "dof", "r", "c").agg(F.sum("v").alias("v"))
+    sides = F.array(*(F.struct(F.col(f"n{i}").alias("r"), F.col(f"u{i}").alias("v")) for i in range(most)))
+    right = sums.select(*by, "dof", F.inline(sides)).filter("r is not null").groupBy(*by, "dof", "r").agg(F.sum("v").alias("v"))
+    return matrix, right
+
+
+def _cell_sums(gradients: DataFrame, shape: Shape, spacing: int, by: tuple[str, ...], compat: bool, cover: bool) -> DataFrame:
+    """(by, dof, first, last, n0.., m0_0.., u0..): per cell its nodes, and sums of g g phi phi and of g d phi. A cell is told by its first and last node."""
+    most = 2**shape.ndim
     dofs = F.array(*(F.struct(F.lit(k).alias("dof"), F.col(f"g{k}").alias("g")) for k in range(shape.ndim + 1)))
-    each = with_nodes(gradients, shape, spacing, cover).select(*by, "d", "nodes", F.inline(dofs))
-    rows = each.select(*by, "dof", "g", "d", "nodes", F.inline("nodes")).withColumnsRenamed({"n": "r", "phi": "pr"})
-    pairs = rows.select(*by, "dof", "g", "r", "pr", F.inline("nodes")).withColumnsRenamed({"n": "c", "phi": "pc"})
-    matrix = pairs.groupBy(*by, "dof", "r", "c").agg(F.sum(F.col("g") * F.col("pr") * F.col("g") * F.col("pc")).alias("v"))
     weight = F.lit(0.5) * F.size("nodes") if compat else F.lit(1.0)
-    right = rows.groupBy(*by, "dof", "r").agg(F.sum(weight * F.col("g") * F.col("d") * F.col("pr")).alias("v"))
-    return matrix, right
+    phis = [F.get("nodes", F.lit(i)) for i in range(most)]
+    each = with_nodes(gradients, shape, spacing, cover).filter(F.size("nodes") > 0).select(*by, (F.col("d") * weight).alias("d"), *(q["n"].alias(f"n{i}") for i, q in enumerate(phis)), *(q["phi"].alias(f"p{i}") for i, q in enumerate(phis)), F.element_at("nodes", -1)["n"].alias("last"), F.inline(dofs))
+    g, products = F.col("g"), [(i, j) for i in range(most) for j in range(i, most)]
+    return each.groupBy(*by, "dof", F.col("n0").alias("first"), "last").agg(
+        *(F.max(f"n{i}").alias(f"n{i}") for i in range(most)),
+        *(F.sum(g * F.col(f"p{i}") * g * F.col(f"p{j}")).alias(f"m{i}_{j}") for i, j in products),
+        *(F.sum(g * F.col("d") * F.col(f"p{i}")).alias(f"u{i}") for i in range(most)),
+    )
 
 
 def diagonal_sum(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -72,7 +88,8 @@ def matvec(a: DataFrame, x: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return a.join(x.select(*by, "dof", F.col("r").alias("c"), F.col("v").alias("_x")), [*by, "dof", "c"]).groupBy(*by, "dof", "r").agg(F.sum(F.col("v") * F.col("_x")).alias("v"))
 
 
-def moore_pairs(spark: SparkSession, shape: Shape, spacing: int) -> DataFrame:
-    """(r, o): offsets of a node's row, for the pattern of the matrix."""
-    nodes = map_shape(shape, spacing)
-    return spark.range(nodes.size).select(F.col("id").cast("int").alias("r"), F.explode(F.array(*map(F.lit, moore(nodes)))).alias("o"))
+def per_block(blocks: DataFrame, smoother: DataFrame, nodes: int) -> DataFrame:
+    """smoother (r, c, v) once for each row of blocks: broadcast where it is small, else by an equal join on the node."""
+    if nodes <= BROADCAST_ROWS // 25:  # a node has at most 25 neighbours in the squared Laplacian
+        return blocks.crossJoin(F.broadcast(smoother))
+    return every_node(blocks, nodes, "r").join(smoother, "r")

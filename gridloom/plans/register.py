@@ -21,7 +21,7 @@ from ..functions.grid import AXES, Shape
 from ..operators.image import apply_mask, normalise, pair_up, registration_gradients
 from ..operators.mapgrid import levels, map_shape, refine, small, update, warp, zero_map
 from ..operators.metrics import delta_stats, joint_histogram, mutual_information
-from ..operators.normal import diagonal_sum, laplacian_squared, matvec, normal_equations, precondition
+from ..operators.normal import diagonal_sum, laplacian_squared, matvec, normal_equations, per_block, precondition
 from ..operators.solve import condition_numbers, search_smoothings, solve
 from ..session import checkpoint
 
@@ -102,8 +102,8 @@ def step(fixed: DataFrame, registered: DataFrame, values: DataFrame, shape: Shap
 
         lam = search_smoothings(conditions, {p: (guesses or {}).get(p) for p in chi})
     weights = spark.createDataFrame([(p, float(lam[p] * options.lam_mult * chi[p])) for p in chi], "pair_id string, weight double")
-    smooth = matrix.select("pair_id", "dof").distinct().join(small(weights, len(chi)), "pair_id").crossJoin(F.broadcast(smoother) if nodes.size <= 20_000 else smoother)
-    smooth = smooth.select("pair_id", "dof", "r", "c", (F.col("v") * F.col("weight")).alias("v"))
+    blocks = matrix.select("pair_id", "dof").distinct().join(small(weights, len(chi)), "pair_id")
+    smooth = per_block(blocks, smoother, nodes.size).select("pair_id", "dof", "r", "c", (F.col("v") * F.col("weight")).alias("v"))
     whole = matrix.unionByName(smooth).groupBy("pair_id", "dof", "r", "c").agg(F.sum("v").alias("v"))
     if options.with_memory and not options.compat:
         pull = matvec(smooth, values.select("pair_id", "dof", F.col("node").alias("r"), F.col("value").alias("v")), PAIR)

@@ -40,10 +40,12 @@ def pixels_of(spark: SparkSession, path: str, decode: Callable[[bytes], np.ndarr
             for data in batch.column(0).to_pylist():
                 values = decode(data)
                 values = values if values.ndim == 3 else values[None]
-                nz, ny, nx = values.shape
-                for z in range(nz):
-                    for y in range(ny):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(nx, dtype=np.int32)), pa.array(np.full(nx, y, np.int32)), pa.array(np.full(nx, z, np.int32)), pa.array(values[z, y].astype(np.float64))], names=["x", "y", "z", "v"])
+                _, ny, nx = values.shape
+                flat = values.reshape(-1)
+                for at in range(0, len(flat), 1 << 16):
+                    pos = np.arange(at, min(at + (1 << 16), len(flat)), dtype=np.int64)
+                    columns = [(pos % nx).astype(np.int32), (pos // nx % ny).astype(np.int32), (pos // (nx * ny)).astype(np.int32), flat[pos].astype(np.float64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["x", "y", "z", "v"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
 
@@ -167,10 +169,6 @@ def load_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(pd.concat(parts), "node int, dof int, value double, component string"), spark.createDataFrame(axes, "dim int, idx int, loc double")
 
 
-def node_places(axes: DataFrame) -> DataFrame:
-    return axes.select("dim", "idx", "loc")
-
-
 def read_landmarks(spark: SparkSession, path: str) -> DataFrame:
     """(lm_id, x, y) from a CSV file with a header line."""
     schema = T.StructType([T.StructField(c, T.IntegerType()) for c in ("lm_id", "x", "y")])

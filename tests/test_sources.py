@@ -100,7 +100,7 @@ def test_map_components(spark, tmp_path):
     sinks.write_map(values, shape, 30, f"{tmp_path}/map")
     found, axes = images.load_map(spark, f"{tmp_path}/map")
     assert {(r.component, r.value) for r in found.select("component", "value").distinct().collect()} == {("intensity", 0.0), ("x", 1.0), ("y", 2.0), ("z", 3.0)}
-    assert images.node_places(axes).count() == 13
+    assert axes.select("dim", "idx", "loc").count() == 13
     sinks.write_map(values, shape, 30, f"{tmp_path}/map.xdmf")
     assert set(hdf5.File((tmp_path / "map.xdmf.h5").read_bytes()).read("/map/y").ravel()) == {2.0} and "join($0, $1, $2)" in (tmp_path / "map.xdmf").read_text()
     with pytest.raises(WriterError):
