@@ -87,12 +87,13 @@ def scaled_sql(shape: Shape = R2) -> str:
     return f"{raster_sql(shape, 'raw')},\nq AS (SELECT x, y, z, f / (SELECT max(f) FROM raw) AS f, m / (SELECT max(m) FROM raw) AS m FROM raw)"
 
 
-def axes_sql(shape: Shape = R2, s: int = SPACING, prefix: str = "") -> str:
+def axes_sql(shape: Shape = R2, s: int = SPACING, prefix: str = "", cover: bool = False) -> str:
+    n = f"CAST(ceil(e / {s}e0) AS INT) + 1" if cover else f"greatest(3, CAST(ceil((e + 1) / {s}e0) AS INT))"
     ext = ", ".join(f"({d}, {e})" for d, e in enumerate(shape.extents))
     return f"""{prefix}axis AS (
   SELECT dim, e, CAST(i AS INT) AS idx, CASE WHEN e = 1 THEN 0e0 ELSE -((n - 1) * {s} - e) / 2e0 - 0.5e0 + i * {s} END AS loc
   FROM (SELECT dim, e, n, unnest(range(n)) AS i FROM (
-    SELECT dim, e, CASE WHEN e = 1 THEN 1 ELSE greatest(3, CAST(ceil((e + 1) / {s}e0) AS INT)) END AS n FROM (VALUES {ext}) v(dim, e)))),
+    SELECT dim, e, CASE WHEN e = 1 THEN 1 ELSE {n} END AS n FROM (VALUES {ext}) v(dim, e)))),
 {prefix}nb AS (
   SELECT *, CASE WHEN e = 1 THEN 0 ELSE greatest(0, CAST(ceil(loc - {s}) AS INT)) END AS lo_pix,
          CASE WHEN e = 1 THEN 1 ELSE least(e, CAST(floor(loc + {s}) AS INT)) END AS hi_pix FROM {prefix}axis),
@@ -101,8 +102,8 @@ def axes_sql(shape: Shape = R2, s: int = SPACING, prefix: str = "") -> str:
   FROM (SELECT *, unnest(range(lo_pix, hi_pix)) AS p FROM {prefix}nb))"""
 
 
-def nodes_of(shape: Shape = R2, s: int = SPACING) -> Shape:
-    return M.map_shape(shape, s)
+def nodes_of(shape: Shape = R2, s: int = SPACING, cover: bool = False) -> Shape:
+    return M.map_shape(shape, s, cover)
 
 
 def formula_sql(shape: Shape = R2, s: int = SPACING) -> str:
@@ -110,12 +111,12 @@ def formula_sql(shape: Shape = R2, s: int = SPACING) -> str:
     return f"map AS (SELECT CAST(a.range AS INT) AS node, CAST(d.range AS INT) AS dof, CASE WHEN d.range = 0 THEN 0e0 ELSE ((a.range * 7 + d.range * 3) % 5 - 2) * 0.7e0 END AS value FROM range({n}) a, range({shape.ndim + 1}) d)"
 
 
-def inside_sql(shape: Shape = R2, s: int = SPACING) -> str:
+def inside_sql(shape: Shape = R2, s: int = SPACING, cover: bool = False, name: str = "k", source: str = "g") -> str:
     """k: one row per pixel of g and node."""
-    n = nodes_of(shape, s)
-    return f"""k AS (
+    n = nodes_of(shape, s, cover)
+    return f"""{name} AS (
   SELECT (az.idx * {n.ny} + ay.idx) * {n.nx} + ax.idx AS n, (g.z * {shape.ny} + g.y) * {shape.nx} + g.x AS pos, ax.w * ay.w * az.w AS phi, g.*
-  FROM g JOIN axp ax ON ax.dim = 0 AND ax.p = g.x JOIN axp ay ON ay.dim = 1 AND ay.p = g.y JOIN axp az ON az.dim = 2 AND az.p = g.z)"""
+  FROM {source} g JOIN axp ax ON ax.dim = 0 AND ax.p = g.x JOIN axp ay ON ay.dim = 1 AND ay.p = g.y JOIN axp az ON az.dim = 2 AND az.p = g.z)"""
 
 
 def gradient_sql(c: str, axis: str) -> str:
@@ -341,10 +342,10 @@ def basis_incidence(spark, sf_dir):
     return k.select("n", G.ravel(F.col("x"), F.col("y"), F.col("z"), R3).alias("pos"), r6("phi").alias("phi"))
 
 
-def corners_sql(shape: Shape, s: int, points: str, key: str, out: str) -> str:
+def corners_sql(shape: Shape, s: int, points: str, key: str, out: str, cover: bool = False, source: str = "map") -> str:
     """out(key, d0, ..): the map at points(key, lx, ly, lz)."""
-    n, dims = nodes_of(shape, s), range(shape.ndim)
-    lo = [M.node_locations(e, s)[0] for e in shape.extents]
+    n, dims = nodes_of(shape, s, cover), range(shape.ndim)
+    lo = [M.node_locations(e, s, cover)[0] for e in shape.extents]
     base = ", ".join(f"CAST(greatest(least(floor((l{AXES[d]} - ({lo[d]}e0)) / {s}e0), {n.extents[d] - 2}), 0) AS INT) AS b{d}" for d in dims)
     ks = ", ".join(f"range(2) k{d}" for d in dims)
     node = " + ".join(f"(b{d} + k{d}.range) * {(1, n.nx, n.nx * n.ny)[d]}" for d in dims)
@@ -352,7 +353,7 @@ def corners_sql(shape: Shape, s: int, points: str, key: str, out: str) -> str:
     sums = ", ".join(f"sum(CASE WHEN dof = {k} THEN phi * value END) AS d{k}" for k in range(shape.ndim + 1))
     return f"""{out}_c AS (SELECT *, {base} FROM {points}),
 {out}_e AS (SELECT {key}, {node} AS node, {phi} AS phi FROM {out}_c, {ks}),
-{out} AS (SELECT {key}, {sums} FROM {out}_e JOIN map USING (node) GROUP BY {key})"""
+{out} AS MATERIALIZED (SELECT {key}, {sums} FROM {out}_e JOIN {source} AS map USING (node) GROUP BY {key})"""
 
 
 def source_sql(shape: Shape) -> str:
@@ -458,8 +459,8 @@ def diagonal_sum(spark, sf_dir):
     return N.diagonal_sum(_matrix(spark, sf_dir)).select(r6("trace").alias("trace"))
 
 
-def lap_sql(compat: bool = False) -> str:
-    n, nx = NODES.size, NODES.nx
+def lap_sql(compat: bool = False, nodes: Shape = NODES) -> str:
+    n, nx = nodes.size, nodes.nx
     inside = "" if compat else f" AND (abs(o) <> 1 OR r // {nx} = (r + o) // {nx})"
     return f"""le AS (SELECT CAST(r AS INT) AS r, CAST(r + o AS INT) AS c, 1e0 AS v FROM (SELECT a.range AS r, unnest([-{nx}, -1, 1, {nx}]) AS o FROM range({n}) a) WHERE r + o BETWEEN 0 AND {n - 1}{inside}),
 lap AS (SELECT r, c, v FROM le UNION ALL SELECT r, r, -sum(v) FROM le GROUP BY r),
@@ -543,9 +544,20 @@ def landmark_rescale(spark, sf_dir):
     return L.rescale(points, (800, 400), (50, 100))
 
 
-@query()
+def inverse_sql(rounds: int) -> str:
+    """Rounds of R'(x) = -R(x + R'(x)) at the nodes, from 0."""
+    parts = ["r0 AS (SELECT point, 0e0 AS d1, 0e0 AS d2 FROM nd)"]
+    for k in range(rounds):
+        sign = "-" if k else ""
+        parts.append(f"p{k} AS (SELECT nd.point, lx + ({sign}r{k}.d1) AS lx, ly + ({sign}r{k}.d2) AS ly, lz FROM nd JOIN r{k} USING (point))")
+        parts.append(corners_sql(R2, SPACING, f"p{k}", "point", f"r{k + 1}"))
+    ends = " UNION ALL ".join(f"SELECT point AS node, {k} AS dof, {'0e0' if not k else f'round(-d{k}, 6) + 0e0'} AS value FROM r{rounds}" for k in range(3))
+    return f"WITH {formula_sql()}, {axes_sql(R2, SPACING, 'finer_')}, {nodes_sql(R2, SPACING)}, {', '.join(parts)} {ends}"
+
+
+@query(inverse_sql(40))
 def inverse_map(spark, sf_dir):
-    return L.inverse_map(formula_map(spark), R2, SPACING, rounds=4)
+    return L.inverse_map(formula_map(spark), R2, SPACING, tolerance=1e-9).select("node", "dof", r6("value").alias("value"))
 
 
 # Registration: iterations that SQL can't express
@@ -564,11 +576,108 @@ def blobs(spark: SparkSession, shape: Shape, shifts: dict[str, tuple[float, ...]
     return union(False), union(True)
 
 
-@query()
+def round_sql(k: int, shape: Shape, s: int, lam: float) -> str:
+    """One round: from images fixed and reg{k} (x, y, z, v) and map{k} to delta{k} and map{k + 1}. A system is solved by Gauss-Jordan steps on lists."""
+    edge = lambda axis: f"0.5e0 * (coalesce(lead(g0) OVER w{axis}, g0) - coalesce(lag(g0) OVER w{axis}, g0))"
+    axes = AXES[: shape.ndim]
+    windows = ", ".join(f"w{a} AS (PARTITION BY {', '.join(b for b in AXES if b != a)} ORDER BY {a})" for a in axes)
+    dofs = " UNION ALL ".join(f"SELECT {d} AS dof, n, pos, phi, d, g{d} AS g FROM k{k}" for d in range(shape.ndim + 1))
+    n = nodes_of(shape, s, True).size
+    return f"""h{k} AS (SELECT a.x, a.y, a.z, a.v - b.v AS d, 1e0 - 0.5e0 * (a.v + b.v) AS g0 FROM fixed a JOIN reg{k} b USING (x, y, z)),
+g{k} AS (SELECT *, {', '.join(f'{edge(a)} AS g{i}' for i, a in enumerate(axes, 1))} FROM h{k} WINDOW {windows}),
+{inside_sql(shape, s, True, f'k{k}', f'g{k}')},
+kd{k} AS ({dofs}),
+mat{k} AS MATERIALIZED (SELECT a.dof, a.n AS r, b.n AS c, sum(a.g * a.phi * b.g * b.phi) AS v FROM kd{k} a JOIN kd{k} b ON a.pos = b.pos AND a.dof = b.dof GROUP BY 1, 2, 3),
+pre{k} AS MATERIALIZED (SELECT dof, r, c, CASE WHEN dof = 0 THEN v * (SELECT avg(v) FILTER (WHERE dof > 0) / avg(v) FILTER (WHERE dof = 0) FROM mat{k} WHERE r = c) ELSE v END AS v FROM mat{k}),
+sm{k} AS MATERIALIZED (SELECT d.range AS dof, r, c, {lam}e0 * v * (SELECT sum(v) FROM pre{k} WHERE r = c) / ({shape.ndim + 1} * (SELECT sum(v) FROM lap2 WHERE r = c)) AS v FROM lap2, range({shape.ndim + 1}) d),
+full{k} AS (SELECT dof, r, c, sum(v) AS v FROM (SELECT * FROM pre{k} UNION ALL SELECT * FROM sm{k}) GROUP BY 1, 2, 3),
+side{k} AS (SELECT dof, r, sum(v) AS v FROM (SELECT dof, n AS r, g * d * phi AS v FROM kd{k} UNION ALL SELECT m.dof, r, -m.v * value FROM sm{k} m JOIN map{k} p ON p.dof = m.dof AND p.node = m.c) GROUP BY 1, 2),
+dense{k} AS (SELECT b.dof, b.r, list(coalesce(f.v, 0e0) ORDER BY b.c) AS row FROM (SELECT d.range AS dof, a.range AS r, c.range AS c FROM range({shape.ndim + 1}) d, range({n}) a, range({n}) c) b LEFT JOIN full{k} f USING (dof, r, c) GROUP BY 1, 2),
+e{k} AS (
+  SELECT dof, 0 AS i, list(list_append(row, coalesce(v, 0e0)) ORDER BY r) AS m FROM dense{k} LEFT JOIN side{k} USING (dof, r) GROUP BY dof
+  UNION ALL
+  SELECT dof, i + 1, list_transform(m, lambda row, j: CASE WHEN j = i + 1 THEN list_transform(row, lambda x: x / row[i + 1]) ELSE list_transform(row, lambda x, c: x - row[i + 1] / m[i + 1][i + 1] * m[i + 1][c]) END) FROM e{k} WHERE i < {n}),
+delta{k} AS MATERIALIZED (SELECT CAST(a.range AS INT) AS node, CAST(dof AS INT) AS dof, m[a.range + 1][{n + 1}] AS value FROM e{k}, range({n}) a WHERE i = {n}),
+map{k + 1} AS MATERIALIZED (SELECT node, dof, a.value + b.value AS value FROM map{k} a JOIN delta{k} b USING (node, dof))"""
+
+
+def begin_sql(shape: Shape, s: int) -> str:
+    """Images, axes, Laplacian and zero map of a covering map."""
+    nodes = nodes_of(shape, s, True)
+    return f"""WITH RECURSIVE {scaled_sql(shape)},
+fixed AS (SELECT x, y, z, f AS v FROM q), moved AS (SELECT x, y, z, m AS v FROM q), reg0 AS (SELECT * FROM moved),
+{axes_sql(shape, s, '', True)},
+{lap_sql(False, nodes)},
+map0 AS (SELECT CAST(a.range AS INT) AS node, CAST(d.range AS INT) AS dof, 0e0 AS value FROM range({nodes.size}) a, range({shape.ndim + 1}) d)"""
+
+
+def moved_sql(k: int, shape: Shape, s: int) -> str:
+    """reg{k}: the moved image read through map{k}, divided by its largest value."""
+    dims = range(shape.ndim)
+    at = ", ".join(f"CAST(floor(s{AXES[d]}) AS INT) + {f'k{d}.range' if d in dims else '0'} AS c{AXES[d]}" for d in range(3))
+    c = " * ".join(f"(1e0 - abs(s{AXES[d]} - (floor(s{AXES[d]}) + k{d}.range)))" for d in dims)
+    return f"""pt{k} AS (SELECT x, y, z, CAST(x AS DOUBLE) AS lx, CAST(y AS DOUBLE) AS ly, CAST(z AS DOUBLE) AS lz FROM fixed),
+{corners_sql(shape, s, f'pt{k}', 'x, y, z', f'at{k}', True, f'map{k}')},
+src{k} AS (SELECT x, y, z, {source_sql(shape)} FROM at{k}),
+ends{k} AS (SELECT x, y, z, {at}, {c} AS c FROM src{k}, {', '.join(f'range(2) k{d}' for d in dims)}),
+raw{k} AS MATERIALIZED (SELECT e.x, e.y, e.z, sum(c * moved.v) AS v FROM ends{k} e JOIN moved ON moved.x = cx AND moved.y = cy AND moved.z = cz WHERE c > 0 GROUP BY 1, 2, 3),
+reg{k} AS MATERIALIZED (SELECT x, y, z, v / (SELECT max(v) FROM raw{k}) AS v FROM raw{k})"""
+
+
+@query(f"{begin_sql(R2, SPACING)}, {round_sql(0, R2, SPACING, 10.0)} SELECT 'lineitem' AS pair_id, node, dof, round(value, 6) + 0e0 AS value FROM delta0")
 def solve_step(spark, sf_dir):
     fixed, moved = (scaled(spark, sf_dir).select(F.lit("lineitem").alias("pair_id"), *AXES, F.col(c).alias("v")) for c in "fm")
     values = M.zero_map(spark, R2, SPACING, True).withColumn("pair_id", F.lit("lineitem"))
-    return R.step(fixed, moved, values, R2, SPACING, {"lineitem": 10.0}, R.Options())[0]
+    return R.step(fixed, moved, values, R2, SPACING, {"lineitem": 10.0}, R.Options())[0].select("pair_id", "node", "dof", r6("value").alias("value"))
+
+
+#: A spacing at which the raster has one level.
+WIDE = 41
+
+
+def _level(spark, sf_dir) -> R.Result:
+    fixed, moved = (scaled(spark, sf_dir).select(F.lit("lineitem").alias("pair_id"), *AXES, F.col(c).alias("v")) for c in "fm")
+    return R.register(fixed, moved, R2, WIDE, R.Options(lam=4.0, max_iterations=2, least_delta=0.0))
+
+
+_LEVEL = f"{begin_sql(R2, WIDE)}, {round_sql(0, R2, WIDE, 4.0)}, {moved_sql(1, R2, WIDE)}, {round_sql(1, R2, WIDE, 4.0)}, {moved_sql(2, R2, WIDE)}"
+
+
+@query(f"{_LEVEL} SELECT 'lineitem' AS pair_id, x, y, z, round(v, 6) + 0e0 AS v FROM reg2")
+def register_level(spark, sf_dir):
+    """Two rounds of a level, the second with the memory term."""
+    return _level(spark, sf_dir).registered.select("pair_id", *AXES, r6("v").alias("v"))
+
+
+@query(f"{_LEVEL} SELECT 'lineitem' AS pair_id, node, dof, round(CASE WHEN dof > 0 THEN -value ELSE value END, 6) + 0e0 AS value FROM map2")
+def register_level_map(spark, sf_dir):
+    return _level(spark, sf_dir).displacement().select("pair_id", "node", "dof", r6("value").alias("value"))
+
+
+def condition_sql(squarings: int = 26) -> str:
+    """Ends of each block's spectrum: powers of A and of greatest * I - A by repeated squaring tend to one eigenvector's product with itself."""
+
+    def powers(name: str, start: str) -> str:
+        parts = [f"{name}0 AS MATERIALIZED ({start})"]
+        for k in range(squarings):
+            parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT f, dof, r, c, v / sum(CASE WHEN r = c THEN v END) OVER (PARTITION BY f, dof) AS v FROM (SELECT a.f, a.dof, a.r, b.c, sum(a.v * b.v) AS v FROM {name}{k} a JOIN {name}{k} b ON a.f = b.f AND a.dof = b.dof AND a.c = b.r GROUP BY 1, 2, 3, 4))")
+        return ", ".join(parts)
+
+    quotient = lambda name: f"SELECT a.f, a.dof, sum(a.v * b.v) AS e FROM a JOIN {name}{squarings} b ON a.f = b.f AND a.dof = b.dof AND a.c = b.r AND a.r = b.c GROUP BY 1, 2"
+    return f"""WITH {normal_sql()}, {lap_sql()},
+a AS MATERIALIZED (SELECT f, dof, r, c, sum(v) AS v FROM (SELECT f, dof, r, c, v FROM mat, (VALUES (1e0), (10e0), (20e0)) t(f) UNION ALL SELECT f, d.range, r, c, f * v FROM lap2, range(3) d, (VALUES (1e0), (10e0), (20e0)) t(f)) GROUP BY 1, 2, 3, 4),
+{powers("up", "SELECT * FROM a")},
+high AS MATERIALIZED ({quotient("up")}),
+every AS (SELECT f, dof, i.range AS r, j.range AS c FROM high, range({NODES.size}) i, range({NODES.size}) j),
+{powers("down", "SELECT y.f, y.dof, y.r, y.c, CASE WHEN y.r = y.c THEN e ELSE 0e0 END - coalesce(a.v, 0e0) AS v FROM every y JOIN high USING (f, dof) LEFT JOIN a ON a.f = y.f AND a.dof = y.dof AND a.r = y.r AND a.c = y.c")},
+low AS ({quotient("down")})
+SELECT high.f AS factor, round(ln(max(high.e) / min(low.e)), 4) AS log_condition FROM high JOIN low USING (f, dof) GROUP BY 1"""
+
+
+@query(condition_sql())
+def condition_numbers(spark, sf_dir):
+    found = V.condition_numbers(V.checkpoint(_matrix(spark, sf_dir)), V.checkpoint(N.laplacian_squared(spark, NODES)), [1.0, 10.0, 20.0], NODES.size)
+    return found.select("factor", F.round(F.log("condition"), 4).alias("log_condition"))
 
 
 @query()
