@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grid import GridError
 from ..session import checkpoint
 from .normal import matvec, per_block
 
@@ -124,7 +125,7 @@ def condition_numbers(matrix: DataFrame, smoother: DataFrame, factors: list[floa
     larger of t and 1 / t.
     """
     if nodes > BLOCK_NODES:
-        return condition_distributed(matrix, smoother, factors, nodes, by, compat)
+        raise GridError(f"spectra are found in one task a block, of at most {BLOCK_NODES} nodes, not {nodes}: give the smoothing factor of such a map")
     # One copy of the smoother for each block; both are bounded by the map's nodes.
     lap = per_block(matrix.select(*by, "dof").distinct(), smoother, nodes).select(*by, "dof", "r", "c", F.lit(0.0).alias("v"), F.col("v").alias("s"))
     both = matrix.select(*by, "dof", "r", "c", "v", F.lit(0.0).alias("s")).unionByName(lap).groupBy(*by, "dof", "r", "c").agg(F.sum("v").alias("v"), F.sum("s").alias("s"))
@@ -150,68 +151,6 @@ def _conditions(ends: DataFrame, by: tuple[str, ...], compat: bool) -> DataFrame
     return ends.groupBy(*by, "factor").agg(ratio.alias("condition"))
 
 
-def condition_distributed(matrix: DataFrame, smoother: DataFrame, factors: list[float] | dict[tuple, list[float]], nodes: int, by: tuple[str, ...], compat: bool) -> DataFrame:
-    """As condition_numbers, for blocks too large for a task: Lanczos steps made of joins and sums, all blocks and factors side by side."""
-    spark = matrix.sparkSession
-    blocks = matrix.select(*by, "dof").distinct()
-    if isinstance(factors, dict):
-        types = ", ".join(f"{k} {matrix.schema[k].dataType.simpleString()}" for k in by)
-        asked = spark.createDataFrame([(*key, float(f)) for key, own in factors.items() for f in own], f"{types}, factor double")
-        blocks = blocks.join(asked, [*by])
-    else:
-        blocks = blocks.withColumn("factor", F.explode(F.array(*(F.lit(float(f)) for f in factors))))
-    keys = (*by, "factor")
-    smooth = per_block(blocks, smoother, nodes).select(*keys, "dof", "r", "c", (F.col("v") * F.col("factor")).alias("v"))
-    whole = matrix.join(blocks, [*by, "dof"]).select(*keys, "dof", "r", "c", "v").unionByName(smooth)
-    whole = checkpoint(whole.groupBy(*keys, "dof", "r", "c").agg(F.sum("v").alias("v")))
-    high = lanczos_distributed(lambda x: matvec(whole, x, keys), whole, keys)
-    # A shift of 1e-12 of the greatest eigenvalue keeps the inverse of a singular matrix finite.
-    ends = high.withColumn("shift", F.col("value") * 1e-12)
-    shifted = checkpoint(whole.join(ends, [*keys, "dof"]).select(*keys, "dof", "r", "c", F.when(F.col("r") == F.col("c"), F.col("v") + F.col("shift")).otherwise(F.col("v")).alias("v")))
-    inverse = lanczos_distributed(lambda x: solve_distributed(shifted, x, keys).select(*keys, F.col("node").alias("r"), "dof", F.col("value").alias("v")), shifted, keys)
-    low = F.greatest(F.lit(0.0), F.lit(1.0) / F.col("low") - F.col("shift"))
-    both = ends.withColumnRenamed("value", "high").join(inverse.withColumnRenamed("value", "low"), [*keys, "dof"])
-    return _conditions(both.select(*by, "dof", "factor", low.alias("low"), "high"), by, compat)
-
-
-def lanczos_distributed(multiply: Callable[[DataFrame], DataFrame], matrix: DataFrame, by: tuple[str, ...], tolerance: float = 1e-6, steps: int = 300) -> DataFrame:
-    """(by, dof, value): greatest eigenvalue of each block, to a Ritz residual; a few numbers a block and step reach the driver."""
-    keys = [*by, "dof"]
-    size = lambda df: df.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_n"))
-    scaled = lambda df: df.join(size(df), keys).select(*keys, "r", F.when(F.col("_n") > 0, F.col("v") / F.col("_n")).otherwise(0.0).alias("v"))
-    # A start without a pattern, the same each time.
-    q = checkpoint(scaled(matrix.select(*keys, "r").distinct().withColumn("v", F.pmod(F.xxhash64(*keys, "r"), F.lit(2001)) / 1000.0 - 1.0)))
-    basis = q.withColumn("step", F.lit(0))
-    alpha: dict[tuple, list[float]] = {}
-    beta: dict[tuple, list[float]] = {}
-    done: dict[tuple, float] = {}
-    for k in range(steps):
-        w = checkpoint(multiply(q))
-        a = w.join(q.withColumnRenamed("v", "_q"), [*keys, "r"]).groupBy(*keys).agg(F.sum(F.col("v") * F.col("_q")).alias("a"))
-        # Made orthogonal to all steps before, twice for the last bits.
-        for _ in range(2):
-            part = basis.join(w.withColumnRenamed("v", "_w"), [*keys, "r"]).groupBy(*keys, "step").agg(F.sum(F.col("v") * F.col("_w")).alias("_p"))
-            less = basis.join(part, [*keys, "step"]).groupBy(*keys, "r").agg(F.sum(F.col("v") * F.col("_p")).alias("_l"))
-            w = w.join(less, [*keys, "r"], "left").select(*keys, "r", (F.col("v") - F.coalesce("_l", F.lit(0.0))).alias("v"))
-        w = checkpoint(w)
-        for row in a.join(size(w), keys).collect():
-            key = tuple(row[c] for c in keys)
-            own = alpha.setdefault(key, [])
-            own.append(row["a"])
-            values, vectors = np.linalg.eigh(np.diag(own) + np.diag(beta.get(key, []), 1) + np.diag(beta.get(key, []), -1))
-            if key not in done and (row["_n"] * abs(vectors[-1, -1]) <= tolerance * abs(values[-1]) or row["_n"] <= 1e-12 * abs(own[0])):
-                done[key] = float(values[-1])
-            beta.setdefault(key, []).append(row["_n"])
-        if len(done) == len(alpha):
-            break
-        q = checkpoint(scaled(w))
-        basis = basis.unionByName(q.withColumn("step", F.lit(k + 1)))
-    else:
-        raise RuntimeError(f"{len(alpha) - len(done)} blocks without an eigenvalue after {steps} steps")
-    types = ", ".join(f"{c} {matrix.schema[c].dataType.simpleString()}" for c in keys)
-    return matrix.sparkSession.createDataFrame([(*key, v) for key, v in done.items()], f"{types}, value double")
-
-
 def lanczos_largest(multiply: Callable[[np.ndarray], np.ndarray], n: int, tolerance: float = 1e-6) -> float:
     """Greatest eigenvalue of a symmetric matrix by Lanczos steps with full orthogonalisation, until its Ritz residual is below the tolerance."""
     q = np.random.default_rng(1).standard_normal(n)
