@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint, shared_folder
+
 #: Rows of text handed to Python at once; texts of a few kB make batches of a few MB.
 BATCH_ROWS = 1024
 
@@ -62,25 +63,6 @@ def map_text(df: DataFrame, column: str, make: Callable[[], Callable[[list], lis
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *fields)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where driver and executors are one process."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="gridloom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the store that Spark writes to."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

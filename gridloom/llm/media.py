@@ -24,6 +24,9 @@ from .common import map_text
 BLOCK = 64
 RATE = 8000
 SAMPLES, MARKS = 0x53414D50, 0x4D41524B
+#: First packets of the two streams: what they hold, channels, rate and number of samples; version and bytes of the text.
+SAMPLES_HEAD, MARKS_HEAD = struct.Struct("<7sBII"), struct.Struct("<7sBQ")
+SAMPLES_NAME, MARKS_NAME = b"\x01pcm8u\0", b"\x01mark\0\0"
 #: Samples of a packet, a mark after so many packets.
 PACKET, EVERY = 4000, 16
 HEAD = struct.Struct("<4sBBqIIIB")
@@ -63,7 +66,7 @@ class _Stream:
 
 def write_ogg(payload: bytes, n_bytes: int) -> bytes:
     samples, marks = _Stream(SAMPLES), _Stream(MARKS)
-    out = [*samples.pages([struct.pack("<7sBII", b"\x01pcm8u\0", 1, RATE, len(payload))], 0, FIRST), *marks.pages([struct.pack("<7sBQ", b"\x01mark\0\0", 1, n_bytes)], 0, FIRST)]
+    out = [*samples.pages([SAMPLES_HEAD.pack(SAMPLES_NAME, 1, RATE, len(payload))], 0, FIRST), *marks.pages([MARKS_HEAD.pack(MARKS_NAME, 1, n_bytes)], 0, FIRST)]
     cuts = range(0, len(payload), PACKET)
     for k, at in enumerate(cuts):
         piece = payload[at : at + PACKET]
@@ -133,25 +136,30 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + bytes(max(1, -(-len(raw) // BLOCK)) * BLOCK - len(raw)), len(raw)
 
 
-def decode_samples(media: bytes) -> tuple[bytes, int, Logical]:
-    """Payload, unpadded length and sample stream of a stored file; its marks are verified."""
-    streams = read_ogg(media)
-    samples, marks = streams[SAMPLES], streams[MARKS]
+def decode_samples(media: bytes) -> tuple[bytes, int, Logical, int]:
+    """Payload, unpadded length, sample stream and rate of a stored file, by what the streams' first packets say; marks are verified."""
+    named = {s.packets[0][:7]: s for s in read_ogg(media).values() if s.packets}
+    if not {SAMPLES_NAME, MARKS_NAME} <= named.keys():
+        raise ValueError("no samples or no marks")
+    samples, marks = named[SAMPLES_NAME], named[MARKS_NAME]
+    _, channels, rate, length = SAMPLES_HEAD.unpack(samples.packets[0])
     payload = b"".join(samples.packets[1:])
+    if channels != 1 or not rate or len(payload) != length or samples.granules[-1] != length:
+        raise ValueError("samples are not as their first packet says")
     ends = dict(zip(samples.granules[1:], samples.packets[1:], strict=True))
     for mark in marks.packets[1:]:
         where, crc = struct.unpack("<QI", mark)
-        if zlib.crc32(ends[where]) != crc:
+        if where not in ends or zlib.crc32(ends[where]) != crc:
             raise ValueError(f"samples before {where} differ from their mark")
-    return payload, struct.unpack("<7sBQ", marks.packets[0])[2], samples
+    return payload, MARKS_HEAD.unpack(marks.packets[0])[2], samples, rate
 
 
-def feature_of(payload: bytes, samples: Logical) -> str:
+def feature_of(payload: bytes, samples: Logical, rate: int) -> str:
     """Duration, packets, mean, root of mean square about 128 and crossings of 128 per sample."""
     wave = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
     crossings = int(np.count_nonzero((wave[1:] >= 0) != (wave[:-1] >= 0)))
     n = len(wave)
-    return f"s={samples.seconds(RATE)[-1]:.6f};packets={len(samples.packets) - 1};mean={int(wave.sum()) / n:.6f};rms={(int((wave * wave).sum()) / n) ** 0.5:.6f};zcr={crossings / n:.6f}"
+    return f"s={samples.seconds(rate)[-1]:.6f};packets={len(samples.packets) - 1};mean={int(wave.sum()) / n:.6f};rms={(int((wave * wave).sum()) / n) ** 0.5:.6f};zcr={crossings / n:.6f}"
 
 
 def media_digest(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_media: bool = False) -> DataFrame:
@@ -163,8 +171,8 @@ def media_digest(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
             for t in texts:
                 payload, n = payload_of(t)
                 media = write_ogg(payload, n)
-                back, length, samples = decode_samples(media)
-                row = (length, len(back), sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), sha256(media).hexdigest(), feature_of(back, samples))
+                back, length, samples, rate = decode_samples(media)
+                row = (length, len(back), sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), sha256(media).hexdigest(), feature_of(back, samples, rate))
                 for column, x in zip(out, (*row, media), strict=False):
                     column.append(x)
             return out
