@@ -97,24 +97,23 @@ def crc_mod(column, mod: int):
     return F.crc32(F.col(column).cast("string")) % F.lit(mod)
 
 
-def hashed_share(column, share: float):
-    """A repeatable choice of about this share of the keys."""
-    return F.pmod(F.xxhash64(F.col(column), F.lit(7)), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))
+#: Characters of all texts of a training sample.
+SAMPLE_CHARS = 48 << 20
 
 
 def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, mod: int, held: int, max_rows: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most ``max_rows`` labelled training texts on the driver, each once.
+    """At most ``max_rows`` labelled training texts of at most ``SAMPLE_CHARS`` characters together on the driver, each once.
 
-    Rows whose crc32(doc_id as text) mod ``mod`` equals ``held`` are held out. The rows are chosen
-    by a hash of the id; texts over ``max_chars`` are not trained on, so the sample's size is bounded.
+    Rows whose crc32(doc_id as text) mod ``mod`` equals ``held`` are held out. Ids are chosen by a hash, whatever their type,
+    and of their texts the first by another hash, however many rows an id has. Texts over ``max_chars`` are not trained on.
     """
     known = labels.filter(crc_mod("doc_id", mod) != held).filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    share = min(1.0, 1.2 * max_rows / max(1, known.count()))
-    chosen = known.filter(hashed_share("doc_id", share))
-    rows = sorted(chosen.collect(), key=lambda r: (hash((r.doc_id, 7)), r.doc_id))[:max_rows]
-    if not rows:
-        return []
-    few = documents.sparkSession.createDataFrame([(r.doc_id, r.y) for r in rows], "doc_id bigint, y int")
-    texts = documents.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(few), "doc_id")
-    seen = {(r.text, r.y) for r in texts.select("text", "y").collect()}
-    return sorted(seen)
+    few = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_rows)
+    texts = documents.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(few), "doc_id").select("text", "y").distinct()
+    out, total = [], 0
+    for r in texts.orderBy(F.xxhash64("text"), "text", "y").limit(max_rows).toLocalIterator():
+        total += len(r.text)
+        if total > SAMPLE_CHARS:
+            break
+        out.append((r.text, r.y))
+    return sorted(out)
