@@ -9,6 +9,7 @@ import os
 import struct
 import uuid
 import xml.etree.ElementTree as ET
+import zlib
 from dataclasses import fields
 
 import numpy as np
@@ -155,6 +156,26 @@ def jpeg_image(spark, sf_dir):
     return both.agg(F.count("*").alias("n"), F.max("x").alias("x"), F.max("y").alias("y"), (F.avg(F.abs(F.col("v") - F.col("w"))) < 0.05).alias("near"))
 
 
+@query(pixels_sql("round(f / (SELECT greatest(max(f), 1) FROM q), 6) + 0e0", whole=True))
+def pnm_image(spark, sf_dir):
+    path, values = f"{folder(spark)}/a.pgm", values_of(spark, sf_dir, R2, whole=True)
+    with open(path, "wb") as f:
+        f.write(b"P5\n# counts\n50 83\n%d\n" % max(1, int(values.max())) + values.astype(np.uint8 if values.max() < 256 else ">u2").tobytes())
+    return pixels(images.find_loader(spark, path))
+
+
+@query(pixels_sql("round(floor(f * 65535 + 0.5e0) / 65535, 6) + 0e0"))
+def tiff_deflated(spark, sf_dir):
+    """A compressed strip of differences along rows."""
+    path, tags = f"{folder(spark)}/a.tif", images.tiff
+    words = np.floor(values_of(spark, sf_dir, R2)[0] * 65535 + 0.5).astype(np.int64)
+    strip = zlib.compress(np.diff(words, axis=1, prepend=0).astype("<u2").tobytes())
+    found = {tags.WIDTH: 50, tags.LENGTH: 83, tags.BITS: 16, tags.COMPRESSION: 8, tags.COLOUR: 1, tags.OFFSETS: 8, tags.SAMPLES: 1, tags.ROWS: 83, tags.COUNTS: len(strip), tags.PREDICTOR: 2}
+    with open(path, "wb") as f:
+        f.write(tags.HEADS[0] + struct.pack("<I", 8 + len(strip)) + strip + struct.pack("<H", len(found)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(found.items())) + bytes(4))
+    return pixels(images.find_loader(spark, path))
+
+
 def dicom_of(values: np.ndarray) -> bytes:
     """Explicit little-endian, 16 bits, rows along x: values[z, y, x]."""
     nz, ny, nx = values.shape
@@ -319,7 +340,7 @@ def split_spec(spark, sf_dir):
     return spark.createDataFrame([(s, *sinks.split_spec(s)) for s in ("a.h5", "a.h5:/x", "a.xdmf:b:c", ":")], "spec string, path string, dataset string")
 
 
-@query(values_sql("side, name", [("writer", e) for e in (".h5", ".xdmf", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".parquet")] + [("loader", n) for n in ("dicom", "hdf5", "parquet", "png", "raster", "tiff", "volume", "volume_mask")] + [("error", "LoaderError"), ("error", "WriterError"), ("error", "WriterError"), ("error", "WriterError")]))
+@query(values_sql("side, name", [("writer", e) for e in (".h5", ".xdmf", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".parquet")] + [("loader", n) for n in ("dicom", "hdf5", "parquet", "png", "pnm", "raster", "tiff", "volume", "volume_mask")] + [("error", "LoaderError"), ("error", "WriterError"), ("error", "WriterError"), ("error", "WriterError")]))
 def registries(spark, sf_dir):
     """Names of loaders and writers; what has a name twice, has none, or is a map as a raster is an error."""
     rows = [("writer", e) for e in sinks.WRITERS] + [("loader", n) for n in images.LOADERS]

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.grid import AXES
 from ..operators.image import normalise, same_shape
-from . import dicom, hdf5, png, tiff
+from . import dicom, hdf5, png, pnm, tiff
 from .errors import LoaderError
 from .volume import SCHEMA, read_volume
 
@@ -71,6 +71,13 @@ def load_png(spark: SparkSession, path: str) -> DataFrame:
     return pixels_of(spark, path, png.decode)
 
 
+@register_loader("pnm")
+def load_pnm(spark: SparkSession, path: str) -> DataFrame:
+    if _head(path, 2) not in pnm.HEADS:
+        raise LoaderError(f"{path} is no binary greymap or pixmap")
+    return pixels_of(spark, path, pnm.decode)
+
+
 @register_loader("tiff")
 def load_tiff(spark: SparkSession, path: str) -> DataFrame:
     if _head(path, 4) not in tiff.HEADS:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.grid import GridError, Shape
 from gridloom.operators import mapgrid as M
-from gridloom.sources import config, dicom, hdf5, images, png, sinks, volume
+from gridloom.sources import config, dicom, hdf5, images, png, pnm, sinks, tiff, volume
 from gridloom.sources.errors import ConfigError, LoaderError, WriterError
 from gridloom.streaming import frames
 
@@ -76,6 +76,70 @@ def test_dicom(spark, tmp_path):
         dicom.decode(b"no")
 
 
+def test_dicom_implicit_with_sequences():
+    """The same pixels with implicit value representation, behind sequences of open length."""
+    plain = lambda g, e, v: struct.pack("<HHI", g, e, len(v)) + v
+    number = lambda g, e, v: plain(g, e, struct.pack("<H", v))
+    item = struct.pack("<HHI", 0xFFFE, 0xE000, 0xFFFFFFFF) + number(0x28, 0x10, 99) + struct.pack("<HHI", 8, 9, 0xFFFFFFFF) + plain(0xFFFE, 0xE000, b"abcd") + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0) + struct.pack("<HHI", 0xFFFE, 0xE00D, 0)
+    sequence = struct.pack("<HHI", 8, 7, 0xFFFFFFFF) + item + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
+    syntax = lambda uid: struct.pack("<HH2sH", 2, 0x10, b"UI", len(uid)) + uid
+    pixels = np.arange(12, dtype="<u2").tobytes()
+    body = sequence + number(0x28, 0x10, 3) + number(0x28, 0x11, 4) + number(0x28, 0x100, 16) + plain(0x7FE0, 0x10, pixels)
+    found = dicom.decode(bytes(128) + b"DICM" + syntax(b"1.2.840.10008.1.2\0") + body)
+    assert np.allclose(found[0], (np.arange(12).reshape(3, 4) / 11).T)
+    for wrong in (syntax(b"1.2.840.10008.1.2.4.50") + body, syntax(b"1.2.840.10008.1.2\0") + sequence[:-9]):
+        with pytest.raises(LoaderError):
+            dicom.decode(bytes(128) + b"DICM" + wrong)
+
+
+def pack_lzw(data: bytes) -> bytes:
+    """The format's encoder, for tests."""
+    table, bits, n, width = {bytes([k]): k for k in range(256)}, 256, 9, 9
+    size, word = 258, b""
+
+    def put(code):
+        nonlocal bits, n
+        bits, n = bits << width | code, n + width
+
+    for c in data:
+        if word + bytes([c]) in table:
+            word += bytes([c])
+            continue
+        put(table[word])
+        table[word + bytes([c])] = size
+        size, word = size + 1, bytes([c])
+        width = size.bit_length()
+        if size == 4094:
+            put(table[word])
+            put(256)
+            table, size, width, word = {bytes([k]): k for k in range(256)}, 258, 9, b""
+    if word:
+        put(table[word])
+        width = (size + 1).bit_length()
+    put(257)
+    return (bits << -n % 8).to_bytes(-(-n // 8), "big")
+
+
+def test_tiff_packings():
+    import random
+
+    draw = random.Random(1)
+    for n in (0, 1, 5, 300, 30_000):
+        data = bytes(draw.choice(b"aaab") for _ in range(n))
+        assert tiff.unpack_lzw(pack_lzw(data)) == data
+    assert tiff.unpack_bits(bytes([2]) + b"abc" + bytes([254]) + b"x" + bytes([128, 0]) + b"y") == b"abcxxxy"
+    with pytest.raises(LoaderError):
+        tiff.unpack_lzw(b"\xff" * 9)
+
+
+def test_pnm():
+    assert np.allclose(pnm.decode(b"P6 # c\n2 1 # d\n255\n" + bytes([255, 1, 2, 51, 9, 9])), [[1, 0.2]])
+    assert np.allclose(pnm.decode(b"P5 1 2 1000\n" + struct.pack(">2H", 1000, 250)), [[1], [0.25]])
+    for wrong in (b"P5 2 2 255\nabc", b"P4 1 1 1\n", b"P5 1 1 0\nx"):
+        with pytest.raises(LoaderError):
+            pnm.decode(wrong)
+
+
 def test_sinks(spark, tmp_path):
     shape = Shape(6, 4)
     df = spark.createDataFrame([(x, y, 0, (x + y) / 8) for x in range(6) for y in range(4)], "x int, y int, z int, v double")
