@@ -688,20 +688,30 @@ def lambda_search(spark, sf_dir):
     return spark.createDataFrame([(float(lam),)], "lam double")
 
 
+def _lineitem(spark, sf_dir, shape: Shape) -> tuple[DataFrame, DataFrame]:
+    both = scaled(spark, sf_dir, shape)
+    return tuple(both.select(F.lit("lineitem").alias("pair_id"), *AXES, F.col(c).alias("v")) for c in "fm")
+
+
 @query()
 def register_2d(spark, sf_dir):
-    shape = Shape(40, 40)
-    result = R.register(*blobs(spark, shape, {"a": (0.0, 3.0), "b": (2.0, -1.0)}), shape, 10, R.Options(lam=5.0, max_iterations=4))
-    return result.metrics_table(spark)
+    """The raster of lineitem, all levels to convergence, with the smoothing factor searched for."""
+    return R.register(*_lineitem(spark, sf_dir, R2), R2, SPACING).metrics_table(spark)
 
 
 @query()
 def register_3d(spark, sf_dir):
-    shape = Shape(16, 16, 16)
-    result = R.register(*blobs(spark, shape, {"c": (1.0, 0.0, -1.0)}), shape, 8, R.Options(lam=5.0, max_iterations=2))
+    result = R.register(*_lineitem(spark, sf_dir, R3), R3, 2 * SPACING)
     return result.registered.select("pair_id", *AXES, r6("v").alias("v"))
 
 
+@query()
+def register_pairs(spark, sf_dir):
+    """Two pairs of generated blobs side by side, with a factor of their own."""
+    shape = Shape(40, 40)
+    return R.register(*blobs(spark, shape, {"a": (0.0, 3.0), "b": (2.0, -1.0)}), shape, 10, R.Options(lam=5.0)).metrics_table(spark)
+
+
 @query(
     "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS frame_start, CAST(user_id % 24 AS INT) AS x, CAST(hour(ts) AS INT) AS y, round(sum(value), 6) + 0e0 AS v FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2, 3"
 )

@@ -199,6 +199,7 @@ def refine(values: DataFrame, shape: Shape, spacing: int, finer: int, by: tuple[
     return wide.select(*by, F.col("point").cast("int").alias("node"), F.inline(dofs))
 
 
-def update(values: DataFrame, delta: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def update(values: DataFrame, delta: DataFrame, by: tuple[str, ...] = (), sums: tuple[str, ...] = ("value",)) -> DataFrame:
+    """values + delta, node by node; nodes that delta lacks stay."""
     keys = [*by, "node", "dof"]
-    return values.select(*keys, "value").unionByName(delta.select(*keys, "value")).groupBy(*keys).agg(F.sum("value").alias("value"))
+    return values.select(*keys, *sums).unionByName(delta.select(*keys, *sums)).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))

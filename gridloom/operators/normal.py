@@ -22,7 +22,11 @@ def normal_equations(gradients: DataFrame, shape: Shape, spacing: int, by: tuple
     for each pair of nodes and half of them by symmetry: no row is made for a pair of nodes and a pixel, and what is
     shuffled is some rows a cell and task. compat: the right side counts each pixel half for every node that reaches it.
     """
-    sums = _cell_sums(gradients, shape, spacing, by, compat, cover)
+    return assemble(cell_sums(gradients, shape, spacing, by, compat, cover), shape, by)
+
+
+def assemble(sums: DataFrame, shape: Shape, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Matrix and right side from the sums of cells."""
     most = 2**shape.ndim
     ends = [(i, j, f"m{min(i, j)}_{max(i, j)}") for i in range(most) for j in range(most)]
     entries = F.array(*(F.struct(F.col(f"n{i}").alias("r"), F.col(f"n{j}").alias("c"), F.col(m).alias("v")) for i, j, m in ends))
@@ -32,7 +36,7 @@ def normal_equations(gradients: DataFrame, shape: Shape, spacing: int, by: tuple
     return matrix, right
 
 
-def _cell_sums(gradients: DataFrame, shape: Shape, spacing: int, by: tuple[str, ...], compat: bool, cover: bool) -> DataFrame:
+def cell_sums(gradients: DataFrame, shape: Shape, spacing: int, by: tuple[str, ...] = (), compat: bool = False, cover: bool = False) -> DataFrame:
     """(by, dof, first, last, n0.., m0_0.., u0..): per cell its nodes, and sums of g g phi phi and of g d phi. A cell is told by its first and last node."""
     most = 2**shape.ndim
     dofs = F.array(*(F.struct(F.lit(k).alias("dof"), F.col(f"g{k}").alias("g")) for k in range(shape.ndim + 1)))

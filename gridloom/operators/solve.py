@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Generator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -247,3 +248,33 @@ def search_smoothings(conditions: Callable[[dict], dict], guesses: dict, search:
 def search_smoothing(condition: Callable[[list[float]], list[float]], guess: float | None = None, search: SmoothingSearch = SmoothingSearch()) -> float:
     """The search of one key."""
     return search_smoothings(lambda asked: {k: condition(fs) for k, fs in asked.items()}, {0: guess}, search)[0]
+
+
+#: Nodes up to which the whole search of a key is one task over all its blocks; larger maps take a job a round, a task a block.
+SEARCH_NODES = 20_000
+
+
+def search_in_tasks(matrix: DataFrame, smoother: DataFrame, scales: dict, guesses: dict, nodes: int, compat: bool = False) -> dict:
+    """The searches of ``search_smoothings`` for pairs of small maps, in one job: {pair: factor}. A probe's factor is multiplied by the pair's scale."""
+    lap = per_block(matrix.select("pair_id", "dof").distinct(), smoother, nodes).select("pair_id", "dof", "r", "c", F.lit(0.0).alias("v"), F.col("v").alias("s"))
+    both = matrix.select("pair_id", "dof", "r", "c", "v", F.lit(0.0).alias("s")).unionByName(lap).groupBy("pair_id", "dof", "r", "c").agg(F.sum("v").alias("v"), F.sum("s").alias("s"))
+
+    def one(pair: pd.DataFrame) -> pd.DataFrame:
+        name = pair["pair_id"].iloc[0]
+        blocks = [tuple(b[k].to_numpy() for k in ("r", "c", "v", "s")) for _, b in pair.groupby("dof")]
+
+        def condition(factor: float) -> float:
+            ends = []
+            for r, c, v, s in blocks:
+                w, on = v + factor * scales[name] * s, r == c
+                ends.append(extreme_eigenvalues(lambda x, w=w, r=r, c=c: np.bincount(r, w * x[c], nodes), nodes, np.bincount(r[on], w[on], nodes)))
+            low, high = min(e[0] for e in ends), max(e[1] for e in ends)
+            if not compat:
+                return high / max(low, 1e-12)
+            t = max(abs(high * high - 1), 1e-12)
+            return max(t, 1 / t)
+
+        factor = search_smoothing(lambda fs: [condition(f) for f in (accumulate(fs) if compat else fs)], guesses.get(name))
+        return pd.DataFrame({"pair_id": [name], "lam": [factor]})
+
+    return {r.pair_id: r.lam for r in both.groupBy("pair_id").applyInPandas(one, "pair_id string, lam double").collect()}

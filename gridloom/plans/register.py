@@ -21,8 +21,8 @@ from ..functions.grid import AXES, Shape
 from ..operators.image import apply_mask, normalise, pair_up, registration_gradients
 from ..operators.mapgrid import levels, map_shape, refine, small, update, warp, zero_map
 from ..operators.metrics import delta_stats, joint_histogram, mutual_information
-from ..operators.normal import diagonal_sum, laplacian_squared, matvec, normal_equations, per_block, precondition
-from ..operators.solve import condition_numbers, search_smoothings, solve
+from ..operators.normal import assemble, cell_sums, diagonal_sum, laplacian_squared, matvec, per_block, precondition
+from ..operators.solve import SEARCH_NODES, condition_numbers, search_in_tasks, search_smoothings, solve
 from ..session import checkpoint
 
 
@@ -85,12 +85,15 @@ def step(fixed: DataFrame, registered: DataFrame, values: DataFrame, shape: Shap
     gradients = registration_gradients(pair_up(fixed, registered, PAIR), shape, PAIR, "zero" if options.compat else "edge")
     if mask is not None and not options.compat:
         gradients = apply_mask(gradients, mask, "d", *(f"g{k}" for k in range(shape.ndim + 1)), by=PAIR)
-    matrix, right = normal_equations(checkpoint(gradients), shape, spacing, PAIR, options.compat, not options.compat)
-    matrix, right = checkpoint(precondition(matrix, PAIR)), checkpoint(right)
+    # The sums of cells are small beside the image, and both sides come from them.
+    matrix, right = assemble(checkpoint(cell_sums(gradients, shape, spacing, PAIR, options.compat, not options.compat)), shape, PAIR)
+    matrix = checkpoint(precondition(matrix, PAIR))
     smoother, trace = smoothing or smoothing_of(spark, shape, nodes, options)
     chi = {r["pair_id"]: r["trace"] / trace for r in diagonal_sum(matrix, PAIR).collect()}
     if lam is None and options.lam is not None:
         lam = dict.fromkeys(chi, options.lam)
+    elif lam is None and nodes.size <= SEARCH_NODES:
+        lam = search_in_tasks(matrix, smoother, chi, guesses or {}, nodes.size, options.compat)
     elif lam is None:
 
         def conditions(asked: dict[str, list[float]]) -> dict[str, list[float]]:
@@ -146,8 +149,9 @@ def register(fixed: DataFrame, moved: DataFrame, shape: Shape, spacing: int, opt
             on = F.col("pair_id").isin(sorted(active))
             delta, lam = step(fixed.filter(on), registered.filter(on), values.filter(on), shape, s, lam, options, mask, smoothing, guesses)
             guesses |= lam
-            delta = checkpoint(delta)
-            values = checkpoint(update(values, delta, PAIR))
+            # The new map and the change that led to it, in one table.
+            state = checkpoint(update(values.withColumn("change", F.lit(0.0)), delta.withColumn("change", F.col("value")), PAIR, ("value", "change")))
+            values, delta = state.drop("change"), state.filter(on).select(*PAIR, "node", "dof", F.col("change").alias("value"))
             fresh = normalise(warp(moved.filter(on), values.filter(on), shape, s, PAIR, cover), "v", by=PAIR)
             registered = checkpoint(registered.filter(~on).unionByName(fresh))
             change = {r["pair_id"]: r for r in delta_stats(delta, PAIR).collect()}

@@ -56,3 +56,18 @@ def test_refining_and_smoothing_without_products_of_tables(spark, monkeypatch):
     joined = rows()
     monkeypatch.setattr(N, "BROADCAST_ROWS", 200_000)
     assert joined == rows() and len(joined) == 4 * smoother.count()
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_search_in_one_job_as_round_by_round(spark, monkeypatch, compat):
+    """The factors of two pairs, found in one task each and by jobs over blocks."""
+    shape = Shape(12, 10)
+    image = lambda dx: grid(spark, shape).withColumn("v", F.exp(-F.pow((F.col("x") - 5 - dx) / 3, 2) - F.pow((F.col("y") - 4) / 3, 2)))
+    named = lambda name, df: df.withColumn("pair_id", F.lit(name))
+    fixed = named("a", image(0)).unionByName(named("b", image(0)))
+    moved = named("a", image(1)).unionByName(named("b", image(-2)))
+    values = M.zero_map(spark, shape, 4, not compat).withColumn("pair_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    found = lambda: R.step(fixed, moved, values, shape, 4, None, R.Options(compat=compat))[1]
+    one = found()
+    monkeypatch.setattr(R, "SEARCH_NODES", 0)
+    assert found() == pytest.approx(one, rel=1e-6) and set(one) == {"a", "b"}
