@@ -3,13 +3,15 @@
     python -m gridloom SETTINGS [--compat]           a file of key = value lines
     python -m gridloom register KEY VALUE ...        the same keys as arguments
     python -m gridloom test FOLDER [REPORTS]         every *.testconf below a folder
+    python -m gridloom overlay FIXED MOVED OUTPUT.png [--flip]
+    python -m gridloom mapplot IMAGE MAP OUTPUT.svg [LANDMARKS.csv] [--invert-map] [--flip]
 """
 
 from __future__ import annotations
 
 import sys
 
-from .plans.program import EXPECTED, run, run_tests
+from .plans.program import EXPECTED, overlay_files, plot_map, run, run_tests
 from .session import session
 from .sources.config import from_arguments, from_file
 
@@ -28,6 +30,17 @@ def main(arguments: list[str]) -> int:
             for name, measures in found.items():
                 print(name, *(f"{k}: {v:.3f}" for k, v in measures.items()), sep="\n  ")
             return 0
+        if words[0] in ("overlay", "mapplot"):
+            files, switches = [a for a in arguments[1:] if not a.startswith("--")], {w for w in words if w.startswith("--")}
+            if words[0] == "overlay" and len(files) == 3 and switches <= {"--flip"}:
+                overlay_files(session(), *files, flip="--flip" in switches)
+            elif words[0] == "mapplot" and len(files) in (3, 4) and switches <= {"--flip", "--invert-map"}:
+                plot_map(session(), *files, invert="--invert-map" in switches, flip="--flip" in switches)
+            else:
+                print(__doc__)
+                return 2
+            print(f"Saved {files[2]}")
+            return 0
         compat = "--compat" in words
         settings = from_arguments(arguments) if words[0] == "register" else from_file(next(a for a in arguments if a != "--compat"))
         run(session(), settings, compat=compat)

@@ -51,11 +51,15 @@ def compare_images(pair: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return joined.select(*by, "h1", "h2", mi.alias("mi_bits"), F.when(least > 0, mi / least).otherwise(0.0).alias("proficiency"))
 
 
-def compare_registration(images: DataFrame) -> DataFrame:
-    """Four comparisons of (x, y, z, fixed, moved, accepted, result): one row each."""
+def registration_pairs(images: DataFrame) -> DataFrame:
+    """(pair_id, f, m): the four pairs of (x, y, z, fixed, moved, accepted, result) that are compared."""
     sides = {"fixed/moved": ("fixed", "moved"), "accepted/fixed": ("accepted", "fixed"), "result/fixed": ("result", "fixed"), "accepted/result": ("accepted", "result")}
-    pairs = images.select(F.inline(F.array(*(F.struct(F.lit(k).alias("pair_id"), F.col(a).alias("f"), F.col(b).alias("m")) for k, (a, b) in sides.items()))))
-    return compare_images(pairs, ("pair_id",))
+    return images.select(F.inline(F.array(*(F.struct(F.lit(k).alias("pair_id"), F.col(a).alias("f"), F.col(b).alias("m")) for k, (a, b) in sides.items()))))
+
+
+def compare_registration(images: DataFrame) -> DataFrame:
+    """One comparison for each pair of (x, y, z, fixed, moved, accepted, result)."""
+    return compare_images(registration_pairs(images), ("pair_id",))
 
 
 def map_r2(both: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

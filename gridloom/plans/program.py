@@ -6,19 +6,23 @@ import configparser
 import html
 import os
 import time
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, GridError, Shape
-from ..operators.metrics import compare_registration, map_r2
+from ..operators.landmarks import displacement_at, inverse_map
+from ..operators.mapgrid import node_locations
+from ..operators.metrics import BINS, compare_registration, equal_histogram, map_r2, registration_pairs
 from ..session import checkpoint
-from ..sources import sinks
+from ..sources import plots, png, sinks
 from ..sources.config import Settings, from_file
 from ..sources.errors import ConfigError, LoaderError, WriterError
-from ..sources.images import find_loader, load_image, load_map
+from ..sources.images import find_loader, load_image, load_map, read_landmarks
 from .register import Options, Result, register
 
 #: What a run may fail with for reasons of files and settings.
@@ -79,19 +83,88 @@ def run(spark: SparkSession, settings: Settings, say: Callable[[str], None] = pr
     return result
 
 
-def compare_image_files(spark: SparkSession, fixed: str, moved: str, accepted: str, result: str) -> DataFrame:
-    """(pair_id, h1, h2, mi_bits, proficiency): four comparisons of image files."""
+def images_of(spark: SparkSession, fixed: str, moved: str, accepted: str, result: str) -> DataFrame:
+    """(x, y, z, fixed, moved, accepted, result) of four image files."""
     images = None
     for name, path in (("fixed", fixed), ("moved", moved), ("accepted", accepted), ("result", result)):
         one = load_image(spark, path).select(*AXES, F.col("v").alias(name))
         images = one if images is None else images.join(one, [*AXES])
-    return compare_registration(images)
+    return images
+
+
+def compare_image_files(spark: SparkSession, fixed: str, moved: str, accepted: str, result: str) -> DataFrame:
+    """(pair_id, h1, h2, mi_bits, proficiency): four comparisons of image files."""
+    return compare_registration(images_of(spark, fixed, moved, accepted, result))
+
+
+def maps_of(spark: SparkSession, accepted: str, result: str) -> DataFrame:
+    """(node, dof, a, b): displacements of two map files on the same nodes."""
+    side = lambda path, name: load_map(spark, path)[0].filter("dof > 0").select("node", "dof", F.col("value").alias(name))
+    return side(accepted, "a").join(side(result, "b"), ["node", "dof"])
 
 
 def compare_map_files(spark: SparkSession, accepted: str, result: str) -> DataFrame:
     """(dof, r2) of the displacements of two map files on the same nodes."""
-    side = lambda path, name: load_map(spark, path)[0].filter("dof > 0").select("node", "dof", F.col("value").alias(name))
-    return map_r2(side(accepted, "a").join(side(result, "b"), ["node", "dof"]))
+    return map_r2(maps_of(spark, accepted, result))
+
+
+def histogram_figures(rows: list, names: dict, bins: int) -> list[str]:
+    """A figure for each name, from rows (name's key, column, row, count); their number is bounded by the bins."""
+    counts: dict = defaultdict(dict)
+    for key, column, row, n in rows:
+        counts[key][column, row] = n
+    return [plots.figure(caption, plots.histogram_image(counts[key], bins)) for key, caption in names.items()]
+
+
+def overlay_files(spark: SparkSession, fixed: str, moved: str, output: str, flip: bool = False) -> None:
+    """A PNG of the first plane of one image in grey and of another, of its shape, in red."""
+    below = load_image(spark, fixed)
+    above = load_image(spark, moved, like=below)
+    shape = shape_of(below)
+    with open(output, "wb") as f:
+        f.write(plots.overlay(sinks.plane(below, shape), sinks.plane(above, shape), flip))
+
+
+def map_grid(axes: DataFrame, shape: Shape) -> tuple[int, bool]:
+    """Spacing of a map's nodes, and whether they cover the image."""
+    found = [[r.loc for r in axes.filter(F.col("dim") == d).orderBy("idx").collect()] for d in range(shape.ndim)]
+    several = [x for x in found if len(x) > 1]
+    if not several:
+        raise GridError("a map of one node has no spacing")
+    spacing = round(several[0][1] - several[0][0])
+    for cover in (True, False):
+        own = [node_locations(e, spacing, cover) for e in shape.extents[: shape.ndim]]
+        if all(len(x) == len(o) and np.allclose(x, o) for x, o in zip(found, own, strict=True)):
+            return spacing, cover
+    raise GridError("the nodes of the map are not those of the image")
+
+
+def plot_map(spark: SparkSession, image: str, map_file: str, output: str, landmarks: str = "", invert: bool = False, flip: bool = False) -> None:
+    """An SVG of a plane image, the displacements at the map's nodes and, in another colour, at landmarks of a CSV file.
+
+    With ``invert`` the map that undoes the file's is drawn.
+    """
+    below = load_image(spark, image)
+    shape = shape_of(below)
+    if shape.ndim != 2:
+        raise GridError("maps of volumes can't be drawn")
+    values, axes = load_map(spark, map_file)
+    spacing, cover = map_grid(axes, shape)
+    values = values.select("node", "dof", "value")
+    if invert:
+        values = inverse_map(values, shape, spacing, cover=cover)
+    xs, ys = (np.array(node_locations(e, spacing, cover)) for e in (shape.nx, shape.ny))
+    moves = np.stack([sinks.dense(values.filter(F.col("dof") == k), ["node"], "value", (len(ys), len(xs))).ravel() for k in (1, 2)], 1)
+    grid = np.stack(np.meshgrid(xs, ys), -1).reshape(-1, 2)
+    parts = [plots.arrows(grid, moves, "red")]
+    if landmarks:
+        points = read_landmarks(spark, landmarks).withColumn("z", F.lit(0))
+        found = displacement_at(points, values, shape, spacing, key=("lm_id", "x", "y"), cover=cover)
+        # As many as a person marks by hand.
+        marks = np.array([(r.x, r.y, r.d1, r.d2) for r in found.collect()], float).reshape(-1, 4)
+        parts.append(plots.arrows(marks[:, :2], marks[:, 2:], "blue"))
+    with open(output, "w", encoding="utf-8") as f:
+        f.write(plots.drawing(png.encode(sinks.plane(below, shape)), (shape.nx, shape.ny), parts, flip))
 
 
 def read_test(path: str) -> dict[str, str]:
@@ -119,15 +192,21 @@ def run_test(spark: SparkSession, test: dict[str, str], folder: str, say: Callab
     settings = resolved(from_file(test["settings"]), at)
     run(spark, settings, say)
     measures: dict[str, float] = {}
+    figures: list[str] = []
     if "accepted_image" in test:
-        found = compare_image_files(spark, settings.fixed, settings.moved, os.path.abspath(test["accepted_image"]), with_group(settings.registered, settings.registered_h5_path))
-        measures |= {f"proficiency {r.pair_id}": r.proficiency for r in found.orderBy("pair_id").collect()}
+        images = checkpoint(images_of(spark, settings.fixed, settings.moved, os.path.abspath(test["accepted_image"]), with_group(settings.registered, settings.registered_h5_path)))
+        own = {r.pair_id: r.proficiency for r in compare_registration(images).orderBy("pair_id").collect()}
+        measures |= {f"proficiency {k}": v for k, v in own.items()}
+        rows = equal_histogram(registration_pairs(images), ("pair_id",)).collect()
+        figures += histogram_figures(rows, {k: f"joint histogram {k}, proficiency {v:.3f}" for k, v in own.items()}, BINS - 1)
     if "accepted_map" in test:
-        found = compare_map_files(spark, os.path.abspath(test["accepted_map"]), with_group(settings.map, settings.map_h5_path))
-        measures |= {f"map r2 {AXES[r.dof - 1]}": r.r2 for r in found.orderBy("dof").collect()}
+        both = checkpoint(maps_of(spark, os.path.abspath(test["accepted_map"]), with_group(settings.map, settings.map_h5_path)))
+        found = {r.dof: r.r2 for r in map_r2(both).orderBy("dof").collect()}
+        measures |= {f"map r2 {AXES[k - 1]}": v for k, v in found.items()}
+        figures += histogram_figures(plots.value_bins(both, BINS).collect(), {k: f"displacements along {AXES[k - 1]}: accepted across, result up" for k in found}, BINS)
     os.makedirs(folder, exist_ok=True)
     with open(os.path.join(folder, f"{test['name']}.html"), "w", encoding="utf-8") as f:
-        f.write(sinks.report(test["name"], [{"measure": k, "value": v} for k, v in measures.items()]))
+        f.write(sinks.report(test["name"], [{"measure": k, "value": v} for k, v in measures.items()], tuple(figures)))
     return measures
 
 

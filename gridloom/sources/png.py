@@ -70,6 +70,16 @@ def encode(values: np.ndarray) -> bytes:
     """16-bit greyscale from values[y, x] in 0 to 1."""
     ny, nx = values.shape
     words = np.floor(np.clip(values, 0, 1) * 65535 + 0.5).astype(">u2")
-    raw = b"".join(b"\0" + line.tobytes() for line in words)
+    return _file(nx, ny, 16, 0, words)
+
+
+def encode_colour(values: np.ndarray) -> bytes:
+    """8 bits each of red, green and blue from values[y, x, channel] in 0 to 1."""
+    ny, nx, _ = values.shape
+    return _file(nx, ny, 8, 2, np.floor(np.clip(values, 0, 1) * 255 + 0.5).astype(np.uint8))
+
+
+def _file(nx: int, ny: int, depth: int, colour: int, lines: np.ndarray) -> bytes:
+    raw = b"".join(b"\0" + line.tobytes() for line in lines)
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", nx, ny, 16, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", nx, ny, depth, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")

@@ -200,8 +200,8 @@ def frame_folder(folder: str, beside: str) -> str:
     return made
 
 
-def report(title: str, rows: list[dict]) -> str:
-    """A page with one table."""
+def report(title: str, rows: list[dict], figures: tuple[str, ...] = ()) -> str:
+    """A page with one table and, below it, figures in HTML."""
     head = "".join(f"<th>{html.escape(str(c))}</th>" for c in (rows[0] if rows else {}))
     body = "".join("<tr>" + "".join(f"<td>{html.escape(f'{v:.3f}' if isinstance(v, float) else str(v))}</td>" for v in r.values()) + "</tr>" for r in rows)
-    return f"<!DOCTYPE html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
+    return f"<!DOCTYPE html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>{''.join(figures)}"

@@ -1,6 +1,8 @@
 """Files of HDF5, TIFF and JPEG, and whole registrations from settings to files."""
 
+import base64
 import os
+import xml.etree.ElementTree as ET
 
 import numpy as np
 import pytest
@@ -8,9 +10,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridloom.__main__ import main
-from gridloom.functions.grid import Shape
+from gridloom.functions.grid import GridError, Shape
+from gridloom.operators.mapgrid import map_nodes
 from gridloom.plans import program
-from gridloom.sources import hdf5, images, sinks, tiff
+from gridloom.sources import hdf5, images, plots, png, sinks, tiff
 from gridloom.sources.config import Settings, from_file
 from gridloom.sources.errors import ConfigError, LoaderError
 from gridloom.sources.volume import write_volume
@@ -105,13 +108,59 @@ def test_suites_and_reports(spark, tmp_path):
     write_volume(f"{tmp_path}/f.image", blob(11.5))
     write_volume(f"{tmp_path}/m.image", blob(12.5))
     (tmp_path / "run.conf").write_text("fixed = f.image\nmoved = m.image\nnodespacing = 12\nlambda = 5\nmax_iterations = 1\n")
-    (tmp_path / "a.testconf").write_text("type = regression\nname = first\nrun_config = run.conf\naccepted_image = f.image\n")
+    (tmp_path / "a.testconf").write_text("type = regression\nname = first\nrun_config = run.conf\naccepted_image = f.image\naccepted_map = map.xdmf\n")
     (tmp_path / "b.testconf").write_text("type = other\n")
     said: list[str] = []
     found = program.run_tests(spark, str(tmp_path), f"{tmp_path}/reports", said.append)
     assert list(found) == ["first"] and abs(found["first"]["proficiency accepted/fixed"] - 1) < 1e-9
     assert 'href="first.html"' in (tmp_path / "reports/report.html").read_text() and "proficiency" in (tmp_path / "reports/first.html").read_text()
     assert any("b.testconf" in s for s in said)
+    # Four joint histograms, and one picture for each component of the map, which is compared with itself.
+    page = (tmp_path / "reports/first.html").read_text()
+    assert page.count("<figure>") == 6 and abs(found["first"]["map r2 x"] - 1) < 1e-9
+    last = base64.b64decode(page.split("base64,")[-1].split('"')[0])
+    on = png.decode(last)[:: plots.CELL, :: plots.CELL] > 0
+    assert on.shape == (50, 50) and on[::-1].sum() == np.diag(on[::-1]).sum() > 1
+
+
+@given(st.dictionaries(st.tuples(st.integers(0, 4), st.integers(0, 4)), st.integers(1, 9), max_size=9))
+def test_histogram_images(counts):
+    grey = png.decode(plots.histogram_image(counts, 5))[:: plots.CELL, :: plots.CELL]
+    for column in range(5):
+        for row in range(5):
+            assert abs(grey[4 - row, column] - counts.get((column, row), 0) / max([1, *counts.values()])) < 1e-4
+
+
+def test_overlays(spark, tmp_path, capsys):
+    fixed, moved = blob(11.5)[0], blob(13.0)[0]
+    fixed[0, 0] = moved[0, 0] = 0
+    write_volume(f"{tmp_path}/f.image", fixed[None])
+    write_volume(f"{tmp_path}/m.image", moved[None])
+    assert main(["overlay", f"{tmp_path}/f.image", f"{tmp_path}/m.image", f"{tmp_path}/o.png", "--flip"]) == 0
+    red = png.decode((tmp_path / "o.png").read_bytes())
+    assert np.abs(red - (fixed / fixed.max() + moved / moved.max()) / 2).max() < 0.003
+    assert main(["overlay", f"{tmp_path}/f.image", f"{tmp_path}/m.image", f"{tmp_path}/p.png"]) == 0
+    assert (png.decode((tmp_path / "p.png").read_bytes()) == red[::-1]).all()
+    assert main(["overlay", "a"]) == 2 and main(["overlay", f"{tmp_path}/none", f"{tmp_path}/f.image", f"{tmp_path}/q.png"]) == 1
+
+
+@pytest.mark.parametrize("cover", [False, True])
+def test_plots_of_maps(spark, tmp_path, cover):
+    nx, ny = 24, 20
+    shape = Shape(nx, ny, 1)
+    write_volume(f"{tmp_path}/f.image", np.ones((1, ny, nx)) * np.linspace(0.1, 1, nx))
+    nodes = [(r.node, r.lx, r.ly) for r in map_nodes(spark, shape, 8, cover).collect()]
+    rows = [(n, k, v) for n, x, y in nodes for k, v in ((0, 0.0), (1, 1.0 + x / 16), (2, -0.5))]
+    sinks.write_map(spark.createDataFrame(rows, "node int, dof int, value double"), shape, 8, f"{tmp_path}/m{cover}.h5:/map", cover)
+    (tmp_path / "l.csv").write_text("id,x,y\n1,10,10\n2,12,11\n")
+    program.plot_map(spark, f"{tmp_path}/f.image", f"{tmp_path}/m{cover}.h5:/map", f"{tmp_path}/o.svg", f"{tmp_path}/l.csv")
+    svg = ET.parse(tmp_path / "o.svg").getroot()
+    lines = [tuple(float(x.get(k)) for k in ("x1", "y1", "x2", "y2")) for x in svg.iter("{http://www.w3.org/2000/svg}line")]
+    want = [(x, y, x + 1 + x / 16, y - 0.5) for _, x, y in nodes] + [(x, y, x + 1 + x / 16, y - 0.5) for x, y in ((10, 10), (12, 11))]
+    assert np.allclose(sorted(lines), sorted(want), atol=1e-4)
+    with pytest.raises(GridError):
+        write_volume(f"{tmp_path}/g.image", np.ones((1, ny, nx + 40)))
+        program.plot_map(spark, f"{tmp_path}/g.image", f"{tmp_path}/m{cover}.h5:/map", f"{tmp_path}/o.svg")
 
 
 def test_settings_of_smoothing_and_errors(capsys, tmp_path):
