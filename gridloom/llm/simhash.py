@@ -72,19 +72,6 @@ def pigeonhole_blocks(bits: int, distance: int, choose: int) -> list[list[int]]:
     return [np.concatenate(c).tolist() for c in combinations(groups, choose)]
 
 
-def sampled_blocks(bits: int, size: int, number: int, seed: int = 1) -> list[list[int]]:
-    """Blocks of ``size`` positions dealt from shuffled positions, for distances too wide for whole groups."""
-    draw = np.random.default_rng(seed)
-    deal: list[int] = []
-    blocks = []
-    for _ in range(number):
-        if len(deal) < size:
-            deal = draw.permutation(bits).tolist()
-        blocks.append(sorted(deal[:size]))
-        deal = deal[size:]
-    return blocks
-
-
 def block_links(fps: np.ndarray, others: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
     """Edges (i, j) that span the links among rows of fps, or between fps and others (j counts on from len(fps))."""
     both = fps if others is None else np.vstack([fps, others])
