@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_extract, langid, media, quality, sharding, simhash, toxicity, url_filter
+from . import align, bpe, centroids, chat, decontam, html_extract, langid, media, quality, sharding, simhash, toxicity, url_filter
 from .common import crc_mod, labelled_texts, table
 
 
@@ -69,10 +69,46 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.sample_texts(docs)).select("doc_id", held_out(5, 0), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_html_extract, op4_media, op5_toxicity, op6_sharding, op7_simhash, op8_quality, op9_decontam, op10_langid)}
+#: A fixed value of the contract: a conversation whose texts look like control strings.
+ODD_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame(ODD_CONVERSATION, "conv_id bigint, turn bigint, role string, text string")
+    made = chat.format_conversations(chat.log_of(given.unionByName(odd)), sequence=("turn", "step"))
+    return chat.digest(made).withColumnRenamed("conv", "conv_id")
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, components=64, scale=64, seed="1")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_html_extract, op4_media, op5_toxicity, op6_sharding, op7_simhash, op8_quality, op9_decontam, op10_langid, op11_chat, op12_align, op13_centroids)}
 
 _WORDS = ", ".join(f"'{w}'" for w in url_filter.HOST_WORDS)
 
+_DISTANCE = "list_sum(list_transform(range(1, 65), lambda i: (a.x[i] - c.x[i]) * (a.x[i] - c.x[i])))"
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """CTEs n1, c1, n2, c2, ...: nearest centroids of each round and the centroids after it."""
+    nearest = lambda r: f"n{r + 1} AS (SELECT k, first(j ORDER BY d, j) AS j, min(d) AS d FROM (SELECT k, j, {_DISTANCE} AS d FROM a, c{r} AS c) GROUP BY k)"
+    parts = []
+    for r in range(rounds):
+        parts += [
+            nearest(r),
+            f"""m{r + 1} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x
+               FROM (SELECT j, i, sum(v) AS s, count(*) AS n FROM (SELECT j, unnest(range(1, 65)) AS i, unnest(x) AS v FROM n{r + 1} JOIN a USING (k)) GROUP BY j, i) GROUP BY j)""",
+            f"c{r + 1} AS (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{r} AS c LEFT JOIN m{r + 1} AS m USING (j))",
+        ]
+    return ",\n".join([*parts, nearest(rounds)])
+
+
 ORACLE_SQL = {
     "op2_url_filter": rf"""
 WITH p AS (
@@ -132,5 +168,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
        coalesce(spans, '') AS spans
 FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k) LEFT JOIN c USING (k)
+""",
+    "op11_chat": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, md5(text))) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(16 + length(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '>', '%3E')) + length(regexp_replace(text, '<(\\*/?turn)', '<\\\1', 'g'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+""",
+    "op13_centroids": f"""
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS k, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+a AS MATERIALIZED (SELECT * FROM v),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x
+  FROM (SELECT sha256('1:' || vec_id) AS h, x FROM a WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT 16)),
+{_centroid_rounds(3)},
+i AS (SELECT j, CAST(sum(d) AS BIGINT) AS own FROM n4 GROUP BY j)
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, own AS cluster_inertia,
+       (SELECT CAST(sum(d) AS BIGINT) FROM n4) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM n4 JOIN a USING (k) JOIN i USING (j) JOIN c3 AS c USING (j)
 """,
 }
