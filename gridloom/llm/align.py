@@ -45,11 +45,11 @@ from .common import checkpoint
 #: Characters of a pack's texts, beyond which the next document begins another.
 PACK = 1 << 22
 #: White space as regular expressions of Unicode have it.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 IS_SPACE = re.compile(f"[{SPACE}]")
 #: A fixed value: B's sign for a space.
-BLANK = "▁"
+BLANK = "\u2581"
 #: A character after which B's pieces hold no white space; stands before segments that do not begin with B's own space.
 STAY = "x"
 
@@ -77,7 +77,7 @@ class Pair:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=b_path)
         self.borders = pieces_with_borders(self.b)
-        probe = "a\tb\xa0c  d e　f  ﬁ\n"
+        probe = "a\tb\xa0c  d\u2003e\u3000f\u2028 \ufb01\n"
         if self.b.normalize(probe) != (" " + probe).replace(" ", BLANK) or any(a == STAY for a, _ in self.borders):
             raise ValueError(f"not a model that leaves texts as they are but for a space before them: {b_path}")
         self.stay = self.b.encode(STAY)
