@@ -6,14 +6,15 @@ such a border are read from the file; where one has a border's two characters, n
 encoding is its segments' encodings in a row, and no group of aligned tokens reaches over a cut.
 
 1. Documents are put in packs of about ``PACK`` characters: the distinct segments, and each document as their numbers.
-2. The distinct segments of all packs are encoded by both vocabularies and aligned, each once.
-3. Alignments are joined back to the packs on the segment. A pack has a segment once, however often it stands there, so
-   the most frequent segment has as many rows as there are packs. Packs compose their documents' digests and count in how
-   many of them each id pair is linked.
+2. The segments of all packs are brought together and sorted, so that each distinct one is encoded by both vocabularies and
+   aligned once, and its alignment goes back to every pack that has it. A pack has a segment once, however often it stands
+   there, so the most frequent segment has as many rows as there are packs.
+3. Packs compose their documents' digests and count in how many of them each id pair is linked.
 4. Counts are summed over packs, the highest of each A id is found, both are joined back to the packs' pairs, and packs
    sum them over each document's links.
 
 Packs are written before they are read again, and so are composed ones: a lost executor costs what it was working on.
+The first are removed once the second are there.
 
 A is a byte-level BPE file of the tokenizers library, read with its special tokens as plain text; B is a BPE model of the
 sentencepiece library with byte fallback that puts a space before each text. Both encode a space and the text. Two tokens
@@ -28,28 +29,32 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 from itertools import accumulate
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .bpe import byte_characters
-from .common import checkpoint
+from .common import checkpoint, remove, shared_folder
 
 #: Characters of a pack's texts, beyond which the next document begins another.
-PACK = 1 << 22
+PACK = 1 << 24
 #: White space as regular expressions of Unicode have it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 IS_SPACE = re.compile(f"[{SPACE}]")
 #: A fixed value: B's sign for a space.
 BLANK = "\u2581"
+#: Where a text is not just words between single spaces and one or two line breaks.
+ODD_SPACE = re.compile(f"[{SPACE.replace(' ', '')}](?<!\\n)|  | \\n|\\n |\\n\\n\\n|\\A[ \\n]|[ \\n]\\Z")
 #: A character after which B's pieces hold no white space; stands before segments that do not begin with B's own space.
 STAY = "x"
 
@@ -60,6 +65,12 @@ def pieces_with_borders(model) -> set[tuple[str, str]]:
     return {(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False) if IS_SPACE.match(b) and not IS_SPACE.match(a)}
 
 
+#: Segments of more characters are encoded on their own, and so are those with a group of more links.
+LONG, LARGE = 10_000, 1_000
+#: What an alignment's integers begin with.
+HEAD = ("good", "n_a", "n_b", "n_groups", "n_links", "n_pairs")
+
+
 class Pair:
     """Both vocabularies, and what they make of segments."""
 
@@ -80,11 +91,18 @@ class Pair:
         probe = "a\tb\xa0c  d\u2003e\u3000f\u2028 \ufb01\n"
         if self.b.normalize(probe) != (" " + probe).replace(" ", BLANK) or any(a == STAY for a, _ in self.borders):
             raise ValueError(f"not a model that leaves texts as they are but for a space before them: {b_path}")
+        if any(b in " \n" for _, b in self.borders):
+            raise ValueError(f"pieces reach over spaces or lines: {b_path}")
+        self.bordered = re.compile("[" + "".join(re.escape(b) for _, b in sorted(self.borders)) + "]" if self.borders else "(?!)")
         self.stay = self.b.encode(STAY)
         byte = {c: b for b, c in enumerate(byte_characters())}
         special = {t["id"] for t in spec["added_tokens"]}
         self.a_bytes = {i: t.encode() if i in special else bytes(byte[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
+        self.a_sizes = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
+        self.b_sizes = np.array([len(x) for x in self.b_bytes])
+        #: Kind of integer in which all id pairs fit.
+        self.width = "<i4" if len(self.a_sizes) * len(self.b_sizes) < 1 << 31 else "<i8"
 
     def safe_cut(self, before: str, after: str) -> bool:
         return (before[-1], after[0]) not in self.borders
@@ -92,7 +110,7 @@ class Pair:
     def segments(self, text: str) -> list[str]:
         """Of a space and the text; joined they are both again."""
         found = SEGMENT.findall(" " + text)
-        if not self.may_have_border(text):
+        if not self.bordered.search(text):
             return found
         out = found[:1]
         for s in found[1:]:
@@ -102,8 +120,15 @@ class Pair:
                 out[-1] += s
         return out
 
-    def may_have_border(self, text: str) -> bool:
-        return any(b in text for b in {b for _, b in self.borders})
+    def keys(self, text: str) -> list[str]:
+        """Segments, those of one space and what follows without the space.
+
+        In a text without other white space than single spaces and one or two line breaks, cutting before each is splitting at
+        spaces after one has been put before each line break.
+        """
+        if ODD_SPACE.search(text):
+            return [s[1:] if s[0] == " " and not IS_SPACE.match(s, 1) and len(s) > 1 else s for s in self.segments(text)]
+        return text.replace("\n", " \n").replace("\n \n", "\n\n").split(" ")
 
     def encode_b(self, segments: list[str]) -> list[list[int]]:
         """Ids of segments that stand inside a text: those that begin with a space as if B had put it there."""
@@ -112,71 +137,152 @@ class Pair:
         alone = self.b.piece_to_id(BLANK)
         return [([alone] if s == " " else ids) if s[0] == " " else ids[len(self.stay) :] for s, ids in zip(segments, found, strict=True)]
 
-    def align(self, segments: list[str]) -> list[dict]:
-        whole = self.a.encode_batch(segments, add_special_tokens=False)
-        return [alignment(s, x.ids, b, [self.a_bytes[i] for i in x.ids], [self.b_bytes[i] for i in b]) for s, x, b in zip(segments, whole, self.encode_b(segments), strict=True)]
-
-
-def alignment(text: str, a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> dict:
-    """Of one segment: whether both spell it, counts, the groups' text, and its links by id pair."""
+    def align_one(self, segment: str) -> dict:
+        a, b = self.a.encode(segment, add_special_tokens=False).ids, self.encode_b([segment])[0]
+        return alignment(segment, a, b, [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], len(self.b_bytes))
+
+    def align(self, segments: list[str]) -> tuple[list[bytes], list[str]]:
+        """Words (see ``words_of``) and groups of distinct segments: encoded as one text, into which most can be joined."""
+        alone = {i for i, s in enumerate(segments) if IS_SPACE.match(s[-1]) or BLANK in s or self.bordered.match(s) or len(s) > LONG}
+        few = [i for i in range(len(segments)) if i not in alone]
+        made = self.align_joined([segments[i] for i in few]) if few else []
+        if made is None:
+            alone, made = set(range(len(segments))), []
+        words: list = [None] * len(segments)
+        groups: list = [""] * len(segments)
+        for i, (w, g) in zip(few, made, strict=False):
+            words[i], groups[i] = w, g
+        for i, s in enumerate(segments):
+            if words[i] is None:
+                x = self.align_one(s)
+                words[i], groups[i] = words_of(x, self.width), x["groups"]
+        return words, groups
+
+    def align_joined(self, segments: list[str]) -> list[tuple[bytes | None, str]] | None:
+        """None if the whole is not spelt or not cut at the segments; a segment's words are None where a group has too many links."""
+        whole = "".join(segments)
+        raw = whole.encode("utf-8", "surrogatepass")
+        a = np.array(self.a.encode(whole, add_special_tokens=False).ids, np.int64)
+        b = np.array(self.encode_b([whole])[0], np.int64)
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != raw or b"".join([self.b_bytes[i] for i in b.tolist()]) != raw:
+            return None
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.cumsum([len(s.encode("utf-8", "surrogatepass")) for s in segments])
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        of_cut = np.searchsorted(ends, cuts)
+        n_groups = np.bincount(of_cut, minlength=len(segments))
+        if not np.array_equal(cuts[np.cumsum(n_groups) - 1], ends):
+            return None
+        a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+        a_many, b_many = np.bincount(a_group, minlength=len(cuts)), np.bincount(b_group, minlength=len(cuts))
+        sums = lambda v: np.bincount(of_cut, v, len(segments)).astype(np.int64)
+        n_a, n_b, n_links = sums(a_many), sums(b_many), sums(a_many * b_many)
+        # Links of all but large groups, by segment and id pair.
+        times = np.where(a_many * b_many > LARGE, 0, b_many)[a_group]
+        first = np.cumsum(b_many) - b_many
+        pair = np.repeat(a, times) * len(self.b_bytes) + b[stretches(first[a_group], times)]
+        space = len(self.a_sizes) * len(self.b_bytes)
+        links, n = np.unique(np.repeat(of_cut[a_group], times) * space + pair, return_counts=True)
+        owner, pair = np.divmod(links, space)
+        n_pairs = np.bincount(owner, minlength=len(segments))
+        head = np.stack([np.ones_like(n_a), n_a, n_b, n_groups, n_links, n_pairs], axis=1)
+        size = len(HEAD) + 2 * n_pairs
+        start = np.cumsum(size) - size
+        out = np.zeros(size.sum(), self.width)
+        out[start[:, None] + np.arange(len(HEAD))] = head
+        out[stretches(start + len(HEAD), n_pairs)] = pair
+        out[stretches(start + len(HEAD) + n_pairs, n_pairs)] = n
+        words = np.split(out, start[1:])
+        skip = set(of_cut[a_many * b_many > LARGE].tolist())
+        # Tokens by group, A's before B's, each with what stands after it.
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        after = np.full(len(order), ",", object)
+        after[np.cumsum(a_many + b_many) - b_many - 1] = "|"
+        after[np.cumsum(a_many + b_many) - 1] = ";"
+        said = [None] * (2 * len(order))
+        said[::2] = map(str, np.concatenate([a, b])[order].tolist())
+        said[1::2] = after.tolist()
+        to = 2 * np.cumsum(n_a + n_b)
+        return [(None if i in skip else w.tobytes(), "".join(said[f : t - 1])) for i, (w, f, t) in enumerate(zip(words, [0, *to[:-1].tolist()], to.tolist(), strict=True))]
+
+
+def alignment(text: str, a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes], n_ids: int) -> dict:
+    """Of one segment: whether both spell it, counts, the groups' text, and its links by id pair (A's id times ``n_ids`` and B's)."""
     raw = text.encode("utf-8", "surrogatepass")
     if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-        return {"good": False, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups": "", "pair": [], "times": []}
+        return {"good": False, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups": "", "links": {}}
     a_ends, b_ends = list(accumulate(map(len, a_bytes))), list(accumulate(map(len, b_bytes)))
     b_at = {e: i + 1 for i, e in enumerate(b_ends)}
-    groups, links, i, j = [], Counter(), 0, 0
-    n_links = 0
+    groups, links, i, j, n_links = [], Counter(), 0, 0, 0
     for k, e in enumerate(a_ends, 1):
         if (m := b_at.get(e)) is None:
             continue
         own_a, own_b = a[i:k], b[j:m]
         groups.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
         n_links += len(own_a) * len(own_b)
-        if len(own_a) == len(own_b) == 1:
-            links[own_a[0] << 32 | own_b[0]] += 1
-        else:
-            many_b = Counter(own_b).items()
-            for x, n in Counter(own_a).items():
-                for y, o in many_b:
-                    links[x << 32 | y] += n * o
+        many_b = Counter(own_b).items()
+        for x, n in Counter(own_a).items():
+            for y, o in many_b:
+                links[x * n_ids + y] += n * o
         i, j = k, m
-    return {"good": True, "n_a": len(a), "n_b": len(b), "n_groups": len(groups), "n_links": n_links, "groups": ";".join(groups), "pair": list(links), "times": list(links.values())}
+    return {"good": True, "n_a": len(a), "n_b": len(b), "n_groups": len(groups), "n_links": n_links, "groups": ";".join(groups), "links": links}
+
+
+def words_of(x: dict, width: str) -> bytes:
+    """An alignment as integers: HEAD, its id pairs, and how often each is linked."""
+    pairs = sorted(x["links"])
+    return np.array([x["good"], x["n_a"], x["n_b"], x["n_groups"], x["n_links"], len(pairs), *pairs, *(x["links"][p] for p in pairs)], width).tobytes()
+
 
+def small(values: np.ndarray) -> bytes:
+    """Integers by planes of their bytes, compressed."""
+    raw = np.ascontiguousarray(values.astype("<i8").view("u1").reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
 
-ALIGNED = "segment string, good boolean, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pair array<bigint>, times array<bigint>"
-ARROW = pa.schema([("segment", pa.string()), ("good", pa.bool_()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups", pa.string()), ("pair", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
+def large(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n, codec="zstd", asbytes=True), "u1").reshape(8, n) if n else np.zeros((8, 0), "u1")
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
-def packs(documents: DataFrame, text: str, key: str, pair: Callable[[], Pair], size: int = PACK) -> DataFrame:
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table, written to the shared folder, and its place."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def packs(documents: DataFrame, text: str, key: str, pair: Callable[[], Pair], size: int) -> DataFrame:
     """(pack, ids, ends, numbers, segments): document i has the segments of the numbers from ends[i - 1] to ends[i]."""
     kind = documents.schema[key].dataType
     schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("ends", T.BinaryType()), T.StructField("numbers", T.BinaryType()), T.StructField("segments", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         both, arrow = pair(), to_arrow_schema(schema)
         ids: list = []
         ends: list[int] = []
         numbers: list[np.ndarray] = []
-        index: dict[str, int] = {}
+        index: defaultdict = defaultdict()
+        index.default_factory = index.__len__
         total = at = 0
 
         def full() -> pa.RecordBatch:
             nonlocal total, at
-            row = {"ids": list(ids), "ends": np.array(ends, "<i8").tobytes(), "numbers": np.concatenate(numbers).tobytes(), "segments": list(index)}
+            segments = [k if IS_SPACE.match(k) else f" {k}" for k in index]
+            row = {"ids": list(ids), "ends": small(np.array(ends)), "numbers": small(np.concatenate(numbers)), "segments": segments}
             for x in (ids, ends, numbers, index):
                 x.clear()
             total = at = 0
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
-            for i, t in zip(batch.column(0), batch.column(1), strict=True):
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = t.as_py()
-                own = both.segments(t) if t else []
-                numbers.append(np.array([index.setdefault(s, len(index)) for s in own], "<i4"))
+                own = both.keys(t) if t else []
+                numbers.append(np.fromiter(map(index.__getitem__, own), np.int32, len(own)))
                 at += len(own)
-                ids.append(i.as_py())
+                ids.append(i)
                 ends.append(at)
                 total += len(t or "") + 16
                 if total >= size:
@@ -185,22 +291,30 @@ def packs(documents: DataFrame, text: str, key: str, pair: Callable[[], Pair], s
             yield full()
 
     made = documents.select(f"`{key}`", f"`{text}`").mapInArrow(run, schema)
-    # The number is kept by the checkpoint, whatever it was in other attempts.
-    return checkpoint(made.select(F.monotonically_increasing_id().alias("pack"), "*"))
+    return made.select(F.monotonically_increasing_id().alias("pack"), "*")
 
 
 def aligned(packed: DataFrame, pair: Callable[[], Pair]) -> DataFrame:
-    """The distinct segments of all packs with their alignments."""
+    """(pack, k, words, groups): the alignment of each pack's segment k, made once for all packs that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair()
+        last: tuple[str, bytes, str] | None = None
         for batch in batches:
-            segments = batch.column(0).to_pylist()
-            for at in range(0, len(segments), 1024):
-                some = segments[at : at + 1024]
-                yield pa.RecordBatch.from_pylist([{"segment": s, **x} for s, x in zip(some, both.align(some), strict=True)], schema=ARROW)
+            if not batch.num_rows:
+                continue
+            index = batch.column(2).dictionary_encode()
+            segments = index.dictionary.to_pylist()
+            # Equal segments stand together, so only a batch's first can be the one before.
+            known = last is not None and segments[0] == last[0]
+            words, groups = both.align(segments[1:] if known else segments)
+            if known:
+                words, groups = [last[1], *words], [last[2], *groups]
+            last = segments[-1], words[-1], groups[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary()).take(index.indices), pa.array(groups, pa.string()).take(index.indices)], names=["pack", "k", "words", "groups"])
 
-    return packed.select(F.explode("segments").alias("segment")).distinct().mapInArrow(run, ALIGNED)
+    at = packed.select("pack", F.posexplode("segments").alias("k", "segment"))
+    return at.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, "pack bigint, k int, words binary, groups string")
 
 
 def spread(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -215,57 +329,55 @@ def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
 
 
-def compose(numbers: np.ndarray, ends: np.ndarray, found: dict[str, np.ndarray | list]) -> dict:
-    """Digests of a pack's documents, its distinct pairs with the number of documents of each, and links by segment.
+NAMES = ("n_a", "n_b", "n_groups", "n_links")
+
 
-    ``found`` has the columns of alignments in the order of the pack's segments; ``pair`` and ``times`` flat, ``size`` the
-    pairs of each segment.
-    """
+def compose(numbers: np.ndarray, ends: np.ndarray, words: list[bytes], groups: list[str], width: str) -> dict:
+    """Digests of a pack's documents, its distinct pairs with the number of documents of each, and links by segment."""
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    document = np.repeat(np.arange(len(ends)), ends - starts)
-    bad = spread((~found["good"][numbers]).astype(np.int64), ends) > 0
-    out = {c: np.where(bad, 0, spread(found[c][numbers], ends)) for c in ("n_a", "n_b", "n_groups", "n_links")}
-    groups = found["groups"]
-    out["groups_sha256"] = [sha256(";".join([groups[k] for k in numbers[a:b].tolist()]).encode()).hexdigest() if b > a and not x else "" for a, b, x in zip(starts.tolist(), ends.tolist(), bad.tolist(), strict=True)]
-    pairs, where = np.unique(found["pair"], return_inverse=True)
-    # Each segment of a document once, then each pair of it once.
-    good = ~bad[document]
-    both = np.unique(document[good] * len(groups) + numbers[good]) if len(groups) else np.zeros(0, np.int64)
-    row, segment = np.divmod(both, max(1, len(groups)))
-    first = np.cumsum(found["size"]) - found["size"]
-    sizes = found["size"][segment]
-    held = np.unique(np.repeat(row, sizes) * max(1, len(pairs)) + where[stretches(first[segment], sizes)])
-    out |= {"bad": bad, "pairs": pairs, "documents": np.bincount(held % max(1, len(pairs)), minlength=len(pairs)), "where": where}
-    return out
-
-
-COMPOSED = "pack bigint, ids array<{id}>, ends binary, numbers binary, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, bad array<boolean>, pairs array<bigint>, documents array<bigint>, `where` binary, times binary, size binary"
-
-
-def composed(packed: DataFrame, alignments: DataFrame) -> DataFrame:
+    flat = np.frombuffer(b"".join(words), width).astype(np.int64)
+    at = np.cumsum([0, *(len(w) // np.dtype(width).itemsize for w in words)])[:-1]
+    head = {c: flat[at + i] for i, c in enumerate(HEAD)}
+    size = head["n_pairs"]
+    pair, times = (flat[stretches(at + len(HEAD) + k * size, size)] for k in (0, 1))
+    bad = spread(1 - head["good"][numbers], ends) > 0
+    out = {c: np.where(bad, 0, spread(head[c][numbers], ends)) for c in NAMES}
+    said = (";".join(map(groups.__getitem__, numbers[a:b].tolist())) if b > a and not x else "" for a, b, x in zip(starts.tolist(), ends.tolist(), bad.tolist(), strict=True))
+    out["groups_sha256"] = [sha256(t.encode()).hexdigest() if t else "" for t in said]
+    pairs, where = np.unique(pair, return_inverse=True)
+    documents = np.zeros(len(pairs), np.int64)
+    first = np.cumsum(size) - size
+    good = np.flatnonzero(~bad & (ends > starts))
+    # Some documents at a time: of each its segments once, then of their pairs each once.
+    for some in np.array_split(good, max(1, len(good) // 256)):
+        if len(some):
+            lengths = (ends - starts)[some]
+            held = np.unique(np.repeat(np.arange(len(some)), lengths) * len(words) + numbers[stretches(starts[some], lengths)])
+            row, segment = np.divmod(held, len(words))
+            linked = np.unique(np.repeat(row, size[segment]) * len(pairs) + where[stretches(first[segment], size[segment])])
+            documents += np.bincount(linked % len(pairs), minlength=len(pairs))
+    return out | {"bad": bad, "pairs": pairs, "documents": documents, "where": where, "times": times, "size": size}
+
+
+def composed(packed: DataFrame, alignments: DataFrame, width: str) -> DataFrame:
     """Packs with their documents' digests and pairs (see ``compose``)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    at = packed.select("pack", F.posexplode("segments").alias("k", "segment"))
-    joined = at.join(alignments, "segment").groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("k", "good", "n_a", "n_b", "n_groups", "n_links", "groups", "pair", "times"))).alias("found"))
-    whole = packed.select("pack", "ids", "ends", "numbers").join(joined, "pack", "left")
-    schema = T.StructType([T.StructField("pack", T.LongType()), T.StructField("ids", packed.schema["ids"].dataType), *T.StructType.fromDDL(COMPOSED.format(id="bigint")).fields[2:]])
+    kept = ("ids", "ends", "numbers")
+    rows = alignments.select("pack", F.struct("k", "words", "groups").alias("found")).unionByName(packed.select("pack", *kept), allowMissingColumns=True)
+    whole = rows.groupBy("pack").agg(*(F.first(c, ignorenulls=True).alias(c) for c in kept), F.collect_list("found").alias("found"))
+    binary = ("ends", "numbers", *NAMES, "bad", "where", "times", "size")
+    schema = T.StructType([T.StructField("pack", T.LongType()), packed.schema["ids"], *(T.StructField(c, T.BinaryType()) for c in binary), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("pairs", "documents")), T.StructField("groups_sha256", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for i in range(batch.num_rows):
-                numbers, ends = np.frombuffer(batch.column(3)[i].as_py(), "<i4").astype(np.int64), np.frombuffer(batch.column(2)[i].as_py(), "<i8")
-                own = batch.column(4)[i].values
-                own = own if own is not None else pa.array([], batch.schema.field(4).type.value_type)
-                field = lambda c: own.field(own.type.get_field_index(c))  # noqa: B023, E731
-                found = {"good": np.array(field("good").to_pylist(), bool), "groups": field("groups").to_pylist(), **{c: field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}}
-                flat = {c: field(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pair", "times")}
-                found |= {"pair": flat["pair"], "size": np.array([len(x) for x in field("pair")], np.int64)}
-                made = compose(numbers, ends, found)
-                row = {"pack": batch.column(0)[i].as_py(), "ids": batch.column(1)[i].as_py(), "ends": batch.column(2)[i].as_py(), "numbers": batch.column(3)[i].as_py()}
-                row |= {c: v.tolist() if isinstance(v, np.ndarray) else v for c, v in made.items() if c != "where"}
-                row |= {"where": made["where"].astype("<i4").tobytes(), "times": flat["times"].astype("<i4").tobytes(), "size": found["size"].astype("<i4").tobytes()}
+                raw = {c: batch.column(c)[i] for c in batch.schema.names}
+                found = raw["found"].values
+                order = np.argsort(found.field("k").to_numpy(zero_copy_only=False))
+                column = lambda c: found.field(c).take(pa.array(order)).to_pylist()  # noqa: B023, E731
+                made = compose(large(raw["numbers"].as_py()), large(raw["ends"].as_py()), column("words"), column("groups"), width)
+                row = {"pack": raw["pack"].as_py(), "ids": raw["ids"].as_py(), "ends": raw["ends"].as_py(), "numbers": raw["numbers"].as_py(), "groups_sha256": made.pop("groups_sha256")}
+                row |= {c: v if c in ("pairs", "documents") else small(v) for c, v in made.items()}
                 yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
     return checkpoint(whole.mapInArrow(run, schema))
@@ -274,39 +386,42 @@ def composed(packed: DataFrame, alignments: DataFrame) -> DataFrame:
 def scored(made: DataFrame, counts: DataFrame, key: str, kind: T.DataType) -> DataFrame:
     """Documents of composed packs with n_best and count_sum; counts has (pair, count, best)."""
     at = made.select("pack", F.posexplode("pairs").alias("k", "pair"))
-    joined = at.join(counts, "pair").groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("k", "count", "best"))).alias("counted"))
-    names = ("n_a", "n_b", "n_groups", "n_links")
-    schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in (*names, "n_best", "count_sum")), T.StructField("groups_sha256", T.StringType())])
-    whole = made.select("pack", "ids", "ends", "numbers", "where", "times", "size", "bad", *names, "groups_sha256").join(joined, "pack", "left").select("ids", "ends", "numbers", "where", "times", "size", "bad", *names, "groups_sha256", "counted")
+    joined = at.join(counts, "pair").select("pack", F.struct("k", "count", "best").alias("counted"))
+    kept = [c for c in made.columns if c not in ("pack", "pairs", "documents")]
+    whole = joined.unionByName(made.select("pack", *kept), allowMissingColumns=True).groupBy("pack").agg(*(F.first(c, ignorenulls=True).alias(c) for c in kept), F.collect_list("counted").alias("counted"))
+    schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in (*NAMES, "n_best", "count_sum")), T.StructField("groups_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x = {c: batch.column(c)[i] for c in batch.schema.names}
-                raw = lambda c, t: np.frombuffer(x[c].as_py(), t).astype(np.int64)  # noqa: B023, E731
-                ends, numbers, where, times, size = raw("ends", "<i8"), raw("numbers", "<i4"), raw("where", "<i4"), raw("times", "<i4"), raw("size", "<i4")
-                own = x["counted"].values
-                count, best = (own.field(own.type.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) if own is not None else np.zeros(0, np.int64) for c in ("count", "best"))
-                bad = np.array(x["bad"].as_py(), bool)
-                within = np.cumsum(size)
-                sums = [np.where(bad, 0, spread(spread(v[where] * times, within)[numbers], ends)) for v in (best, count)]
-                columns = [x["ids"].values, *(x[c].values for c in names), *(pa.array(v, pa.int64()) for v in sums), x["groups_sha256"].values]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                raw = {c: batch.column(c)[i] for c in batch.schema.names}
+                ends, numbers, where, times, size, bad, *own = (large(raw[c].as_py()) for c in ("ends", "numbers", "where", "times", "size", "bad", *NAMES))
+                found = raw["counted"].values
+                order = np.argsort(found.field("k").to_numpy(zero_copy_only=False))
+                sums = []
+                for c in ("best", "count"):
+                    of_pair = found.field(c).to_numpy(zero_copy_only=False).astype(np.int64)[order]
+                    of_segment = spread(of_pair[where] * times, np.cumsum(size))
+                    sums.append(np.where(bad, 0, spread(of_segment[numbers], ends)))
+                yield pa.RecordBatch.from_arrays([raw["ids"].values, *(pa.array(v, pa.int64()) for v in (*own, *sums)), raw["groups_sha256"].values], names=schema.names)
 
     return whole.mapInArrow(run, schema).withColumnRenamed("id", key)
 
 
-def link_counts(made: DataFrame) -> DataFrame:
-    """(pair, count, best): in how many documents two ids are linked; best is 1 if no partner of the A id has more. At most one row for each B id and A id."""
-    counts = made.select(F.explode(F.arrays_zip("pairs", "documents")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.documents").alias("count"))
-    counts = checkpoint(counts)
-    top = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("count").alias("top"))
-    return counts.withColumn("a", F.shiftright("pair", 32)).join(top, "a").select("pair", "count", (F.col("count") == F.col("top")).cast("bigint").alias("best"))
+def link_counts(made: DataFrame, n_ids: int) -> DataFrame:
+    """(pair, count, best): in how many documents two ids are linked; best is 1 if no partner of the A id has more."""
+    zipped = made.select(F.explode(F.arrays_zip("pairs", "documents")).alias("x"))
+    counts = zipped.groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.documents").alias("count"))
+    # An A id has at most as many rows as B has ids.
+    top = F.max("count").over(Window.partitionBy(F.floor(F.col("pair") / n_ids)))
+    return counts.select("pair", "count", (F.col("count") == top).cast("bigint").alias("best"))
 
 
-def align(documents: DataFrame, a_path: str, b_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def align(documents: DataFrame, a_path: str, b_path: str, text: str = "text", key: str = "doc_id", size: int = PACK) -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every document."""
     pair = lambda: Pair(a_path, b_path)
-    packed = packs(documents, text, key, pair)
-    made = composed(packed, aligned(packed, pair))
-    return scored(made, link_counts(made), key, documents.schema[key].dataType)
+    here = pair()
+    packed, path = written(packs(documents, text, key, pair, size))
+    made = composed(packed, aligned(packed, pair), here.width)
+    remove(documents.sparkSession, path)
+    return scored(made, link_counts(made, len(here.b_bytes)), key, documents.schema[key].dataType)

@@ -71,14 +71,13 @@ def run(spark, paths, texts, **more):
     return sorted(tuple(r) for r in A.align(df, *paths, **more).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect())
 
 
-def test_whole_query_against_libraries(spark, paths, monkeypatch):
+def test_whole_query_against_libraries(spark, paths):
     draw = random.Random(3)
     letters = ["a", "e", "the", "ing", ".", ",", " ", "  ", "\n", "\r", "\t", "é", "日", "'s", "1", ";", "}", " (", " ", " ", "ﬁ", "\x1f", "😀"]
     texts = [*ODD, *("".join(draw.choice(letters) for _ in range(draw.randint(1, 80))) for _ in range(400))]
-    monkeypatch.setattr(A, "PACK", 700)
     packed = A.packs(spark.createDataFrame([(t,) for t in texts], "text string").withColumn("doc_id", A.F.lit(1)), "text", "doc_id", lambda: A.Pair(*paths), 700)
     assert packed.count() > 8
-    assert run(spark, paths, texts) == [(i, *x) for i, x in enumerate(plainly(paths, texts))]
+    assert run(spark, paths, texts, size=700) == [(i, *x) for i, x in enumerate(plainly(paths, texts))]
 
 
 def test_segments_join_to_the_text(paths):
@@ -106,6 +105,29 @@ def test_odd_rows(spark, paths):
 def test_each_segment_is_aligned_once_and_joined(spark, paths):
     df = spark.createDataFrame([(i, "the same few words") for i in range(50)], "doc_id bigint, text string").repartition(5)
     pair = lambda: A.Pair(*paths)
-    packed = A.packs(df, "text", "doc_id", pair)
+    packed = A.packs(df, "text", "doc_id", pair, A.PACK)
     assert packed.select(A.F.explode("segments")).count() <= 20
-    assert sorted(r.segment for r in A.aligned(packed, pair).collect()) == [" few", " same", " the", " words"]
+    made = A.aligned(packed, pair).collect()
+    assert len(made) == packed.select(A.F.explode("segments")).count() and len({(r.words, r.groups) for r in made}) == 4
+
+
+def test_segments_joined_and_alone_are_aligned_alike(paths):
+    pair = A.Pair(*paths)
+    draw = random.Random(8)
+    segments = sorted({draw.choice([" ", "  ", "\n", "\n\n", "\t", " \r"]) + "".join(draw.choice(["a", "the", "é", "日", ".", "'s", "12", "\u2581", "x" * 30]) for _ in range(draw.randint(1, 9))) for _ in range(500)} | {" ", "\n ", " " + "ab" * 8000})
+    words, groups = pair.align(segments)
+    for s, w, g in zip(segments, words, groups, strict=True):
+        x = pair.align_one(s)
+        assert (A.words_of(x, pair.width), x["groups"]) == (w, g), s
+
+
+def test_keys_are_segments(paths):
+    pair = A.Pair(*paths)
+    draw = random.Random(9)
+    for t in [*filter(None, ODD), *("".join(draw.choice(["a", "b ", " ", "\n", "c\n", "d", "\xa0", "\r"]) for _ in range(draw.randint(1, 12))) for _ in range(3000))]:
+        assert [k if A.IS_SPACE.match(k) else f" {k}" for k in pair.keys(t)] == pair.segments(t), repr(t)
+
+
+def test_integers_come_back():
+    for v in ([], [0], [5, -3, 1 << 40, -(1 << 62)]):
+        assert A.large(A.small(A.np.array(v, "i8"))).tolist() == v
