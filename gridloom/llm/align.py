@@ -31,6 +31,7 @@ import json
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from hashlib import sha256
 from itertools import accumulate
 from uuid import uuid4
@@ -54,7 +55,9 @@ IS_SPACE = re.compile(f"[{SPACE}]")
 #: A fixed value: B's sign for a space.
 BLANK = "\u2581"
 #: Where a text is not just words between single spaces and one or two line breaks.
-ODD_SPACE = re.compile(f"[{SPACE.replace(' ', '')}](?<!\\n)|  | \\n|\\n |\\n\\n\\n|\\A[ \\n]|[ \\n]\\Z")
+ODD_RUNS = ("  ", " \n", "\n ", "\n\n\n")
+ODD_SPACE = [c for c in map(chr, range(128)) if IS_SPACE.match(c) and c not in " \n"]
+FAR_SPACE = re.compile(f"[{SPACE[4:]}]")
 #: A character after which B's pieces hold no white space; stands before segments that do not begin with B's own space.
 STAY = "x"
 
@@ -71,6 +74,40 @@ LONG, LARGE = 10_000, 1_000
 HEAD = ("good", "n_a", "n_b", "n_groups", "n_links", "n_pairs")
 
 
+@dataclass
+class Aligned:
+    """Alignments of segments: HEAD by row, their id pairs and how often each is linked one after the other, and the groups' texts."""
+
+    head: np.ndarray
+    pair: np.ndarray
+    times: np.ndarray
+    groups: list[str]
+
+    @staticmethod
+    def of(rows: list[dict]) -> Aligned:
+        links = [sorted(x["links"].items()) for x in rows]
+        head = [[x["good"], x["n_a"], x["n_b"], x["n_groups"], x["n_links"], len(x["links"])] for x in rows]
+        flat = np.array([p for own in links for p in own], np.int64).reshape(-1, 2)
+        return Aligned(np.array(head, np.int64).reshape(-1, len(HEAD)), flat[:, 0], flat[:, 1], [x["groups"] for x in rows])
+
+    def take(self, rows: np.ndarray) -> Aligned:
+        size = self.head[:, -1]
+        at = stretches((np.cumsum(size) - size)[rows], size[rows])
+        return Aligned(self.head[rows], self.pair[at], self.times[at], [self.groups[i] for i in rows.tolist()])
+
+    def then(self, other: Aligned) -> Aligned:
+        return Aligned(np.concatenate([self.head, other.head]), np.concatenate([self.pair, other.pair]), np.concatenate([self.times, other.times]), self.groups + other.groups)
+
+    def numbers(self) -> bytes:
+        return small(np.concatenate([self.head.T.ravel(), self.pair, self.times]))
+
+    @staticmethod
+    def read(numbers: bytes, groups: list[str]) -> Aligned:
+        flat, n = large(numbers), len(HEAD) * len(groups)
+        pair, times = np.split(flat[n:], 2)
+        return Aligned(flat[:n].reshape(len(HEAD), -1).T, pair, times, groups)
+
+
 class Pair:
     """Both vocabularies, and what they make of segments."""
 
@@ -101,8 +138,6 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
         self.a_sizes = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
         self.b_sizes = np.array([len(x) for x in self.b_bytes])
-        #: Kind of integer in which all id pairs fit.
-        self.width = "<i4" if len(self.a_sizes) * len(self.b_sizes) < 1 << 31 else "<i8"
 
     def safe_cut(self, before: str, after: str) -> bool:
         return (before[-1], after[0]) not in self.borders
@@ -126,7 +161,8 @@ class Pair:
         In a text without other white space than single spaces and one or two line breaks, cutting before each is splitting at
         spaces after one has been put before each line break.
         """
-        if ODD_SPACE.search(text):
+        odd = IS_SPACE.match(text[0]) or IS_SPACE.match(text[-1]) or any(c in text for c in ODD_SPACE) or any(c in text for c in ODD_RUNS)
+        if odd or not text.isascii() and FAR_SPACE.search(text):
             return [s[1:] if s[0] == " " and not IS_SPACE.match(s, 1) and len(s) > 1 else s for s in self.segments(text)]
         return text.replace("\n", " \n").replace("\n \n", "\n\n").split(" ")
 
@@ -141,25 +177,22 @@ class Pair:
         a, b = self.a.encode(segment, add_special_tokens=False).ids, self.encode_b([segment])[0]
         return alignment(segment, a, b, [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], len(self.b_bytes))
 
-    def align(self, segments: list[str]) -> tuple[list[bytes], list[str]]:
-        """Words (see ``words_of``) and groups of distinct segments: encoded as one text, into which most can be joined."""
-        alone = {i for i, s in enumerate(segments) if IS_SPACE.match(s[-1]) or BLANK in s or self.bordered.match(s) or len(s) > LONG}
-        few = [i for i in range(len(segments)) if i not in alone]
-        made = self.align_joined([segments[i] for i in few]) if few else []
+    def align(self, segments: list[str]) -> Aligned:
+        """Of distinct segments, encoded as one text where they can be joined."""
+        alone = [IS_SPACE.match(s[-1]) is not None or len(s) > LONG or BLANK in s or self.bordered.match(s) is not None for s in segments]
+        few = [i for i, x in enumerate(alone) if not x]
+        made = self.align_joined([segments[i] for i in few]) if few else None
         if made is None:
-            alone, made = set(range(len(segments))), []
-        words: list = [None] * len(segments)
-        groups: list = [""] * len(segments)
-        for i, (w, g) in zip(few, made, strict=False):
-            words[i], groups[i] = w, g
-        for i, s in enumerate(segments):
-            if words[i] is None:
-                x = self.align_one(s)
-                words[i], groups[i] = words_of(x, self.width), x["groups"]
-        return words, groups
-
-    def align_joined(self, segments: list[str]) -> list[tuple[bytes | None, str]] | None:
-        """None if the whole is not spelt or not cut at the segments; a segment's words are None where a group has too many links."""
+            few, made, alone = [], Aligned.of([]), [True] * len(segments)
+        others = [i for i, x in enumerate(alone) if x]
+        # What has a group of many links counts them one by one.
+        again = [few[i] for i in np.flatnonzero(made.head[:, 0] < 0)]
+        both = made.take(np.flatnonzero(made.head[:, 0] >= 0)).then(Aligned.of([self.align_one(segments[i]) for i in others + again]))
+        places = [i for i, x in zip(few, made.head[:, 0], strict=True) if x >= 0] + others + again
+        return both.take(np.argsort(np.array(places, np.int64)))
+
+    def align_joined(self, segments: list[str]) -> Aligned | None:
+        """None if the whole is not spelt or not cut at the segments; -1 stands for good where a group has too many links."""
         whole = "".join(segments)
         raw = whole.encode("utf-8", "surrogatepass")
         a = np.array(self.a.encode(whole, add_special_tokens=False).ids, np.int64)
@@ -185,15 +218,8 @@ class Pair:
         links, n = np.unique(np.repeat(of_cut[a_group], times) * space + pair, return_counts=True)
         owner, pair = np.divmod(links, space)
         n_pairs = np.bincount(owner, minlength=len(segments))
-        head = np.stack([np.ones_like(n_a), n_a, n_b, n_groups, n_links, n_pairs], axis=1)
-        size = len(HEAD) + 2 * n_pairs
-        start = np.cumsum(size) - size
-        out = np.zeros(size.sum(), self.width)
-        out[start[:, None] + np.arange(len(HEAD))] = head
-        out[stretches(start + len(HEAD), n_pairs)] = pair
-        out[stretches(start + len(HEAD) + n_pairs, n_pairs)] = n
-        words = np.split(out, start[1:])
-        skip = set(of_cut[a_many * b_many > LARGE].tolist())
+        good = np.ones_like(n_a)
+        good[of_cut[a_many * b_many > LARGE]] = -1
         # Tokens by group, A's before B's, each with what stands after it.
         order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
         after = np.full(len(order), ",", object)
@@ -203,7 +229,8 @@ class Pair:
         said[::2] = map(str, np.concatenate([a, b])[order].tolist())
         said[1::2] = after.tolist()
         to = 2 * np.cumsum(n_a + n_b)
-        return [(None if i in skip else w.tobytes(), "".join(said[f : t - 1])) for i, (w, f, t) in enumerate(zip(words, [0, *to[:-1].tolist()], to.tolist(), strict=True))]
+        groups = ["".join(said[f : t - 1]) for f, t in zip([0, *to[:-1].tolist()], to.tolist(), strict=True)]
+        return Aligned(np.stack([good, n_a, n_b, n_groups, n_links, n_pairs], axis=1), pair, n, groups)
 
 
 def alignment(text: str, a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes], n_ids: int) -> dict:
@@ -228,12 +255,6 @@ def alignment(text: str, a: list[int], b: list[int], a_bytes: list[bytes], b_byt
     return {"good": True, "n_a": len(a), "n_b": len(b), "n_groups": len(groups), "n_links": n_links, "groups": ";".join(groups), "links": links}
 
 
-def words_of(x: dict, width: str) -> bytes:
-    """An alignment as integers: HEAD, its id pairs, and how often each is linked."""
-    pairs = sorted(x["links"])
-    return np.array([x["good"], x["n_a"], x["n_b"], x["n_groups"], x["n_links"], len(pairs), *pairs, *(x["links"][p] for p in pairs)], width).tobytes()
-
-
 def small(values: np.ndarray) -> bytes:
     """Integers by planes of their bytes, compressed."""
     raw = np.ascontiguousarray(values.astype("<i8").view("u1").reshape(-1, 8).T)
@@ -295,26 +316,31 @@ def packs(documents: DataFrame, text: str, key: str, pair: Callable[[], Pair], s
 
 
 def aligned(packed: DataFrame, pair: Callable[[], Pair]) -> DataFrame:
-    """(pack, k, words, groups): the alignment of each pack's segment k, made once for all packs that have it."""
+    """(pack, ks, numbers, groups): alignments of a pack's segments ks, each made once for all packs that have it.
+
+    A task sends what a batch of rows has for one pack as one row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair()
-        last: tuple[str, bytes, str] | None = None
+        last, before = None, Aligned.of([])
         for batch in batches:
             if not batch.num_rows:
                 continue
             index = batch.column(2).dictionary_encode()
             segments = index.dictionary.to_pylist()
             # Equal segments stand together, so only a batch's first can be the one before.
-            known = last is not None and segments[0] == last[0]
-            words, groups = both.align(segments[1:] if known else segments)
-            if known:
-                words, groups = [last[1], *words], [last[2], *groups]
-            last = segments[-1], words[-1], groups[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary()).take(index.indices), pa.array(groups, pa.string()).take(index.indices)], names=["pack", "k", "words", "groups"])
+            made = before.then(both.align(segments[1:])) if segments[0] == last else both.align(segments)
+            last, before = segments[-1], made.take(np.array([len(segments) - 1]))
+            pack, k, row = (x.to_numpy(zero_copy_only=False) for x in (batch.column(0), batch.column(1), index.indices))
+            order = np.argsort(pack, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(pack[order])) + 1):
+                own = made.take(row[some])
+                columns = ([pack[some[0]]], [small(k[some])], [own.numbers()], [pa.compress("\n".join(own.groups).encode(), codec="zstd", asbytes=True)], [sum(map(len, own.groups)) + len(some) - 1])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["pack", "ks", "aligned", "groups", "length"])
 
     at = packed.select("pack", F.posexplode("segments").alias("k", "segment"))
-    return at.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, "pack bigint, k int, words binary, groups string")
+    return at.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, "pack bigint, ks binary, aligned binary, groups binary, length bigint")
 
 
 def spread(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -329,17 +355,15 @@ def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
 
 
+EMPTY = Aligned.of([])
 NAMES = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def compose(numbers: np.ndarray, ends: np.ndarray, words: list[bytes], groups: list[str], width: str) -> dict:
+def compose(numbers: np.ndarray, ends: np.ndarray, found: Aligned) -> dict:
     """Digests of a pack's documents, its distinct pairs with the number of documents of each, and links by segment."""
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    flat = np.frombuffer(b"".join(words), width).astype(np.int64)
-    at = np.cumsum([0, *(len(w) // np.dtype(width).itemsize for w in words)])[:-1]
-    head = {c: flat[at + i] for i, c in enumerate(HEAD)}
-    size = head["n_pairs"]
-    pair, times = (flat[stretches(at + len(HEAD) + k * size, size)] for k in (0, 1))
+    head = dict(zip(HEAD, found.head.T, strict=True))
+    size, pair, times, groups = head["n_pairs"], found.pair, found.times, found.groups
     bad = spread(1 - head["good"][numbers], ends) > 0
     out = {c: np.where(bad, 0, spread(head[c][numbers], ends)) for c in NAMES}
     said = (";".join(map(groups.__getitem__, numbers[a:b].tolist())) if b > a and not x else "" for a, b, x in zip(starts.tolist(), ends.tolist(), bad.tolist(), strict=True))
@@ -352,17 +376,17 @@ def compose(numbers: np.ndarray, ends: np.ndarray, words: list[bytes], groups: l
     for some in np.array_split(good, max(1, len(good) // 256)):
         if len(some):
             lengths = (ends - starts)[some]
-            held = np.unique(np.repeat(np.arange(len(some)), lengths) * len(words) + numbers[stretches(starts[some], lengths)])
-            row, segment = np.divmod(held, len(words))
+            held = np.unique(np.repeat(np.arange(len(some)), lengths) * len(groups) + numbers[stretches(starts[some], lengths)])
+            row, segment = np.divmod(held, len(groups))
             linked = np.unique(np.repeat(row, size[segment]) * len(pairs) + where[stretches(first[segment], size[segment])])
             documents += np.bincount(linked % len(pairs), minlength=len(pairs))
     return out | {"bad": bad, "pairs": pairs, "documents": documents, "where": where, "times": times, "size": size}
 
 
-def composed(packed: DataFrame, alignments: DataFrame, width: str) -> DataFrame:
+def composed(packed: DataFrame, alignments: DataFrame) -> DataFrame:
     """Packs with their documents' digests and pairs (see ``compose``)."""
     kept = ("ids", "ends", "numbers")
-    rows = alignments.select("pack", F.struct("k", "words", "groups").alias("found")).unionByName(packed.select("pack", *kept), allowMissingColumns=True)
+    rows = alignments.select("pack", F.struct("ks", "aligned", "groups", "length").alias("found")).unionByName(packed.select("pack", *kept), allowMissingColumns=True)
     whole = rows.groupBy("pack").agg(*(F.first(c, ignorenulls=True).alias(c) for c in kept), F.collect_list("found").alias("found"))
     binary = ("ends", "numbers", *NAMES, "bad", "where", "times", "size")
     schema = T.StructType([T.StructField("pack", T.LongType()), packed.schema["ids"], *(T.StructField(c, T.BinaryType()) for c in binary), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("pairs", "documents")), T.StructField("groups_sha256", T.ArrayType(T.StringType()))])
@@ -372,10 +396,14 @@ def composed(packed: DataFrame, alignments: DataFrame, width: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 raw = {c: batch.column(c)[i] for c in batch.schema.names}
-                found = raw["found"].values
-                order = np.argsort(found.field("k").to_numpy(zero_copy_only=False))
-                column = lambda c: found.field(c).take(pa.array(order)).to_pylist()  # noqa: B023, E731
-                made = compose(large(raw["numbers"].as_py()), large(raw["ends"].as_py()), column("words"), column("groups"), width)
+                parts, ks = [], []
+                for x in raw["found"].as_py():
+                    ks.append(large(x["ks"]))
+                    texts = pa.decompress(x["groups"], x["length"], codec="zstd", asbytes=True).decode().split("\n")
+                    parts.append(Aligned.read(x["aligned"], texts))
+                found = Aligned(*(np.concatenate([getattr(p, c) for p in parts] or [getattr(EMPTY, c)]) for c in ("head", "pair", "times")), [t for p in parts for t in p.groups])
+                found = found.take(np.argsort(np.concatenate(ks or [EMPTY.pair])))
+                made = compose(large(raw["numbers"].as_py()), large(raw["ends"].as_py()), found)
                 row = {"pack": raw["pack"].as_py(), "ids": raw["ids"].as_py(), "ends": raw["ends"].as_py(), "numbers": raw["numbers"].as_py(), "groups_sha256": made.pop("groups_sha256")}
                 row |= {c: v if c in ("pairs", "documents") else small(v) for c, v in made.items()}
                 yield pa.RecordBatch.from_pylist([row], schema=arrow)
@@ -420,8 +448,8 @@ def link_counts(made: DataFrame, n_ids: int) -> DataFrame:
 def align(documents: DataFrame, a_path: str, b_path: str, text: str = "text", key: str = "doc_id", size: int = PACK) -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every document."""
     pair = lambda: Pair(a_path, b_path)
-    here = pair()
+    n_ids = len(pair().b_bytes)
     packed, path = written(packs(documents, text, key, pair, size))
-    made = composed(packed, aligned(packed, pair), here.width)
+    made = composed(packed, aligned(packed, pair))
     remove(documents.sparkSession, path)
-    return scored(made, link_counts(made, len(here.b_bytes)), key, documents.schema[key].dataType)
+    return scored(made, link_counts(made, n_ids), key, documents.schema[key].dataType)
