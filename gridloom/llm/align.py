@@ -13,8 +13,8 @@ encoding is its segments' encodings in a row, and no group of aligned tokens rea
 4. Counts are summed over packs, the highest of each A id is found, both are joined back to the packs' pairs, and packs
    sum them over each document's links.
 
-Packs are written before they are read again, and so are composed ones: a lost executor costs what it was working on.
-The first are removed once the second are there.
+Packs are written to the shared folder, from which everything after them can be made again, and removed when the result
+is there.
 
 A is a byte-level BPE file of the tokenizers library, read with its special tokens as plain text; B is a BPE model of the
 sentencepiece library with byte fallback that puts a space before each text. Both encode a space and the text. Two tokens
@@ -47,7 +47,7 @@ from .bpe import byte_characters
 from .common import checkpoint, remove, shared_folder
 
 #: Characters of a pack's texts, beyond which the next document begins another.
-PACK = 1 << 24
+PACK = 1 << 23
 #: White space as regular expressions of Unicode have it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -359,87 +359,101 @@ EMPTY = Aligned.of([])
 NAMES = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def compose(numbers: np.ndarray, ends: np.ndarray, found: Aligned) -> dict:
-    """Digests of a pack's documents, its distinct pairs with the number of documents of each, and links by segment."""
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    head = dict(zip(HEAD, found.head.T, strict=True))
-    size, pair, times, groups = head["n_pairs"], found.pair, found.times, found.groups
-    bad = spread(1 - head["good"][numbers], ends) > 0
-    out = {c: np.where(bad, 0, spread(head[c][numbers], ends)) for c in NAMES}
-    said = (";".join(map(groups.__getitem__, numbers[a:b].tolist())) if b > a and not x else "" for a, b, x in zip(starts.tolist(), ends.tolist(), bad.tolist(), strict=True))
-    out["groups_sha256"] = [sha256(t.encode()).hexdigest() if t else "" for t in said]
-    pairs, where = np.unique(pair, return_inverse=True)
-    documents = np.zeros(len(pairs), np.int64)
-    first = np.cumsum(size) - size
-    good = np.flatnonzero(~bad & (ends > starts))
-    # Some documents at a time: of each its segments once, then of their pairs each once.
-    for some in np.array_split(good, max(1, len(good) // 256)):
-        if len(some):
-            lengths = (ends - starts)[some]
-            held = np.unique(np.repeat(np.arange(len(some)), lengths) * len(groups) + numbers[stretches(starts[some], lengths)])
-            row, segment = np.divmod(held, len(groups))
-            linked = np.unique(np.repeat(row, size[segment]) * len(pairs) + where[stretches(first[segment], size[segment])])
-            documents += np.bincount(linked % len(pairs), minlength=len(pairs))
-    return out | {"bad": bad, "pairs": pairs, "documents": documents, "where": where, "times": times, "size": size}
-
-
-def composed(packed: DataFrame, alignments: DataFrame) -> DataFrame:
-    """Packs with their documents' digests and pairs (see ``compose``)."""
-    kept = ("ids", "ends", "numbers")
-    rows = alignments.select("pack", F.struct("ks", "aligned", "groups", "length").alias("found")).unionByName(packed.select("pack", *kept), allowMissingColumns=True)
-    whole = rows.groupBy("pack").agg(*(F.first(c, ignorenulls=True).alias(c) for c in kept), F.collect_list("found").alias("found"))
-    binary = ("ends", "numbers", *NAMES, "bad", "where", "times", "size")
-    schema = T.StructType([T.StructField("pack", T.LongType()), packed.schema["ids"], *(T.StructField(c, T.BinaryType()) for c in binary), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("pairs", "documents")), T.StructField("groups_sha256", T.ArrayType(T.StringType()))])
+@dataclass
+class Pack:
+    """A pack read again: its documents' segments by number, their alignments, and its distinct id pairs in order."""
+
+    numbers: np.ndarray
+    ends: np.ndarray
+    found: Aligned
+
+    def __post_init__(self):
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+        self.head = dict(zip(HEAD, self.found.head.T, strict=True))
+        self.size = self.head["n_pairs"]
+        self.pairs, self.where = np.unique(self.found.pair, return_inverse=True)
+        #: Documents that a segment does not spell.
+        self.bad = spread(1 - self.head["good"][self.numbers], self.ends) > 0
+
+    @staticmethod
+    def read(numbers: bytes, ends: bytes, rows: list[dict]) -> Pack:
+        parts = [Aligned.read(x["aligned"], pa.decompress(x["groups"], x["length"], codec="zstd", asbytes=True).decode().split("\n")) for x in rows]
+        found = Aligned(*(np.concatenate([getattr(p, c) for p in parts] or [getattr(EMPTY, c)]) for c in ("head", "pair", "times")), [t for p in parts for t in p.groups])
+        return Pack(large(numbers), large(ends), found.take(np.argsort(np.concatenate([large(x["ks"]) for x in rows] or [EMPTY.pair]))))
+
+    def holding(self) -> np.ndarray:
+        """In how many documents each pair is linked."""
+        out = np.zeros(len(self.pairs), np.int64)
+        first = np.cumsum(self.size) - self.size
+        lengths = self.ends - self.starts
+        good = np.flatnonzero(~self.bad & (lengths > 0))
+        # Some documents at a time: of each its segments once, then of their pairs each once.
+        for some in np.array_split(good, max(1, len(good) // 256)):
+            own = np.unique(np.repeat(np.arange(len(some)), lengths[some]) * len(self.size) + self.numbers[stretches(self.starts[some], lengths[some])])
+            row, segment = np.divmod(own, max(1, len(self.size)))
+            linked = np.unique(np.repeat(row, self.size[segment]) * len(self.pairs) + self.where[stretches(first[segment], self.size[segment])])
+            out += np.bincount(linked % max(1, len(self.pairs)), minlength=len(self.pairs))
+        return out
+
+    def sums(self, of_segment: np.ndarray) -> np.ndarray:
+        return np.where(self.bad, 0, spread(of_segment[self.numbers], self.ends))
+
+    def summed(self, of_pair: np.ndarray) -> np.ndarray:
+        """By document, over all its links."""
+        return self.sums(spread(of_pair[self.where] * self.found.times, np.cumsum(self.size)))
+
+    def digests(self) -> list[str]:
+        text = self.found.groups.__getitem__
+        said = (";".join(map(text, self.numbers[a:b].tolist())) if b > a and not x else "" for a, b, x in zip(self.starts.tolist(), self.ends.tolist(), self.bad.tolist(), strict=True))
+        return [sha256(t.encode()).hexdigest() if t else "" for t in said]
+
+
+def read_packs(batch: pa.RecordBatch) -> Iterator[tuple[dict, Pack]]:
+    for i in range(batch.num_rows):
+        raw = {c: batch.column(c)[i] for c in batch.schema.names}
+        yield raw, Pack.read(raw["numbers"].as_py(), raw["ends"].as_py(), raw["found"].as_py())
+
+
+def held(whole: DataFrame) -> DataFrame:
+    """(pack, pair, documents): in how many documents of a pack two ids are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(schema)
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw = {c: batch.column(c)[i] for c in batch.schema.names}
-                parts, ks = [], []
-                for x in raw["found"].as_py():
-                    ks.append(large(x["ks"]))
-                    texts = pa.decompress(x["groups"], x["length"], codec="zstd", asbytes=True).decode().split("\n")
-                    parts.append(Aligned.read(x["aligned"], texts))
-                found = Aligned(*(np.concatenate([getattr(p, c) for p in parts] or [getattr(EMPTY, c)]) for c in ("head", "pair", "times")), [t for p in parts for t in p.groups])
-                found = found.take(np.argsort(np.concatenate(ks or [EMPTY.pair])))
-                made = compose(large(raw["numbers"].as_py()), large(raw["ends"].as_py()), found)
-                row = {"pack": raw["pack"].as_py(), "ids": raw["ids"].as_py(), "ends": raw["ends"].as_py(), "numbers": raw["numbers"].as_py(), "groups_sha256": made.pop("groups_sha256")}
-                row |= {c: v if c in ("pairs", "documents") else small(v) for c, v in made.items()}
-                yield pa.RecordBatch.from_pylist([row], schema=arrow)
-
-    return checkpoint(whole.mapInArrow(run, schema))
-
-
-def scored(made: DataFrame, counts: DataFrame, key: str, kind: T.DataType) -> DataFrame:
-    """Documents of composed packs with n_best and count_sum; counts has (pair, count, best)."""
-    at = made.select("pack", F.posexplode("pairs").alias("k", "pair"))
-    joined = at.join(counts, "pair").select("pack", F.struct("k", "count", "best").alias("counted"))
-    kept = [c for c in made.columns if c not in ("pack", "pairs", "documents")]
-    whole = joined.unionByName(made.select("pack", *kept), allowMissingColumns=True).groupBy("pack").agg(*(F.first(c, ignorenulls=True).alias(c) for c in kept), F.collect_list("counted").alias("counted"))
+            for raw, own in read_packs(batch):
+                n = len(own.pairs)
+                yield pa.RecordBatch.from_arrays([pa.array([raw["pack"].as_py()] * n, pa.int64()), pa.array(own.pairs, pa.int64()), pa.array(own.holding(), pa.int64())], names=["pack", "pair", "documents"])
+
+    return whole.mapInArrow(run, "pack bigint, pair bigint, documents bigint")
+
+
+def scored(whole: DataFrame, counted: DataFrame, key: str, kind: T.DataType) -> DataFrame:
+    """The documents of packs; counted has (pack, pair, count, best)."""
+    found = counted.groupBy("pack").agg(F.collect_list(F.struct("pair", "count", "best")).alias("counted"))
+    both = whole.join(found, "pack", "left").select("ids", "ends", "numbers", "found", "counted")
     schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in (*NAMES, "n_best", "count_sum")), T.StructField("groups_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw = {c: batch.column(c)[i] for c in batch.schema.names}
-                ends, numbers, where, times, size, bad, *own = (large(raw[c].as_py()) for c in ("ends", "numbers", "where", "times", "size", "bad", *NAMES))
-                found = raw["counted"].values
-                order = np.argsort(found.field("k").to_numpy(zero_copy_only=False))
-                sums = []
-                for c in ("best", "count"):
-                    of_pair = found.field(c).to_numpy(zero_copy_only=False).astype(np.int64)[order]
-                    of_segment = spread(of_pair[where] * times, np.cumsum(size))
-                    sums.append(np.where(bad, 0, spread(of_segment[numbers], ends)))
-                yield pa.RecordBatch.from_arrays([raw["ids"].values, *(pa.array(v, pa.int64()) for v in (*own, *sums)), raw["groups_sha256"].values], names=schema.names)
-
-    return whole.mapInArrow(run, schema).withColumnRenamed("id", key)
-
-
-def link_counts(made: DataFrame, n_ids: int) -> DataFrame:
+            for raw, own in read_packs(batch):
+                counts = raw["counted"].values
+                column = lambda c: counts.field(c).to_numpy(zero_copy_only=False).astype(np.int64) if counts is not None else EMPTY.pair  # noqa: B023, E731
+                order = np.argsort(column("pair"))
+                sums = [*(own.sums(own.head[c]) for c in NAMES), *(own.summed(column(c)[order]) for c in ("best", "count"))]
+                yield pa.RecordBatch.from_arrays([raw["ids"].values, *(pa.array(v, pa.int64()) for v in sums), pa.array(own.digests(), pa.string())], names=schema.names)
+
+    return both.mapInArrow(run, schema).withColumnRenamed("id", key)
+
+
+def together(packed: DataFrame, alignments: DataFrame) -> DataFrame:
+    """(pack, ids, ends, numbers, found): packs with all their segments' alignments."""
+    kept = ("ids", "ends", "numbers")
+    rows = alignments.select("pack", F.struct("ks", "aligned", "groups", "length").alias("found")).unionByName(packed.select("pack", *kept), allowMissingColumns=True)
+    return rows.groupBy("pack").agg(*(F.first(c, ignorenulls=True).alias(c) for c in kept), F.collect_list("found").alias("found"))
+
+
+def link_counts(links: DataFrame, n_ids: int) -> DataFrame:
     """(pair, count, best): in how many documents two ids are linked; best is 1 if no partner of the A id has more."""
-    zipped = made.select(F.explode(F.arrays_zip("pairs", "documents")).alias("x"))
-    counts = zipped.groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.documents").alias("count"))
+    counts = links.groupBy("pair").agg(F.sum("documents").alias("count"))
     # An A id has at most as many rows as B has ids.
     top = F.max("count").over(Window.partitionBy(F.floor(F.col("pair") / n_ids)))
     return counts.select("pair", "count", (F.col("count") == top).cast("bigint").alias("best"))
@@ -450,6 +464,10 @@ def align(documents: DataFrame, a_path: str, b_path: str, text: str = "text", ke
     pair = lambda: Pair(a_path, b_path)
     n_ids = len(pair().b_bytes)
     packed, path = written(packs(documents, text, key, pair, size))
-    made = composed(packed, aligned(packed, pair))
+    whole = together(packed, aligned(packed, pair))
+    # Both are read twice by the one plan that follows, which shuffles them once.
+    links = held(whole).repartition("pair")
+    counted = links.join(link_counts(links, n_ids), "pair").select("pack", "pair", "count", "best")
+    out = checkpoint(scored(whole, counted, key, documents.schema[key].dataType))
     remove(documents.sparkSession, path)
-    return scored(made, link_counts(made, n_ids), key, documents.schema[key].dataType)
+    return out
