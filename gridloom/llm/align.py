@@ -68,8 +68,12 @@ def pieces_with_borders(model) -> set[tuple[str, str]]:
     return {(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False) if IS_SPACE.match(b) and not IS_SPACE.match(a)}
 
 
+#: Rows of segments whose alignments a task sends together.
+GATHER = 1 << 16
 #: Segments of more characters are encoded on their own, and so are those with a group of more links.
 LONG, LARGE = 10_000, 1_000
+#: Cells of the table in which documents mark their pairs.
+MARKS = 1 << 22
 #: What an alignment's integers begin with.
 HEAD = ("good", "n_a", "n_b", "n_groups", "n_links", "n_pairs")
 
@@ -96,7 +100,12 @@ class Aligned:
         return Aligned(self.head[rows], self.pair[at], self.times[at], [self.groups[i] for i in rows.tolist()])
 
     def then(self, other: Aligned) -> Aligned:
-        return Aligned(np.concatenate([self.head, other.head]), np.concatenate([self.pair, other.pair]), np.concatenate([self.times, other.times]), self.groups + other.groups)
+        return Aligned.joined([self, other])
+
+    @staticmethod
+    def joined(parts: list[Aligned]) -> Aligned:
+        head, pair, times = (np.concatenate([getattr(p, c) for p in parts]) for c in ("head", "pair", "times"))
+        return Aligned(head, pair, times, [t for p in parts for t in p.groups])
 
     def numbers(self) -> bytes:
         return small(np.concatenate([self.head.T.ravel(), self.pair, self.times]))
@@ -108,6 +117,9 @@ class Aligned:
         return Aligned(flat[:n].reshape(len(HEAD), -1).T, pair, times, groups)
 
 
+EMPTY = Aligned.of([])
+
+
 class Pair:
     """Both vocabularies, and what they make of segments."""
 
@@ -318,26 +330,39 @@ def packs(documents: DataFrame, text: str, key: str, pair: Callable[[], Pair], s
 def aligned(packed: DataFrame, pair: Callable[[], Pair]) -> DataFrame:
     """(pack, ks, numbers, groups): alignments of a pack's segments ks, each made once for all packs that have it.
 
-    A task sends what a batch of rows has for one pack as one row.
+    A task sends what some of its rows have for one pack as one row.
     """
 
+    def sent(rows: list[tuple], made: list[Aligned]) -> Iterator[pa.RecordBatch]:
+        pack, k, row = (np.concatenate(x) for x in zip(*rows, strict=True))
+        whole = Aligned.joined(made)
+        order = np.argsort(pack, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(pack[order])) + 1):
+            own = whole.take(row[some])
+            columns = ([pack[some[0]]], [small(k[some])], [own.numbers()], [pa.compress("\n".join(own.groups).encode(), codec="zstd", asbytes=True)], [sum(map(len, own.groups)) + len(some) - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["pack", "ks", "aligned", "groups", "length"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair()
-        last, before = None, Aligned.of([])
+        rows, made, n, at = [], [], 0, 0
+        last, before = None, EMPTY
         for batch in batches:
             if not batch.num_rows:
                 continue
             index = batch.column(2).dictionary_encode()
             segments = index.dictionary.to_pylist()
             # Equal segments stand together, so only a batch's first can be the one before.
-            made = before.then(both.align(segments[1:])) if segments[0] == last else both.align(segments)
-            last, before = segments[-1], made.take(np.array([len(segments) - 1]))
+            own = before.then(both.align(segments[1:])) if segments[0] == last else both.align(segments)
+            last, before = segments[-1], own.take(np.array([len(segments) - 1]))
             pack, k, row = (x.to_numpy(zero_copy_only=False) for x in (batch.column(0), batch.column(1), index.indices))
-            order = np.argsort(pack, kind="stable")
-            for some in np.split(order, np.flatnonzero(np.diff(pack[order])) + 1):
-                own = made.take(row[some])
-                columns = ([pack[some[0]]], [small(k[some])], [own.numbers()], [pa.compress("\n".join(own.groups).encode(), codec="zstd", asbytes=True)], [sum(map(len, own.groups)) + len(some) - 1])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["pack", "ks", "aligned", "groups", "length"])
+            rows.append((pack, k, row + at))
+            made.append(own)
+            n, at = n + len(pack), at + len(segments)
+            if n >= GATHER:
+                yield from sent(rows, made)
+                rows, made, n, at = [], [], 0, 0
+        if n:
+            yield from sent(rows, made)
 
     at = packed.select("pack", F.posexplode("segments").alias("k", "segment"))
     return at.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, "pack bigint, ks binary, aligned binary, groups binary, length bigint")
@@ -355,7 +380,6 @@ def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
 
 
-EMPTY = Aligned.of([])
 NAMES = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -378,7 +402,7 @@ class Pack:
     @staticmethod
     def read(numbers: bytes, ends: bytes, rows: list[dict]) -> Pack:
         parts = [Aligned.read(x["aligned"], pa.decompress(x["groups"], x["length"], codec="zstd", asbytes=True).decode().split("\n")) for x in rows]
-        found = Aligned(*(np.concatenate([getattr(p, c) for p in parts] or [getattr(EMPTY, c)]) for c in ("head", "pair", "times")), [t for p in parts for t in p.groups])
+        found = Aligned.joined([EMPTY, *parts])
         return Pack(large(numbers), large(ends), found.take(np.argsort(np.concatenate([large(x["ks"]) for x in rows] or [EMPTY.pair]))))
 
     def holding(self) -> np.ndarray:
@@ -387,12 +411,15 @@ class Pack:
         first = np.cumsum(self.size) - self.size
         lengths = self.ends - self.starts
         good = np.flatnonzero(~self.bad & (lengths > 0))
-        # Some documents at a time: of each its segments once, then of their pairs each once.
-        for some in np.array_split(good, max(1, len(good) // 256)):
-            own = np.unique(np.repeat(np.arange(len(some)), lengths[some]) * len(self.size) + self.numbers[stretches(self.starts[some], lengths[some])])
-            row, segment = np.divmod(own, max(1, len(self.size)))
-            linked = np.unique(np.repeat(row, self.size[segment]) * len(self.pairs) + self.where[stretches(first[segment], self.size[segment])])
-            out += np.bincount(linked % max(1, len(self.pairs)), minlength=len(self.pairs))
+        # Some documents at a time, as a table of documents and pairs of bounded size.
+        step = max(1, MARKS // max(1, len(self.pairs)))
+        for at in range(0, len(good), step):
+            some = good[at : at + step]
+            segment = self.numbers[stretches(self.starts[some], lengths[some])]
+            row = np.repeat(np.repeat(np.arange(len(some)), lengths[some]), self.size[segment])
+            marks = np.zeros((len(some), len(self.pairs)), bool)
+            marks[row, self.where[stretches(first[segment], self.size[segment])]] = True
+            out += marks.sum(axis=0)
         return out
 
     def sums(self, of_segment: np.ndarray) -> np.ndarray:
@@ -415,15 +442,15 @@ def read_packs(batch: pa.RecordBatch) -> Iterator[tuple[dict, Pack]]:
 
 
 def held(whole: DataFrame) -> DataFrame:
-    """(pack, pair, documents): in how many documents of a pack two ids are linked."""
+    """x = (pair, pack, documents): in how many documents of a pack two ids are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw, own in read_packs(batch):
-                n = len(own.pairs)
-                yield pa.RecordBatch.from_arrays([pa.array([raw["pack"].as_py()] * n, pa.int64()), pa.array(own.pairs, pa.int64()), pa.array(own.holding(), pa.int64())], names=["pack", "pair", "documents"])
+                flat = np.stack([own.pairs, np.full(len(own.pairs), raw["pack"].as_py(), np.int64), own.holding()], axis=1).ravel()
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, 3, dtype=np.int32), pa.array(flat))], names=["x"])
 
-    return whole.mapInArrow(run, "pack bigint, pair bigint, documents bigint")
+    return whole.mapInArrow(run, "x array<bigint>")
 
 
 def scored(whole: DataFrame, counted: DataFrame, key: str, kind: T.DataType) -> DataFrame:
@@ -453,7 +480,7 @@ def together(packed: DataFrame, alignments: DataFrame) -> DataFrame:
 
 def link_counts(links: DataFrame, n_ids: int) -> DataFrame:
     """(pair, count, best): in how many documents two ids are linked; best is 1 if no partner of the A id has more."""
-    counts = links.groupBy("pair").agg(F.sum("documents").alias("count"))
+    counts = links.groupBy(F.col("x")[0].alias("pair")).agg(F.sum(F.col("x")[2]).alias("count"))
     # An A id has at most as many rows as B has ids.
     top = F.max("count").over(Window.partitionBy(F.floor(F.col("pair") / n_ids)))
     return counts.select("pair", "count", (F.col("count") == top).cast("bigint").alias("best"))
@@ -466,8 +493,10 @@ def align(documents: DataFrame, a_path: str, b_path: str, text: str = "text", ke
     packed, path = written(packs(documents, text, key, pair, size))
     whole = together(packed, aligned(packed, pair))
     # Both are read twice by the one plan that follows, which shuffles them once.
-    links = held(whole).repartition("pair")
-    counted = links.join(link_counts(links, n_ids), "pair").select("pack", "pair", "count", "best")
+    # Without the filters the joins would bring their own, and a second shuffle.
+    links = held(whole).filter(F.col("x")[0].isNotNull() & F.col("x")[1].isNotNull()).repartition(F.col("x")[0])
+    counts = link_counts(links, n_ids)
+    counted = links.join(counts, F.col("x")[0] == F.col("pair")).select(F.col("x")[1].alias("pack"), "pair", "count", "best")
     out = checkpoint(scored(whole, counted, key, documents.schema[key].dataType))
     remove(documents.sparkSession, path)
     return out
