@@ -510,7 +510,7 @@ def power_sql(steps: int) -> str:
 
 @query(f"WITH {normal_sql()}, {power_sql(4)}")
 def power_iteration(spark, sf_dir):
-    return V.power_iteration(V.checkpoint(_matrix(spark, sf_dir)), 4).select("dof", r6("eigenvalue").alias("eigenvalue"))
+    return V.power_iteration(V.settle(_matrix(spark, sf_dir)), 4).select("dof", r6("eigenvalue").alias("eigenvalue"))
 
 
 _Y = [f"0.01e0 * (p_retailprice - {k})" for k in (900, 950, 1100)]
@@ -631,6 +631,14 @@ def solve_step(spark, sf_dir):
     return R.step(fixed, moved, values, R2, SPACING, {"lineitem": 10.0}, R.Options())[0].select("pair_id", "node", "dof", r6("value").alias("value"))
 
 
+@query(ORACLE_SQL["solve_step"])
+def solve_step_joined(spark, sf_dir):
+    """The same by the conjugate gradients of large maps, joins and sums with multigrid cycles."""
+    fixed, moved = (scaled(spark, sf_dir).select(F.lit("lineitem").alias("pair_id"), *AXES, F.col(c).alias("v")) for c in "fm")
+    values = M.zero_map(spark, R2, SPACING, True).withColumn("pair_id", F.lit("lineitem"))
+    return R.step(fixed, moved, values, R2, SPACING, {"lineitem": 10.0}, R.Options(block_nodes=30))[0].select("pair_id", "node", "dof", r6("value").alias("value"))
+
+
 #: A spacing at which the raster has one level.
 WIDE = 41
 
@@ -676,14 +684,21 @@ SELECT high.f AS factor, round(ln(max(high.e) / min(low.e)), 4) AS log_condition
 
 @query(condition_sql())
 def condition_numbers(spark, sf_dir):
-    found = V.condition_numbers(V.checkpoint(_matrix(spark, sf_dir)), V.checkpoint(N.laplacian_squared(spark, NODES)), [1.0, 10.0, 20.0], NODES.size)
+    found = V.condition_numbers(V.settle(_matrix(spark, sf_dir)), V.settle(N.laplacian_squared(spark, NODES)), [1.0, 10.0, 20.0], NODES.size)
+    return found.select("factor", F.round(F.log("condition"), 4).alias("log_condition"))
+
+
+@query(ORACLE_SQL["condition_numbers"])
+def condition_numbers_joined(spark, sf_dir):
+    """The same by the spectra of large maps, without a task that holds a block."""
+    found = V.condition_numbers(V.settle(_matrix(spark, sf_dir)), V.settle(N.laplacian_squared(spark, NODES)), [1.0, 10.0, 20.0], NODES.size, grid=NODES, most=30)
     return found.select("factor", F.round(F.log("condition"), 4).alias("log_condition"))
 
 
 @query()
 def lambda_search(spark, sf_dir):
-    matrix = V.checkpoint(_matrix(spark, sf_dir))
-    smoother = V.checkpoint(N.laplacian_squared(spark, NODES))
+    matrix = V.settle(_matrix(spark, sf_dir))
+    smoother = V.settle(N.laplacian_squared(spark, NODES))
     lam = V.search_smoothing(lambda fs: [r.condition for r in sorted(V.condition_numbers(matrix, smoother, fs, NODES.size).collect(), key=lambda r: fs.index(r.factor))])
     return spark.createDataFrame([(float(lam),)], "lam double")
 

@@ -196,7 +196,7 @@ def dicom_image(spark, sf_dir):
 
 @query(
     f"WITH {raster_sql()}, {scaled_sql().replace('raw AS', 'raw2 AS').replace('FROM raw', 'FROM raw2').replace('q AS (SELECT', 's AS (SELECT')} "
-    "SELECT k AS kind, count(*) AS n, CAST(round(sum(CASE WHEN k = 'mask' THEN CAST(q.f > 0 AS INT) ELSE s.f END), 2) AS DOUBLE) AS total FROM q JOIN s USING (x, y, z), (VALUES ('png'), ('tiff'), ('hdf5'), ('image'), ('mask'), ('parquet')) v(k) GROUP BY k"
+    "SELECT k AS kind, count(*) AS n, CAST(round(sum(CASE WHEN k = 'mask' THEN CAST(q.f > 0 AS INT) WHEN k IN ('png', 'tiff') THEN floor(s.f * 65535 + 0.5e0) / 65535 ELSE s.f END), 2) AS DOUBLE) AS total FROM q JOIN s USING (x, y, z), (VALUES ('png'), ('tiff'), ('hdf5'), ('image'), ('mask'), ('parquet')) v(k) GROUP BY k"
 )
 def loader_detect(spark, sf_dir):
     """Files without a telling name are known by their first bytes and their size."""

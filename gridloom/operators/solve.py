@@ -1,7 +1,8 @@
 """Solvers of the block-diagonal normal equations, eigenvalue estimates and the search for the smoothing factor.
 
 One block is one (by, dof): its size is the number of map nodes, not of pixels. Blocks go to tasks of their own up to
-``BLOCK_NODES`` nodes; larger maps are solved by conjugate gradients made of joins and sums, checkpointed each round.
+``BLOCK_NODES`` nodes; larger maps are solved by conjugate gradients made of joins and sums, checkpointed each round, with
+a multigrid cycle as preconditioner where the grid of nodes is given.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grid import GridError
-from ..session import checkpoint
+from ..functions.grid import Shape
+from ..session import settle
+from .multigrid import cycle, hierarchy
 from .normal import matvec, per_block
+from .spectrum import extreme
 
 BLOCK_NODES = 200_000
 
@@ -56,10 +59,11 @@ def solve_block(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, b: np.nd
     return conjugate_gradient(lambda p: np.bincount(rows, values * p[cols], n), b, scale)
 
 
-def solve(matrix: DataFrame, right: DataFrame, nodes: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, node, dof, value) with matrix x = right in each block."""
-    if nodes > BLOCK_NODES:
-        return solve_distributed(matrix, right, by)
+def solve(matrix: DataFrame, right: DataFrame, nodes: int, by: tuple[str, ...] = (), grid: Shape | None = None, most: int | None = None) -> DataFrame:
+    """(by, node, dof, value) with matrix x = right in each block; grid: the nodes of a map, in their order; most: nodes of a block that a task solves."""
+    most = BLOCK_NODES if most is None else most
+    if nodes > most:
+        return solve_distributed(matrix, right, by, grid=grid, most=most)
     keys = [*by, "dof"]
     both = matrix.select(*keys, "r", "c", "v").unionByName(right.select(*keys, "r", F.lit(-1).alias("c"), "v"))
     schema = ", ".join([*(f"{k} {both.schema[k].dataType.simpleString()}" for k in by), "node int", "dof int", "value double"])
@@ -73,19 +77,30 @@ def solve(matrix: DataFrame, right: DataFrame, nodes: int, by: tuple[str, ...] =
     return both.groupBy(*keys).applyInPandas(one, schema)
 
 
-def solve_distributed(matrix: DataFrame, right: DataFrame, by: tuple[str, ...] = (), tolerance: float = 1e-10, rounds: int = 10_000) -> DataFrame:
-    """Conjugate gradients over all blocks at once, preconditioned by the diagonal; each block has its own steps and stop.
+def solve_distributed(matrix: DataFrame, right: DataFrame, by: tuple[str, ...] = (), tolerance: float = 1e-10, rounds: int = 10_000, grid: Shape | None = None, most: int | None = None) -> DataFrame:
+    """Conjugate gradients over all blocks at once; each block has its own steps and stop.
 
-    Nothing but sums reaches the driver. Blocks that do not converge are an error.
+    The preconditioner is a multigrid cycle on the grid of nodes, else the diagonal. Nothing but the number of unsolved
+    blocks reaches the driver. Blocks that do not converge are an error.
     """
     keys = [*by, "dof"]
     total = lambda c, d: F.sum(F.col(c) * F.col(d))
-    matrix = checkpoint(matrix)
+    matrix = settle(matrix)
     # Every node of the matrix has a row, whether the right side names it or not.
     sides = right.select(*keys, "r", "v", F.lit(0.0).alias("d")).unionByName(matrix.select(*keys, "r", F.lit(0.0).alias("v"), F.when(F.col("r") == F.col("c"), F.col("v")).otherwise(0.0).alias("d")))
     begun = sides.groupBy(*keys, "r").agg(F.sum("v").alias("res"), F.sum("d").alias("d")).withColumn("d", F.when(F.col("d") > 0, F.col("d")).otherwise(1.0))
     goals = begun.groupBy(*keys).agg((F.lit(tolerance**2) * total("res", "res")).alias("goal"))
-    state = checkpoint(begun.join(goals, keys).select(*keys, "r", "d", "goal", F.lit(0.0).alias("x"), "res", (F.col("res") / F.col("d")).alias("p"), F.lit(1.0).alias("pap")))
+    levels = hierarchy(matrix, grid, keys, BLOCK_NODES if most is None else most) if grid is not None else None
+
+    def improved(state: DataFrame) -> DataFrame:
+        """state with z, the preconditioned residual."""
+        if levels is None:
+            return state.withColumn("z", F.col("res") / F.col("d"))
+        z = cycle(levels, state.select(*keys, "r", F.col("res").alias("v")), keys, solve_block).withColumnRenamed("v", "z")
+        return state.join(z, [*keys, "r"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
+
+    state = improved(settle(begun.join(goals, keys).select(*keys, "r", "d", "goal", F.lit(0.0).alias("x"), "res")))
+    state = settle(state.withColumn("p", F.col("z")).withColumn("pap", F.lit(1.0)))
     for k in range(rounds + 1):
         unsolved = state.groupBy(*keys).agg(total("res", "res").alias("rr"), F.max("goal").alias("goal"), F.max("pap").alias("pap")).filter("not rr <= goal")
         left, flat = unsolved.agg(F.count("*"), F.count(F.when(~(F.col("pap") > 0), 1))).first()
@@ -94,14 +109,15 @@ def solve_distributed(matrix: DataFrame, right: DataFrame, by: tuple[str, ...] =
         if flat or k == rounds:
             raise RuntimeError(f"{left} blocks unsolved after {k} rounds of conjugate gradients, {flat} of them with a singular matrix")
         ap = matvec(matrix, state.select(*keys, "r", F.col("p").alias("v")), by).withColumnRenamed("v", "ap")
-        joined = state.drop("pap").join(ap, [*keys, "r"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0))).withColumn("z", F.col("res") / F.col("d"))
+        joined = state.drop("pap").join(ap, [*keys, "r"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
         sums = joined.groupBy(*keys).agg(total("res", "res").alias("rr"), total("res", "z").alias("rz"), total("p", "ap").alias("pap"))
         # Solved blocks rest.
         step = F.when((F.col("rr") > F.col("goal")) & (F.col("pap") > 0), F.col("rz") / F.col("pap")).otherwise(0.0)
-        moved = joined.join(sums, keys).select(*keys, "r", "d", "goal", "p", "rz", "pap", (F.col("x") + step * F.col("p")).alias("x"), (F.col("res") - step * F.col("ap")).alias("res")).withColumn("z", F.col("res") / F.col("d"))
+        moved = joined.join(sums, keys).select(*keys, "r", "d", "goal", "p", "rz", "pap", (F.col("x") + step * F.col("p")).alias("x"), (F.col("res") - step * F.col("ap")).alias("res"))
+        moved = improved(settle(moved) if levels else moved)
         after = moved.groupBy(*keys).agg(total("res", "z").alias("now"))
         turn = F.when(F.col("rz") > 0, F.col("now") / F.col("rz")).otherwise(0.0)
-        state = checkpoint(moved.join(after, keys).select(*keys, "r", "d", "goal", "x", "res", (F.col("z") + turn * F.col("p")).alias("p"), "pap"))
+        state = settle(moved.join(after, keys).select(*keys, "r", "d", "goal", "x", "res", "z", (F.col("z") + turn * F.col("p")).alias("p"), "pap"))
     return state.select(*by, F.col("r").alias("node"), "dof", F.col("x").alias("value"))
 
 
@@ -113,20 +129,24 @@ def power_iteration(matrix: DataFrame, steps: int, by: tuple[str, ...] = ()) ->
         y = matvec(matrix, x, by)
         top = y.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_n"))
         # Each step reads the one before twice: without a checkpoint the plan would double with every step.
-        x = checkpoint(y.join(top, keys).select(*keys, "r", (F.col("v") / F.col("_n")).alias("v")))
+        x = settle(y.join(top, keys).select(*keys, "r", (F.col("v") / F.col("_n")).alias("v")))
     y = matvec(matrix, x, by).withColumnRenamed("v", "_y")
     return x.join(y, [*keys, "r"]).groupBy(*keys).agg((F.sum(F.col("v") * F.col("_y")) / F.sum(F.col("v") * F.col("v"))).alias("eigenvalue"))
 
 
-def condition_numbers(matrix: DataFrame, smoother: DataFrame, factors: list[float] | dict[tuple, list[float]], nodes: int, by: tuple[str, ...] = (), compat: bool = False) -> DataFrame:
-    """(by, factor, condition) of matrix + factor * smoother over all blocks: largest over smallest eigenvalue, by Lanczos steps.
+def condition_numbers(matrix: DataFrame, smoother: DataFrame, factors: list[float] | dict[tuple, list[float]], nodes: int, by: tuple[str, ...] = (), compat: bool = False, grid: Shape | None = None, most: int | None = None) -> DataFrame:
+    """(by, factor, condition) of matrix + factor * smoother over all blocks: largest over smallest eigenvalue.
 
     matrix (by, dof, r, c, v), smoother (r, c, v); factors are alike for all of ``by``, or listed by its values. One task
-    handles one block. ``compat`` gives the older program's number in place of the ratio: with t = |largest² - 1|, the
-    larger of t and 1 / t.
+    handles one block by Lanczos steps; blocks of over ``most`` nodes, whose ``grid`` must be given, are handled by joins and
+    sums, all of them and all factors side by side. ``compat`` gives the older program's number in place of the
+    ratio: with t = |largest² - 1|, the larger of t and 1 / t.
     """
-    if nodes > BLOCK_NODES:
-        raise GridError(f"spectra are found in one task a block, of at most {BLOCK_NODES} nodes, not {nodes}: give the smoothing factor of such a map")
+    most = BLOCK_NODES if most is None else most
+    if nodes > most:
+        if grid is None:
+            raise ValueError("the grid of a large map's nodes is needed")
+        return _conditions(spectrum_ends(matrix, smoother, factors, nodes, by, grid, most), by, compat)
     # One copy of the smoother for each block; both are bounded by the map's nodes.
     lap = per_block(matrix.select(*by, "dof").distinct(), smoother, nodes).select(*by, "dof", "r", "c", F.lit(0.0).alias("v"), F.col("v").alias("s"))
     both = matrix.select(*by, "dof", "r", "c", "v", F.lit(0.0).alias("s")).unionByName(lap).groupBy(*by, "dof", "r", "c").agg(F.sum("v").alias("v"), F.sum("s").alias("s"))
@@ -143,6 +163,25 @@ def condition_numbers(matrix: DataFrame, smoother: DataFrame, factors: list[floa
     return _conditions(both.groupBy(*by, "dof").applyInPandas(one, schema), by, compat)
 
 
+def spectrum_ends(matrix: DataFrame, smoother: DataFrame, factors: list[float] | dict[tuple, list[float]], nodes: int, by: tuple[str, ...], grid: Shape, most: int) -> DataFrame:
+    """(by, dof, factor, low, high) of large blocks."""
+    blocks = matrix.select(*by, "dof").distinct()
+    if isinstance(factors, dict):
+        kinds = ", ".join(f"`{k}` {matrix.schema[k].dataType.simpleString()}" for k in by)
+        asked = matrix.sparkSession.createDataFrame([(*key, f) for key, own in factors.items() for f in own], f"{kinds}, factor double")
+        blocks, with_factors = blocks.join(asked, [*by]), matrix.join(asked, [*by])
+    else:
+        every = F.explode(F.array(*(F.lit(float(f)) for f in factors))).alias("factor")
+        blocks, with_factors = blocks.select("*", every), matrix.select("*", every)
+    keys = [*by, "factor", "dof"]
+    smooth = per_block(blocks, smoother, nodes).select(*keys, "r", "c", (F.col("v") * F.col("factor")).alias("v"))
+    whole = settle(with_factors.select(*keys, "r", "c", "v").unionByName(smooth).groupBy(*keys, "r", "c").agg(F.sum("v").alias("v")))
+    levels = hierarchy(whole, grid, keys, most)
+    high = extreme(whole, (*by, "factor"), True).withColumnRenamed("value", "high")
+    low = extreme(whole, (*by, "factor"), False, lambda residual: cycle(levels, residual, keys, solve_block)).withColumnRenamed("value", "low")
+    return high.join(low, keys).select(*by, "dof", "factor", "low", "high")
+
+
 def _conditions(ends: DataFrame, by: tuple[str, ...], compat: bool) -> DataFrame:
     """(by, factor, condition) from the ends of the spectrum of each block (by, dof, factor, low, high)."""
     ratio = F.max("high") / F.greatest(F.min("low"), F.lit(1e-12))

@@ -22,7 +22,7 @@ from ..operators.image import apply_mask, normalise, pair_up, registration_gradi
 from ..operators.mapgrid import levels, map_shape, refine, small, update, warp, zero_map
 from ..operators.metrics import delta_stats, joint_histogram, mutual_information
 from ..operators.normal import assemble, cell_sums, diagonal_sum, laplacian_squared, matvec, per_block, precondition
-from ..operators.solve import SEARCH_NODES, condition_numbers, search_in_tasks, search_smoothings, solve
+from ..operators.solve import BLOCK_NODES, SEARCH_NODES, condition_numbers, search_in_tasks, search_smoothings, solve
 from ..session import checkpoint
 
 
@@ -34,6 +34,7 @@ class Options:
     with_memory: smooth the whole map, not only its change. max_iterations: rounds a level.
     compat: border gradients, right side, Laplacian, map extent, memory, probes of the smoothing factor and the trend (over
     the similarity of the unmoved pair and of the registered one in turn) as the older program has them.
+    block_nodes: nodes of a map up to which one task solves a block and finds its spectrum; above, joins and sums do.
     """
 
     lam: float | None = None
@@ -43,6 +44,7 @@ class Options:
     compat: bool = False
     least_delta: float = 0.1
     trend_over: int = 5
+    block_nodes: int | None = None
 
 
 @dataclass
@@ -92,14 +94,14 @@ def step(fixed: DataFrame, registered: DataFrame, values: DataFrame, shape: Shap
     chi = {r["pair_id"]: r["trace"] / trace for r in diagonal_sum(matrix, PAIR).collect()}
     if lam is None and options.lam is not None:
         lam = dict.fromkeys(chi, options.lam)
-    elif lam is None and nodes.size <= SEARCH_NODES:
+    elif lam is None and nodes.size <= min(SEARCH_NODES, BLOCK_NODES if options.block_nodes is None else options.block_nodes):
         lam = search_in_tasks(matrix, smoother, chi, guesses or {}, nodes.size, options.compat)
     elif lam is None:
 
         def conditions(asked: dict[str, list[float]]) -> dict[str, list[float]]:
             # The older program adds each probe to what the one before left in the matrix.
             own = {(p,): [f * chi[p] for f in (accumulate(fs) if options.compat else fs)] for p, fs in asked.items()}
-            rows = condition_numbers(matrix.filter(F.col("pair_id").isin(list(asked))), smoother, own, nodes.size, PAIR, options.compat).collect()
+            rows = condition_numbers(matrix.filter(F.col("pair_id").isin(list(asked))), smoother, own, nodes.size, PAIR, options.compat, nodes, options.block_nodes).collect()
             told = {(r["pair_id"], r["factor"]): r["condition"] for r in rows}
             return {p: [told[p, f] for f in own[p,]] for p in asked}
 
@@ -111,7 +113,7 @@ def step(fixed: DataFrame, registered: DataFrame, values: DataFrame, shape: Shap
     if options.with_memory and not options.compat:
         pull = matvec(smooth, values.select("pair_id", "dof", F.col("node").alias("r"), F.col("value").alias("v")), PAIR)
         right = right.unionByName(pull.withColumn("v", -F.col("v"))).groupBy("pair_id", "dof", "r").agg(F.sum("v").alias("v"))
-    return solve(whole, right, nodes.size, PAIR), lam
+    return solve(whole, right, nodes.size, PAIR, nodes, options.block_nodes), lam
 
 
 def register(fixed: DataFrame, moved: DataFrame, shape: Shape, spacing: int, options: Options = Options(), mask: DataFrame | None = None, start: tuple[DataFrame, int] | None = None, watch: Callable[[int, int, Result], None] | None = None) -> Result:

@@ -51,3 +51,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """A checkpoint for loops, without the plan's estimate of its size.
+
+    A join's estimate is the product of its sides', and a checkpoint keeps it: in a loop it would have twice the digits or
+    more after each round, until planning takes longer than the work.
+    """
+    spark, made = df.sparkSession, checkpoint(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(made._jdf.javaRDD(), made._jdf.schema()), spark)

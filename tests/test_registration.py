@@ -1,13 +1,16 @@
 """Registration: blocks that move apart, with and without a mask, and large maps against small ones."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.functions.grid import GridError, Shape, grid
+from gridloom.functions.grid import Shape, grid
 from gridloom.operators import mapgrid as M
+from gridloom.operators import multigrid as MG
 from gridloom.operators import normal as N
 from gridloom.operators import solve as V
 from gridloom.plans import register as R
+from gridloom.session import settle
 
 
 def blocks(spark, shape, left, right):
@@ -31,11 +34,68 @@ def test_mask_3d(spark):
     assert share["half", "right"] > 0.9
 
 
-def test_spectra_of_large_maps_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(V, "BLOCK_NODES", 2)
-    one = spark.createDataFrame([(0, 0, 0, 1.0)], "dof int, r int, c int, v double")
-    with pytest.raises(GridError):
-        V.condition_numbers(one, one.drop("dof"), [1.0], 3)
+def dense(matrix, n):
+    out = np.zeros((n, n))
+    for r in matrix.collect():
+        out[r.r, r.c] += r.v
+    return out
+
+
+def test_coarser_grids(spark):
+    """Values go down with the weights with which they come up, and a coarse matrix is the product of both with the fine one."""
+    fine = Shape(5, 4)
+    coarse = MG.coarser(fine)
+    assert coarse == Shape(3, 3) and MG.coarser(Shape(2, 1)) == Shape(2, 1)
+    rows = spark.range(fine.size).select(F.col("id").cast("int").alias("r"), F.inline(MG.parents(F.col("id").cast("int"), fine)))
+    p = np.zeros((fine.size, coarse.size))
+    for r in rows.collect():
+        p[r.r, r.i] = r.w
+    assert p.sum(axis=1) == pytest.approx(np.ones(fine.size)) and p[0, 0] == 1 and p[1, 0] == p[1, 1] == 0.5
+    matrix = N.laplacian_squared(spark, fine).withColumn("dof", F.lit(0))
+    assert dense(MG.coarse_matrix(matrix, fine, ["dof"]), coarse.size) == pytest.approx(p.T @ dense(matrix, fine.size) @ p)
+    vector = spark.range(fine.size).select(F.lit(0).alias("dof"), F.col("id").cast("int").alias("r"), F.sin("id").alias("v"))
+    down = {r.r: r.v for r in MG.restrict(vector, fine, ["dof"]).collect()}
+    assert [down[i] for i in range(coarse.size)] == pytest.approx(list(p.T @ np.sin(np.arange(fine.size))))
+
+
+def bumpy(spark, grid):
+    """A smoother beside a mass that is nearly nothing at most nodes."""
+    mass = spark.range(grid.size).select(F.lit(0).alias("dof"), F.col("id").cast("int").alias("r"), F.col("id").cast("int").alias("c"), F.when(F.col("id") % 7 < 2, 1.0).otherwise(0.001).alias("v"))
+    return V.settle(mass), V.settle(N.laplacian_squared(spark, grid))
+
+
+def test_multigrid_solves_large_blocks_in_few_rounds(spark, monkeypatch):
+    grid = Shape(13, 13)
+    mass, smoother = bumpy(spark, grid)
+    matrix = V.settle(N.add_scaled(mass, smoother.withColumn("dof", F.lit(0)), 5.0))
+    right = spark.range(grid.size).select(F.lit(0).alias("dof"), F.col("id").cast("int").alias("r"), F.sin("id").alias("v"))
+    # At most so many rounds; without the cycles they do not suffice.
+    found = {r.node: r.value for r in V.solve_distributed(matrix, right, rounds=30, grid=grid, most=60).collect()}
+    assert [found[i] for i in range(grid.size)] == pytest.approx(list(np.linalg.solve(dense(matrix, grid.size), np.sin(np.arange(grid.size)))), abs=1e-8)
+    with pytest.raises(RuntimeError, match="unsolved"):
+        V.solve_distributed(matrix, right, rounds=30)
+
+
+def test_spectra_of_large_maps(spark):
+    """Two pairs with factors of their own: by joins and sums as by tasks."""
+    grid = Shape(7, 6)
+    mass, smoother = bumpy(spark, grid)
+    pairs = mass.withColumn("pair_id", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("v", F.when(F.col("pair_id") == "a", F.col("v")).otherwise(F.col("v") * 3))
+    factors = {("a",): [1.0, 4.0], ("b",): [2.0]}
+    told = lambda **more: {(r.pair_id, r.factor): r.condition for r in V.condition_numbers(pairs, smoother, factors, grid.size, ("pair_id",), **more).collect()}
+    one = told()
+    assert told(grid=grid, most=20) == pytest.approx(one, rel=1e-4) and len(one) == 3
+    with pytest.raises(ValueError, match="grid"):
+        told(most=20)
+
+
+def test_loops_do_not_carry_estimates(spark):
+    """The plan's estimate of a settled table is the same however often it was joined before."""
+    df = spark.range(5)
+    size = lambda d: len(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    for _ in range(4):
+        df = settle(df.join(df.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
+    assert size(df) <= 20 and df.count() == 5
 
 
 def test_refining_and_smoothing_without_products_of_tables(spark, monkeypatch):
