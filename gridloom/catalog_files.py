@@ -87,14 +87,10 @@ def volume_mask(spark, sf_dir):
 
 @query(pixels_sql("f", R3, whole=True) + " WHERE z BETWEEN 3 AND 5 AND y >= 40")
 def volume_slab(spark, sf_dir):
-    """Planes of a volume that is read in many partitions."""
-    path, before = f"{folder(spark)}/a.image", volume.PARTITION_VALUES
+    """Planes of a volume in many partitions, of which only those planes' are read."""
+    path = f"{folder(spark)}/a.image"
     volume.write_volume(path, values_of(spark, sf_dir, R3, whole=True))
-    volume.PARTITION_VALUES = 50 * 83
-    try:
-        return pixels(volume.read_volume(spark, path).filter("z between 3 and 5 and y >= 40"))
-    finally:
-        volume.PARTITION_VALUES = before
+    return pixels(volume.read_volume(spark, path, partition_values=50 * 83).filter("z between 3 and 5 and y >= 40"))
 
 
 def bad_volumes(folder_: str) -> dict[str, str]:

@@ -66,9 +66,36 @@ def gradient(value: str, axis: str, by: tuple[str, ...] = (), border: str = "zer
     return F.lit(0.5) * (F.coalesce(F.lead(value).over(line), beyond) - F.coalesce(F.lag(value).over(line), beyond))
 
 
-def registration_gradients(pair: DataFrame, shape: Shape, by: tuple[str, ...] = (), border: str = "zero") -> DataFrame:
-    """pair with d = f - m, and g0 = 1 - (f + m) / 2 with its gradients g1, g2 (, g3) along the axes."""
-    out = difference(pair).withColumn("g0", F.lit(1.0) - F.lit(0.5) * (F.col("f") + F.col("m")))
+#: Edges of a tile in two and three dimensions: some ten thousand pixels, beside which the rim is small.
+TILE = {2: 128, 3: 32}
+TILES = ("_tx", "_ty", "_tz")
+
+
+def with_rims(pixels: DataFrame, shape: Shape, by: tuple[str, ...] = (), edge: int | None = None) -> DataFrame:
+    """pixels (by, x, y, z, ...) with their tile, dealt by (by, tile) in one shuffle.
+
+    A pixel at a face of its tile stands in the tile beyond the face too, so that every pixel's neighbours along the axes
+    are in its own tile: stencils along any axis need no other shuffle. ``own_pixels`` leaves each pixel once again.
+    """
+    edge = edge or TILE[shape.ndim]
+    tile = lambda moved=None, o=0: F.struct(*(F.floor((F.col(a) + (o if a == moved else 0)) / edge).cast("int").alias(t) for a, t in zip(AXES, TILES, strict=True)))
+    inside = lambda a, e, o: F.when((F.col(a) + o).between(0, e - 1), tile(a, o))
+    faces = [inside(a, e, o) for a, e in zip(AXES, shape.extents, strict=True) if e > 1 for o in (-1, 1)]
+    tiles = F.array_distinct(F.array_compact(F.array(tile(), *faces)))
+    dealt = pixels.select("*", F.explode(tiles).alias("_tile")).select(*pixels.columns, *(F.col("_tile")[t].alias(t) for t in TILES))
+    return dealt.repartition(*by, *TILES)
+
+
+def own_pixels(rimmed: DataFrame, shape: Shape, edge: int | None = None) -> DataFrame:
+    edge = edge or TILE[shape.ndim]
+    for a, t in zip(AXES, TILES, strict=True):
+        rimmed = rimmed.filter(F.floor(F.col(a) / edge) == F.col(t))
+    return rimmed.drop(*TILES)
+
+
+def registration_gradients(pair: DataFrame, shape: Shape, by: tuple[str, ...] = (), border: str = "zero", edge: int | None = None) -> DataFrame:
+    """pair with d = f - m, and g0 = 1 - (f + m) / 2 with its gradients g1, g2 (, g3) along the axes, in one shuffle of tiles."""
+    out = with_rims(difference(pair).withColumn("g0", F.lit(1.0) - F.lit(0.5) * (F.col("f") + F.col("m"))), shape, by, edge)
     for k, axis in enumerate(AXES[: shape.ndim], 1):
-        out = out.withColumn(f"g{k}", gradient("g0", axis, by, border))
-    return out
+        out = out.withColumn(f"g{k}", gradient("g0", axis, (*by, *TILES), border))
+    return own_pixels(out, shape, edge)

@@ -1,7 +1,7 @@
 """Raw volumes as a Python data source: ``.image`` (int32 nx, ny, nz, channels = 1; float32) and ``.mask`` (int32 nx, ny, nz; int16).
 
 ``spark.read.format("raw_volume").option("kind", "image").load(path)`` gives (x, y, z, v). Each partition reads a
-range of planes with a seek; headers and sizes are checked on the driver only.
+range of planes with a seek, and only those that filters on z and y leave; headers and sizes are checked on the driver only.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from .errors import LoaderError
 
@@ -49,25 +49,48 @@ class Slab(InputPartition):
 
 
 class VolumeReader(DataSourceReader):
-    def __init__(self, path: str, kind: str):
-        self.path, self.kind, self.extents = path, kind, header(path, kind)
+    """Reads runs of lines along x; bounds on z and y that Spark pushes down choose the lines."""
+
+    def __init__(self, path: str, kind: str, values: int):
+        self.path, self.kind, self.values, self.extents = path, kind, values, header(path, kind)
+        self.y, self.z = (0, self.extents[1] - 1), (0, self.extents[2] - 1)
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in ("y", "z"):
+                low, high = getattr(self, f.attribute[0])
+                # Extents are of whole numbers; a bound of another kind narrows nothing.
+                value = getattr(f, "value", None)
+                if isinstance(f, In) and f.value and all(type(v) is int for v in f.value):
+                    low, high = max(low, min(f.value)), min(high, max(f.value))
+                elif type(value) is int:
+                    low = max(low, value + isinstance(f, GreaterThan)) if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)) else low
+                    high = min(high, value - isinstance(f, LessThan)) if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)) else high
+                setattr(self, f.attribute[0], (low, high))
+            # Spark applies each filter again: lines within a run may still be outside.
+            yield f
 
     def partitions(self):
-        nx, ny, nz = self.extents
-        lines = max(1, PARTITION_VALUES // nx)
-        return [Slab(a, min(a + lines, ny * nz)) for a in range(0, ny * nz, lines)]
+        nx, ny, _ = self.extents
+        if self.y[0] > self.y[1] or self.z[0] > self.z[1]:
+            return [Slab(0, 0)]
+        lines = max(1, self.values // nx)
+        first, last = self.z[0] * ny + self.y[0], self.z[1] * ny + self.y[1] + 1
+        return [Slab(a, min(a + lines, last)) for a in range(first, last, lines)]
 
     def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
         nx, ny, _ = self.extents
         ints, dtype = KINDS[self.kind]
         with open(self.path, "rb") as f:
-            f.seek(4 * ints + partition.first * nx * dtype.itemsize)
-            for line in range(partition.first, partition.last, max(1, (1 << 16) // nx)):
-                lines = min(max(1, (1 << 16) // nx), partition.last - line)
-                v = np.frombuffer(f.read(lines * nx * dtype.itemsize), dtype).astype(np.float64)
-                pos = np.arange(line * nx, (line + lines) * nx, dtype=np.int64)
-                columns = [(pos % nx).astype(np.int32), (pos // nx % ny).astype(np.int32), (pos // (nx * ny)).astype(np.int32), v]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["x", "y", "z", "v"])
+            for z in range(partition.first // ny, -(-partition.last // ny)):
+                begin, end = max(partition.first, z * ny + self.y[0]), min(partition.last, z * ny + self.y[1] + 1)
+                f.seek(4 * ints + begin * nx * dtype.itemsize)
+                for line in range(begin, end, max(1, (1 << 16) // nx)):
+                    lines = min(max(1, (1 << 16) // nx), end - line)
+                    v = np.frombuffer(f.read(lines * nx * dtype.itemsize), dtype).astype(np.float64)
+                    pos = np.arange(line * nx, (line + lines) * nx, dtype=np.int64)
+                    columns = [(pos % nx).astype(np.int32), (pos // nx % ny).astype(np.int32), (pos // (nx * ny)).astype(np.int32), v]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["x", "y", "z", "v"])
 
 
 class VolumeSource(DataSource):
@@ -79,13 +102,18 @@ class VolumeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> VolumeReader:
-        return VolumeReader(self.options["path"], self.options.get("kind", "image"))
+        return VolumeReader(self.options["path"], self.options.get("kind", "image"), int(self.options.get("partition_values", PARTITION_VALUES)))
+
 
+def read_volume(spark: SparkSession, path: str, kind: str = "image", partition_values: int | None = None) -> DataFrame:
+    """(x, y, z, v) of a raw volume, in partitions of some values; filters on z and y choose what is read.
 
-def read_volume(spark: SparkSession, path: str, kind: str = "image") -> DataFrame:
+    Sets the session's ``spark.sql.python.filterPushdown.enabled``, without which Spark pushes no filter to a Python source.
+    """
     header(path, kind)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(VolumeSource)
-    return spark.read.format("raw_volume").option("kind", kind).load(path)
+    return spark.read.format("raw_volume").option("kind", kind).option("partition_values", partition_values or PARTITION_VALUES).load(path)
 
 
 def write_volume(path: str, values: np.ndarray, kind: str = "image") -> None:

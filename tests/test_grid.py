@@ -313,3 +313,21 @@ def test_smoothing_of_many_pairs_side_by_side(spark):
         side = lambda df: {(r.node, r.dof): r.value for r in df.collect()}
         expected, got = side(both.filter(own)), side(delta)
         assert expected.keys() == got.keys() and all(abs(expected[k] - got[k]) < 1e-6 for k in got)
+
+
+@pytest.mark.parametrize("shape", [Shape(11, 7), Shape(9, 5, 6)])
+@pytest.mark.parametrize("border", ["zero", "edge"])
+def test_gradients_by_tiles_in_one_shuffle(spark, shape, border):
+    """Tiles of any size give what lines over the whole image give, from one exchange."""
+    both = G.grid(spark, shape).select(F.lit("a").alias("pair_id"), *AXES, F.sin(F.col("x") * 3 + F.col("y") * 5 + F.col("z") * 7).alias("f"), F.cos("x").alias("m"))
+    pair = both.unionByName(both.withColumn("pair_id", F.lit("b")).withColumn("f", F.col("f") * 2))
+    want = I.difference(pair).withColumn("g0", F.lit(1.0) - F.lit(0.5) * (F.col("f") + F.col("m")))
+    for k, axis in enumerate(AXES[: shape.ndim], 1):
+        want = want.withColumn(f"g{k}", I.gradient("g0", axis, ("pair_id",), border))
+    want = sorted(map(tuple, want.collect()))
+    for edge in (1, 4, None):
+        found = I.registration_gradients(pair, shape, ("pair_id",), border, edge)
+        assert sorted(map(tuple, found.collect())) == want
+    given = spark.createDataFrame([("a", 0, 0, 0, 0.0, 0.0)], pair.schema)
+    plan = I.registration_gradients(given, shape, ("pair_id",), border)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Window ") >= shape.ndim

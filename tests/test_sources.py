@@ -209,3 +209,21 @@ def test_stream_equals_batch(spark, tmp_path):
     last = max(k[0] for k in batch)
     assert found and all(batch[k] == pytest.approx(v) for k, v in found.items())
     assert {k for k in batch if k[0] < last} == {k for k in found if k[0] < last}
+
+
+def test_volume_slabs_are_pruned(spark, tmp_path):
+    """Bounds on z and y reach the reader: only their lines are read, in only their partitions."""
+    values = np.arange(7 * 6 * 5, dtype="f4").reshape(7, 6, 5)
+    path = str(tmp_path / "a.image")
+    volume.write_volume(path, values)
+    read = lambda where: volume.read_volume(spark, path, partition_values=30).filter(where)
+    for where, parts in [("z between 3 and 5", 3), ("z = 2 and y > 3", 1), ("z in (1, 2) and x = 4", 2), ("z > 2 and z < 2", 1), ("y >= 4", 7), ("z >= 5 and v > 190", 2), ("y = 9", 1), ("z > 1.5", 7)]:
+        found = read(where)
+        every = spark.createDataFrame([(x, y, z, float(values[z, y, x])) for z in range(7) for y in range(6) for x in range(5)], volume.SCHEMA).filter(where)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect())), where
+        assert found.rdd.getNumPartitions() <= parts, where
+    reader = volume.VolumeReader(path, "image", 30)
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    assert len(list(reader.pushFilters([EqualTo(("z",), 2), GreaterThan(("y",), 3)]))) == 2
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2 * 5
