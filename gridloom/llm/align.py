@@ -70,6 +70,8 @@ def pieces_with_borders(model) -> set[tuple[str, str]]:
 
 #: Rows of segments whose alignments a task sends together.
 GATHER = 1 << 16
+#: Of compression; what is compressed is shuffled, so it pays to compress well.
+LEVEL = 6
 #: Segments of more characters are encoded on their own, and so are those with a group of more links.
 LONG, LARGE = 10_000, 1_000
 #: Cells of the table in which documents mark their pairs.
@@ -267,10 +269,14 @@ def alignment(text: str, a: list[int], b: list[int], a_bytes: list[bytes], b_byt
     return {"good": True, "n_a": len(a), "n_b": len(b), "n_groups": len(groups), "n_links": n_links, "groups": ";".join(groups), "links": links}
 
 
+def dense(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
+
+
 def small(values: np.ndarray) -> bytes:
     """Integers by planes of their bytes, compressed."""
     raw = np.ascontiguousarray(values.astype("<i8").view("u1").reshape(-1, 8).T)
-    return len(values).to_bytes(8, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+    return len(values).to_bytes(8, "little") + dense(raw.tobytes())
 
 
 def large(raw: bytes) -> np.ndarray:
@@ -339,7 +345,7 @@ def aligned(packed: DataFrame, pair: Callable[[], Pair]) -> DataFrame:
         order = np.argsort(pack, kind="stable")
         for some in np.split(order, np.flatnonzero(np.diff(pack[order])) + 1):
             own = whole.take(row[some])
-            columns = ([pack[some[0]]], [small(k[some])], [own.numbers()], [pa.compress("\n".join(own.groups).encode(), codec="zstd", asbytes=True)], [sum(map(len, own.groups)) + len(some) - 1])
+            columns = ([pack[some[0]]], [small(k[some])], [own.numbers()], [dense("\n".join(own.groups).encode())], [sum(map(len, own.groups)) + len(some) - 1])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["pack", "ks", "aligned", "groups", "length"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
