@@ -2,7 +2,7 @@
 
 Equal texts are one group and stay in one shard. Groups are ordered by a hash of their text; the bounded number of
 ``UNITS`` hash ranges are the atomic sizes: a range holds one group or more, so the capacity is the smallest over ranges,
-which differs from that over groups by less than a range where many groups share one. The order is cut into shards that are either of one atom or within a capacity;
+which is above that over groups by a range at most. The order is cut into shards that are either of one atom or within a capacity;
 the smallest capacity for which a greedy pass needs no more than the shards is found by binary search. So an atom over
 an even share takes a shard to itself where it stands, and the stretches between such atoms get the shards that the
 greedy pass gave them. Within a stretch the cuts are placed at its own smallest capacity, each as near to an even share
