@@ -1,11 +1,14 @@
 """Operator 3: main text of web pages.
 
 Events of the standard library's streaming parser become lines: blocks of text with the number of tags beside them.
-A line's text-to-tag ratio counts only text outside links and menus, on a log scale that one long block does not
-dominate. The ratios are smoothed by a Gaussian over neighbouring lines; lines of some ratio that reach the threshold
-are dense, and runs of them are clusters. The clusters alone set the content: a cluster admits the sections its lines
-stand in and the smallest section around it, but lines of links only just where their own section is dense or the
-lines beside them are. So menus fall by their density.
+A line's text-to-tag ratio counts only text outside links and menus. The ratios are smoothed by a Gaussian over the
+lines beside it in the same section, so that a long article does not lift a short block that stands next to it; lines
+that are the only one of their section are smoothed with those around it. Lines whose smoothed ratio reaches a share of
+the page's typical ratio (the median over characters, so that many tiny lines do not set it; ratios end at ``FULL``, so
+that one huge line does not either) are dense, and runs of them are clusters. Clusters admit the sections their lines stand in
+and the smallest section around them, and article elements, but lines of links only just where their own section is
+dense or the lines beside them are. So menus fall by their density, and so do short blocks before and after the article,
+marked or not. A block without marks that is as dense as the article is kept.
 
 Lists of elements, roles and class names only veto: scripts, forms, adverts, notices, sidebars, footers, comments and
 the like have ratio zero, part clusters, and are never content.
@@ -37,8 +40,10 @@ MARKS = re.compile(
 LINKS = set("a menu nav".split())
 #: Elements that a cluster is completed to; the page itself, html and body are no section.
 SECTIONS = set("article blockquote center details div fieldset main nav section table td".split())
-#: Lines to each side in the Gaussian, its width, and the threshold as a share of the highest smoothed log ratio.
-RADIUS, SIGMA, THRESHOLD = 2, 1.0, 0.35
+#: Lines to each side in the Gaussian, its width, and the threshold as a share of the page's typical ratio.
+RADIUS, SIGMA, THRESHOLD = 2, 1.0, 0.3
+#: Characters a tag at which text is as dense as can be; beyond, one huge line would make all others sparse.
+FULL = 100.0
 
 
 class Line(NamedTuple):
@@ -61,6 +66,7 @@ class Lines(HTMLParser):
         self.links = 0  # open links and menus
         self.section = 0
         self.parents = [0]  # of sections; 0: the page
+        self.articles: set[int] = set()
         self.parts: list[str] = []
         self.noise = False
         self.linked = 0
@@ -92,6 +98,8 @@ class Lines(HTMLParser):
         if tag in SECTIONS:
             self.parents.append(self.section)
             self.section = len(self.parents) - 1
+        if tag == "article":
+            self.articles.add(self.section)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -122,8 +130,8 @@ class Lines(HTMLParser):
                 self.linked += len(" ".join(data.split()))
 
 
-def page_lines(html: str | None) -> tuple[list[Line], list[int]]:
-    """Lines, and the section around each section."""
+def page_lines(html: str | None) -> tuple[list[Line], list[int], set[int]]:
+    """Lines, the section around each section, and which sections are articles."""
     html = html or ""
     for text in (html, re.sub(r"<(?=!\[|\?)", "&lt;", html)):
         parser = Lines()
@@ -133,16 +141,50 @@ def page_lines(html: str | None) -> tuple[list[Line], list[int]]:
         except AssertionError:  # the parser meets a marked section that it does not know
             continue
         parser.end_line()
-        return parser.lines, parser.parents
-    return [], [0]
-
-
-def dense_lines(lines: list[Line]) -> np.ndarray:
+        return parser.lines, parser.parents, parser.articles
+    return [], [0], set()
+
+
+def groups(lines: list[Line], parents: list[int]) -> np.ndarray:
+    """The section in which each line is smoothed: the smallest around it that has another line."""
+    held = np.zeros(len(parents), int)
+    for x in lines:
+        held[x.section] += not x.vetoed
+    for k in range(len(parents) - 1, 0, -1):  # a section's number is over its parent's
+        held[parents[k]] += held[k]
+    found = []
+    for x in lines:
+        at = x.section
+        while at and held[at] < 2:
+            at = parents[at]
+        found.append(at)
+    return np.array(found)
+
+
+def typical(ratio: np.ndarray, sizes: np.ndarray) -> float:
+    """The ratio of the line in which the middle character stands, by ascending ratio."""
+    order = np.argsort(ratio, kind="stable")
+    order = order[ratio[order] > 0]
+    weight = np.cumsum(sizes[order])
+    return float(ratio[order[np.searchsorted(weight, weight[-1] / 2)]]) if len(order) else 0.0
+
+
+def dense_lines(lines: list[Line], parents: list[int]) -> np.ndarray:
     """Which lines reach the threshold of the smoothed text-to-tag ratio; vetoed ones and those of links only never do."""
-    ratio = np.log1p([0.0 if x.vetoed else max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
-    kernel = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
-    smooth = np.convolve(np.pad(ratio, RADIUS), kernel / kernel.sum(), "valid")
-    return (ratio > 0) & (smooth >= THRESHOLD * smooth[ratio > 0].max(initial=0.0))
+    sizes = np.array([0.0 if x.vetoed else max(0, len(x.text) - x.linked) for x in lines])
+    ratio = np.minimum(FULL, sizes / np.array([1 + x.tags for x in lines]))  # one more: the tag that ends it
+    group = groups(lines, parents)
+    total, weight = ratio.copy(), np.ones(len(lines))
+    same = np.ones(len(lines), bool)
+    for step in range(1, min(RADIUS, len(lines) - 1) + 1):
+        # Lines a step apart with no other group between them.
+        same = same[: len(lines) - step] & (group[step - 1 : -1] == group[step:])
+        share = np.exp(-0.5 * (step / SIGMA) ** 2) * same
+        total[step:] += share * ratio[:-step]
+        total[:-step] += share * ratio[step:]
+        weight[step:] += share
+        weight[:-step] += share
+    return (ratio > 0) & (total / weight >= THRESHOLD * typical(ratio, sizes))
 
 
 def around(sections: list[int], parents: list[int]) -> int:
@@ -155,8 +197,8 @@ def around(sections: list[int], parents: list[int]) -> int:
 
 
 def main_text(html: str | None) -> str:
-    lines, parents = page_lines(html)
-    dense = dense_lines(lines) if lines else np.zeros(0, bool)
+    lines, parents, articles = page_lines(html)
+    dense = dense_lines(lines, parents) if lines else np.zeros(0, bool)
     at = np.flatnonzero(dense)
     if not len(at):
         return ""
@@ -164,7 +206,7 @@ def main_text(html: str | None) -> str:
     runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
     holds = {lines[k].section for k in at}
     # A cluster is completed to the section around it; all clusters together, to the section around all.
-    whole = {around([lines[k].section for k in run], parents) for run in [*runs, at]} - {0}
+    whole = {around([lines[k].section for k in run], parents) for run in [*runs, at]} - {0} | articles
     inside = [False]
     for k in range(1, len(parents)):
         inside.append(k in whole or inside[parents[k]])
