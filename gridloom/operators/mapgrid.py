@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, GridError, Shape, clamp, ravel
+from .image import TILE, TILES
 
 #: Rows up to which axis tables and maps are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Edges of a map's tiles, in nodes.
+MAP_TILE = {2: 64, 3: 16}
 
 
 def node_count(extent: int, spacing: int, cover: bool = False) -> int:
@@ -106,6 +109,19 @@ def map_pivot(values: DataFrame, shape: Shape, by: tuple[str, ...] = ()) -> Data
 def interpolate_map(points: DataFrame, values: DataFrame, shape: Shape, spacing: int, by: tuple[str, ...] = (), cover: bool = False, key: tuple[str, ...] = AXES, place: tuple[str, ...] = AXES) -> DataFrame:
     """(by, key, d0, d1, ...): the map at points whose places are in the columns ``place``, from the corners of the enclosing cell."""
     nodes = map_shape(shape, spacing, cover)
+    wide = map_pivot(values, shape, by)
+    if not by and nodes.size <= BROADCAST_ROWS:
+        return beside_map(points, wide, shape, spacing, cover, key, place)
+    at = [cell_corner(F.col(place[d]), shape.extents[d], spacing, cover) for d in range(shape.ndim)]
+    low = [node_locations(shape.extents[d], spacing, cover)[0] for d in range(shape.ndim)]
+    upper = [(F.col(place[d]) - (F.lit(low[d]) + at[d] * F.lit(float(spacing)))) / F.lit(float(spacing)) for d in range(shape.ndim)]
+    names = tuple(f"d{k}" for k in range(shape.ndim + 1))
+    return from_tiles(points.select(*by, *dict.fromkeys((*key, *place))), lattice_tiles(wide, nodes, names, by, MAP_TILE), nodes, at, upper, names, by, key, MAP_TILE)
+
+
+def beside_map(points: DataFrame, wide: DataFrame, shape: Shape, spacing: int, cover: bool, key: tuple[str, ...], place: tuple[str, ...]) -> DataFrame:
+    """interpolate_map from one small map: it is one row of arrays beside each point, and nothing is shuffled."""
+    nodes = map_shape(shape, spacing, cover)
     corners = []
     for d in range(shape.ndim):
         lo = node_locations(shape.extents[d], spacing, cover)[0]
@@ -114,17 +130,11 @@ def interpolate_map(points: DataFrame, values: DataFrame, shape: Shape, spacing:
     if shape.ndim == 2:
         corners.append([F.struct(F.lit(0).alias("i"), F.lit(1.0).alias("w"))])
     each = [(ravel(x["i"], y["i"], z["i"], nodes), x["w"] * y["w"] * z["w"]) for z in corners[2] for y in corners[1] for x in corners[0]]
-    wide, dofs = map_pivot(values, shape, by), range(shape.ndim + 1)
-    if not by and nodes.size <= BROADCAST_ROWS:
-        # The whole map is one row of arrays beside each point: nothing is shuffled.
-        whole = wide.agg(F.sort_array(F.collect_list(F.struct("node", *(f"d{k}" for k in dofs)))).alias("_m"))
-        whole = whole.select(*(F.col("_m")[f"d{k}"].alias(f"_d{k}") for k in dofs))
-        beside = points.crossJoin(F.broadcast(whole)).select(*key, *(n.alias(f"_n{i}") for i, (n, _) in enumerate(each)), *(w.alias(f"_w{i}") for i, (_, w) in enumerate(each)), *(f"_d{k}" for k in dofs))
-        return beside.select(*key, *(sum((F.col(f"_w{i}") * F.get(f"_d{k}", F.col(f"_n{i}")) for i in range(len(each))), F.lit(0.0)).alias(f"d{k}") for k in dofs))
-    every = F.array(*(F.struct(n.alias("node"), w.alias("phi")) for n, w in each))
-    ends = points.select(*by, *key, F.inline(every))
-    joined = ends.join(wide if by else small(wide, nodes.size), [*by, "node"])
-    return joined.groupBy(*by, *key).agg(*(F.sum(F.col("phi") * F.col(f"d{k}")).alias(f"d{k}") for k in dofs))
+    dofs = range(shape.ndim + 1)
+    whole = wide.agg(F.sort_array(F.collect_list(F.struct("node", *(f"d{k}" for k in dofs)))).alias("_m"))
+    whole = whole.select(*(F.col("_m")[f"d{k}"].alias(f"_d{k}") for k in dofs))
+    beside = points.crossJoin(F.broadcast(whole)).select(*key, *(n.alias(f"_n{i}") for i, (n, _) in enumerate(each)), *(w.alias(f"_w{i}") for i, (_, w) in enumerate(each)), *(f"_d{k}" for k in dofs))
+    return beside.select(*key, *(sum((F.col(f"_w{i}") * F.get(f"_d{k}", F.col(f"_n{i}")) for i in range(len(each))), F.lit(0.0)).alias(f"d{k}") for k in dofs))
 
 
 def map_coordinates(pixels: DataFrame, values: DataFrame, shape: Shape, spacing: int, by: tuple[str, ...] = (), cover: bool = False) -> DataFrame:
@@ -134,18 +144,90 @@ def map_coordinates(pixels: DataFrame, values: DataFrame, shape: Shape, spacing:
     return moved.select(*by, *AXES, *(s.alias(f"s{a}") for a, s in zip(AXES, source, strict=True)))
 
 
+def unravelled(pos: Column, size: Shape) -> list[Column]:
+    """x, y, z of a number that ravel gives."""
+    return [(pos % size.nx).cast("int"), (F.floor(pos / size.nx) % size.ny).cast("int"), F.floor(pos / (size.nx * size.ny)).cast("int")]
+
+
+def tile_place(at: list[Column], tile: list[Column], size: Shape, edge: int) -> Column:
+    """The position of (x, y, z) among the values of a tile with its rim."""
+    x, y, z = (a - t * edge for a, t in zip(at, tile, strict=True))
+    wide, high = (F.least(F.lit(edge + 1), F.lit(e) - t * edge) for e, t in zip(size.extents[:2], tile[:2], strict=True))
+    return ((z * high + y) * wide + x).cast("int")
+
+
+def lattice_tiles(points: DataFrame, size: Shape, values: tuple[str, ...], by: tuple[str, ...] = (), edges: dict[int, int] = TILE) -> DataFrame:
+    """(by, _tx, _ty, _tz, an array for each of values): a row a tile, from (by, x, y, z or node, values).
+
+    A tile holds the points at its upper faces, edges and corners that are the next tiles' first ones, too: all corners of
+    a cell that begins in a tile are in its row. A row has some ten thousand values, whatever the image's size; points
+    that are missing are null.
+    """
+    edge = edges[size.ndim]
+    at = unravelled(F.col("node"), size) if "node" in points.columns else [F.col(a) for a in AXES]
+    own = [F.when((a % edge == 0) & (a > 0), F.array(F.floor(a / edge).cast("int"), (F.floor(a / edge) - 1).cast("int"))).otherwise(F.array(F.floor(a / edge).cast("int"))) for a in at]
+    dealt = points.select(*by, *(a.alias(f"_{c}") for a, c in zip(at, AXES, strict=True)), *values, *(o.alias(f"{t}s") for o, t in zip(own, TILES, strict=True)))
+    for t in TILES:
+        dealt = dealt.withColumn(t, F.explode(f"{t}s")).drop(f"{t}s")
+    tile = [F.col(t) for t in TILES]
+    place = tile_place([F.col(f"_{c}") for c in AXES], tile, size, edge)
+    rows = dealt.select(*by, *TILES, F.struct(place.alias("_p"), *values).alias("_v")).groupBy(*by, *TILES).agg(F.sort_array(F.collect_list("_v")).alias("_v"))
+    full = F.lit(1)
+    for t, e in zip(tile, size.extents, strict=True):
+        full = full * F.least(F.lit(edge + 1), F.lit(e) - t * edge)
+    whole = (F.size("_v") == full) & (F.element_at("_v", -1)["_p"] == full - 1)
+
+
+    def spread(name: str) -> Column:
+        gap = lambda v, i: v["_p"] - F.coalesce(F.get("_v", i - 1)["_p"], F.lit(-1)) - 1
+        return F.flatten(F.transform("_v", lambda v, i: F.concat(F.array_repeat(F.lit(None).cast("double"), gap(v, i)), F.array(v[name].cast("double")))))
+
+    return rows.select(*by, *TILES, *(F.when(whole, F.col("_v")[v].cast("array<double>")).otherwise(spread(v)).alias(v) for v in values))
+
+
+def from_tiles(points: DataFrame, tiles: DataFrame, size: Shape, at: list[Column], upper: list[Column], values: tuple[str, ...], by: tuple[str, ...], keep: tuple[str, ...], edges: dict[int, int] = TILE) -> DataFrame:
+    """(by, keep, values): multilinear sums over the corners of the cell that begins at ``at``, ``upper`` of a cell before the place.
+
+    Each point is dealt once, to the tile of its cell, and reads the corners from the tile's arrays: no row a corner, and no
+    sum to shuffle. A tile that many points read is a skewed key of a plain join, which adaptive execution splits. All
+    that hangs on the point alone is found before the join, so that what reads the arrays stays one small compiled method
+    and no row is copied with its arrays. Points none of whose corners with weight is there go.
+    """
+    edge = edges[size.ndim]
+    cell = [*(a.cast("int") for a in at), *[F.lit(0)] * (3 - len(at))]
+    here = points.select(*by, *keep, *(a.alias(f"_{c}") for a, c in zip(cell, AXES, strict=True)), *(u.cast("double").alias(f"_u{c}") for u, c in zip(upper, AXES, strict=False)))
+    here = here.select("*", *(F.floor(F.col(f"_{c}") / edge).cast("int").alias(t) for t, c in zip(TILES, AXES, strict=True)))
+    tile, weights, places = [F.col(t) for t in TILES], [], []
+    for k in range(1 << len(at)):
+        move, weight = [k >> d & 1 for d in range(len(at))], F.lit(1.0)
+        for up, c in zip(move, AXES, strict=False):
+            weight = weight * (F.lit(1.0) - F.abs(F.col(f"_u{c}") - up))
+        weights.append(F.nullif(weight, F.lit(0.0)).alias(f"_w{k}"))
+        places.append(tile_place([F.col(f"_{c}") + m for c, m in zip(AXES, [*move, 0, 0], strict=False)], tile, size, edge).alias(f"_p{k}"))
+    here = here.select(*by, *keep, *TILES, *weights, *places)
+    held = tiles.select(*by, *TILES, *(F.col(v).alias(f"_a{v}") for v in values))
+    read = lambda v: [F.col(f"_w{k}") * F.get(f"_a{v}", F.col(f"_p{k}")) for k in range(len(weights))]
+    sums = [sum((F.coalesce(r, F.lit(0.0)) for r in read(v)), F.lit(0.0)).alias(v) for v in values]
+    there = F.coalesce(*read(values[0])).isNotNull().alias("_there")
+    return here.join(held, [*by, *TILES]).select(*by, *keep, *sums, there).filter("_there").drop("_there")
+
+
 def interpolate_image(places: DataFrame, image: DataFrame, shape: Shape, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, x, y, z, v): linear interpolation of image (by, x, y, z, v) at (sx, sy, sz)."""
-    corners = [[F.struct((F.floor(f"s{a}").cast("int") + k).alias("i"), (F.lit(1.0) - F.abs(F.col(f"s{a}") - (F.floor(f"s{a}") + k))).alias("w")) for k in ((0, 1) if d < shape.ndim else (0,))] for d, a in enumerate(AXES)]
-    every = F.array(*(F.struct(ravel(x["i"], y["i"], z["i"], shape).alias("pos"), (x["w"] * y["w"] * z["w"]).alias("c")) for z in corners[2] for y in corners[1] for x in corners[0]))
-    ends = places.select(*by, *AXES, F.inline(every)).filter("c > 0")
-    source = image.select(*by, ravel(F.col("x"), F.col("y"), F.col("z"), shape).alias("pos"), F.col("v"))
-    return ends.join(source, [*by, "pos"]).groupBy(*by, *AXES).agg(F.sum(F.col("c") * F.col("v")).alias("v"))
+    """(by, x, y, z, v): linear interpolation of image (by, x, y, z, v), or of its lattice_tiles, at (sx, sy, sz) within the image."""
+    tiles = image if TILES[0] in image.columns else lattice_tiles(image, shape, ("v",), by)
+    axes = AXES[: shape.ndim]
+    at = [F.floor(f"s{a}").cast("int") for a in axes]
+    upper = [F.col(f"s{a}") - F.floor(f"s{a}") for a in axes]
+    return from_tiles(places, tiles, shape, at, upper, ("v",), by, AXES)
 
 
-def warp(image: DataFrame, values: DataFrame, shape: Shape, spacing: int, by: tuple[str, ...] = (), cover: bool = False) -> DataFrame:
-    """Pull an image (by, x, y, z, v) through a map: each pixel takes the value at its place less its displacement."""
-    return interpolate_image(map_coordinates(image, values, shape, spacing, by, cover), image, shape, by)
+def warp(image: DataFrame, values: DataFrame, shape: Shape, spacing: int, by: tuple[str, ...] = (), cover: bool = False, pixels: DataFrame | None = None) -> DataFrame:
+    """Pull an image (by, x, y, z, v) through a map: each pixel takes the value at its place less its displacement.
+
+    ``image`` may be the image's ``lattice_tiles``, made once for many warps; ``pixels`` (by, x, y, z) are then those to find.
+    """
+    places = map_coordinates(image if pixels is None else pixels, values, shape, spacing, by, cover)
+    return interpolate_image(places, image, shape, by)
 
 
 def map_nodes(spark: SparkSession, shape: Shape, spacing: int, cover: bool = False) -> DataFrame:
@@ -156,7 +238,7 @@ def map_nodes(spark: SparkSession, shape: Shape, spacing: int, cover: bool = Fal
 def node_table(ids: DataFrame, shape: Shape, spacing: int, cover: bool = False) -> DataFrame:
     """ids (.., id) with the index and place of each node."""
     nodes = map_shape(shape, spacing, cover)
-    out = ids.select(*(c for c in ids.columns if c != "id"), F.col("id").cast("int").alias("node"), *(c.alias(f"i{a}") for a, c in zip(AXES, _unravel(nodes), strict=True)))
+    out = ids.select(*(c for c in ids.columns if c != "id"), F.col("id").cast("int").alias("node"), *(c.alias(f"i{a}") for a, c in zip(AXES, unravelled(F.col("id"), nodes), strict=True)))
     for a, e in zip(AXES, shape.extents, strict=True):
         lo = node_locations(e, spacing, cover)[0]
         out = out.withColumn(f"l{a}", F.lit(lo) + F.col(f"i{a}") * F.lit(float(spacing) if e > 1 else 0.0))
@@ -174,11 +256,6 @@ def every_node(blocks: DataFrame, nodes: int, name: str) -> DataFrame:
     return parts.withColumn(name, F.explode(F.sequence(low, F.least(low + (CHUNK - 1), F.lit(nodes - 1))))).drop("_part")
 
 
-def _unravel(nodes: Shape) -> list[Column]:
-    i = F.col("id")
-    return [(i % nodes.nx).cast("int"), (F.floor(i / nodes.nx) % nodes.ny).cast("int"), F.floor(i / (nodes.nx * nodes.ny)).cast("int")]
-
-
 def zero_map(spark: SparkSession, shape: Shape, spacing: int, cover: bool = False) -> DataFrame:
     n = map_shape(shape, spacing, cover).size
     return spark.range(n * (shape.ndim + 1)).select((F.col("id") % n).cast("int").alias("node"), F.floor(F.col("id") / n).cast("int").alias("dof"), F.lit(0.0).alias("value"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, Shape
 from ..operators.image import apply_mask, normalise, pair_up, registration_gradients
-from ..operators.mapgrid import levels, map_shape, refine, small, update, warp, zero_map
+from ..operators.mapgrid import lattice_tiles, levels, map_shape, refine, small, update, warp, zero_map
 from ..operators.metrics import delta_stats, joint_histogram, mutual_information
 from ..operators.normal import assemble, cell_sums, diagonal_sum, laplacian_squared, matvec, per_block, precondition
 from ..operators.solve import BLOCK_NODES, SEARCH_NODES, condition_numbers, search_in_tasks, search_smoothings, solve
@@ -133,7 +133,9 @@ def register(fixed: DataFrame, moved: DataFrame, shape: Shape, spacing: int, opt
         values, at = start
         schedule = [s for s in schedule if s <= at] or [spacing]
     values = checkpoint(values.select(*PAIR, "node", "dof", "value"))
-    registered = checkpoint(normalise(warp(moved, values, shape, at, PAIR, cover), "v", by=PAIR))
+    # All rounds read the moved images by tile; they are dealt once.
+    tiles = checkpoint(lattice_tiles(moved, shape, ("v",), PAIR))
+    registered = checkpoint(normalise(warp(tiles, values, shape, at, PAIR, cover, moved), "v", by=PAIR))
     result = Result(registered, values, at, shape)
     history: dict[str, list[float]] = {}
     guesses: dict[str, float] = {}
@@ -154,7 +156,7 @@ def register(fixed: DataFrame, moved: DataFrame, shape: Shape, spacing: int, opt
             # The new map and the change that led to it, in one table.
             state = checkpoint(update(values.withColumn("change", F.lit(0.0)), delta.withColumn("change", F.col("value")), PAIR, ("value", "change")))
             values, delta = state.drop("change"), state.filter(on).select(*PAIR, "node", "dof", F.col("change").alias("value"))
-            fresh = normalise(warp(moved.filter(on), values.filter(on), shape, s, PAIR, cover), "v", by=PAIR)
+            fresh = normalise(warp(tiles.filter(on), values.filter(on), shape, s, PAIR, cover, moved.filter(on)), "v", by=PAIR)
             registered = checkpoint(registered.filter(~on).unionByName(fresh))
             change = {r["pair_id"]: r for r in delta_stats(delta, PAIR).collect()}
             for r in mi_of(pair_up(registered.filter(on), fixed.filter(on), PAIR)).collect():

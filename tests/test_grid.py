@@ -85,6 +85,55 @@ def test_block_moves_with_its_map(spark, dof):
     assert found.filter(F.abs(F.col("v") - F.when(inside(dof), 1.0).otherwise(0.0)) > 1e-10).count() == 0
 
 
+@pytest.mark.parametrize("shape", [Shape(23, 17), Shape(11, 9, 7)])
+def test_tiled_warp_by_brute_force(spark, monkeypatch, shape):
+    """Two pairs, one image with holes, moves far over tiles and borders, tiles of four pixels and three nodes, against numpy."""
+    monkeypatch.setitem(M.TILE, shape.ndim, 4)
+    monkeypatch.setitem(M.MAP_TILE, shape.ndim, 3)
+    draw, spacing, axes = np.random.default_rng(3), 3, range(shape.ndim)
+    nodes = M.map_shape(shape, spacing)
+    starts = [M.node_locations(e, spacing)[0] for e in shape.extents]
+    pixels, maps, expected = [], [], {}
+    for name, reach in (("a", 2.0), ("b", 30.0)):
+        v, d = draw.random(shape.extents), draw.uniform(-reach, reach, (*nodes.extents, shape.ndim + 1))
+        there = np.ones(shape.extents, bool) if name == "a" else draw.random(shape.extents) < 0.5
+        pixels += [(name, *map(int, at), float(v[at])) for at in np.ndindex(shape.extents) if there[at]]
+        maps += [(name, (z * nodes.ny + y) * nodes.nx + x, k, float(d[x, y, z, k])) for x, y, z in np.ndindex(nodes.extents) for k in range(shape.ndim + 1)]
+        for at in np.ndindex(shape.extents):
+            move = np.zeros(shape.ndim + 1)
+            base = [min(max(math.floor((at[i] - starts[i]) / spacing), 0), nodes.extents[i] - 2) for i in axes]
+            for up in np.ndindex((2,) * shape.ndim):
+                w = math.prod(1 - abs(at[i] - starts[i] - (base[i] + up[i]) * spacing) / spacing for i in axes)
+                move += w * d[(*(b + u for b, u in zip(base, up, strict=True)), *((0,) if shape.ndim == 2 else ()))]
+            place = [min(max(at[i] - move[i + 1], 0.0), shape.extents[i] - 1.0) for i in axes]
+            found = []
+            for up in np.ndindex((2,) * shape.ndim):
+                c = [math.floor(p) + u for p, u in zip(place, up, strict=True)]
+                w = math.prod(1 - abs(p - k) for p, k in zip(place, c, strict=True))
+                c = (*c, *((0,) if shape.ndim == 2 else ()))
+                if w > 0 and there[c]:
+                    found.append(w * v[c])
+            if found and there[at]:
+                expected[name, *at] = sum(found)
+    image = spark.createDataFrame(pixels, "pair_id string, x int, y int, z int, v double")
+    values = spark.createDataFrame(maps, "pair_id string, node int, dof int, value double")
+    for warped in (M.warp(image, values, shape, spacing, ("pair_id",)), M.warp(M.lattice_tiles(image, shape, ("v",), ("pair_id",)), values, shape, spacing, ("pair_id",), pixels=image.drop("v"))):
+        found = {(r.pair_id, r.x, r.y, r.z): r.v for r in warped.collect()}
+        assert found.keys() == expected.keys()
+        assert max(abs(found[k] - expected[k]) for k in found) < 1e-9
+
+
+def test_tiled_warp_deals_pixels_twice_and_makes_no_corner_rows(spark):
+    shape = Shape(40, 30)
+    image_of = image(spark, shape, F.col("x") * 1.0).withColumn("pair_id", F.lit("a"))
+    tiles = spark.createDataFrame(M.lattice_tiles(image_of, shape, ("v",), ("pair_id",)).collect(), "pair_id string, _tx int, _ty int, _tz int, v array<double>")
+    nodes = M.lattice_tiles(M.map_pivot(M.zero_map(spark, shape, 10).withColumn("pair_id", F.lit("a")), shape, ("pair_id",)), M.map_shape(shape, 10), ("d0", "d1", "d2"), ("pair_id",), M.MAP_TILE)
+    assert nodes.count() == 1
+    places = spark.createDataFrame(image_of.withColumns({f"s{a}": F.col(a).cast("double") for a in AXES}).drop("v").collect())
+    plan = M.interpolate_image(places, tiles, shape, ("pair_id",))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+
+
 def test_shear_by_closed_form(spark):
     shape = Shape(30, 12)
     values = M.map_nodes(spark, shape, 10, True).select("node", F.explode(F.array(*map(F.lit, range(3)))).alias("dof"), "lx").withColumn("value", F.when(F.col("dof") == 2, 0.1 * F.col("lx")).otherwise(0.0))
