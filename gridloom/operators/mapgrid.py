@@ -116,7 +116,7 @@ def interpolate_map(points: DataFrame, values: DataFrame, shape: Shape, spacing:
     low = [node_locations(shape.extents[d], spacing, cover)[0] for d in range(shape.ndim)]
     upper = [(F.col(place[d]) - (F.lit(low[d]) + at[d] * F.lit(float(spacing)))) / F.lit(float(spacing)) for d in range(shape.ndim)]
     names = tuple(f"d{k}" for k in range(shape.ndim + 1))
-    return from_tiles(points.select(*by, *dict.fromkeys((*key, *place))), lattice_tiles(wide, nodes, names, by, MAP_TILE), nodes, at, upper, names, by, key, MAP_TILE)
+    return from_tiles(points.select(*by, *dict.fromkeys((*key, *place))), lattice_tiles(wide, nodes, names, by, MAP_TILE), nodes, at, upper, names, by, key, MAP_TILE, holes=False)
 
 
 def beside_map(points: DataFrame, wide: DataFrame, shape: Shape, spacing: int, cover: bool, key: tuple[str, ...], place: tuple[str, ...]) -> DataFrame:
@@ -185,31 +185,39 @@ def lattice_tiles(points: DataFrame, size: Shape, values: tuple[str, ...], by: t
     return rows.select(*by, *TILES, *(F.when(whole, F.col("_v")[v].cast("array<double>")).otherwise(spread(v)).alias(v) for v in values))
 
 
-def from_tiles(points: DataFrame, tiles: DataFrame, size: Shape, at: list[Column], upper: list[Column], values: tuple[str, ...], by: tuple[str, ...], keep: tuple[str, ...], edges: dict[int, int] = TILE) -> DataFrame:
+def from_tiles(points: DataFrame, tiles: DataFrame, size: Shape, at: list[Column], upper: list[Column], values: tuple[str, ...], by: tuple[str, ...], keep: tuple[str, ...], edges: dict[int, int] = TILE, holes: bool = True) -> DataFrame:
     """(by, keep, values): multilinear sums over the corners of the cell that begins at ``at``, ``upper`` of a cell before the place.
 
     Each point is dealt once, to the tile of its cell, and reads the corners from the tile's arrays: no row a corner, and no
     sum to shuffle. A tile that many points read is a skewed key of a plain join, which adaptive execution splits. All
     that hangs on the point alone is found before the join, so that what reads the arrays stays one small compiled method
-    and no row is copied with its arrays. Points none of whose corners with weight is there go.
+    and no row is copied with its arrays. With ``holes`` points none of whose corners with weight
+    is there go.
     """
     edge = edges[size.ndim]
     cell = [*(a.cast("int") for a in at), *[F.lit(0)] * (3 - len(at))]
     here = points.select(*by, *keep, *(a.alias(f"_{c}") for a, c in zip(cell, AXES, strict=True)), *(u.cast("double").alias(f"_u{c}") for u, c in zip(upper, AXES, strict=False)))
     here = here.select("*", *(F.floor(F.col(f"_{c}") / edge).cast("int").alias(t) for t, c in zip(TILES, AXES, strict=True)))
     tile, weights, places = [F.col(t) for t in TILES], [], []
+    wide, high = (F.least(F.lit(edge + 1), F.lit(e) - t * edge) for e, t in zip(size.extents[:2], tile[:2], strict=True))
+    ends = [(F.lit(1.0) - F.abs(F.col(f"_u{c}") - up)).alias(f"_e{c}{up}") for c in AXES[: len(at)] for up in (0, 1)]
+    here = here.select(*by, *keep, *TILES, *ends, tile_place([F.col(f"_{c}") for c in AXES], tile, size, edge).alias("_p"), wide.alias("_py"), (wide * high).alias("_pz"))
+    steps = (F.lit(1), F.col("_py"), F.col("_pz"))
     for k in range(1 << len(at)):
-        move, weight = [k >> d & 1 for d in range(len(at))], F.lit(1.0)
-        for up, c in zip(move, AXES, strict=False):
-            weight = weight * (F.lit(1.0) - F.abs(F.col(f"_u{c}") - up))
+        weight, place = F.lit(1.0), F.col("_p")
+        for d, c in enumerate(AXES[: len(at)]):
+            weight = weight * F.col(f"_e{c}{k >> d & 1}")
+            place = place + steps[d] if k >> d & 1 else place
         weights.append(F.nullif(weight, F.lit(0.0)).alias(f"_w{k}"))
-        places.append(tile_place([F.col(f"_{c}") + m for c, m in zip(AXES, [*move, 0, 0], strict=False)], tile, size, edge).alias(f"_p{k}"))
+        places.append(place.cast("int").alias(f"_p{k}"))
     here = here.select(*by, *keep, *TILES, *weights, *places)
     held = tiles.select(*by, *TILES, *(F.col(v).alias(f"_a{v}") for v in values))
     read = lambda v: [F.col(f"_w{k}") * F.get(f"_a{v}", F.col(f"_p{k}")) for k in range(len(weights))]
     sums = [sum((F.coalesce(r, F.lit(0.0)) for r in read(v)), F.lit(0.0)).alias(v) for v in values]
-    there = F.coalesce(*read(values[0])).isNotNull().alias("_there")
-    return here.join(held, [*by, *TILES]).select(*by, *keep, *sums, there).filter("_there").drop("_there")
+    joined = here.join(held, [*by, *TILES])
+    if not holes:
+        return joined.select(*by, *keep, *sums)
+    return joined.select(*by, *keep, *sums, F.coalesce(*read(values[0])).isNotNull().alias("_there")).filter("_there").drop("_there")
 
 
 def interpolate_image(places: DataFrame, image: DataFrame, shape: Shape, by: tuple[str, ...] = ()) -> DataFrame:
