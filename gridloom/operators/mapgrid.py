@@ -190,8 +190,7 @@ def from_tiles(points: DataFrame, tiles: DataFrame, size: Shape, at: list[Column
 
     Each point is dealt once, to the tile of its cell, and reads the corners from the tile's arrays: no row a corner, and no
     sum to shuffle. A tile that many points read is a skewed key of a plain join, which adaptive execution splits. All
-    that hangs on the point alone is found before the join, so that what reads the arrays stays one small compiled method
-    and no row is copied with its arrays. With ``holes`` points none of whose corners with weight
+    that hangs on the point alone is found before the join, which keeps the code that reads the arrays short. With ``holes`` points none of whose corners with weight
     is there go.
     """
     edge = edges[size.ndim]
