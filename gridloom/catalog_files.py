@@ -74,14 +74,14 @@ def values_sql(names: str, rows: list[tuple]) -> str:
 @query(pixels_sql("round(CAST(CAST(f AS FLOAT) AS DOUBLE), 6) + 0e0", R3))
 def volume_image(spark, sf_dir):
     path = f"{folder(spark)}/a.image"
-    volume.write_volume(path, values_of(spark, sf_dir, R3))
+    sinks.write_image(image_of(spark, sf_dir, R3), R3, path)
     return pixels(volume.read_volume(spark, path))
 
 
 @query(pixels_sql("CAST(f > 0 AS INT) + 0e0", R3))
 def volume_mask(spark, sf_dir):
     path = f"{folder(spark)}/a.mask"
-    volume.write_volume(path, values_of(spark, sf_dir, R3) > 0, "mask")
+    sinks.write_image(image_of(spark, sf_dir, R3).withColumn("v", (F.col("v") > 0).cast("double")), R3, path)
     return pixels(volume.read_volume(spark, path, "mask"))
 
 
@@ -89,7 +89,7 @@ def volume_mask(spark, sf_dir):
 def volume_slab(spark, sf_dir):
     """Planes of a volume in many partitions, of which only those planes' are read."""
     path = f"{folder(spark)}/a.image"
-    volume.write_volume(path, values_of(spark, sf_dir, R3, whole=True))
+    sinks.write_image(pair(spark, sf_dir, R3).select(*AXES, F.col("f").alias("v")), R3, path)
     return pixels(volume.read_volume(spark, path, partition_values=50 * 83).filter("z between 3 and 5 and y >= 40"))
 
 
@@ -197,12 +197,11 @@ def dicom_image(spark, sf_dir):
 def loader_detect(spark, sf_dir):
     """Files without a telling name are known by their first bytes and their size."""
     top, image = folder(spark), image_of(spark, sf_dir)
-    values = values_of(spark, sf_dir, R2)
     sinks.write_image(image, R2, f"{top}/a.png")
     sinks.write_image(image, R2, f"{top}/a.tiff")
     sinks.write_image(image, R2, f"{top}/a.h5")
-    volume.write_volume(f"{top}/image", values)
-    volume.write_volume(f"{top}/mask", values > 0, "mask")
+    volume.save_volume(image, R2, f"{top}/image")
+    volume.save_volume(image.withColumn("v", (F.col("v") > 0).cast("double")), R2, f"{top}/mask", "mask")
     image.coalesce(1).write.parquet(f"{top}/a.parquet")
     for name, end in (("png", ".png"), ("tiff", ".tiff"), ("hdf5", ".h5"), ("parquet", ".parquet")):
         if name != "parquet":
@@ -218,7 +217,7 @@ def loader_detect(spark, sf_dir):
 def load_image(spark, sf_dir):
     """Loaded images are divided by their largest value, and checked against another's shape."""
     path = f"{folder(spark)}/a.image"
-    volume.write_volume(path, values_of(spark, sf_dir, R2, whole=True) / 7)
+    sinks.write_image(pair(spark, sf_dir).select(*AXES, (F.col("f") / 7).alias("v")), R2, path)
     return pixels(images.load_image(spark, path, like=filled_mask(pair(spark, sf_dir))))
 
 
@@ -322,8 +321,8 @@ def hdf5_truncates_once(spark, sf_dir):
     sinks.hdf5.add(path, {"/old": np.zeros((1, 1, 1))}, fresh=True)
     sinks.write_image(image_of(spark, sf_dir), R2, f"{path}:/one")
     sinks.write_image(both.select(*AXES, F.col("m").alias("v")), R2, f"{path}:/two")
-    with open(path, "rb") as f:
-        names = sinks.hdf5.File(f.read()).names()
+    with sinks.hdf5.opened(path) as found:
+        names = found.names()
     out = None
     for name in names:
         one = images.load_hdf5(spark, f"{path}:{name}").select(*AXES, r6("v").alias("v"), F.lit(name).alias("dataset"))
@@ -336,7 +335,7 @@ def split_spec(spark, sf_dir):
     return spark.createDataFrame([(s, *sinks.split_spec(s)) for s in ("a.h5", "a.h5:/x", "a.xdmf:b:c", ":")], "spec string, path string, dataset string")
 
 
-@query(values_sql("side, name", [("writer", e) for e in (".h5", ".xdmf", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".parquet")] + [("loader", n) for n in ("dicom", "hdf5", "parquet", "png", "pnm", "raster", "tiff", "volume", "volume_mask")] + [("error", "LoaderError"), ("error", "WriterError"), ("error", "WriterError"), ("error", "WriterError")]))
+@query(values_sql("side, name", [("writer", e) for e in (".h5", ".image", ".mask", ".xdmf", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".parquet")] + [("loader", n) for n in ("dicom", "hdf5", "parquet", "png", "pnm", "raster", "tiff", "volume", "volume_mask")] + [("error", "LoaderError"), ("error", "WriterError"), ("error", "WriterError"), ("error", "WriterError")]))
 def registries(spark, sf_dir):
     """Names of loaders and writers; what has a name twice, has none, or is a map as a raster is an error."""
     rows = [("writer", e) for e in sinks.WRITERS] + [("loader", n) for n in images.LOADERS]

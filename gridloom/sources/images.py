@@ -6,7 +6,6 @@ import os
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,7 +96,7 @@ def load_hdf5(spark: SparkSession, path: str) -> DataFrame:
     file, group = hdf5_place(path)
     if _head(file, 8) != hdf5.SIGNATURE:
         raise LoaderError(f"{file} is no HDF5 file")
-    return pixels_of(spark, file, lambda data: hdf5.File(data).read(group or "/registered"))
+    return read_volume(spark, file, "hdf5", dataset=group or "/registered")
 
 
 @register_loader("raster")
@@ -162,18 +161,22 @@ def load_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     file, group = hdf5_place(path)
     if not file.endswith(".h5"):
         return spark.read.parquet(f"{path}/values"), spark.read.parquet(f"{path}/axes")
-    with open(file, "rb") as f:
-        found = hdf5.File(f.read())
     group = "/" + (group or "/map").strip("/")
-    there = [(k, a) for k, a in enumerate(AXES, 1) if f"{group}/{a}" in found.names()]
-    if not there:
-        raise LoaderError(f"{file} has no map {group}")
-    parts, axes = [], []
+    with hdf5.opened(file) as found:
+        names = found.names()
+        there = [(k, a) for k, a in enumerate(AXES, 1) if f"{group}/{a}" in names]
+        if not there:
+            raise LoaderError(f"{file} has no map {group}")
+        places = {a: found.read(f"{group}/nodes_{a}") for _, a in there}
+        shapes = {a: found.find(f"{group}/{a}").shape for _, a in there}
+    values, axes = None, []
     for k, a in there:
-        flat = found.read(f"{group}/{a}").ravel()
-        parts.append(pd.DataFrame({"node": np.arange(len(flat), dtype=np.int32), "dof": np.int32(k), "value": flat, "component": a}))
-        axes += [(k - 1, i, float(x)) for i, x in enumerate(found.read(f"{group}/nodes_{a}"))]
-    return spark.createDataFrame(pd.concat(parts), "node int, dof int, value double, component string"), spark.createDataFrame(axes, "dim int, idx int, loc double")
+        ny, nx = shapes[a][-2:]
+        node = (F.col("x") + nx * (F.col("y") + ny * F.col("z"))).cast("int").alias("node")
+        part = read_volume(spark, file, "hdf5", dataset=f"{group}/{a}").select(node, F.lit(k).alias("dof"), F.col("v").alias("value"), F.lit(a).alias("component"))
+        values = part if values is None else values.unionByName(part)
+        axes += [(k - 1, i, float(x)) for i, x in enumerate(places[a])]
+    return values, spark.createDataFrame(axes, "dim int, idx int, loc double")
 
 
 def read_landmarks(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Writers: Parquet, HDF5 and XDMF images and maps, PNG, TIFF and JPEG rasters, frames of a registration, reports."""
+"""Writers: Parquet, HDF5 and XDMF images and maps, raw volumes, PNG, TIFF and JPEG rasters, frames of a registration, reports."""
 
 from __future__ import annotations
 
@@ -6,17 +6,20 @@ import html
 import os
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
+from math import prod
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grid import Shape
+from ..functions.grid import AXES, Shape
 from ..operators.mapgrid import map_axis, map_shape, node_locations
 from . import hdf5, png, tiff
 from .errors import WriterError
+from .placed import position, write_placed
+from .volume import save_volume
 
-#: Pixels that one raster may have, and values that one file of the driver may have.
+#: Pixels that one raster may have, which the driver encodes.
 MAX_RASTER = 1 << 26
 Writer = Callable[[DataFrame, Shape, str, str], None]
 WRITERS: dict[str, Writer] = {}
@@ -99,30 +102,40 @@ def dense(df: DataFrame, order: list[str], value: str, extents: tuple[int, ...])
     return values.reshape(extents)
 
 
-#: Files that this process has begun: the first dataset makes a file anew, later ones are added to it.
-BEGUN: set[str] = set()
+#: Files that an application has begun: its first dataset makes a file anew, later ones are added to it.
+BEGUN: set[tuple[str, str]] = set()
 
 
-def add_datasets(path: str, datasets: dict[str, np.ndarray]) -> None:
-    whole = os.path.abspath(path)
-    hdf5.add(path, datasets, fresh=whole not in BEGUN or not os.path.exists(path))
-    BEGUN.add(whole)
+def add_datasets(path: str, rows: DataFrame, shapes: dict[str, tuple[int, ...]], small: dict[str, np.ndarray] | None = None) -> None:
+    """Datasets of rows (dataset, pos, v), written by tasks at their places, and small ones of the driver."""
+    small = small or {}
+    mark = (rows.sparkSession.sparkContext.applicationId, os.path.abspath(path))
+    with hdf5.draft(path, shapes | {n: v.shape for n, v in small.items()}, fresh=mark not in BEGUN or not os.path.exists(path)) as made:
+        with open(made.work, "r+b") as f:
+            for name, values in small.items():
+                f.seek(made.places[name])
+                f.write(values.astype("<f8").tobytes())
+        start = F.lit(None)
+        for name in shapes:
+            start = F.when(F.col("dataset") == name, F.lit(made.places[name])).otherwise(start)
+        ranges = [(made.places[name], made.places[name] + 8 * prod(shape)) for name, shape in shapes.items()]
+        inside = F.lit(False)
+        for name, shape in shapes.items():
+            inside |= (F.col("dataset") == name) & (F.col("pos") >= 0) & (F.col("pos") < prod(shape))
+        write_placed(rows.select(F.when(inside, start + 8 * F.col("pos").cast("bigint")).alias("at"), "v"), made.work, "<f8", ranges)
+    BEGUN.add(mark)
 
 
 @register_writer(".h5")
 def write_hdf5(image: DataFrame, shape: Shape, path: str, group: str) -> None:
     """One dataset of doubles, slowest axis first."""
-    add_datasets(path, {group: dense(image, ["z", "y", "x"], "v", tuple(reversed(shape.extents)))})
+    add_datasets(path, image.select(F.lit(group).alias("dataset"), position(shape).alias("pos"), "v"), {group: tuple(reversed(shape.extents))})
 
 
-def map_datasets(values: DataFrame, shape: Shape, spacing: int, group: str, cover: bool) -> dict[str, np.ndarray]:
-    """Components x, y (, z) and places of nodes below one group."""
-    nodes = map_shape(shape, spacing, cover)
-    out = {}
-    for k, a in enumerate(("x", "y", "z")[: shape.ndim], 1):
-        out[f"{group}/{a}"] = dense(values.filter(F.col("dof") == k), ["node"], "value", tuple(reversed(nodes.extents)))
-        out[f"{group}/nodes_{a}"] = np.array(node_locations(shape.extents[k - 1], spacing, cover))
-    return out
+@register_writer(".image", ".mask")
+def write_raw(image: DataFrame, shape: Shape, path: str, group: str) -> None:
+    """A raw volume of the kind that the extension names."""
+    save_volume(image, shape, path, os.path.splitext(path)[1][1:])
 
 
 def xdmf(shape: Shape, data: str, name: str) -> bytes:
@@ -172,8 +185,11 @@ def write_map(values: DataFrame, shape: Shape, spacing: int, spec: str, cover: b
     if extension in (".png", ".jpg", ".jpeg", ".tiff", ".tif"):
         raise WriterError("maps can't be written as rasters")
     if extension in (".h5", ".xdmf"):
-        datasets = map_datasets(values, shape, spacing, group, cover)
-        add_datasets(path if extension == ".h5" else f"{path}.h5", datasets)
+        axes, nodes = AXES[: shape.ndim], tuple(reversed(map_shape(shape, spacing, cover).extents))
+        names = F.element_at(F.create_map(*(F.lit(x) for k, a in enumerate(axes, 1) for x in (k, f"{group}/{a}"))), F.col("dof"))
+        rows = values.filter(F.col("dof").between(1, shape.ndim)).select(names.alias("dataset"), F.col("node").alias("pos"), F.col("value").alias("v"))
+        places = {f"{group}/nodes_{a}": np.array(node_locations(shape.extents[k], spacing, cover)) for k, a in enumerate(axes)}
+        add_datasets(path if extension == ".h5" else f"{path}.h5", rows, {f"{group}/{a}": nodes for a in axes}, places)
         if extension == ".xdmf":
             _put(path, xdmf_map(shape, spacing, {a: f"{os.path.basename(path)}.h5:/{group.strip('/')}/{a}" for a in "xyz"[: shape.ndim]}, group.strip("/"), cover))
         return

@@ -222,7 +222,7 @@ def test_volume_slabs_are_pruned(spark, tmp_path):
         every = spark.createDataFrame([(x, y, z, float(values[z, y, x])) for z in range(7) for y in range(6) for x in range(5)], volume.SCHEMA).filter(where)
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect())), where
         assert found.rdd.getNumPartitions() <= parts, where
-    reader = volume.VolumeReader(path, "image", 30)
+    reader = volume.reader(path, "image", "", 30)
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     assert len(list(reader.pushFilters([EqualTo(("z",), 2), GreaterThan(("y",), 3)]))) == 2
