@@ -23,6 +23,7 @@ TYPES = {
     "double": (pa.float64(), T.DoubleType()),
     "binary": (pa.binary(), T.BinaryType()),
     "array<bigint>": (pa.list_(pa.int64()), T.ArrayType(T.LongType())),
+    "array<double>": (pa.list_(pa.float64()), T.ArrayType(T.DoubleType())),
 }
 
 

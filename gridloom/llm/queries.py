@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import align, bpe, centroids, chat, decontam, html_extract, langid, media, quality, sharding, simhash, toxicity, url_filter
-from .common import crc_mod, labelled_texts, table
+from .common import checkpoint, crc_mod, labelled_texts, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -55,9 +55,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    ranking = quality.learn(labelled_texts(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, quality.MAX_ROWS, quality.MAX_CHARS))
-    return quality.quality(docs, ranking).select("doc_id", held_out(3, 1), "score", "predicted")
+    """Features of all texts are found once; the ranking is fitted to those of all labelled rows, and scores them all."""
+    marks = (F.xxhash64(F.lit(k), F.coalesce("text", F.lit(""))).alias(name) for k, name in ((1, "one"), (2, "two")))
+    rows = checkpoint(quality.described(table(spark, sf_dir, "documents").select("doc_id", "text", *marks), keep=("doc_id", "one", "two")))
+    ranking = quality.fit(checkpoint(quality.labelled(rows, table(spark, sf_dir, "labels"), "quality", 3, 1)))
+    return quality.scored(rows, ranking).select("doc_id", held_out(3, 1), "score", "predicted")
 
 
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,6 +227,29 @@ def test_quality(odd, empty):
     assert {r.score for r in quality.quality(odd, quality.learn([("a", 1)])).collect()} == {0.5}
 
 
+def test_quality_counts_every_labelled_row_and_pair(spark, tmp_path):
+    """Weights and threshold as brute force over all pairs finds them, from all rows and from texts of any length."""
+    texts = [(" ".join(words_of(k, 20 + k % 50)) + "." * (k % 9) + "!" * (k % 4), int(k % 5 > 1 or k % 7 == 0)) for k in range(300)]
+    found = quality.learn(texts)
+    rows, y = np.array([quality.features(t) for t, _ in texts]), np.array([v for _, v in texts])
+    z = np.clip((rows - rows.mean(0)) / np.maximum(rows.std(0), 1e-3), -6, 6)
+    gap = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    weights = np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(gap @ weights))
+        weights += np.linalg.solve((gap.T * (p * (1 - p))) @ gap / len(gap) + 1e-3 * np.eye(len(weights)), gap.T @ p / len(gap) - 1e-3 * weights)
+    assert np.abs(found.weights - weights).max() < 2e-3 * max(1, np.abs(weights).max())
+    ranks, bad = np.sort(found.rank(rows)), int((y == 0).sum())
+    assert found.threshold == pytest.approx((ranks[bad - 1] + ranks[bad]) / 2, abs=1e-9)
+    # The rows of label 0 are long texts only, and stand behind thousands of others.
+    long = "same again! " * 20_000
+    docs = [(k, " ".join(words_of(k, 12)) + ".") for k in range(6500)] + [(7000 + k, long + "x" * k) for k in range(30)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 7000)) for i, _ in docs], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    told = queries.op8_quality(spark, str(tmp_path)).collect()
+    assert len(told) == len(docs) and all(r.predicted == int(r.doc_id < 7000) for r in told if not r.held_out)
+
+
 @pytest.mark.parametrize("name,label,mod,rest,least", [("op5_toxicity", "toxic", 5, 0, 0.95), ("op8_quality", "quality", 3, 1, 0.97)])
 def test_held_out_accuracy(spark, name, label, mod, rest, least):
     folder = "/root/testdata/sf0.01"
