@@ -14,6 +14,10 @@ blocks, verification, spanning links, components) is the same.
    ``TILE`` members or ``WEIGHT`` shingles are cut into tiles, and each pair of tiles is searched on its own.
 5. Components of the links, each of which has a similarity of at least the threshold.
 
+With ``prints`` (width, distance) the method of operator 7 runs whole on the same rows first: fingerprints, pigeonhole blocks,
+Hamming distances and components. Rows that it links are linked here too, whatever their similarity, and the least hashes
+add the pairs of at least the threshold whose fingerprints differ more.
+
 Texts without a word, null ones too, are one node. Rows with a null id link like others. Repeated rows stay repeated.
 """
 
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, join_hot, map_text, row_marks
-from .simhash import _runs, components, named_components, shingles
+from .simhash import _runs, components, fingerprint, links, named_components, node_of as print_of, pigeonhole_blocks, shingles
 
 BANDS, ROWS = 32, 6
 #: Members and shingles of one block that one search takes; larger blocks are tiled.
@@ -159,13 +163,24 @@ def block_search(members: DataFrame, sets: DataFrame, threshold: float) -> DataF
     return ranked.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
-def near_copies(docs: DataFrame, width: int = 5, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, mark, mark2, component, component_id) for every row: its marks over all columns, its group, and the smallest key reachable over links of Jaccard similarity >= threshold."""
+def print_links(rows: DataFrame, distance: int) -> DataFrame:
+    """(a, b): nodes of rows (node, fp) that operator 7's components bring together, each linked to the smallest of its component."""
+    met = checkpoint(rows.groupBy("node", "fp").agg(F.count("*").alias("_n")).select("node", "fp", print_of("fp", 1).alias("id")))
+    prints = checkpoint(met.groupBy("id").agg(F.first("fp").alias("fp")))
+    found = components(links(prints, pigeonhole_blocks(64, distance, 2), distance))
+    own = checkpoint(met.join(found, "id", "left").select("node", F.coalesce("component", "id").alias("group")))
+    least = own.groupBy("group").agg(F.min("node").alias("b"), F.max("node").alias("most"), F.count("*").alias("n")).filter("b < most").drop("most")
+    return checkpoint(join_hot(own, least, "group").filter("node <> b").select(F.col("node").alias("a"), "b"))
+
+
+def near_copies(docs: DataFrame, width: int = 5, threshold: float = 0.8, text: str = "text", key: str = "doc_id", prints: tuple[int, int] | None = None) -> DataFrame:
+    """(id, mark, mark2, component, component_id) for every row: its marks over all columns, its group, and the smallest key reachable over links of Jaccard similarity >= threshold, and with ``prints`` over links of operator 7."""
 
     def sketch():
         def apply(texts):
             found = [shingle_set(t, width) for t in texts]
-            return [[node_of(s) for s in found], [len(s) for s in found], [band_values(s) for s in found]]
+            made = [[node_of(s) for s in found], [len(s) for s in found], [band_values(s) for s in found]]
+            return made if prints is None else [*made, [fingerprint(t, prints[0]) for t in texts]]
 
         return apply
 
@@ -177,7 +192,8 @@ def near_copies(docs: DataFrame, width: int = 5, threshold: float = 0.8, text: s
 
     one, two = row_marks(docs)
     named = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("words"), one.alias("mark"), two.alias("mark2"))
-    rows = checkpoint(map_text(named, "words", sketch, {"node": "bigint", "size": "bigint", "bands": "array<bigint>"}, ["id", "mark", "mark2"]))
+    fields = {"node": "bigint", "size": "bigint", "bands": "array<bigint>"} | ({} if prints is None else {"fp": "binary"})
+    rows = checkpoint(map_text(named, "words", sketch, fields, ["id", "mark", "mark2"]))
     nodes = checkpoint(rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max("size").alias("size"), F.min(F.struct("mark", "mark2")).alias("row"), F.first("bands").alias("bands")))
     dealt = nodes.select("node", "size", F.explode("bands").alias("block"))
     blocks = dealt.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("node").alias("pivot"), F.bit_xor("node").alias("mix")).filter("n > 1")
@@ -189,25 +205,27 @@ def near_copies(docs: DataFrame, width: int = 5, threshold: float = 0.8, text: s
     texts = named.select("words", "mark", "mark2").join(wanted, ["mark", "mark2"])
     sets = checkpoint(map_text(texts, "words", whole, {"members": "binary"}, ["node"]).dropDuplicates(["node"]))
 
-    links = checkpoint(pivot_links(members, sets, threshold))
-    found = components(links)
+    linked = checkpoint(pivot_links(members, sets, threshold))
+    if prints is not None:
+        linked = checkpoint(linked.union(print_links(rows, prints[1])))
+    found = components(linked)
     more = members.filter("n > 2").join(found.withColumnRenamed("id", "node"), "node", "left").select("block", "n", "total", "node", F.coalesce("component", "node").alias("component"))
     mixed = more.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("block")
     rest = checkpoint(more.join(mixed, "block", "left_semi"))
     if not rest.isEmpty():
-        found = checkpoint(components(links.union(block_search(rest, sets, threshold))))
+        found = checkpoint(components(linked.union(block_search(rest, sets, threshold))))
     groups = found.select(F.col("id").alias("node"), "component")
     ends = checkpoint(named_components(nodes.select("node", "id", "n"), found).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     return join_hot(rows.select("id", "mark", "mark2", "node"), ends, "node").select(F.col("id").alias(key), "mark", "mark2", "component", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+def drop_near_copies(docs: DataFrame, width: int = 5, threshold: float = 0.8, text: str = "text", key: str = "doc_id", prints: tuple[int, int] | None = None) -> DataFrame:
     """One row of each group stays: that of the smallest key (nulls last), of several such rows the one of the smallest mark, once.
 
     Rows are told apart by marks over all their columns, not by their keys, so rows that share a key are decided on their
     own. Repeated rows are one group and leave one row.
     """
-    found = checkpoint(near_copies(docs, width, threshold, text, key))
+    found = checkpoint(near_copies(docs, width, threshold, text, key, prints))
     kinds = found.groupBy("component", "mark", "mark2").agg(F.min(key).alias("id"), F.count("*").alias("n"))
     best = kinds.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark", "mark2")).alias("best")).select("component", "best.mark", "best.mark2")
     told = checkpoint(kinds.join(best.withColumn("stays", F.lit(True)), ["component", "mark", "mark2"], "left"))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from . import bpe, decontam, langid, nearcopies, queries, toxicity
 from .common import remove, shared_folder, table
 
-#: Near duplicates: texts whose sets of five-word shingles have at least this Jaccard similarity.
-WIDTH, SIMILARITY = 5, 0.8
+#: Near duplicates: texts that operator 7 links, by SimHash of three-word shingles within three bits, and texts whose sets of
+#: five-word shingles have at least this Jaccard similarity.
+PRINTS, WIDTH, SIMILARITY = (3, 3), 5, 0.8
 
 
 def _with_row(docs: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one document stays: that of the smallest id, nulls last. Repeated rows leave one row."""
-    return nearcopies.drop_near_copies(docs, WIDTH, SIMILARITY)
+    return nearcopies.drop_near_copies(docs, WIDTH, SIMILARITY, prints=PRINTS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,5 +59,20 @@ def test_run_equals_stages_by_hand(spark):
     assert not found.keys() & (toxic | leaks)
 
 
+def test_near_duplicates_by_fingerprints(spark):
+    """What operator 7 links is one group, sets of few common shingles too; the least hashes add pairs that its three bits part."""
+    from gridloom.llm import nearcopies, simhash
+
+    line = " ".join(words_of(1, 11, 10**7))
+    texts = [" ".join([*words_of(k, 60, 10**7), *[line] * 400]) for k in (2, 3)]
+    words = words_of(4, 160, 10**7)
+    texts += [" ".join(words), " ".join("changed" if k in (40, 80, 120) else w for k, w in enumerate(words)), " ".join(words_of(5, 80, 10**7))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    seventh = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, width=3, lanes=1, distance=3).collect()}
+    assert seventh == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4}
+    assert sorted(r.doc_id for r in P.STAGES[2][1](spark, docs, "").collect()) == [0, 2, 4]
+
+
 def test_stage_names():
     assert [n for n, _ in P.STAGES] == ["toxicity", "language", "near_duplicates", "decontamination", "tokens"] and P.ORACLE_SQL is None
