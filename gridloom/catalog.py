@@ -63,7 +63,8 @@ def pair(spark: SparkSession, sf_dir: str, shape: Shape = R2) -> DataFrame:
 
 
 def scaled(spark: SparkSession, sf_dir: str, shape: Shape = R2) -> DataFrame:
-    return I.normalise(pair(spark, sf_dir, shape), "f", "m")
+    """The raster divided by its greatest values; lineitem is read once, however often the image is."""
+    return I.normalise(V.settle(pair(spark, sf_dir, shape)), "f", "m")
 
 
 def formula_map(spark: SparkSession, shape: Shape = R2, spacing: int = SPACING) -> DataFrame:
@@ -626,7 +627,7 @@ reg{k} AS MATERIALIZED (SELECT x, y, z, v / (SELECT max(v) FROM raw{k}) AS v FRO
 
 @query(f"{begin_sql(R2, SPACING)}, {round_sql(0, R2, SPACING, 10.0)} SELECT 'lineitem' AS pair_id, node, dof, round(value, 6) + 0e0 AS value FROM delta0")
 def solve_step(spark, sf_dir):
-    fixed, moved = (scaled(spark, sf_dir).select(F.lit("lineitem").alias("pair_id"), *AXES, F.col(c).alias("v")) for c in "fm")
+    fixed, moved = _lineitem(spark, sf_dir, R2)
     values = M.zero_map(spark, R2, SPACING, True).withColumn("pair_id", F.lit("lineitem"))
     return R.step(fixed, moved, values, R2, SPACING, {"lineitem": 10.0}, R.Options())[0].select("pair_id", "node", "dof", r6("value").alias("value"))
 
@@ -634,7 +635,7 @@ def solve_step(spark, sf_dir):
 @query(ORACLE_SQL["solve_step"])
 def solve_step_joined(spark, sf_dir):
     """The same by the conjugate gradients of large maps, joins and sums with multigrid cycles."""
-    fixed, moved = (scaled(spark, sf_dir).select(F.lit("lineitem").alias("pair_id"), *AXES, F.col(c).alias("v")) for c in "fm")
+    fixed, moved = _lineitem(spark, sf_dir, R2)
     values = M.zero_map(spark, R2, SPACING, True).withColumn("pair_id", F.lit("lineitem"))
     return R.step(fixed, moved, values, R2, SPACING, {"lineitem": 10.0}, R.Options(block_nodes=30))[0].select("pair_id", "node", "dof", r6("value").alias("value"))
 
@@ -644,7 +645,7 @@ WIDE = 41
 
 
 def _level(spark, sf_dir) -> R.Result:
-    fixed, moved = (scaled(spark, sf_dir).select(F.lit("lineitem").alias("pair_id"), *AXES, F.col(c).alias("v")) for c in "fm")
+    fixed, moved = _lineitem(spark, sf_dir, R2)
     return R.register(fixed, moved, R2, WIDE, R.Options(lam=4.0, max_iterations=2, least_delta=0.0))
 
 

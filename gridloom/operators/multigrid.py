@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Shape, ravel
 from ..session import settle
-from .normal import matvec
+from .normal import few, matvec
 
 #: Damping for which steps of the diagonal shrink every error: that of a squared Laplacian is under 3.5 times its diagonal.
 DAMPING = 0.5
@@ -56,10 +56,10 @@ def restrict(vector: DataFrame, grid: Shape, keys: list[str]) -> DataFrame:
     return dealt.groupBy(*keys, F.col("i").alias("r")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
-def prolong(coarse: DataFrame, at: DataFrame, grid: Shape, keys: list[str]) -> DataFrame:
+def prolong(coarse: DataFrame, at: DataFrame, grid: Shape, keys: list[str], rows: int | None = None) -> DataFrame:
     """(keys, r, v) at the nodes (keys, r) of the finer grid."""
     dealt = at.select(*keys, "r", F.inline(parents(F.col("r"), grid)))
-    found = dealt.join(coarse.select(*keys, F.col("r").alias("i"), "v"), [*keys, "i"])
+    found = dealt.join(few(coarse.select(*keys, F.col("r").alias("i"), "v"), rows), [*keys, "i"])
     return found.groupBy(*keys, "r").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
@@ -108,8 +108,11 @@ def solve_small(level: Level, right: DataFrame, keys: list[str], solve_block: Ca
     return both.groupBy(*keys).applyInPandas(one, schema)
 
 
-def cycle(levels: list[Level], residual: DataFrame, keys: list[str], solve_block: Callable) -> DataFrame:
-    """(keys, r, v): one V-cycle from zero for the right side ``residual``; symmetric, so conjugate gradients may use it."""
+def cycle(levels: list[Level], residual: DataFrame, keys: list[str], solve_block: Callable, rows: int | None = None) -> DataFrame:
+    """(keys, r, v): one V-cycle from zero for the right side ``residual``; symmetric, so conjugate gradients may use it.
+
+    rows: how many a vector has, where they are few: vectors are broadcast then, and the matrices stay where they are.
+    """
     top, by = levels[0], tuple(k for k in keys if k != "dof")
     if len(levels) == 1:
         return solve_small(top, residual, keys, solve_block)
@@ -119,13 +122,13 @@ def cycle(levels: list[Level], residual: DataFrame, keys: list[str], solve_block
         return state.withColumn("z", F.col("z") + F.lit(DAMPING) * F.col("e") / F.col("d"))
 
     def left(state: DataFrame) -> DataFrame:
-        az = matvec(top.matrix, state.select(*keys, "r", F.col("z").alias("v")), by).withColumnRenamed("v", "az")
-        return state.drop("e").join(az, [*keys, "r"], "left").withColumn("e", F.col("b") - F.coalesce("az", F.lit(0.0))).drop("az")
+        az = matvec(top.matrix, state.select(*keys, "r", F.col("z").alias("v")), by, rows).withColumnRenamed("v", "az")
+        return state.drop("e").join(few(az, rows), [*keys, "r"], "left").withColumn("e", F.col("b") - F.coalesce("az", F.lit(0.0))).drop("az")
 
-    begun = top.diagonal.join(residual.select(*keys, "r", F.col("v").alias("b")), [*keys, "r"], "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
+    begun = top.diagonal.join(few(residual.select(*keys, "r", F.col("v").alias("b")), rows), [*keys, "r"], "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
     # The first step starts from zero, and what it leaves is read twice.
     state = settle(left(stepped(begun.withColumn("z", F.lit(0.0)).withColumn("e", F.col("b")))))
-    answer = cycle(levels[1:], restrict(state.select(*keys, "r", F.col("e").alias("v")), top.grid, keys), keys, solve_block)
-    up = prolong(answer, state, top.grid, keys).withColumnRenamed("v", "up")
-    added = settle(state.join(up, [*keys, "r"], "left").withColumn("z", F.col("z") + F.coalesce("up", F.lit(0.0))).drop("up"))
+    answer = cycle(levels[1:], restrict(state.select(*keys, "r", F.col("e").alias("v")), top.grid, keys), keys, solve_block, rows)
+    up = prolong(answer, state, top.grid, keys, rows).withColumnRenamed("v", "up")
+    added = settle(state.join(few(up, rows), [*keys, "r"], "left").withColumn("z", F.col("z") + F.coalesce("up", F.lit(0.0))).drop("up"))
     return stepped(left(added)).select(*keys, "r", F.col("z").alias("v"))

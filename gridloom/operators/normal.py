@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import Shape, von_neumann
-from .mapgrid import BROADCAST_ROWS, every_node, with_nodes
+from .mapgrid import BROADCAST_ROWS, every_node, small, with_nodes
 
 
 def incidence(pixels: DataFrame, shape: Shape, spacing: int, cover: bool = False) -> DataFrame:
@@ -87,9 +87,14 @@ def add_scaled(a: DataFrame, b: DataFrame, factor=1.0, keys: tuple[str, ...] = (
     return a.select(*keys, "v").unionByName(b.select(*keys, (F.col("v") * factor).alias("v"))).groupBy(*keys).agg(F.sum("v").alias("v"))
 
 
-def matvec(a: DataFrame, x: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, dof, r, v) = a x with x (by, dof, r, v)."""
-    return a.join(x.select(*by, "dof", F.col("r").alias("c"), F.col("v").alias("_x")), [*by, "dof", "c"]).groupBy(*by, "dof", "r").agg(F.sum(F.col("v") * F.col("_x")).alias("v"))
+def matvec(a: DataFrame, x: DataFrame, by: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
+    """(by, dof, r, v) = a x with x (by, dof, r, v); rows: how many x has, where they are known to be few enough to be broadcast."""
+    return a.join(few(x.select(*by, "dof", F.col("r").alias("c"), F.col("v").alias("_x")), rows), [*by, "dof", "c"]).groupBy(*by, "dof", "r").agg(F.sum(F.col("v") * F.col("_x")).alias("v"))
+
+
+def few(df: DataFrame, rows: int | None) -> DataFrame:
+    """Marked for a broadcast where its rows are known and small."""
+    return df if rows is None else small(df, rows)
 
 
 def per_block(blocks: DataFrame, smoother: DataFrame, nodes: int) -> DataFrame:

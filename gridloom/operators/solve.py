@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.grid import Shape
 from ..session import settle
 from .multigrid import cycle, hierarchy
-from .normal import matvec, per_block
+from .mapgrid import BROADCAST_ROWS
+from .normal import few, matvec, per_block
 from .spectrum import extreme
 
 BLOCK_NODES = 200_000
@@ -91,15 +92,16 @@ def solve_distributed(matrix: DataFrame, right: DataFrame, by: tuple[str, ...] =
     begun = sides.groupBy(*keys, "r").agg(F.sum("v").alias("res"), F.sum("d").alias("d")).withColumn("d", F.when(F.col("d") > 0, F.col("d")).otherwise(1.0))
     goals = begun.groupBy(*keys).agg((F.lit(tolerance**2) * total("res", "res")).alias("goal"))
     levels = hierarchy(matrix, grid, keys, BLOCK_NODES if most is None else most) if grid is not None else None
+    rows = vector_rows(matrix, keys, grid)
 
     def improved(state: DataFrame) -> DataFrame:
         """state with z, the preconditioned residual."""
         if levels is None:
             return state.withColumn("z", F.col("res") / F.col("d"))
-        z = cycle(levels, state.select(*keys, "r", F.col("res").alias("v")), keys, solve_block).withColumnRenamed("v", "z")
-        return state.join(z, [*keys, "r"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
+        z = cycle(levels, state.select(*keys, "r", F.col("res").alias("v")), keys, solve_block, rows).withColumnRenamed("v", "z")
+        return state.join(few(z, rows), [*keys, "r"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
 
-    state = improved(settle(begun.join(goals, keys).select(*keys, "r", "d", "goal", F.lit(0.0).alias("x"), "res")))
+    state = improved(settle(begun.join(few(goals, rows), keys).select(*keys, "r", "d", "goal", F.lit(0.0).alias("x"), "res")))
     state = settle(state.withColumn("p", F.col("z")).withColumn("pap", F.lit(1.0)))
     for k in range(rounds + 1):
         unsolved = state.groupBy(*keys).agg(total("res", "res").alias("rr"), F.max("goal").alias("goal"), F.max("pap").alias("pap")).filter("not rr <= goal")
@@ -108,19 +110,25 @@ def solve_distributed(matrix: DataFrame, right: DataFrame, by: tuple[str, ...] =
             break
         if flat or k == rounds:
             raise RuntimeError(f"{left} blocks unsolved after {k} rounds of conjugate gradients, {flat} of them with a singular matrix")
-        ap = matvec(matrix, state.select(*keys, "r", F.col("p").alias("v")), by).withColumnRenamed("v", "ap")
-        joined = state.drop("pap").join(ap, [*keys, "r"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+        ap = matvec(matrix, state.select(*keys, "r", F.col("p").alias("v")), by, rows).withColumnRenamed("v", "ap")
+        joined = state.drop("pap").join(few(ap, rows), [*keys, "r"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
         sums = joined.groupBy(*keys).agg(total("res", "res").alias("rr"), total("res", "z").alias("rz"), total("p", "ap").alias("pap"))
         # Solved blocks rest.
         step = F.when((F.col("rr") > F.col("goal")) & (F.col("pap") > 0), F.col("rz") / F.col("pap")).otherwise(0.0)
-        moved = joined.join(sums, keys).select(*keys, "r", "d", "goal", "p", "rz", "pap", (F.col("x") + step * F.col("p")).alias("x"), (F.col("res") - step * F.col("ap")).alias("res"))
+        moved = joined.join(few(sums, rows), keys).select(*keys, "r", "d", "goal", "p", "rz", "pap", (F.col("x") + step * F.col("p")).alias("x"), (F.col("res") - step * F.col("ap")).alias("res"))
         moved = improved(settle(moved) if levels else moved)
         after = moved.groupBy(*keys).agg(total("res", "z").alias("now"))
         turn = F.when(F.col("rz") > 0, F.col("now") / F.col("rz")).otherwise(0.0)
-        state = settle(moved.join(after, keys).select(*keys, "r", "d", "goal", "x", "res", "z", (F.col("z") + turn * F.col("p")).alias("p"), "pap"))
+        state = settle(moved.join(few(after, rows), keys).select(*keys, "r", "d", "goal", "x", "res", "z", (F.col("z") + turn * F.col("p")).alias("p"), "pap"))
     return state.select(*by, F.col("r").alias("node"), "dof", F.col("x").alias("value"))
 
 
+def vector_rows(matrix: DataFrame, keys: list[str], grid: Shape | None) -> int | None:
+    """Rows of a vector over all blocks where these are few enough to be broadcast, else None."""
+    rows = grid.size * matrix.select(*keys).distinct().count() if grid is not None else None
+    return rows if rows is not None and rows <= BROADCAST_ROWS else None
+
+
 def power_iteration(matrix: DataFrame, steps: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, dof, eigenvalue): Rayleigh quotient after some steps from a vector of ones, by joins and sums."""
     keys = [*by, "dof"]
@@ -177,8 +185,9 @@ def spectrum_ends(matrix: DataFrame, smoother: DataFrame, factors: list[float] |
     smooth = per_block(blocks, smoother, nodes).select(*keys, "r", "c", (F.col("v") * F.col("factor")).alias("v"))
     whole = settle(with_factors.select(*keys, "r", "c", "v").unionByName(smooth).groupBy(*keys, "r", "c").agg(F.sum("v").alias("v")))
     levels = hierarchy(whole, grid, keys, most)
-    high = extreme(whole, (*by, "factor"), True).withColumnRenamed("value", "high")
-    low = extreme(whole, (*by, "factor"), False, lambda residual: cycle(levels, residual, keys, solve_block)).withColumnRenamed("value", "low")
+    rows = vector_rows(whole, keys, grid)
+    high = extreme(whole, (*by, "factor"), True, rows=rows).withColumnRenamed("value", "high")
+    low = extreme(whole, (*by, "factor"), False, lambda residual: cycle(levels, residual, keys, solve_block, rows), rows=rows).withColumnRenamed("value", "low")
     return high.join(low, keys).select(*by, "dof", "factor", "low", "high")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .normal import matvec
+from .normal import few, matvec
 
 BASIS = ("x", "w", "p")
 PAIRS = [(a, b) for i, a in enumerate(BASIS) for b in BASIS[i:]]
@@ -33,12 +33,12 @@ def best_combination(gram: np.ndarray, product: np.ndarray, largest: bool) -> tu
     return scale * (span @ inner[:, at]), float(ends[at])
 
 
-def extreme(matrix: DataFrame, by: tuple[str, ...], largest: bool, precondition: Callable[[DataFrame], DataFrame] | None = None, tolerance: float = 1e-4, rounds: int = 1_000) -> DataFrame:
+def extreme(matrix: DataFrame, by: tuple[str, ...], largest: bool, precondition: Callable[[DataFrame], DataFrame] | None = None, tolerance: float = 1e-4, rounds: int = 1_000, rows: int | None = None) -> DataFrame:
     """(by, dof, value): the greatest or least eigenvalue of each symmetric block of matrix (by, dof, r, c, v).
 
     Rounds go on until the residual of each is below the tolerance times it; the eigenvalue's own error is of the residual's
     square. ``precondition`` takes (by, dof, r, v) to an approximate solution of the block. A residual below 1e-12 of the
-    block's trace is enough where the eigenvalue is 0.
+    block's trace is enough where the eigenvalue is 0. rows: how many a vector has, where they are few enough to be broadcast.
     """
     keys = [*by, "dof"]
     dot = lambda a, b: F.sum(F.col(a) * F.col(b))
@@ -46,16 +46,16 @@ def extreme(matrix: DataFrame, by: tuple[str, ...], largest: bool, precondition:
     part = F.pmod(F.xxhash64("r"), F.lit(1 << 20)) / F.lit(float(1 << 20)) + 0.5
     sign = F.when(F.pmod(F.xxhash64("r", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0) if largest else F.lit(1.0)
     start = matrix.groupBy(*keys, "r").agg(F.sum(F.when(F.col("r") == F.col("c"), F.abs("v")).otherwise(0.0)).alias("d")).withColumn("x", part * sign)
-    ax = matvec(matrix, start.select(*keys, "r", F.col("x").alias("v")), by).withColumnRenamed("v", "ax")
-    begun = settle(start.join(ax, [*keys, "r"]))
+    ax = matvec(matrix, start.select(*keys, "r", F.col("x").alias("v")), by, rows).withColumnRenamed("v", "ax")
+    begun = settle(start.join(few(ax, rows), [*keys, "r"]))
     first = begun.groupBy(*keys).agg((dot("x", "ax") / dot("x", "x")).alias("value"), F.sqrt(dot("x", "x")).alias("size"), F.sum("d").alias("trace"))
-    state = settle(begun.join(first, keys).select(*keys, "r", "trace", "value", (F.col("x") / F.col("size")).alias("x"), (F.col("ax") / F.col("size")).alias("ax"), F.lit(0.0).alias("p"), F.lit(0.0).alias("ap")))
+    state = settle(begun.join(few(first, rows), keys).select(*keys, "r", "trace", "value", (F.col("x") / F.col("size")).alias("x"), (F.col("ax") / F.col("size")).alias("ax"), F.lit(0.0).alias("p"), F.lit(0.0).alias("ap")))
     sums = [f"g_{a}{b}" for a, b in PAIRS] + [f"h_{a}{b}" for a, b in PAIRS]
     schema = ", ".join([*(f"`{k}` {state.schema[k].dataType.simpleString()}" for k in keys), "ca double, cw double, cp double, quotient double"])
 
     def combine(batches):
         for batch in batches:
-            rows = []
+            told = []
             for r in batch.itertuples(index=False):
                 gram, product = np.zeros((3, 3)), np.zeros((3, 3))
                 for a, b in PAIRS:
@@ -63,8 +63,8 @@ def extreme(matrix: DataFrame, by: tuple[str, ...], largest: bool, precondition:
                     gram[i, j] = gram[j, i] = getattr(r, f"g_{a}{b}")
                     product[i, j] = product[j, i] = getattr(r, f"h_{a}{b}")
                 weights, quotient = best_combination(gram, product, largest)
-                rows.append((*(getattr(r, k) for k in keys), *weights, quotient))
-            yield pd.DataFrame(rows, columns=[*keys, "ca", "cw", "cp", "quotient"])
+                told.append((*(getattr(r, k) for k in keys), *weights, quotient))
+            yield pd.DataFrame(told, columns=[*keys, "ca", "cw", "cp", "quotient"])
 
     for k in range(rounds + 1):
         rest = state.withColumn("e", F.col("ax") - F.col("value") * F.col("x"))
@@ -77,10 +77,10 @@ def extreme(matrix: DataFrame, by: tuple[str, ...], largest: bool, precondition:
         w = rest.select(*keys, "r", F.col("e").alias("v"))
         if precondition is not None:
             w = settle(precondition(w))
-        aw = matvec(matrix, w, by).withColumnRenamed("v", "aw")
-        wide = settle(state.join(w.withColumnRenamed("v", "w"), [*keys, "r"]).join(aw, [*keys, "r"]))
+        aw = matvec(matrix, w, by, rows).withColumnRenamed("v", "aw")
+        wide = settle(state.join(few(w.withColumnRenamed("v", "w"), rows), [*keys, "r"]).join(few(aw, rows), [*keys, "r"]))
         of = wide.groupBy(*keys).agg(*(dot(a, b).alias(f"g_{a}{b}") for a, b in PAIRS), *(dot(a, f"a{b}").alias(f"h_{a}{b}") for a, b in PAIRS)).select(*keys, *sums)
-        both = wide.join(of.mapInPandas(combine, schema), keys)
+        both = wide.join(few(of.mapInPandas(combine, schema), rows), keys)
         step = lambda a: F.col("cw") * F.col(f"{a}w") + F.col("cp") * F.col(f"{a}p")
         state = settle(both.select(*keys, "r", "trace", F.col("quotient").alias("value"), (F.col("ca") * F.col("x") + step("")).alias("x"), (F.col("ca") * F.col("ax") + step("a")).alias("ax"), step("").alias("p"), step("a").alias("ap")))
     raise AssertionError

@@ -43,3 +43,11 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns == ["mi"] and entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+def test_rasters_read_lineitem_once(spark):
+    """What queries do with a raster, round by round, does not read the table again."""
+    from gridloom import catalog
+
+    image = catalog.scaled(spark, "/root/testdata/sf0.001")
+    assert "FileScan" not in image._jdf.queryExecution().toString() and image.count() == catalog.R2.size
