@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Shape, ravel
 from ..session import settle
-from .normal import few, matvec
+from .normal import few, products
 
 #: Damping for which steps of the diagonal shrink every error: that of a squared Laplacian is under 3.5 times its diagonal.
 DAMPING = 0.5
@@ -56,20 +56,14 @@ def restrict(vector: DataFrame, grid: Shape, keys: list[str]) -> DataFrame:
     return dealt.groupBy(*keys, F.col("i").alias("r")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
-def prolong(coarse: DataFrame, at: DataFrame, grid: Shape, keys: list[str], rows: int | None = None) -> DataFrame:
-    """(keys, r, v) at the nodes (keys, r) of the finer grid."""
-    dealt = at.select(*keys, "r", F.inline(parents(F.col("r"), grid)))
-    found = dealt.join(few(coarse.select(*keys, F.col("r").alias("i"), "v"), rows), [*keys, "i"])
-    return found.groupBy(*keys, "r").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-
-
 @dataclass
 class Level:
-    """A grid, its matrix and its diagonal (keys, r, d); the coarsest one has no grid below."""
+    """A grid and its matrix; of all grids but the coarsest also ``steps`` (keys, r, c, v), the two damped steps alone, and ``transfer`` (keys, r, c, v) from the coarser grid's nodes c, the step after it included. Entries of ``steps`` are to be summed."""
 
     grid: Shape
     matrix: DataFrame
-    diagonal: DataFrame
+    steps: DataFrame | None = None
+    transfer: DataFrame | None = None
 
 
 def diagonal_of(matrix: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,57 +72,59 @@ def diagonal_of(matrix: DataFrame, keys: list[str]) -> DataFrame:
     return own.withColumn("d", F.when(F.col("d") > 0, F.col("d")).otherwise(1.0))
 
 
-def hierarchy(matrix: DataFrame, grid: Shape, keys: list[str], most: int) -> list[Level]:
-    """Grids from fine to one of at most ``most`` nodes, at least two."""
-    levels = [Level(grid, matrix, settle(diagonal_of(matrix, keys)))]
-    while len(levels) < 2 or levels[-1].grid.size > max(most, 8):
-        last = levels[-1]
-        if coarser(last.grid) == last.grid:
-            break
-        matrix = settle(coarse_matrix(last.matrix, last.grid, keys))
-        levels.append(Level(coarser(last.grid), matrix, settle(diagonal_of(matrix, keys))))
-    return levels
+def smoothed(matrix: DataFrame, grid: Shape, keys: list[str], rows: int | None) -> tuple[DataFrame, DataFrame]:
+    """With damping w and diagonal D: 2 w / D - w^2 / D matrix / D, and (1 - w / D matrix) times the interpolation from the coarser grid."""
+    diagonal = settle(diagonal_of(matrix, keys))
+    scaled = matrix.join(few(diagonal, rows), [*keys, "r"]).withColumn("v", -DAMPING * F.col("v") / F.col("d")).drop("d")
+    across = scaled.join(few(diagonal.withColumnRenamed("r", "c"), rows), [*keys, "c"]).select(*keys, "r", "c", (DAMPING * F.col("v") / F.col("d")).alias("v"))
+    steps = across.unionByName(diagonal.select(*keys, "r", F.col("r").alias("c"), (2 * DAMPING / F.col("d")).alias("v")))
+    whole = scaled.unionByName(diagonal.select(*keys, "r", F.col("r").alias("c"), F.lit(1.0).alias("v")))
+    dealt = whole.select(*keys, "r", "v", F.inline(parents(F.col("c"), grid)))
+    transfer = dealt.groupBy(*keys, "r", F.col("i").alias("c")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    return settle(steps), settle(transfer)
+
+
+def hierarchy(matrix: DataFrame, grid: Shape, keys: list[str], most: int, rows: int | None = None) -> list[Level]:
+    """Grids from fine to one of at most ``most`` nodes, at least two. rows: how many a vector has, where they are few."""
+    levels = []
+    while (not levels or grid.size > max(most, 8)) and coarser(grid) != grid:
+        levels.append(Level(grid, matrix, *smoothed(matrix, grid, keys, rows)))
+        matrix, grid = settle(coarse_matrix(matrix, grid, keys)), coarser(grid)
+    return [*levels, Level(grid, matrix)]
 
 
-def solve_small(level: Level, right: DataFrame, keys: list[str], solve_block: Callable) -> DataFrame:
-    """(keys, r, v): the coarsest grid's answer, a task for each block."""
+def solve_small(level: Level, right: DataFrame, keys: list[str], solve_block: Callable, names: tuple[str, ...] = ("v",)) -> DataFrame:
+    """(keys, r, names): the coarsest grid's answers, a task for each block."""
     n = level.grid.size
-    both = level.matrix.select(*keys, "r", "c", "v").unionByName(right.select(*keys, "r", F.lit(-1).alias("c"), "v"))
-    schema = ", ".join([*(f"`{k}` {both.schema[k].dataType.simpleString()}" for k in keys), "r int", "v double"])
+    sides = right.select(*keys, "r", F.lit(-1).alias("c"), *(F.col(k).alias(f"_{k}") for k in names))
+    both = level.matrix.select(*keys, "r", "c", "v").unionByName(sides, allowMissingColumns=True)
+    schema = ", ".join([*(f"`{k}` {both.schema[k].dataType.simpleString()}" for k in keys), "r int", *(f"{k} double" for k in names)])
 
     def one(block: pd.DataFrame) -> pd.DataFrame:
         side = block["c"].to_numpy() < 0
         r, c, v = (block[k].to_numpy() for k in ("r", "c", "v"))
-        b = np.bincount(r[side], v[side], n)
-        # Nodes that the matrix lacks have no equation.
-        b[np.bincount(r[~side], minlength=n) == 0] = 0.0
-        x = solve_block(r[~side], c[~side], v[~side], b) if b.any() else np.zeros(n)
-        return pd.DataFrame({**{k: block[k].iloc[0] for k in keys}, "r": np.arange(n, dtype=np.int32), "v": x})
+        out = {**{k: block[k].iloc[0] for k in keys}, "r": np.arange(n, dtype=np.int32)}
+        for k in names:
+            b = np.bincount(r[side], block[f"_{k}"].to_numpy()[side], n)
+            # Nodes that the matrix lacks have no equation.
+            b[np.bincount(r[~side], minlength=n) == 0] = 0.0
+            out[k] = solve_block(r[~side], c[~side], v[~side], b) if b.any() else np.zeros(n)
+        return pd.DataFrame(out)
 
     return both.groupBy(*keys).applyInPandas(one, schema)
 
 
-def cycle(levels: list[Level], residual: DataFrame, keys: list[str], solve_block: Callable, rows: int | None = None) -> DataFrame:
-    """(keys, r, v): one V-cycle from zero for the right side ``residual``; symmetric, so conjugate gradients may use it.
+def cycle(levels: list[Level], residual: DataFrame, keys: list[str], solve_block: Callable, rows: int | None = None, names: tuple[str, ...] = ("v",)) -> DataFrame:
+    """(keys, r, names): one V-cycle from zero for each of the right sides ``residual`` (keys, r, names); symmetric, so conjugate gradients may use it.
 
     rows: how many a vector has, where they are few: vectors are broadcast then, and the matrices stay where they are.
     """
-    top, by = levels[0], tuple(k for k in keys if k != "dof")
+    top = levels[0]
     if len(levels) == 1:
-        return solve_small(top, residual, keys, solve_block)
-
-    def stepped(state: DataFrame) -> DataFrame:
-        """state (keys, r, b, d, z, e): e is what is left of b after z."""
-        return state.withColumn("z", F.col("z") + F.lit(DAMPING) * F.col("e") / F.col("d"))
-
-    def left(state: DataFrame) -> DataFrame:
-        az = matvec(top.matrix, state.select(*keys, "r", F.col("z").alias("v")), by, rows).withColumnRenamed("v", "az")
-        return state.drop("e").join(few(az, rows), [*keys, "r"], "left").withColumn("e", F.col("b") - F.coalesce("az", F.lit(0.0))).drop("az")
-
-    begun = top.diagonal.join(few(residual.select(*keys, "r", F.col("v").alias("b")), rows), [*keys, "r"], "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
-    # The first step starts from zero, and what it leaves is read twice.
-    state = settle(left(stepped(begun.withColumn("z", F.lit(0.0)).withColumn("e", F.col("b")))))
-    answer = cycle(levels[1:], restrict(state.select(*keys, "r", F.col("e").alias("v")), top.grid, keys), keys, solve_block, rows)
-    up = prolong(answer, state, top.grid, keys, rows).withColumnRenamed("v", "up")
-    added = settle(state.join(few(up, rows), [*keys, "r"], "left").withColumn("z", F.col("z") + F.coalesce("up", F.lit(0.0))).drop("up"))
-    return stepped(left(added)).select(*keys, "r", F.col("z").alias("v"))
+        return solve_small(top, residual, keys, solve_block, names)
+    summed = lambda terms: terms.groupBy(*keys, "r").agg(*(F.sum(k).alias(k) for k in names))
+    down = top.transfer.select(*keys, F.col("c").alias("r"), F.col("r").alias("c"), "v")
+    below = summed(products(down, residual, keys, rows, names))
+    # Each grid reads its right side twice: without a checkpoint the plan would double with every grid.
+    answer = cycle(levels[1:], settle(below) if len(levels) > 2 else below, keys, solve_block, rows, names)
+    return summed(products(top.steps, residual, keys, rows, names).unionByName(products(top.transfer, answer, keys, rows, names)))

@@ -92,6 +92,13 @@ def matvec(a: DataFrame, x: DataFrame, by: tuple[str, ...] = (), rows: int | Non
     return a.join(few(x.select(*by, "dof", F.col("r").alias("c"), F.col("v").alias("_x")), rows), [*by, "dof", "c"]).groupBy(*by, "dof", "r").agg(F.sum(F.col("v") * F.col("_x")).alias("v"))
 
 
+def products(a: DataFrame, x: DataFrame, keys: list[str], rows: int | None = None, names: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Terms of a times each of the columns ``names`` of x (keys, r, names), to be summed by row; x may have more keys than a, and they stay."""
+    own = [k for k in x.columns if k != "r" and k not in names]
+    far = x.select(*own, F.col("r").alias("c"), *(F.col(n).alias(f"_{n}") for n in names))
+    return a.join(few(far, rows), [*keys, "c"]).select(*own, "r", *((F.col("v") * F.col(f"_{n}")).alias(n) for n in names))
+
+
 def few(df: DataFrame, rows: int | None) -> DataFrame:
     """Marked for a broadcast where its rows are known and small."""
     return df if rows is None else small(df, rows)

@@ -21,7 +21,7 @@ from ..session import settle
 from .multigrid import cycle, hierarchy
 from .mapgrid import BROADCAST_ROWS
 from .normal import few, matvec, per_block
-from .spectrum import extreme
+from .spectrum import ends
 
 BLOCK_NODES = 200_000
 
@@ -91,8 +91,8 @@ def solve_distributed(matrix: DataFrame, right: DataFrame, by: tuple[str, ...] =
     sides = right.select(*keys, "r", "v", F.lit(0.0).alias("d")).unionByName(matrix.select(*keys, "r", F.lit(0.0).alias("v"), F.when(F.col("r") == F.col("c"), F.col("v")).otherwise(0.0).alias("d")))
     begun = sides.groupBy(*keys, "r").agg(F.sum("v").alias("res"), F.sum("d").alias("d")).withColumn("d", F.when(F.col("d") > 0, F.col("d")).otherwise(1.0))
     goals = begun.groupBy(*keys).agg((F.lit(tolerance**2) * total("res", "res")).alias("goal"))
-    levels = hierarchy(matrix, grid, keys, BLOCK_NODES if most is None else most) if grid is not None else None
     rows = vector_rows(matrix, keys, grid)
+    levels = hierarchy(matrix, grid, keys, BLOCK_NODES if most is None else most, rows) if grid is not None else None
 
     def improved(state: DataFrame) -> DataFrame:
         """state with z, the preconditioned residual."""
@@ -184,11 +184,9 @@ def spectrum_ends(matrix: DataFrame, smoother: DataFrame, factors: list[float] |
     keys = [*by, "factor", "dof"]
     smooth = per_block(blocks, smoother, nodes).select(*keys, "r", "c", (F.col("v") * F.col("factor")).alias("v"))
     whole = settle(with_factors.select(*keys, "r", "c", "v").unionByName(smooth).groupBy(*keys, "r", "c").agg(F.sum("v").alias("v")))
-    levels = hierarchy(whole, grid, keys, most)
     rows = vector_rows(whole, keys, grid)
-    high = extreme(whole, (*by, "factor"), True, rows=rows).withColumnRenamed("value", "high")
-    low = extreme(whole, (*by, "factor"), False, lambda residual: cycle(levels, residual, keys, solve_block, rows), rows=rows).withColumnRenamed("value", "low")
-    return high.join(low, keys).select(*by, "dof", "factor", "low", "high")
+    levels = hierarchy(whole, grid, keys, most, rows)
+    return ends(whole, (*by, "factor"), lambda residuals, names: cycle(levels, residuals, keys, solve_block, rows, names), rows=rows).select(*by, "dof", "factor", "low", "high")
 
 
 def _conditions(ends: DataFrame, by: tuple[str, ...], compat: bool) -> DataFrame:

@@ -89,6 +89,21 @@ def test_spectra_of_large_maps(spark):
         told(most=20)
 
 
+def test_spectra_of_large_maps_take_few_jobs(spark):
+    """On few rows a round's time is that of its jobs: both ends share them, and three vectors an end need fewer rounds."""
+    grid = Shape(7, 6)
+    mass, smoother = bumpy(spark, grid)
+    one = V.condition_numbers(mass, smoother, [1.0], grid.size).first().condition
+    context = spark.sparkContext
+    context.setJobGroup("spectra", "spectra of large maps")
+    try:
+        found = V.condition_numbers(mass, smoother, [1.0], grid.size, grid=grid, most=20).first().condition
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert found == pytest.approx(one, rel=1e-4)
+    assert len(context.statusTracker().getJobIdsForGroup("spectra")) < 300
+
+
 def test_loops_do_not_carry_estimates(spark):
     """The plan's estimate of a settled table is the same however often it was joined before."""
     df = spark.range(5)
